@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, ctw, langid
+from tidemark.llm import bpe, ctw, langid, suffix_dedup
 from tidemark.session import ship
 
 #: Where the public tokenizers' vocabulary files are.
@@ -23,6 +23,10 @@ def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -34,6 +38,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_backtracking": op4_bpe_backtracking,
         "op5_language_id": op5_language_id,
     }

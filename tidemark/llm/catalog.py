@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, ctw, langid, suffix_dedup
+from tidemark.llm import bpe, ctw, decontam, langid, suffix_dedup
 from tidemark.session import ship
 
 #: Where the public tokenizers' vocabulary files are.
@@ -35,12 +35,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_backtracking": op4_bpe_backtracking,
         "op5_language_id": op5_language_id,
+        "op6_prefix_filtered_decontamination": op6_prefix_filtered_decontamination,
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, ctw, decontam, langid, suffix_dedup
+from tidemark.llm import bpe, ctw, decontam, langid, suffix_dedup, toxicity
 from tidemark.session import ship
 
 #: Where the public tokenizers' vocabulary files are.
@@ -39,6 +39,10 @@ def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_backtracking": op4_bpe_backtracking,
         "op5_language_id": op5_language_id,
         "op6_prefix_filtered_decontamination": op6_prefix_filtered_decontamination,
+        "op8_toxicity_grammar": op8_toxicity_grammar,
     }
 
 

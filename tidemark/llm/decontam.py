@@ -143,7 +143,7 @@ def _counted(docs: DataFrame, block) -> dict[tuple[int, int], int]:
             some = np.flatnonzero(sums[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(unique[some].view(np.int64)), pa.array(sums[k][some])], ["k", "token", "n"])
 
-    rows = docs.select("t").mapInArrow(run, "k int, token bigint, n bigint").groupBy("k", "token").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("t").mapInArrow(run, "k int, token bigint, n bigint").groupBy("k", "token").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     return {(int(k), int(t)): int(n) for k, t, n in zip(rows["k"], rows["token"].to_numpy().view(np.uint64), rows["n"], strict=True)}
 
 
@@ -157,7 +157,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     state = found.withColumns({"n": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for b in range(blocks):
-        mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toPandas()
+        mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toArrow().to_pandas()
         block = Block(list(mine["item"]), [np.array(w, np.int64).view(np.uint64) for w in mine["words"]])
         block.order(_counted(found, spark.sparkContext.broadcast(block)) if len(mine) else {})
         shared, last = spark.sparkContext.broadcast(block), b == blocks - 1

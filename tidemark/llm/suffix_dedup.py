@@ -139,10 +139,10 @@ def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: i
     """Rows (h, n, d, v, at, s): the bytes under each run of windows whose anchor is repeated."""
     known = None
     if n_repeated <= broadcast:
-        found = repeated.select("h", "n").toPandas()
-        keys, counts = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        found = repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+        keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
         order = np.argsort(keys)
-        known = docs.sparkSession.sparkContext.broadcast((keys[order], counts[order].astype(np.int64)))
+        known = docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: i
                         continue
                     i = np.minimum(np.searchsorted(keys, w.anchor), len(keys) - 1)
                     take = np.flatnonzero(keys[i] == w.anchor)
-                    n = counts[i]
+                    n = counts[i].astype(np.int64)
                 row = w.row[take]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(w.anchor[take].view(np.int64)), pa.array(n[take]), pa.array(d[first + row]), pa.array(v[first + row]),

@@ -18,6 +18,7 @@ the id and the text are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Rolling, fold, mix, parts, staged
 
 #: Context bytes at most.
-DEPTH = 6
+DEPTH = 5
 #: Words, and byte strings, that a broadcast holds at most.
-HEAD = 4_000_000
+HEAD = 2_500_000
 #: Word and byte-string entries that a task gathers before it merges them.
 MERGE = 3_000_000
 PAD = 0xFF
@@ -212,7 +213,7 @@ def log_probabilities(grams: DataFrame, size: int) -> DataFrame:
             x = levels(keys, counts, decision)[2]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), decision, np.int8)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["decision", "key", "zeros", "ones", "weighted"])
 
-    at_two = grams.mapInArrow(bottom, "decision tinyint, key bigint, zeros double, ones double, weighted double").toPandas()
+    at_two = grams.mapInArrow(bottom, "decision tinyint, key bigint, zeros double, ones double, weighted double").toArrow().to_pandas()
     tops: dict[int, dict[int, Level]] = {}
     for decision, rows in at_two.groupby("decision"):
         keys, zeros, ones, weighted = rows["key"].to_numpy().view(np.uint64), rows["zeros"].to_numpy(), rows["ones"].to_numpy(), rows["weighted"].to_numpy()
@@ -273,11 +274,14 @@ class Lookup:
         return out
 
 
-def _head(rows: DataFrame, sizes: dict[int, int], limit: int) -> tuple[Lookup, bool]:
+_tables: dict[str, tuple] = {}
+
+
+def _head(rows: DataFrame, sizes: dict[int, int], limit: int) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
     """The most frequent rows (key, n, value), limit at most, and whether these are all. sizes: rows by log2(n + 1)."""
     least = next(k for k in range(65) if sum(n for b, n in sizes.items() if b >= k) <= limit)
-    got = rows.where(F.col("n") + 1 >= F.lit(float(2**least))).select("key", "value").toPandas()
-    return Lookup(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy().astype(np.float32)), all(b >= least for b in sizes)
+    got = rows.where(F.col("n") + 1 >= F.lit(float(2**least))).select("key", F.col("value").cast("float")).toArrow()
+    return (got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()), all(b >= least for b in sizes)
 
 
 class Model:
@@ -306,13 +310,16 @@ def fit(df: DataFrame, learn: Column, text_col: str = "text", limit: int = HEAD)
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of df."""
-    shared = df.sparkSession.sparkContext.broadcast({k: v for k, v in model.heads.items()})
+    shared, mark = df.sparkSession.sparkContext.broadcast(model.heads), uuid.uuid4().hex
     unseen, src = model.unseen, df.select(id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
     rare = not all(whole for _, whole in model.heads.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (grams, _), (words, all_words) = shared.value[GRAM], shared.value[WORD]
+        if mark not in _tables:  # hash tables are built once in each worker, so the broadcast stays as small as its rows
+            _tables.clear()
+            _tables[mark] = tuple((Lookup(*shared.value[k][0]), shared.value[k][1]) for k in (GRAM, WORD))
+        (grams, _), (words, all_words) = _tables[mark]
         for batch in batches:
             for first, end, data, starts in parts(batch[1]):
                 part, n = Part(data, starts), end - first

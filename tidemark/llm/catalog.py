@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ctw, decontam, langid, suffix_dedup, toxicity
+from tidemark.llm import bpe, chatformat, ctw, decontam, htmltext, imatch, langid, suffix_dedup, toxicity
 from tidemark.session import ship
 
 #: Where the public tokenizers' vocabulary files are.
@@ -39,10 +40,24 @@ def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chatformat.digests(rows.unionByName(probe))
+
+
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
@@ -50,9 +65,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_backtracking": op4_bpe_backtracking,
         "op5_language_id": op5_language_id,
         "op6_prefix_filtered_decontamination": op6_prefix_filtered_decontamination,
+        "op7_html_text": op7_html_text,
         "op8_toxicity_grammar": op8_toxicity_grammar,
+        "op9_chat_format": op9_chat_format,
+        "op10_imatch_fingerprints": op10_imatch_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": chatformat.ORACLE}

@@ -175,19 +175,25 @@ def _spec(df: DataFrame, vocabulary: str):
     return hash(spec), df.sparkSession.sparkContext.broadcast(spec)
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, ids array of int) with the ids of each whole text."""
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """Rows (id_col, ids array of int) with the ids of each whole text; with check, lossless: they decode to the text."""
     key, spec = _spec(df, vocabulary)
     src = df.select(id_col, text_col)
-    schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>"
+    names = [id_col, "ids", *["lossless"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(key, spec)
         for batch in batches:
-            ids = pa.array([np.frombuffer(b"".join(c[0] for c in bpe.codes(t or "")), np.int32) for t in batch[1].to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch[0], ids], [id_col, "ids"])
-
-    return src.mapInArrow(run, schema)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                texts = [t or "" for t in part[1].to_pylist()]
+                ids = [np.frombuffer(b"".join([c[0] for c in bpe.codes(t)]), np.int32) for t in texts]
+                columns = [part[0], pa.array(ids, pa.list_(pa.int32()))]
+                if check:
+                    columns.append(pa.array([bpe.decode_bytes(i.astype(np.int64)) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>{', lossless boolean' if check else ''}")
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chatformat, ctw, decontam, htmltext, imatch, langid, suffix_dedup, toxicity
+from tidemark.llm import bpe, chatformat, ctw, decontam, htmltext, imatch, langid, near_dedup, suffix_dedup, toxicity
 from tidemark.session import ship
 
 #: Where the public tokenizers' vocabulary files are.
@@ -24,6 +24,10 @@ def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_bpe_backtracking": op4_bpe_backtracking,
         "op5_language_id": op5_language_id,

@@ -1,0 +1,106 @@
+"""Explanations of anomalies: parsing model answers, ids, grouping by context, agreement, review items (W1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+EVIDENCE = "array<struct<name:string,date_range:string,source_type:string,verifiability:string>>"
+ANOMALY = f"struct<window:array<int>,is_anomaly:boolean,classification:string,confidence:double,explanation:string,evidence_strength:string,evidence_source:{EVIDENCE},source:string>"
+
+
+def compact_id(*parts: Column) -> Column:
+    """'a1' and 32 hex digits over the parts, joined by a zero byte."""
+    return F.concat(F.lit("a1"), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 32))
+
+
+def strip_fence(text: Column) -> Column:
+    """Without a Markdown code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+
+
+def parse_answers(df: DataFrame, answer: str = "response") -> DataFrame:
+    """One row for each anomaly in a JSON answer: an object with anomalies, or an array of them, fenced or not."""
+    body = strip_fence(F.col(answer))
+    listed = F.from_json(body, f"struct<anomalies:array<{ANOMALY}>>").getField("anomalies")
+    anomalies = F.when(body.startswith("["), F.from_json(body, f"array<{ANOMALY}>")).otherwise(listed)
+    return df.withColumn("anomaly", F.explode(anomalies)).select("*", "anomaly.*").drop("anomaly")
+
+
+def parse_legacy_id(custom_id: Column) -> Column:
+    """nosearch-{hash}-{indicator}-{geography}-{md5}; the indicator may hold hyphens. Null if it is no such id."""
+    pattern = r"^nosearch-([^-]*)-(.*)-([^-]+)-([0-9a-fA-F]{32})$"
+    part = lambda k: F.regexp_extract(custom_id, pattern, k)
+    return F.when(custom_id.rlike(pattern), F.struct(part(1).alias("prompt_hash"), part(2).alias("indicator_id"), part(3).alias("geography_id"), part(4).alias("context_md5")))
+
+
+def resolve_ids(df: DataFrame, id_map: DataFrame, custom_id: str = "custom_id") -> DataFrame:
+    """Series keys from the map, else from a legacy id; rows with neither go."""
+    legacy = parse_legacy_id(F.col(custom_id))
+    found = df.join(id_map.select(custom_id, F.col("indicator_id").alias("_i"), F.col("geography_id").alias("_g")), custom_id, "left")
+    found = found.withColumns({"indicator_id": F.coalesce("_i", legacy["indicator_id"]), "geography_id": F.coalesce("_g", legacy["geography_id"])}).drop("_i", "_g")
+    return found.where(F.col("indicator_id").isNotNull())
+
+
+def outer_join(named: dict[str, DataFrame], keys: list[str], values: list[str]) -> DataFrame:
+    """Full outer join of explainers' rows by key; each value column gets its explainer's name as suffix."""
+    frames = [df.select(*keys, *[F.col(v).alias(f"{v}_{name}") for v in values]) for name, df in named.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.join(frame, keys, "full_outer")
+    return out
+
+
+def by_context(named: dict[str, DataFrame], keys: list[str], value: str, order: str) -> DataFrame:
+    """All explainers' values of a context as a list, in order; rows with a null key go, frames without the keys too."""
+    usable = {n: df for n, df in named.items() if set(keys) <= set(df.columns)}
+    union = None
+    for name, df in usable.items():
+        one = df.select(*keys, F.lit(name).alias("provider"), F.col(value).alias("value"), F.col(order).alias("ord"))
+        union = one if union is None else union.unionByName(one)
+    return union.na.drop(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "provider", "value"))).alias("explanations"))
+
+
+def agreement(grouped: DataFrame) -> DataFrame:
+    """single, agree or disagree, and the first explainer's value, for by_context() rows."""
+    n = F.size("explanations")
+    kinds = F.size(F.array_distinct(F.transform("explanations", lambda e: e["value"])))
+    return grouped.withColumns({"n_explainers": n, "agreement": F.when(n == 1, "single").when(kinds == 1, "agree").otherwise("disagree"), "primary": F.element_at("explanations", 1)["value"]})
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of each pair of values, with totals marked 'All'; rows with a null go."""
+    rows = df.na.drop(subset=[a, b]).select(F.col(a).cast("string").alias(a), F.col(b).cast("string").alias(b))
+    total = lambda c: F.when(F.grouping(c) == 1, "All").otherwise(F.col(c))
+    return rows.cube(a, b).agg(F.count("*").alias("n"), total(a).alias("_a"), total(b).alias("_b")).select(F.col("_a").alias(a), F.col("_b").alias(b), "n")
+
+
+def parse_window(window: Column) -> Column:
+    """'1999-2003' or '1999' as (start, end)."""
+    at = lambda k: F.element_at(F.split(window, "-"), k).try_cast("int")
+    return F.struct(at(1).alias("start"), at(-1).alias("end"))
+
+
+def latest_feedback(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest entry of each key: what an upsert keeps."""
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])))
+    return ranked.where("_k = 1").drop("_k")
+
+
+def openai_request(custom_id: Column, model: str, prompt: Column) -> Column:
+    """A batch request row as JSON text."""
+    message = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+    return F.to_json(F.struct(custom_id.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), F.struct(F.lit(model).alias("model"), message.alias("input")).alias("body")))
+
+
+#: Formatters of batch requests and parsers of explainers' rows, by name; register_* adds to them.
+FORMATTERS = {"openai": openai_request}
+EXPLAINERS: dict = {}
+
+
+def register_formatter(name: str, function) -> None:
+    FORMATTERS[name] = function
+
+
+def register_explainer(name: str, function) -> None:
+    EXPLAINERS[name] = function

@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.session import cut, shared_dir, staged  # noqa: F401
+
 #: Text handled at once inside a task.
 PART_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    sc = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; its lineage ends there, so a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """As cut(), but as a Parquet table: for wide rows, read back by column."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus. A null id is in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(0))

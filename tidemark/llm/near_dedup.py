@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, mix, parts, staged
-from tidemark.llm.components import components
 from tidemark.llm.decontam import shingles, words
+from tidemark.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 12

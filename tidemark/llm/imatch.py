@@ -9,7 +9,7 @@ A term that a share of at least COMMON[0] of the documents has is in the lexicon
 terms in a document, the lexicon has at most that mean / COMMON[0] terms whatever the corpus size, and can be broadcast.
 
 Null texts count as empty and have an empty fingerprint, as has any text without terms; a null id comes before all others.
-Rows with equal id and text are one document and give one row; texts under one id are ordered by their hash. The document after the last is
+Each row gives one row; rows with equal id and text are one document in the order of ids; texts under one id are ordered by their hash. The document after the last is
 the first; a lone document is its own next. Other columns are ignored.
 """
 
@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, staged
 
 #: Share of the documents that have a lexicon term: at least and at most.
 COMMON = (0.0005, 0.05)
 #: Subsets at each rate, and by rate, one of how many terms is taken.
 SLOTS, RATES = 32, (1, 6, 36)
+#: Hexadecimal digits of a subset's hash in a fingerprint.
+DIGITS = 4
 #: Subsets in use from which a rate other than the first counts in a comparison.
 ENOUGH = 8
 #: The lexicon is broadcast up to so many terms (its bound for documents of up to 1,000 distinct terms in the mean).
@@ -43,18 +45,22 @@ def lexicon(docs: DataFrame, text_col: str = "text", common: tuple[float, float]
 
 
 def fingerprints(rows: DataFrame, lexicon: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Rows (keys, fingerprint) for each row of rows, whose keys must be unique."""
+    """Rows (keys, fingerprint), one for each distinct keys of rows."""
     small = lexicon.count() <= BROADCAST
-    band = lexicon.union(rows.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("h")))
+    none = F.xxhash64(F.lit(""))
+    band = lexicon.union(rows.sparkSession.range(1).select(none.alias("h")))
     found = rows.select(*keys, F.array_distinct(terms(F.col(text_col))).alias("a"))
     # The empty term stands in every row, so that no row is lost in the join.
-    each = found.select(*keys, F.when(F.size("a") > 0, F.xxhash64("a")).alias("whole"), F.explode(F.array_append("a", F.lit(""))).alias("term")).withColumn("h", F.xxhash64("term"))
+    each = found.select(*keys, F.when(F.size("a") > 0, F.xxhash64("a")).alias("whole"), F.explode(F.array_append("a", F.lit(""))).alias("term")).select(*keys, "whole", F.xxhash64("term").alias("h"))
     each = each.join(F.broadcast(band) if small else band, "h")
+    # Each rate takes its terms by one part of a second hash, and cuts them into subsets by another.
     mixed = F.xxhash64("h", F.lit(1))
-    slots = [F.when((F.col("term") != "") & (F.pmod(F.shiftright(mixed, 8), F.lit(rate)) == 0), F.lit(k * SLOTS) + F.pmod(mixed, F.lit(SLOTS))) for k, rate in enumerate(RATES)]
-    each = each.select(*keys, "whole", "term", F.explode(F.filter(F.array(*slots, F.when(F.col("term") == "", F.lit(-1).cast("long"))), lambda s: s.isNotNull())).alias("slot"))
-    hashed = each.groupBy(*keys, "slot").agg(F.first("whole").alias("whole"), F.xxhash64(F.array_sort(F.collect_list("term"))).alias("value"))
-    part = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.hex("slot"), 2, "0"), F.substring(F.hex("value"), -5, 5)))
+    one, two, three = (k * SLOTS + F.pmod(mixed, F.lit(SLOTS)).cast("int") for k in range(3))
+    taken = [F.pmod(F.shiftright(mixed, 8), F.lit(rate)) == 0 for rate in RATES]
+    slots = F.when(F.col("h") == none, F.array(F.lit(-1))).when(taken[2], F.array(one, two, three)).when(taken[1], F.array(one, two)).otherwise(F.array(one))
+    each = each.select(*keys, "whole", "h", F.explode(slots).alias("slot"))
+    hashed = each.groupBy(*keys, "slot").agg(F.first("whole").alias("whole"), F.xxhash64(F.array_distinct(F.array_sort(F.collect_list("h")))).alias("value"))
+    part = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.hex("slot"), 2, "0"), F.substring(F.hex("value"), -DIGITS, DIGITS)))
     joined = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"), F.first("whole").alias("whole"))
     alone = F.coalesce(F.concat(F.lit("zz"), F.hex("whole")), F.lit(""))
     return joined.select(*keys, F.lower(F.when(F.size("p") > 0, F.array_join("p", ".")).otherwise(alone)).alias("fingerprint"))
@@ -96,18 +102,20 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
 
     The edited text has its last quarter replaced by the beginning of the next document.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("v"), F.col(id_col).alias("i"), text.alias("t"))
-    band = lexicon(keyed.select("t"), "t", common)
-    ids = cut(_successors(keyed.groupBy("d", "v").agg(F.first(F.length("t")).alias("n"))))
-    # The texts are dealt out by document once; both joins and all grouping below keep to that.
-    docs = keyed.groupBy("d", "v").agg(F.first("i").alias("i"), F.first("t").alias("t"))
+    text, least = F.coalesce(F.col(text_col), F.lit("")), -(2**63)
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("d"), F.xxhash64(text).alias("v"), text.alias("t"))
+    band = lexicon(docs.select("t"), "t", common)
+    ids = cut(_successors(cut(docs.groupBy("d", "v").agg(F.first(F.length("t")).alias("n")))))
+    # The texts are dealt out by document once, with these three columns: both joins and all grouping below keep to that.
     wanted = ids.select(F.col("nd").alias("d"), F.col("nv").alias("v"), F.col("d").alias("pd"), F.col("v").alias("pv"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    tails = docs.join(wanted, ["d", "v"]).select(F.col("pd").alias("d"), F.col("pv").alias("v"), F.expr("substring(t, 1, k)").alias("tail"), "k")
-    edited = docs.join(tails, ["d", "v"]).withColumn("e", F.expr("concat(substring(t, 1, length(t) - k), tail)"))
+    tails = docs.join(wanted.hint("shuffle_hash"), ["d", "v"]).select(F.col("pd").alias("d"), F.col("pv").alias("v"), F.expr("substring(t, 1, k)").alias("tail"), "k")
+    tails = tails.groupBy("d", "v").agg(F.first(F.struct("tail", "k")).alias("x"))
+    edited = docs.join(tails.hint("shuffle_hash"), ["d", "v"]).withColumn("e", F.expr("concat(substring(t, 1, length(t) - x.k), x.tail)"))
     both = edited.select("d", "v", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("t")), F.struct(F.lit(1).alias("w"), F.col("e").alias("t")))).alias("x")).select("d", "v", "x.w", "x.t")
     prints = fingerprints(both, band, ["d", "v", "w"], "t").groupBy("d", "v").agg(F.max(F.when(F.col("w") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("w") == 1, F.col("fingerprint"))).alias("g"))
-    facts = edited.select("d", "v", "i", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
-    told = cut(facts.join(prints, ["d", "v"]).join(ids.select("d", "v", "nd", "nv"), ["d", "v"]))
-    other = told.select(F.col("d").alias("nd"), F.col("v").alias("nv"), F.col("f").alias("nf"))
-    return told.join(other, ["nd", "nv"]).select(F.col("i").alias(id_col), "n_chars", "edited_sha256", F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("nf")).alias("near_next"))
+    facts = edited.select("d", "v", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
+    told = staged(facts.join(prints, ["d", "v"]).join(ids.select("d", "v", "nd", "nv"), ["d", "v"]))
+    before = ids.select(F.col("nd").alias("d"), F.col("nv").alias("v"), F.col("d").alias("pd"), F.col("v").alias("pv"))
+    other = told.select("d", "v", "f").dropDuplicates(["d", "v"]).join(before, ["d", "v"]).select(F.col("pd").alias("d"), F.col("pv").alias("v"), F.col("f").alias("nf"))
+    own = F.when(F.col("d") != least, F.col("d")).cast(df.schema[id_col].dataType)
+    return told.join(other, ["d", "v"]).select(own.alias(id_col), "n_chars", "edited_sha256", F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("nf")).alias("near_next"))

@@ -42,7 +42,7 @@ def label_rank(label: Column) -> Column:
 
 def english_share(text: Column) -> Column:
     """Share of common English words among the words of two letters a-z or more; null without words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{2,}\b"), F.lit(0))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{2,}$"))
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.isin(*ENGLISH))) / F.size(words))
 
 

@@ -6,8 +6,8 @@ sampling draws HASHES samples a text; two texts agree in a sample with the proba
 Samples are banded by ROWS; texts that share a band are candidates and are verified exactly on their whole shingle sets.
 
 Equal texts are one node from the start. In a bucket every text is checked against the bucket's first text, never
-all against all. A bucket whose texts are then still in several components is open: those outside its largest component are checked against
-the others there, after a filter on the samples' agreement. Classes are the connected components of the verified links.
+all against all. A bucket whose texts are then still in several components is open: for some turns those outside its largest component are
+checked against one text of it, another each turn; the few still apart are checked against all others there, after a filter on the samples' agreement. Classes are the connected components of the verified links.
 
 A text of fewer than WORDS words is one shingle; a text without words, null or empty, is alike only to equal texts (null
 equals empty). Rows with a null id take part; a class of which no row has an id has a null class_id. Each row gives one row, repeated
@@ -30,8 +30,10 @@ from tidemark.operators.graph import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
-#: Samples that a pair must agree in to be verified: below it at the least similarity once in 30,000 pairs.
-AGREE = 27
+#: Samples that a pair must agree in to be verified: below it, at the least similarity, once in 1,500 pairs.
+AGREE = 29
+#: Turns in which a bucket's texts are checked against one more text of its largest component, before all are.
+TURNS = 3
 CELLS = 1 << 20
 #: Ids of texts to verify that may be broadcast; beyond, a join finds the texts.
 BROADCAST = 500_000
@@ -178,21 +180,37 @@ def links(docs: DataFrame, nodes: DataFrame, idf, least: float = SIMILARITY) ->
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return cut(similarity(both, idf).where(F.col("similarity") >= least - 1e-9).select("a", "b"))
 
-    stars = members.join(buckets, "key").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").where(_agreement("sa", "sb") >= AGREE)
-    edges = verified(stars.select("a", "b"))
-
-    parts_of = cut(components(edges))
-    placed = members.join(buckets.where("n > 2").select("key"), "key").join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    still = cut(placed.join(sizes, "key").join(samples, "node").select("key", "node", "c", "sig", (F.col("c") != F.col("largest")).alias("minor")))
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), the smaller node first, whose samples agree often enough to be verified."""
+        ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        both = ordered.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b")
+        return both.where(_agreement("sa", "sb") >= AGREE).select("a", "b")
+
+    def open_buckets(edges: DataFrame) -> DataFrame:
+        """Rows (key, node, c, minor) of buckets whose texts are in several components: minor ones are outside the largest."""
+        parts_of = components(edges)
+        placed = cut(members.join(buckets.where("n > 2").select("key"), "key").join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+        sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        return cut(placed.join(sizes, "key").select("key", "node", "c", (F.col("c") != F.col("largest")).alias("minor")))
+
+    # Every text against the first of its bucket.
+    tested = cut(likely(members.join(buckets, "key").select(F.col("rep").alias("x"), F.col("node").alias("y"))))
+    edges = verified(tested)
+    # Then those still apart against one text after another of the bucket's largest component.
+    for turn in range(TURNS):
+        still = open_buckets(edges)
+        pivots = still.where("NOT minor").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("y"))
+        more = cut(likely(still.where("minor").select("key", F.col("node").alias("x")).join(pivots, "key")).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        tested, edges = cut(tested.union(more)), cut(edges.union(verified(more)))
+    # What is still apart is checked in full: two of the smaller components meet once, each of their texts meets all of the largest.
+    still = open_buckets(edges).join(samples, "node")
     left = still.where("minor").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
     right = still.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("sy"), "minor")
-    # Two of the smaller components meet once; each of their texts meets all of the largest.
     apart = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (_agreement("sx", "sy") >= AGREE)
     more = left.join(right, "key").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return edges.union(verified(more))
+    return edges.union(verified(more.join(tested, ["a", "b"], "left_anti")))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -74,7 +74,7 @@ def fetch(spark: SparkSession, requests: list[tuple[int, int]], get_page, schema
 
     from pyspark.sql.types import StructType
 
-    full = StructType.fromDDL(schema).add("_offset", "bigint").add("_error", "string")
+    full = StructType.fromDDL(schema).add("_offset", "long").add("_error", "string")
 
     def aligned(frames):
         for frame in run(frames):

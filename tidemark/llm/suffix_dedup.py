@@ -171,9 +171,10 @@ def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: i
 def _later(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """Sort the suffixes of a whole partition: windows that are not the earliest of their kind, as runs, and the earliest of hot anchors."""
     schema = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    found = [b for b in batches if b.num_rows]
+    if not found:
         return
+    table = pa.Table.from_batches(found)
     column = table.column("s").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)

@@ -49,9 +49,9 @@ def fingerprints(rows: DataFrame, lexicon: DataFrame, keys: list[str], text_col:
     small = lexicon.count() <= BROADCAST
     none = F.xxhash64(F.lit(""))
     band = lexicon.union(rows.sparkSession.range(1).select(none.alias("h")))
-    found = rows.select(*keys, F.array_distinct(terms(F.col(text_col))).alias("a"))
+    found = rows.select(*keys, F.array_distinct(terms(F.col(text_col))).alias("a")).withColumn("whole", F.when(F.size("a") > 0, F.xxhash64("a")))
     # The empty term stands in every row, so that no row is lost in the join.
-    each = found.select(*keys, F.when(F.size("a") > 0, F.xxhash64("a")).alias("whole"), F.explode(F.array_append("a", F.lit(""))).alias("term")).select(*keys, "whole", F.xxhash64("term").alias("h"))
+    each = found.select(*keys, "whole", F.explode(F.array_append("a", F.lit(""))).alias("term")).select(*keys, "whole", F.xxhash64("term").alias("h"))
     each = each.join(F.broadcast(band) if small else band, "h")
     # Each rate takes its terms by one part of a second hash, and cuts them into subsets by another.
     mixed = F.xxhash64("h", F.lit(1))

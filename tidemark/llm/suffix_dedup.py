@@ -135,37 +135,60 @@ def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(taken.tobytes())])
 
 
+STRINGS = "h bigint, n bigint, d bigint, v bigint, at bigint, s binary"
+
+
 def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: int) -> DataFrame:
     """Rows (h, n, d, v, at, s): the bytes under each run of windows whose anchor is repeated."""
-    known = None
-    if n_repeated <= broadcast:
-        found = repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-        keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-        order = np.argsort(keys)
-        known = docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
+    return _found_by_broadcast(docs, repeated) if n_repeated <= broadcast else _found_by_join(docs, repeated)
+
+
+def _found_by_broadcast(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One pass over the texts with all repeated anchors at hand."""
+    found = repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    known = docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        keys, counts = known.value
+        for batch in batches if len(keys) else ():
             d, v = batch[0].to_numpy(), batch[1].to_numpy()
             for first, _, data, starts in parts(batch[2], 1 << 20):
                 w = Windows(data, starts)
-                n = np.zeros(len(w.at), np.int64)
-                take = np.arange(len(w.at))
-                if known is not None:
-                    keys, counts = known.value
-                    if not len(keys):
-                        continue
-                    i = np.minimum(np.searchsorted(keys, w.anchor), len(keys) - 1)
-                    take = np.flatnonzero(keys[i] == w.anchor)
-                    n = counts[i].astype(np.int64)
+                i = np.minimum(np.searchsorted(keys, w.anchor), len(keys) - 1)
+                take = np.flatnonzero(keys[i] == w.anchor)
                 row = w.row[take]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(w.anchor[take].view(np.int64)), pa.array(n[take]), pa.array(d[first + row]), pa.array(v[first + row]),
+                    pa.array(w.anchor[take].view(np.int64)), pa.array(counts[i[take]].astype(np.int64)), pa.array(d[first + row]), pa.array(v[first + row]),
                     pa.array(w.at[take] - starts[row]), _gathered(data, w.at[take], w.count[take] + LENGTH - 1),
                 ], ["h", "n", "d", "v", "at", "s"])
 
-    found = docs.mapInArrow(run, "h bigint, n bigint, d bigint, v bigint, at bigint, s binary")
-    return found if known is not None else found.drop("n").join(repeated, "h")
+    return docs.mapInArrow(run, STRINGS)
+
+
+def _found_by_join(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Anchors' places meet the repeated anchors in a join, then their documents, so that only bytes that are needed travel."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, v = batch[0].to_numpy(), batch[1].to_numpy()
+            for first, _, data, starts in parts(batch[2], 1 << 20):
+                w = Windows(data, starts)
+                yield pa.RecordBatch.from_arrays([pa.array(w.anchor.view(np.int64)), pa.array(d[first + w.row]), pa.array(v[first + w.row]), pa.array(w.at - starts[w.row]), pa.array(w.count)], ["h", "d", "v", "at", "c"])
+
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = batch.column("x")[k].values
+                h, n, at, c = (x.field(name).to_numpy() for name in ("h", "n", "at", "c"))
+                data = np.frombuffer(batch.column("t")[k].as_py().encode(), np.uint8)
+                same = lambda name, k=k, m=len(h): pa.array(np.full(m, batch.column(name)[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), same("d"), same("v"), pa.array(at), _gathered(data, at, c + LENGTH - 1)], ["h", "n", "d", "v", "at", "s"])
+
+    hits = docs.mapInArrow(places, "h bigint, d bigint, v bigint, at bigint, c bigint").join(repeated, "h")
+    by_text = hits.groupBy("d", "v").agg(F.collect_list(F.struct("h", "n", "at", "c")).alias("x"))
+    return docs.join(by_text, ["d", "v"]).mapInArrow(bytes_of, STRINGS)
 
 
 def _later(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:

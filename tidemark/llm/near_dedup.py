@@ -32,8 +32,8 @@ ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
 #: Samples that a pair must agree in to be verified: below it, at the least similarity, once in 1,500 pairs.
 AGREE = 29
-#: Turns in which a bucket's texts are checked against one more text of its largest component, before all are.
-TURNS = 3
+#: Turns in which a bucket's texts are checked against one more text of its largest component (each band another), before all are.
+TURNS = 1
 CELLS = 1 << 20
 #: Ids of texts to verify that may be broadcast; beyond, a join finds the texts.
 BROADCAST = 500_000

@@ -59,7 +59,7 @@ def is_references_page(text: Column, lines: int = 5) -> Column:
 def is_figure_ref(name: Column) -> Column:
     """Whether every part of a name ('Table 1 and Figure 2') refers to a table or figure."""
     one = "(?i)^(" + "|".join(FIGURES) + r"|fig)s?\s+[a-z0-9_\-\.\/]+$|^(" + "|".join(FIGURES) + r")\s+[\w\s.]+$"
-    pieces = F.filter(F.transform(F.split(name, r"(?i)\s+and\s+|\s+or\s+|,"), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(name, r"(?i)\s+and\s+|\s+or\s+|,"), lambda p: F.trim(p)), lambda p: p != "")
     return (F.size(pieces) > 0) & F.forall(pieces, lambda p: p.rlike(one))
 
 

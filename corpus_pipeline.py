@@ -20,8 +20,8 @@ LEAST_SCORE = 0.5
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column, beside the text that an operator reads."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """Whole rows as one column, in which an operator finds the text."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

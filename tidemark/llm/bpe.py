@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import carried
+
 #: How byte-level BPE vocabularies cut text into pieces (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker remembers; beyond this it starts afresh.
@@ -178,7 +180,7 @@ def _spec(df: DataFrame, vocabulary: str):
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
     """Rows (id_col, ids array of int) with the ids of each whole text; with check, lossless: they decode to the text."""
     key, spec = _spec(df, vocabulary)
-    src = df.select(id_col, text_col)
+    src, texts_of = carried(df, id_col, text_col)
     names = [id_col, "ids", *["lossless"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts = [t or "" for t in part[1].to_pylist()]
+                texts = [t or "" for t in texts_of(part).to_pylist()]
                 ids = [np.frombuffer(b"".join([c[0] for c in bpe.codes(t)]), np.int32) for t in texts]
                 columns = [part[0], pa.array(ids, pa.list_(pa.int32()))]
                 if check:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import cut, shared_dir, staged  # noqa: F401
 
@@ -21,6 +22,18 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def carried(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """The columns that go to Python, and how a batch gives its texts there.
+
+    Where the id column is a struct that holds the text, whole rows are carried by it and the text doesn't travel twice.
+    """
+    kind = df.schema[id_col].dataType
+    if isinstance(kind, StructType) and text_col in kind.names:
+        at = kind.names.index(text_col)
+        return df.select(id_col), lambda batch: pc.struct_field(batch[0], [at])
+    return df.select(id_col, text_col), lambda batch: batch[1]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and where each row starts in them; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

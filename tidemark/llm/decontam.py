@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, cut, mix, parts
+from tidemark.llm.common import Rolling, carried, cut, mix, parts
 
 WINDOW, SHINGLE = 10, 3
 #: Windows of a block.
@@ -154,8 +154,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     windows = cut(benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).mapInArrow(_windows, "item string, words array<bigint>"))
     blocks = max(1, -(-windows.count() // block_windows))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    state = found.withColumns({"n": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    src, texts_of = carried(docs, id_col, text_col)
+    whole = len(src.columns) == 1
+    state = src.toDF("id") if whole else src.toDF("id", "t")
+    found = state.select(F.col("id").getField(text_col).alias("t")) if whole else state.select("t")
+    state = state.withColumns({"n": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for b in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toArrow().to_pandas()
         block = Block(list(mine["item"]), [np.array(w, np.int64).view(np.uint64) for w in mine["words"]])
@@ -165,17 +168,20 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                counts, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                for at, _, data, starts in parts(batch.column("t")):
+                for at, end, data, starts in parts(texts_of(batch)):
+                    mine = batch.slice(at, end - at)
+                    spans, items = mine.column("spans").to_pylist(), mine.column("items").to_pylist()
                     word, first = words(data, starts)
-                    counts.append(np.diff(first))
                     for r, s, w in zip(*(x.tolist() for x in block.hits(word, first)), strict=True):
-                        spans[at + r] += [s - int(first[r]), s - int(first[r]) + int(block.size[w])]
-                        items[at + r] += block.items[w]
-                columns = [batch.column("id"), pa.nulls(batch.num_rows, pa.string()) if last else batch.column("t"), pa.array(np.concatenate([*counts, np.zeros(0, np.int64)])), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n", "spans", "items"])
-
-        state = state.mapInArrow(run, f"id {kind}, t string, n bigint, spans array<int>, items array<string>")
+                        spans[r] += [s - int(first[r]), s - int(first[r]) + int(block.size[w])]
+                        items[r] += block.items[w]
+                    done = [mine.column("id"), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
+                    if whole:
+                        yield pa.RecordBatch.from_arrays(done, ["id", "n", "spans", "items"])
+                    else:  # the texts are needed up to the last block
+                        yield pa.RecordBatch.from_arrays([done[0], pa.nulls(end - at, pa.string()) if last else mine.column("t"), *done[1:]], ["id", "t", "n", "spans", "items"])
+
+        state = state.mapInArrow(run, f"id {kind}, {'' if whole else 't string, '}n bigint, spans array<int>, items array<string>")
     return state.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "spans", "items")
 
 

@@ -18,19 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, staged
+from tidemark.llm.common import carried, fold, staged
 
 #: Training documents of a language, about.
 PER_LANGUAGE = 1000
 #: Rounds of expectation-maximisation, count added to each piece, and letters of the longest piece in use.
 ROUNDS, ADDED, LONGEST = 3, 0.05, 10
 #: Words whose probabilities a worker remembers, and bytes of text handled at once.
-CACHE, CHUNK = 400_000, 2 << 20
+CACHE, CHUNK = 250_000, 1 << 20
 #: Words are scored in stretches of so many letters at most, so that no probability underflows.
 STRETCH = 48
 LETTERS = regex.compile(r"\p{L}+")
@@ -203,22 +204,22 @@ def train(df: DataFrame, vocabulary: str, learn: Column, text_col: str = "text",
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, lang_pred, score): the likeliest language of each whole text and its share of the likelihoods."""
-    src = df.select(id_col, text_col)
+    src, texts_of = carried(df, id_col, text_col)
     # The model has one number a piece and language, whatever the size of the corpus.
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores, held, size = [], [], [], 0
-            for value in batch[1]:
-                held.append(value.as_py())
-                size += len(held[-1] or "")
-                if size >= CHUNK:
-                    a, b = model.predict(held)
-                    names, scores, held, size = names + a, scores + b, [], 0
-            a, b = model.predict(held)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(names + a, pa.string()), pa.array(scores + b, pa.float64())], [id_col, "lang_pred", "score"])
+            texts = texts_of(batch)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                end = min(batch.num_rows, max(at + 1, int(np.searchsorted(sizes, before + CHUNK, "right"))))
+                names, scores = model.predict(texts.slice(at, end - at).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch[0].slice(at, end - at), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+                at = end
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double")
 

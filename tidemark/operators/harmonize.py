@@ -33,8 +33,8 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, gram, weight): count times ln((1 + n) / (1 + df)) + 1, of length 1 for each key."""
     tf = df.select(F.col(key).alias("key"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("tf"))
-    n = df.select(F.count_distinct(key).alias("n"))
-    idf = tf.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
+    n = df.select(F.count_distinct(key).alias("n")).first().n
+    idf = tf.groupBy("gram").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     raw = tf.join(idf, "gram").select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     length = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return raw.join(length, "key").select("key", "gram", (F.col("w") / F.col("len")).alias("weight"))

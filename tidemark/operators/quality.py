@@ -24,11 +24,10 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int = 20) -> DataFrame:
     """Share of rows in equal-width bins from the least to the most value; the last bin has its upper border."""
     rows = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
-    borders = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
-    placed = rows.crossJoin(F.broadcast(borders))  # one row
-    step = (F.col("hi") - F.col("lo")) / bins
-    bin_of = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / step)))
-    return placed.groupBy(bin_of.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.count("*") / F.first("total"), 9).alias("share"))
+    borders = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total")).first()
+    lo, hi = (F.lit(x).cast("double") for x in (borders.lo, borders.hi))
+    bin_of = F.when(hi == lo, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / ((hi - lo) / bins))))
+    return rows.groupBy(bin_of.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.count("*") / borders.total, 9).alias("share"))
 
 
 def completeness(required: list[str]) -> Column:

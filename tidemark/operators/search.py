@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.vectors import dequantize, dot, l2_normalize, min_max, quantize
 from tidemark.session import cut
@@ -64,10 +65,20 @@ def centroids_by_label(items: DataFrame, label: str, vec_col: str = "embedding")
 
 
 def assign(items: DataFrame, centroids: DataFrame, label: str, vec_col: str = "embedding") -> DataFrame:
-    """The centroid with the highest dot product for each item; few centroids, broadcast."""
-    pairs = items.crossJoin(F.broadcast(centroids.withColumnRenamed(label, "_c")))  # as many rows an item as there are centroids, see kmeans()
-    best = F.max_by("_c", F.struct(F.round(dot(F.col(vec_col), F.col("centroid")), 9), -F.col("_c")))
-    return pairs.groupBy(*[c for c in items.columns if c != vec_col]).agg(best.alias("assigned"))
+    """The label of the centroid with the highest dot product for each item, the lower label in a tie. One centroid a label is broadcast."""
+    got = centroids.orderBy(label).toArrow().combine_chunks()
+    names = got.column(label).to_numpy()
+    shared = items.sparkSession.sparkContext.broadcast((names, np.array(got.column("centroid").to_pylist(), float)))
+    others = [c for c in items.columns if c != vec_col]
+    kind = centroids.schema[label].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = shared.value
+        for batch in batches:
+            best = names[np.argmax(np.round(_matrix(batch.column(vec_col)) @ c.T, 9), axis=1)] if batch.num_rows else names[:0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(o) for o in others), pa.array(best)], [*others, "assigned"])
+
+    return items.mapInArrow(run, StructType([items.schema[c] for c in others]).add("assigned", kind))
 
 
 def ivf(items: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 10, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> DataFrame:

@@ -174,4 +174,9 @@ ORACLE = {
     "group_ids": "SELECT p_partkey, left(trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', '_', 'g'), '_') || '_' || CASE WHEN p_partkey > 9999 THEN left(CAST(p_partkey AS VARCHAR), 4) ELSE lpad(CAST(p_partkey AS VARCHAR), 4, '0') END, 128) AS vgid FROM part",
     "dates": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "footnote_split": "SELECT doc_id, 1 AS n_notes, 'First source' AS first, CAST(length(text) + 5 AS INTEGER) AS body_chars FROM documents",
+    "name_similarity": """WITH names AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), w AS (SELECT name, unnest(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM names),
+n AS (SELECT name, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM w), k AS (SELECT name, p, n, unnest(range(1, 1 + greatest(1, length(p) - n + 1))) AS k FROM n WHERE n = 3 OR length(p) >= n),
+tf AS (SELECT name, substr(p, k, n) AS gram, count(*) AS tf FROM k GROUP BY 1, 2), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+raw AS (SELECT name, gram, tf * idf AS x FROM tf JOIN idf USING (gram)), u AS (SELECT name, gram, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM raw)
+SELECT a.name AS a, b.name AS b, round(sum(a.x * b.x), 6) AS similarity FROM u a JOIN u b ON a.gram = b.gram AND a.name < b.name GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.6""",
 }

@@ -305,11 +305,16 @@ def test_chat_round_trip(spark):
     assert chatformat.digests(df.limit(0)).count() == 0
 
 
-def test_chat_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
-    want = con.execute(catalog.oracle_sql()["op9_chat_format"]).fetchall()
-    assert sorted(map(tuple, catalog.queries()["op9_chat_format"](spark, data).collect())) == sorted(want)
+    for t in ("conversations", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = catalog.queries()[name](spark, data)
+    result = con.execute(catalog.oracle_sql()[name])
+    names = [x[0] for x in result.description]
+    want = [tuple(row[names.index(c)] for c in got.columns) for row in result.fetchall()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 # 10

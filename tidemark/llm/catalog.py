@@ -77,5 +77,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: DuckDB SQL of repeated 100-byte strings, on the texts' bytes in hexadecimal.
+REPEATS = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 99)) AS i, x FROM t WHERE length(x) >= 200),
+h AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS h FROM p),
+f AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+m AS (SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR before < i THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, g),
+n AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM s),
+k AS (SELECT t.doc_id, count(a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed, any_value(x) AS x, coalesce(string_agg(substr(x, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a), '') || substr(any_value(x), 2 * coalesce(max(b), 0) + 1) AS kept FROM t LEFT JOIN n ON t.doc_id = n.doc_id GROUP BY t.doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""
+
+#: DuckDB SQL of benchmark windows in documents.
+CONTAMINATION = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT item, w, unnest(range(1, 1 + greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i : i + 9], ' ') AS g FROM v),
+p AS (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win)),
+hit AS (SELECT id, i, p.size, item FROM p JOIN win ON p.size = win.size AND array_to_string(w[i : i + p.size - 1], ' ') = g),
+words AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY 1),
+items AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hit) GROUP BY 1)
+SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.id = words.id LEFT JOIN items ON d.id = items.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chatformat.ORACLE}
+    return {"op3_suffix_array_dedup": REPEATS, "op6_prefix_filtered_decontamination": CONTAMINATION, "op9_chat_format": chatformat.ORACLE}

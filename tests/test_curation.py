@@ -46,8 +46,8 @@ def test_acronyms(spark):
     lists = [value(spark, cu.listed_acronyms(F.lit(t))) for t in ('["A", "B"]', "['A', 'B']", "A; B", None)]
     assert lists == [["A", "B"]] * 3 + [None]
     pick = lambda name, *a: value(spark, cu.plausible_acronym(F.lit(name), F.array(*map(F.lit, a))))
-    assert pick("World Development Indicators", "X", "WDI") == "WDI"
-    assert pick("World Development Indicators", "none", "WDX", "QQQ") == "WDX" and pick("Name", "foo", "bar") == "foo"
+    assert pick("Global Growth Indicators", "X", "GGI") == "GGI"
+    assert pick("Global Growth Indicators", "none", "GGX", "QQQ") == "GGX" and pick("Name", "foo", "bar") == "foo"
     assert value(spark, cu.is_subsequence_acronym(F.lit("DHS"), F.lit("Demographic Health Survey"))) is True
     assert value(spark, cu.is_subsequence_acronym(F.lit("D-S"), F.lit("D-S"))) is False
 

@@ -100,14 +100,14 @@ def test_name_rules(spark, name, keep):
 
 
 def test_text_functions(spark):
-    assert value(spark, tx.clean_text(F.lit(" World Data (WD). "))) == "World Data (WD"
+    assert value(spark, tx.clean_text(F.lit(" Global Data (GD). "))) == "Global Data (GD"
     assert value(spark, tx.is_english(F.lit("This is an analysis of the data."))) is True
     assert value(spark, tx.is_english(F.lit("Esto es un análisis."))) is False
     assert value(spark, tx.is_english(F.lit(None).cast("string"))) is False
     assert value(spark, tx.is_references_page(F.lit("\n References \n1. A"))) is True
     assert value(spark, tx.is_references_page(F.lit("See references below"))) is False
-    assert value(spark, tx.is_acronym_of(F.lit("WD"), F.lit("World Development Indicators"))) is True
-    assert value(spark, tx.is_acronym_of(F.lit("ABC"), F.lit("World Bank Data"))) is False
+    assert value(spark, tx.is_acronym_of(F.lit("GG"), F.lit("Global Growth Indicators"))) is True
+    assert value(spark, tx.is_acronym_of(F.lit("ABC"), F.lit("Global Trade Data"))) is False
     assert value(spark, tx.strip_numbers_years(F.lit("Survey of 1999 III of"))) == "Survey of"
     assert value(spark, tx.hash_thousandth(F.lit("a"))) == 497
     assert [str(value(spark, tx.flexible_date(F.lit(t)))) for t in ("1948-Q2", "20 Aug 2019", "2001/02/03", "no")] == ["1948-04-01", "2019-08-20", "2001-02-03", "None"]

@@ -55,7 +55,7 @@ def acronym_fields(spark, d):
 
 
 def title_names(spark, d):
-    return table(spark, d, "part").select("p_partkey", cu.title_case(F.concat_ws(" of THE ", "p_name", F.lit("WDI"), F.lower("p_type"))).alias("title"))
+    return table(spark, d, "part").select("p_partkey", cu.title_case(F.concat_ws(" of THE ", "p_name", F.lit("GGI"), F.lower("p_type"))).alias("title"))
 
 
 def detected_forms(spark, d):
@@ -137,7 +137,7 @@ ORACLE = {
     "merged_spans": "SELECT l_orderkey, l_returnflag, min(l_linenumber) * 10 AS s, min(l_linenumber) * 10 + 5 AS e, max(l_discount) AS l_discount, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "best_at_span": "SELECT l_partkey, l_returnflag, l_quantity AS quantity, l_discount AS discount FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_quantity DESC, l_discount DESC, l_orderkey * 10 + l_linenumber) = 1",
     "smart_batches": "WITH s AS (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_returnflag, n <= 12 ORDER BY n DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY l_returnflag, n <= 12 ORDER BY n DESC, l_partkey) AS k FROM s) SELECT l_returnflag, CASE WHEN n <= 12 THEN 's' || CAST(CAST(floor(before / 30) AS BIGINT) AS VARCHAR) ELSE 'l' || k END AS batch, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters FROM r GROUP BY 1, 2",
-    "title_names": "WITH w AS (SELECT p_partkey, string_split(p_name || ' of THE WDI of THE ' || lower(p_type), ' ') AS w FROM part) SELECT p_partkey, array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_full_match(x, '[A-Z0-9]{2,6}') THEN x WHEN i > 1 AND lower(x) IN ('of', 'the', 'and', 'for', 'in', 'on', 'at', 'to', 'by', 'a', 'an') THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') AS title FROM w",
+    "title_names": "WITH w AS (SELECT p_partkey, string_split(p_name || ' of THE GGI of THE ' || lower(p_type), ' ') AS w FROM part) SELECT p_partkey, array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_full_match(x, '[A-Z0-9]{2,6}') THEN x WHEN i > 1 AND lower(x) IN ('of', 'the', 'and', 'for', 'in', 'on', 'at', 'to', 'by', 'a', 'an') THEN lower(x) ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') AS title FROM w",
     "detected_forms": r"WITH t AS (SELECT c_custkey, ' survey of ' || lower(replace(n_name, '_', ' ')) || CASE WHEN c_custkey % 2 = 0 THEN ' nation 3 ' ELSE ' ' END || CASE WHEN c_custkey % 5 = 0 THEN 'x ' ELSE '' END AS t FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT t.c_custkey, arg_min(n_name, n_nationkey) AS detected FROM t JOIN nation ON contains(t.t, ' ' || lower(replace(n_name, '_', ' ')) || ' ') GROUP BY 1) SELECT t.c_custkey, detected FROM t LEFT JOIN f USING (c_custkey)",
     "offline_queries": "SELECT o_orderkey, o_orderpriority || CASE WHEN o_custkey % 2 = 0 THEN '|' || o_orderpriority || ' in Asia' ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN '|' || o_orderpriority || ' ' || year(o_orderdate) ELSE '' END AS queries FROM orders",
     "judged_rankings": f"WITH {_BM25.format(k=10)}, j AS (SELECT query_id, least(3, round_even(4.0 * len(list_intersect({_WORDS.format(x='b.text')}, {_WORDS.format(x='d.text')})) / greatest(len({_WORDS.format(x='b.text')}), 1), 0)) AS j FROM bm JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id), m AS (SELECT query_id, avg(j) AS m FROM j GROUP BY 1) SELECT count(*) AS n_queries, round(avg(m), 6) AS judged FROM m",

@@ -7,7 +7,8 @@ Samples are banded by ROWS; texts that share a band are candidates and are verif
 
 Equal texts are one node from the start. In a bucket every text is checked against the bucket's first text, never
 all against all. A bucket whose texts are then still in several components is open: for some turns those outside its largest component are
-checked against one text of it, another each turn; the few still apart are checked against all others there, after a filter on the samples' agreement. Classes are the connected components of the verified links.
+checked against one text of it, another each turn; those still apart are checked
+against all others there that they can be alike to: by a bound from the weight of shingles that no other such text has, and by the samples' agreement. Classes are the connected components of the verified links.
 
 A text of fewer than WORDS words is one shingle; a text without words, null or empty, is alike only to equal texts (null
 equals empty). Rows with a null id take part; a class of which no row has an id has a null class_id. Each row gives one row, repeated
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, parts, staged
+from tidemark.llm.common import cut, mix, parts, staged, utf8
 from tidemark.llm.decontam import shingles, words
 from tidemark.operators.graph import components
 
@@ -35,6 +36,8 @@ AGREE = 29
 #: Turns in which a bucket's texts are checked against one more text of its largest component (each band another), before all are.
 TURNS = 1
 CELLS = 1 << 20
+#: Texts on either side of a block in which what is still apart is checked.
+PAIRED = 256
 #: Ids of texts to verify that may be broadcast; beyond, a join finds the texts.
 BROADCAST = 500_000
 #: Shingles sampled at once, so that the arrays stay in the cache.
@@ -160,6 +163,47 @@ def similarity(pairs: DataFrame, idf) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def shared_weights(texts: DataFrame, idf) -> DataFrame:
+    """Rows (node, total, shared) for texts (node, t): the weight of a text's shingles, and of those that another of the texts has too.
+
+    What two texts share is at most the lesser of their shared weights, which bounds their similarity before any pair is made.
+    A task passes on a shingle that it meets several times once, so a frequent shingle is as many rows as there are tasks.
+    """
+    names = ["token", "node", "total", "shared", "n"]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch[0].to_numpy()
+            for at, end, data, starts in parts(batch[1]):
+                row, token, weight = weighted(data, starts, idf.value)
+                _, first, which, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+                many = count[which] > 1
+                total, shared = (np.bincount(row, w, end - at) for w in (weight, weight * many))
+                mine, marks = node[at:end], token[first[count > 1]].view(np.int64)
+                alone = token[~many].view(np.int64)
+                k, m, n = len(mine), len(marks), len(alone)
+                zero = np.zeros
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([mine, marks, alone])), pa.array(np.concatenate([mine, zero(m, np.int64), node[at + row[~many]]])), pa.array(np.concatenate([total, zero(m), zero(n)])),
+                    pa.array(np.concatenate([shared, zero(m), weight[~many]])), pa.array(np.concatenate([zero(k, np.int8), np.full(m, 2, np.int8), np.ones(n, np.int8)])),
+                ], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        token, node, total, shared, n = (table.column(c).to_numpy() for c in names)
+        told = n == 0
+        _, which = np.unique(token[~told], return_inverse=True)
+        again = np.bincount(which, n[~told])[which] > 1 if len(which) else np.zeros(0, bool)
+        again &= n[~told] == 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[told], node[~told][again]])), pa.array(np.concatenate([total[told], np.zeros(again.sum())])), pa.array(np.concatenate([shared[told], shared[~told][again]]))], ["node", "total", "shared"])
+
+    made = texts.select("node", "t").mapInArrow(local, "token bigint, node bigint, total double, shared double, n tinyint")
+    return made.repartition("token").mapInArrow(meet, "node bigint, total double, shared double").groupBy("node").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
+
+
 def _agreement(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
@@ -170,13 +214,16 @@ def links(docs: DataFrame, nodes: DataFrame, idf, least: float = SIMILARITY) ->
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"))
     samples = nodes.where(F.col("sig").isNotNull()).select("node", "sig")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """Rows (node, t) of the nodes needed, which must be distinct."""
         small = needed.count() <= BROADCAST
         wanted = nodes.join(needed, "node").select("node", F.coalesce("d", F.lit(-(2**63))).alias("d"), "m")
         keyed = docs.select(F.coalesce("d", F.lit(-(2**63))).alias("d"), "m", "t")
-        texts = keyed.join(F.broadcast(wanted) if small else wanted, ["d", "m"]).groupBy("node").agg(F.first("t").alias("t"))
+        return keyed.join(F.broadcast(wanted) if small else wanted, ["d", "m"]).groupBy("node").agg(F.first("t").alias("t"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return cut(similarity(both, idf).where(F.col("similarity") >= least - 1e-9).select("a", "b"))
 
@@ -205,12 +252,51 @@ def links(docs: DataFrame, nodes: DataFrame, idf, least: float = SIMILARITY) ->
             break
         tested, edges = cut(tested.union(more)), cut(edges.union(verified(more)))
     # What is still apart is checked in full: two of the smaller components meet once, each of their texts meets all of the largest.
-    still = open_buckets(edges).join(samples, "node")
-    left = still.where("minor").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
-    right = still.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("sy"), "minor")
-    apart = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (_agreement("sx", "sy") >= AGREE)
-    more = left.join(right, "key").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return edges.union(verified(more.join(tested, ["a", "b"], "left_anti")))
+    # Within a bucket those outside its largest component meet the others block by block; only links come out.
+    still = open_buckets(edges)
+    texts = cut(texts_of(still.select("node").distinct()))
+    weights = shared_weights(texts, idf).where(F.col("shared") >= (least - 1e-6) * F.col("total"))
+    facts = weights.join(samples, "node").join(texts, "node")
+    kept = still.join(weights.select("node"), "node", "left_semi")
+    sizes = kept.groupBy("key").agg(F.ceil(F.count_if("minor") / PAIRED).cast("int").alias("nx"), F.ceil(F.count("*") / PAIRED).cast("int").alias("ny")).where("nx > 0")
+    placed = kept.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    mine, other = F.pmod("h", F.col("nx")).cast("int"), F.pmod("h", F.col("ny")).cast("int")
+    left = placed.where("minor").select("key", "node", "c", "minor", F.lit(True).alias("left"), mine.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
+    right = placed.select("key", "node", "c", "minor", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), other.alias("y"))
+    blocks = left.unionByName(right).join(facts, "node")
+    found = blocks.groupBy("key", "x", "y").applyInArrow(lambda table: _block_links(table, idf.value, least), "a bigint, b bigint").distinct()
+    return edges.union(cut(found))
+
+
+def _block_links(table: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
+    """Links between the left and the right texts of a block: by components, bound and samples first, then exactly."""
+    node, part, minor, left, total, shared = (table.column(c).to_numpy() for c in ("node", "c", "minor", "left", "total", "shared"))
+    sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(len(node), HASHES)
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    both = np.minimum(shared[x][:, None], shared[y][None])
+    may = (part[x][:, None] != part[y][None]) & (~minor[y][None] | (node[x][:, None] < node[y][None])) & (both >= (least - 1e-6) * (total[x][:, None] + total[y][None] - both))
+    if may.any():
+        agree = np.zeros(may.shape, np.int16)
+        for k in range(HASHES):
+            agree += sig[x, k][:, None] == sig[y, k][None]
+        may &= agree >= AGREE
+    a, b = [], []
+    if may.any():
+        data, starts = utf8(table.column("t").combine_chunks())
+        row, token, weight = weighted(data[starts[0] : starts[-1]], starts - starts[0], idf)
+        first = np.searchsorted(row, np.arange(len(node) + 1))
+        sums = np.bincount(row, weight, len(node))
+        for i in np.flatnonzero(may.any(axis=1)):
+            mine, w = token[first[x[i]] : first[x[i] + 1]], weight[first[x[i]] : first[x[i] + 1]]
+            for j in np.flatnonzero(may[i]):
+                its, v = token[first[y[j]] : first[y[j] + 1]], weight[first[y[j]] : first[y[j] + 1]]
+                at = np.minimum(np.searchsorted(mine, its), len(mine) - 1)
+                same = mine[at] == its
+                common = np.minimum(w[at[same]], v[same]).sum()
+                if common >= (least - 1e-9) * (sums[x[i]] + sums[y[j]] - common):
+                    a.append(min(node[x[i]], node[y[j]]))
+                    b.append(max(node[x[i]], node[y[j]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

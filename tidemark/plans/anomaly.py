@@ -99,7 +99,7 @@ def _explainers(spark, d):
 
 
 EXPLAINERS_SQL = """
-a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'data_error' WHEN quality = 1 THEN 'real_event' ELSE 'unknown' END AS classification, 0.5 + 0.5 * quality AS confidence FROM labels),
+a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'data_error' WHEN quality = 1 THEN 'real_event' ELSE 'unknown' END AS classification, CAST(0.5 + 0.5 * quality AS DOUBLE) AS confidence FROM labels),
 b AS (SELECT doc_id, CASE WHEN n_chars > 4000 THEN 'data_error' WHEN n_chars > 800 THEN 'real_event' ELSE 'unknown' END AS classification, least(1.0, CAST(n_chars AS DOUBLE) / 8000) AS confidence FROM documents WHERE n_chars > 200)"""
 
 

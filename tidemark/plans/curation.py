@@ -145,7 +145,7 @@ ORACLE = {
     "merged_pages": "SELECT l_orderkey, string_agg(l_linenumber, ',' ORDER BY l_returnflag, l_linenumber) AS objects FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1",
     "batch_consistency": "SELECT true AS year, count(DISTINCT o_orderstatus) <= 1 AS o_orderstatus, count(DISTINCT o_orderpriority) <= 1 AS o_orderpriority FROM orders",
     "cluster_representatives": f"WITH {_UNIT}, v AS (SELECT vec_id, label, list_transform(e, lambda x: x / n) AS v FROM u), m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM v) GROUP BY 1, 2) GROUP BY 1), s AS (SELECT v.label, vec_id, round(list_cosine_similarity(v, m), 9) AS s FROM v JOIN m ON v.label = m.label) SELECT label, arg_min(vec_id, (-s, vec_id)) AS vec_id, count(*) AS n FROM s GROUP BY 1",
-    "review_export": f"WITH {RANGES_SQL} SELECT w.indicator_id, w.geography_id, window_start, window_end, CAST(count(*) AS INTEGER) AS n_points, CASE WHEN window_start % 2 = 0 THEN 1 ELSE 0 END AS n_explainers, CASE WHEN window_start % 2 = 0 THEN 0.0 END AS confidence FROM windows w JOIN series s ON w.indicator_id = s.indicator_id AND w.geography_id = s.geography_id AND period BETWEEN window_start - 5 AND window_end + 5 GROUP BY 1, 2, 3, 4",
+    "review_export": f"WITH {RANGES_SQL} SELECT w.indicator_id, w.geography_id, window_start, window_end, CAST(count(*) AS INTEGER) AS n_points, CASE WHEN window_start % 2 = 0 THEN 1 ELSE 0 END AS n_explainers, CASE WHEN window_start % 2 = 0 THEN CAST(0.0 AS DOUBLE) END AS confidence FROM windows w JOIN series s ON w.indicator_id = s.indicator_id AND w.geography_id = s.geography_id AND period BETWEEN window_start - 5 AND window_end + 5 GROUP BY 1, 2, 3, 4",
     "mapped_documents": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS idno, o_orderpriority || ', ' || o_orderstatus AS topics, CAST(NULL AS VARCHAR) AS none, 'extra,status' AS rest FROM orders",
     "token_budget_parts": "WITH RECURSIVE l AS (SELECT l_orderkey, CAST(10 + l_quantity AS INTEGER) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(10 + l_quantity AS INTEGER)) AS k FROM lineitem), r AS (SELECT l_orderkey, k, t, t AS s, 0 AS part FROM l WHERE k = 1 UNION ALL SELECT l.l_orderkey, l.k, l.t, CASE WHEN r.s + l.t > 60 THEN l.t ELSE r.s + l.t END, CASE WHEN r.s + l.t > 60 THEN r.part + 1 ELSE r.part END FROM r JOIN l ON l.l_orderkey = r.l_orderkey AND l.k = r.k + 1) SELECT l_orderkey, part, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n FROM r GROUP BY 1, 2",
 }

@@ -172,7 +172,7 @@ ORACLE = {
     "l2_normalize": f"WITH {_UNIT} SELECT vec_id, round(n, 5) AS norm, round(list_sum(list_transform(e, lambda x: abs(x / n))), 5) AS l1 FROM u",
     "sq8_quantize": "WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) / 127 AS s FROM embeddings) SELECT vec_id, round(s, 9) AS scale, array_to_string(list_transform(e, lambda x: CAST(least(127, greatest(-127, round_even(x / s, 0))) AS INTEGER)), ',') AS qv FROM q",
     "sq8_quality": f"WITH {_UNIT}, v AS (SELECT list_transform(e, lambda x: x / n) AS v FROM u), q AS (SELECT v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM v), r AS (SELECT v, list_transform(v, lambda x: s * round_even(x / s, 0)) AS b FROM q), c AS (SELECT list_dot_product(v, b) / sqrt(list_dot_product(v, v) * list_dot_product(b, b)) AS c FROM r) SELECT round(min(c), 6) AS least, round(avg(c), 6) AS mean FROM c",
-    "vector_truncation": f"WITH {_UNIT} SELECT vec_id, 1.0 AS cosine, round(list_dot_product(e[1:32], e[1:32]) / (n * n), 6) AS kept FROM u",
+    "vector_truncation": f"WITH {_UNIT} SELECT vec_id, CAST(1.0 AS DOUBLE) AS cosine, round(list_dot_product(e[1:32], e[1:32]) / (n * n), 6) AS kept FROM u",
     "knn_exact": f"WITH {_KNN.format(where=_Q20, k=10)} SELECT query_id, rank, id, round(sim, 6) AS sim FROM knn",
     "centroid_assign": "WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label AS c, list(x ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2) GROUP BY 1), r AS (SELECT vec_id, label, c, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 9) AS s FROM embeddings, c), b AS (SELECT label, c AS assigned FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) = 1) SELECT label, assigned, count(*) AS n FROM b GROUP BY 1, 2",
     "bm25_topk": f"WITH {_BM25.format(k=10)} SELECT query_id, rank, id, score FROM bm",

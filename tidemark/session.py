@@ -47,9 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; its lineage ends there, so a lost executor costs nothing."""
+    """df computed once and kept in the shared folder; its lineage ends there, so a lost executor costs nothing.
+
+    It is read in a few partitions a core, so that small results don't go through later shuffles as many tiny files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint().coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def staged(df: DataFrame) -> DataFrame:

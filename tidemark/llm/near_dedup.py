@@ -198,7 +198,10 @@ def shared_weights(texts: DataFrame, idf) -> DataFrame:
         _, which = np.unique(token[~told], return_inverse=True)
         again = np.bincount(which, n[~told])[which] > 1 if len(which) else np.zeros(0, bool)
         again &= n[~told] == 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[told], node[~told][again]])), pa.array(np.concatenate([total[told], np.zeros(again.sum())])), pa.array(np.concatenate([shared[told], shared[~told][again]]))], ["node", "total", "shared"])
+        add = np.where(told, shared, 0.0)
+        add[np.flatnonzero(~told)[again]] = shared[~told][again]
+        own, which = np.unique(node, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(which, total, len(own))), pa.array(np.bincount(which, add, len(own)))], ["node", "total", "shared"])
 
     made = texts.select("node", "t").mapInArrow(local, "token bigint, node bigint, total double, shared double, n tinyint")
     return made.repartition("token").mapInArrow(meet, "node bigint, total double, shared double").groupBy("node").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))

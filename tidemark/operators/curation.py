@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.text import clean_text, initials, squeeze
 from tidemark.functions.vectors import cosine, l2_normalize
@@ -110,17 +111,13 @@ def chunks(text: str | None, size: int = 200, overlap: int = 50) -> list[tuple[i
 
 def with_chunks(df: DataFrame, text: str = "text", size: int = 200, overlap: int = 50) -> DataFrame:
     """One row for each chunk, with chunk, offset and chunk_text."""
-    others = [f for f in df.schema]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["_c"] = [list(enumerate(chunks(t, size, overlap))) for t in frame[text]]
             rows = frame.explode("_c")
             yield rows.assign(chunk=[c[0] for c in rows["_c"]], offset=[c[1][0] for c in rows["_c"]], chunk_text=[c[1][1] for c in rows["_c"]]).drop(columns="_c")
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType(others).add("chunk", "integer").add("offset", "integer").add("chunk_text", "string")
+    schema = StructType(list(df.schema)).add("chunk", "integer").add("offset", "integer").add("chunk_text", "string")
     return df.mapInPandas(run, schema)
 
 

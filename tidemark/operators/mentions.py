@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import initials
@@ -62,8 +62,6 @@ def table_runs(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "content")).where(F.col("content").contains("|"))
     rule = F.col("content").rlike(r"^\s*\|[\-\s\|]+\|")
     # Lines of a run have the same difference between line number and rank.
-    from pyspark.sql import Window
-
     run = F.col("line") - F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
     grouped = lines.withColumns({"run": run, "rule": rule}).groupBy(*keys, "run").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.max("rule").alias("rule"))
     return grouped.where("rule").drop("run", "rule")
@@ -123,15 +121,17 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one of at most its length."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    n = len(a)
-    stretches = {b[max(0, k) : k + n] for k in range(1 - n, len(b))}
-    best = max(ratio(a, s) for s in stretches if s)
-    return max(best, max(ratio(b[max(0, k) : k + n], a) for k in range(1 - n, len(b)) if b[max(0, k) : k + n])) if len(a) == len(b) else best
+    """The best ratio of the shorter text with a stretch of the longer one of at most its length; of equal lengths, either way."""
+
+    def best(short: str, long: str) -> float:
+        n = len(short)
+        stretches = {long[max(0, k) : k + n] for k in range(1 - n, len(long))}
+        return max(ratio(short, s) for s in stretches if s)
+
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0 if long else 100.0
+    return max(best(short, long), best(long, short)) if len(a) == len(b) else best(short, long)
 
 
 def are_fuzzy_duplicates(a: str, b: str, short: int = 10, low: float = 85.0, high: float = 95.0) -> bool:
@@ -145,16 +145,14 @@ def are_fuzzy_duplicates(a: str, b: str, short: int = 10, low: float = 85.0, hig
 def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0) -> DataFrame:
     """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates.
 
-    Two of three ratios that high need equal letters, or nearly: candidates share one of the two rarest of their 3-letter
-    grams' signatures. Names are blocked by grams, the rarest PREFIX first, so frequent grams join nothing.
+    Candidates share one of the rarest three fifths of either name's 3-letter grams, so the most frequent grams join nothing; each
+    candidate is then checked by the ratios themselves.
     """
     names = df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct()
     low_name = F.lower("a")
     grams = F.array_distinct(F.when(F.length("a") < 3, F.array(low_name)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("a") - 2)), lambda k: F.substring(low_name, k, F.lit(3)))))
     each = names.select("a", F.explode(grams).alias("g"), F.size(grams).alias("n"))
     counts = each.groupBy("g").agg(F.count("*").alias("f"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("a").orderBy("f", "g"))
     # Of the grams of a name, 3 letters each, an edit spoils three: a pair within the ratio keeps one of its rarest 60 percent.
     prefix = each.join(counts, "g").withColumn("k", place).where(F.col("k") <= F.ceil(F.col("n") * 0.6) + 1).select("a", "g")

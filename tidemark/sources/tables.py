@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.timeseries import rename_to_canonical, validate
 from tidemark.session import ship
@@ -55,8 +57,6 @@ def pages(total: int, size: int) -> list[tuple[int, int]]:
 def fetch(spark: SparkSession, requests: list[tuple[int, int]], get_page, schema: str) -> DataFrame:
     """Records of a paged API, one task a page: get_page(offset, limit) returns rows; a page that fails three times gives no rows
     but an error row in _error."""
-    import pandas as pd
-
     def run(frames):
         for frame in frames:
             for offset, limit in zip(frame["offset"], frame["limit"], strict=True):
@@ -72,8 +72,6 @@ def fetch(spark: SparkSession, requests: list[tuple[int, int]], get_page, schema
                 if failure is not None:
                     yield pd.DataFrame({"_offset": [int(offset)], "_error": [failure]})
 
-    from pyspark.sql.types import StructType
-
     full = StructType.fromDDL(schema).add("_offset", "long").add("_error", "string")
 
     def aligned(frames):

@@ -194,6 +194,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 if check:
                     columns.append(pa.array([bpe.decode_bytes(i.astype(np.int64)) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.known.clear()  # workers live on, and other stages need the memory
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>{', lossless boolean' if check else ''}")
 

@@ -31,7 +31,7 @@ PER_LANGUAGE = 1000
 #: Rounds of expectation-maximisation, count added to each piece, and letters of the longest piece in use.
 ROUNDS, ADDED, LONGEST = 3, 0.05, 10
 #: Words whose probabilities a worker remembers, and bytes of text handled at once.
-CACHE, CHUNK = 250_000, 1 << 20
+CACHE, CHUNK = 120_000, 1 << 20
 #: Words are scored in stretches of so many letters at most, so that no probability underflows.
 STRETCH = 48
 LETTERS = regex.compile(r"\p{L}+")
@@ -124,9 +124,11 @@ class Model:
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(languages)))
 
+    def forget(self) -> None:
+        """Give the remembered words' memory back."""
+        self.known, self.table = {}, np.zeros((0, len(self.languages)))
+
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known, self.table = {}, np.zeros((0, len(self.languages)))
         found = np.empty((len(words), len(self.languages)))
         for rows, points in self.pieces.words(words):
             found[rows] = np.log(np.maximum(self.pieces.forward(points, self.p)[-1], 1e-300))
@@ -138,7 +140,8 @@ class Model:
         everything = set().union(*cut)
         new = list(everything.difference(self.known))
         if len(self.known) + len(new) > CACHE:
-            self.known, self.table, new = {}, np.zeros((0, len(self.languages))), list(everything)
+            self.forget()
+            new = list(everything)
         if new and self.languages:
             self.learn(new)
         names, scores = [], []
@@ -220,6 +223,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names, scores = model.predict(texts.slice(at, end - at).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch[0].slice(at, end - at), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
                 at = end
+        model.forget()  # workers live on, and other stages need the memory
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double")
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from tidemark.session import cut, shared_dir, staged  # noqa: F401
 
 #: Text handled at once inside a task.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def fold(id_col: Column, modulus: int) -> Column:

@@ -56,6 +56,16 @@ def test_ctw_equals_the_plain_trees(spark, monkeypatch):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
+def test_ctw_scores_six_bytes_of_context(spark):
+    texts = ["a12345x", "b12345y", "a12345x b12345y", "a12345x", "b12345y"]
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    tree = brute.Ctw(6, [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h])
+    for limit in (ctw.HEAD, 12):
+        for r in ctw.scores(docs_of(spark, rows), limit=limit).collect():
+            assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-5)
+
+
 def test_ctw_on_odd_rows_and_nothing(spark):
     got = ctw.scores(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.score <= 0 and r.n_tokens >= 1 for r in got)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Rolling, fold, mix, parts, staged
 
 #: Context bytes at most.
-DEPTH = 5
+DEPTH = 6
 #: Words, and byte strings, that a broadcast holds at most.
 HEAD = 2_500_000
 #: Word and byte-string entries that a task gathers before it merges them.
@@ -48,23 +48,23 @@ _LOWER[65:91] += 32
 class Part:
     """The byte strings and the words of a run of texts, as keys, each with its row."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, words: bool = True):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, depth: int, words: bool = True):
         lengths, rows = np.diff(starts), len(starts) - 1
         row = np.arange(rows)
-        text = np.full(len(data) + rows * (DEPTH + 1) + 8, PAD, np.uint8)
-        text[np.arange(len(data)) + np.repeat(row * (DEPTH + 1) + DEPTH, lengths)] = data
+        text = np.full(len(data) + rows * (depth + 1) + 8, PAD, np.uint8)
+        text[np.arange(len(data)) + np.repeat(row * (depth + 1) + depth, lengths)] = data
         self.first = starts[:-1] + row  # where each row's byte strings begin
-        at = np.arange(len(data) + rows) + np.repeat(row * DEPTH, lengths + 1)
+        at = np.arange(len(data) + rows) + np.repeat(row * depth, lengths + 1)
         raw = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))[at]
         # The latest context byte is the highest, so sorted keys are in the trees' order; the byte itself is the lowest.
-        self.grams = ((raw & np.uint64((1 << 8 * DEPTH) - 1)) << np.uint64(8)) | ((raw >> np.uint64(8 * DEPTH)) & np.uint64(255))
+        self.grams = ((raw & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | ((raw >> np.uint64(8 * depth)) & np.uint64(255))
         if words:
             text = _LOWER[text]
             space = _DELIMITER[text]
             begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
             keys = Rolling(text).ranges(begin, end)
             self.words = np.where(keys <= END, keys + np.uint64(2), keys)
-            self.word_row = np.searchsorted(starts[:-1] + row * (DEPTH + 1) + DEPTH, begin, "right") - 1
+            self.word_row = np.searchsorted(starts[:-1] + row * (depth + 1) + depth, begin, "right") - 1
             self.n_words = np.bincount(self.word_row, minlength=rows)
 
 
@@ -84,6 +84,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(df: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
     """Rows (kind, key, n): the training count of every byte string anywhere, and of every word learned from."""
+    depth = DEPTH  # tasks take the driver's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, int]] = {GRAM: ([], [], 0), WORD: ([], [], 0)}
@@ -110,7 +111,7 @@ def gather(df: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
         for batch in batches:
             learned = np.array(batch[1].fill_null(False).to_pylist(), bool)
             for first, end, data, starts in parts(batch[0]):
-                part, take = Part(data, starts), learned[first:end]
+                part, take = Part(data, starts, depth), learned[first:end]
                 row = np.repeat(np.arange(end - first), np.diff(np.append(part.first, len(part.grams))))
                 if take.all():
                     add(GRAM, *_runs(part.grams))
@@ -173,16 +174,16 @@ def _bit(keys: np.ndarray, decision: int) -> np.ndarray:
     return (keys >> np.uint64(7 - decision)) & np.uint64(1) == 1
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, decision: int, top: int = 2) -> dict[int, Level]:
-    """The weighted nodes of depths DEPTH to top of one decision's trees, from sorted byte strings and their counts."""
+def levels(keys: np.ndarray, counts: np.ndarray, decision: int, deepest: int, top: int = 2) -> dict[int, Level]:
+    """The weighted nodes of depths deepest to top of one decision's trees, from sorted byte strings and their counts."""
     bit, found = _bit(keys, decision), {}
-    for depth in range(DEPTH, top - 1, -1):
-        nodes = _node(keys, decision, DEPTH - depth)
+    for depth in range(deepest, top - 1, -1):
+        nodes = _node(keys, decision, deepest - depth)
         order = np.argsort(nodes, kind="stable")
         nodes, c, b = nodes[order], counts[order].astype(float), bit[order]
         first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
         found[depth] = Level(nodes[first], np.add.reduceat(c * ~b, first), np.add.reduceat(c * b, first))
-        if depth < DEPTH:
+        if depth < deepest:
             below = found[depth + 1]
             found[depth].mix((below.keys >> np.uint64(16) << np.uint64(8)) | (below.keys & np.uint64(255)), below.weighted)
     return found
@@ -205,12 +206,12 @@ def _all(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probabilities(grams: DataFrame, size: int) -> DataFrame:
     """Rows (key, n, value): log10 of the mixture's probability of each byte string's last byte. size: their number."""
-    grams = _by_suffix(grams, max(8, size // 150_000))
+    grams, deepest = _by_suffix(grams, max(8, size // 150_000)), DEPTH
 
     def bottom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _all(batches)
         for decision in range(8 if len(keys) else 0):
-            x = levels(keys, counts, decision)[2]
+            x = levels(keys, counts, decision, deepest)[2]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), decision, np.int8)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["decision", "key", "zeros", "ones", "weighted"])
 
     at_two = grams.mapInArrow(bottom, "decision tinyint, key bigint, zeros double, ones double, weighted double").toArrow().to_pandas()
@@ -230,10 +231,10 @@ def log_probabilities(grams: DataFrame, size: int) -> DataFrame:
         keys, counts = _all(batches)
         value = np.zeros(len(keys))
         for decision in range(8 if len(keys) else 0):
-            at_depth = levels(keys, counts, decision) | shared.value[decision]
+            at_depth = levels(keys, counts, decision, deepest) | shared.value[decision]
             bit, rest, p = _bit(keys, decision), np.ones(len(keys)), np.zeros(len(keys))
-            for depth in range(DEPTH + 1):
-                stop, estimate = at_depth[depth].at(_node(keys, decision, DEPTH - depth), bit)
+            for depth in range(deepest + 1):
+                stop, estimate = at_depth[depth].at(_node(keys, decision, deepest - depth), bit)
                 p += rest * stop * estimate
                 rest *= 1 - stop
             value += np.log10(p)
@@ -311,7 +312,7 @@ def fit(df: DataFrame, learn: Column, text_col: str = "text", limit: int = HEAD)
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of df."""
     shared, mark = df.sparkSession.sparkContext.broadcast(model.heads), uuid.uuid4().hex
-    unseen, src = model.unseen, df.select(id_col, text_col)
+    unseen, depth, src = model.unseen, DEPTH, df.select(id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
     rare = not all(whole for _, whole in model.heads.values())
 
@@ -322,7 +323,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         (grams, _), (words, all_words) = _tables[mark]
         for batch in batches:
             for first, end, data, starts in parts(batch[1]):
-                part, n = Part(data, starts), end - first
+                part, n = Part(data, starts, depth), end - first
                 value = grams.get(part.grams)
                 lost = np.isnan(value)
                 total = np.add.reduceat(np.where(lost, 0, value.astype(np.float64)), part.first)

@@ -158,6 +158,23 @@ def test_fuzzy_pairs_lose_none(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_fuzzy_pairs_are_all_pairs(spark):
+    r = random.Random(8)
+    words = "demographic health survey census labour force living standards population household budget national".split()
+    names = {"Labour Survey", "Labour Survey Kyrgyzstan Uzbekistan Tajikistan"} | {f"Labour Survey {c}" for c in "Albania Benin Chad Denmark Egypt Fiji Ghana Haiti India Jordan Kenya Laos Malta Nepal Oman Peru Qatar Rwanda Spain Togo".split()}
+    names |= {" ".join(r.sample(words, r.randint(1, 9))) for _ in range(90)}
+    for n in sorted(names):
+        w = n.split()
+        names |= {" ".join(w[: r.randint(1, len(w))]), " ".join(r.sample(w, len(w))), n.upper() if r.random() < 0.2 else n}
+        k = r.randrange(len(n))
+        names.add(n[:k] + r.choice(["", "x", "zq"]) + n[k + r.randint(0, 2) :])
+    names |= {"", " ", "  ", "a", "A", "ab", "b a", "a b", "aaaaaaaaaaaaaa", "aaaaaaaaaaaa", "Straße", "STRASSE"}
+    want = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if mn.are_fuzzy_duplicates(a, b)}
+    got = [(x.a, x.b) for x in mn.fuzzy_pairs(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), "name").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert ("Labour Survey", "Labour Survey Kyrgyzstan Uzbekistan Tajikistan") in want
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import initials
 from tidemark.operators.graph import components
+from tidemark.session import cut
 
 
 def token_windows(df: DataFrame, text: str = "text", size: int = 200, overlap: int = 50) -> DataFrame:
@@ -139,24 +141,58 @@ def are_fuzzy_duplicates(a: str, b: str, short: int = 10, low: float = 85.0, hig
     if a.lower() == b.lower():
         return True
     least = high if min(len(a), len(b)) < short else low
-    return sum(f(a, b) >= least for f in (token_sort_ratio, token_set_ratio, partial_ratio)) >= 2
+    met = (token_sort_ratio(a, b) >= least) + (token_set_ratio(a, b) >= least)
+    return met == 2 or met == 1 and partial_ratio(a, b) >= least  # the dearest ratio only where it decides
+
+
+def _pieces(text: str) -> list[str]:
+    """A text's pairs of letters, each with its occurrence, and its distinct letters."""
+    seen: Counter = Counter()
+    out = []
+    for k in range(len(text) - 1):
+        seen[text[k : k + 2]] += 1
+        out.append(f"{text[k : k + 2]}{seen[text[k : k + 2]]}")
+    return out + sorted(set(text))
+
+
+def _kept(n: Column, lost: float) -> Column:
+    """How many of a text's n - 1 pairs of letters are left at least when a share of n is lost at most."""
+    return (n - 1 - F.floor(n * lost + 1e-6)).cast("int")
 
 
 def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates.
+    """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates, none left out.
 
-    Candidates share one of the rarest three fifths of either name's 3-letter grams, so the most frequent grams join nothing; each
-    candidate is then checked by the ratios themselves.
+    Of two ratios out of three one is the token sort ratio or the partial ratio, so a pair is a candidate by its words in order or by
+    the names as they are. A deleted letter spoils two pairs of letters and an inserted one a further one. With t = ratio / 100 the
+    shorter text of n letters keeps all but 3 (1 - t) n of its n - 1 pairs in the first case, and all but max(3 (1 - t), 4 (1 - t) / (2 - t)) n
+    in the second, where the longer one counts with its best stretch only. So one of its rarest pairs, as many as can be lost and one,
+    is among all pairs of the longer text. Where no pair need be left, it shares a letter. Each candidate is then checked by the ratios.
     """
-    names = df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct()
-    low_name = F.lower("a")
-    grams = F.array_distinct(F.when(F.length("a") < 3, F.array(low_name)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("a") - 2)), lambda k: F.substring(low_name, k, F.lit(3)))))
-    each = names.select("a", F.explode(grams).alias("g"), F.size(grams).alias("n"))
-    counts = each.groupBy("g").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("f", "g"))
-    # Of the grams of a name, 3 letters each, an edit spoils three: a pair within the ratio keeps one of its rarest 60 percent.
-    prefix = each.join(counts, "g").withColumn("k", place).where(F.col("k") <= F.ceil(F.col("n") * 0.6) + 1).select("a", "g")
-    pairs = prefix.join(prefix.withColumnRenamed("a", "b"), "g").where("a < b").select("a", "b").distinct()
+
+    @F.pandas_udf("folded string, ordered string")
+    def forms(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"folded": names.map(str.lower), "ordered": names.map(lambda s: " ".join(sorted(s.split())))})
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(_pieces)
+
+    names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct().select("a", forms("a").alias("f")).select("a", "f.folded", "f.ordered"))
+
+    def sharing(text: str, kept: Column) -> DataFrame:
+        each = names.select("a", F.length(text).alias("n"), F.explode(pieces(text)).alias("g"))
+        counts = each.groupBy("g").agg(F.count("*").alias("f"))
+        single = F.length("g") == 1
+        place = F.row_number().over(Window.partitionBy("a").orderBy(single, "f", "g"))
+        prefix = each.join(counts, "g").withColumns({"k": place, "kept": kept}).where(F.when(F.col("kept") > 0, ~single & (F.col("k") <= F.col("n") - F.col("kept"))).otherwise(single))
+        other = each.select(F.col("a").alias("b"), F.col("n").alias("m"), "g")
+        return prefix.join(other, "g").where("a <> b AND n <= m").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    n, least = F.col("n"), min(low, high) / 100
+    part = lambda t: max(3 * (1 - t), 4 * (1 - t) / (2 - t))
+    equal = names.join(names.select(F.col("a").alias("b"), "folded"), "folded").where("a < b").select("a", "b")
+    pairs = equal.union(sharing("ordered", _kept(n, 3 * (1 - least)))).union(sharing("a", F.when(n < 10, _kept(n, part(high / 100))).otherwise(_kept(n, part(low / 100))))).distinct()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -82,6 +82,14 @@ def test_ward_and_groups(spark):
     assert len({x.cluster for x in rows if x.b == "d"}) == 3 and len(rows) == 25
 
 
+def test_more_than_twelve_groups(spark):
+    r = np.random.default_rng(4)
+    points = np.concatenate([r.normal(c, 0.05, (5, 20)) for c in np.eye(20) * 4])
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "i int, v array<double>").withColumn("b", F.lit("d"))
+    label = {x.i: x.cluster for x in cu.group_variables(df, "b", "i", "v").collect()}
+    assert len(set(label.values())) == 20 and all(len({label[5 * k + j] for j in range(5)}) == 1 for k in range(20))
+
+
 def test_mentions_become_families(spark):
     rows = [(1, "Demographic and Health Survey", 0, 29, 0.9, 0), (1, "Health Survey", 16, 29, 0.5, 1), (1, "DHS", 40, 43, 0.9, 1), (2, "Demographic and Health Surveys.", 0, 30, 0.8, 0), (2, "Census", 50, 56, 0.7, 2)]
     df = spark.createDataFrame(rows, "page int, text string, start int, end int, score double, rank int")

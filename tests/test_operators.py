@@ -201,6 +201,19 @@ def test_name_families(spark):
     assert one(spark, t="Côte d’Ivoire: ÉTUDE").select(hz.ascii_name("t").alias("x")).first().x == "cote divoire etude"
 
 
+def test_leaders_equal_the_plain_ones(spark):
+    r = random.Random(3)
+    rows = [(r.choice("KLM"), f"n{k}", r.randint(1, 4)) for k in range(60)] + [(None, "n1", 2), (None, "n2", 3)]
+    pairs = sorted({tuple(sorted(r.sample([f"n{k}" for k in range(60)], 2))) for _ in range(300)} | {("n1", "n2")})
+    near = {p for a, b in pairs for p in ((a, b), (b, a))}
+    want = {}
+    for block, name, _ in sorted(rows, key=lambda x: (-x[2], x[1])):
+        want[block, name] = next((n for (b, n), l in want.items() if b == block and l == n and (name, n) in near), name)
+    df = spark.createDataFrame(rows, "c string, name string, n long")
+    got = hz.leaders(df, spark.createDataFrame(pairs, "a string, b string"), "c", "name", "n").collect()
+    assert {(x.c, x.name): x.leader for x in got} == want and len(got) == len(rows)
+
+
 def test_boxes_and_greedy_matching(spark):
     def boxes(rows):
         return spark.createDataFrame(rows, "page int, label string, id int, x1 double, y1 double, x2 double, y2 double").select("page", "label", "id", ev.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("box"))

@@ -274,55 +274,90 @@ def consistent(df: DataFrame, columns: list[str]) -> DataFrame:
 # Dictionaries of variables
 
 
-def ward(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Ward's clusters of a dictionary's few thousand variables, merged by nearest-neighbour distance until k are left."""
+def ward_merges(vectors: np.ndarray) -> list[tuple[float, int, int]]:
+    """All of Ward's merges, cheapest first, as (cost, a member, a member): chains of nearest neighbours, in memory of the vectors' size."""
     n = len(vectors)
-    centre, size, label = vectors.astype(float).copy(), np.ones(n), np.arange(n)
-    alive = list(range(n))
-    cost = ((centre[:, None] - centre[None]) ** 2).sum(2) / 2
-    np.fill_diagonal(cost, np.inf)
-    while len(alive) > k:
-        sub = np.array(alive)
-        a, b = np.unravel_index(np.argmin(cost[np.ix_(sub, sub)]), (len(sub), len(sub)))
-        a, b = sub[min(a, b)], sub[max(a, b)]
+    centre, size, alive, merges, chain = vectors.astype(float).copy(), np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        a = chain[-1]
+        cost = ((centre - centre[a]) ** 2).sum(1) * size * size[a] / (size + size[a])
+        cost[~alive] = cost[a] = np.inf
+        b = int(np.argmin(cost))
+        if len(chain) == 1 or cost[b] < cost[chain[-2]]:
+            chain.append(b)
+            continue
+        b, chain = chain[-2], chain[:-2]
+        merges.append((float(cost[b]), min(a, b), max(a, b)))
+        a, b = min(a, b), max(a, b)
         centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
         size[a] += size[b]
-        label[label == b] = a
-        alive.remove(b)
-        rest = [c for c in alive if c != a]
-        d = ((centre[rest] - centre[a]) ** 2).sum(1) * size[rest] * size[a] / (size[rest] + size[a])
-        cost[a, rest] = cost[rest, a] = d
-        cost[b, :] = cost[:, b] = np.inf
-    return np.unique(label, return_inverse=True)[1]
+        alive[b] = False
+    return sorted(merges, key=lambda m: m[0])
+
+
+def cut_tree(merges: list[tuple[float, int, int]], k: int) -> np.ndarray:
+    """The clusters when k are left."""
+    parent = list(range(len(merges) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for _, a, b in merges[: max(0, len(parent) - k)]:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return np.unique([find(x) for x in range(len(parent))], return_inverse=True)[1]
+
+
+def ward(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Ward's clusters of a dictionary's variables when k are left."""
+    return cut_tree(ward_merges(vectors), k)
+
+
+def silhouettes(vectors: np.ndarray, labels: list[np.ndarray]) -> list[float]:
+    """Mean silhouettes of clusterings; members alone count 0. Distances are held for a few rows at a time."""
+    n = len(vectors)
+    groups = [np.eye(label.max() + 1)[label] for label in labels]
+    total, step = np.zeros(len(labels)), max(1, 4_000_000 // max(1, vectors.size))
+    for k in range(0, n, step):
+        d = np.sqrt(((vectors[k : k + step, None] - vectors[None]) ** 2).sum(2))
+        rows = np.arange(len(d))
+        for j, (label, group) in enumerate(zip(labels, groups, strict=True)):
+            sums, sizes, own = d @ group, group.sum(0), label[k : k + step]
+            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+            mean = sums / sizes
+            mean[rows, own] = np.inf
+            b = mean.min(1)
+            total[j] += np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum()
+    return [float(t / n) for t in total]
 
 
 def silhouette(vectors: np.ndarray, label: np.ndarray) -> float:
-    """Mean silhouette of a clustering; members alone count 0."""
-    d = np.sqrt(np.maximum(((vectors[:, None] - vectors[None]) ** 2).sum(2), 0))
-    out = []
-    for i in range(len(vectors)):
-        own = label == label[i]
-        if own.sum() == 1:
-            out.append(0.0)
-            continue
-        a = d[i, own].sum() / (own.sum() - 1)
-        b = min(d[i, label == c].mean() for c in np.unique(label) if c != label[i])
-        out.append((b - a) / max(a, b, 1e-12))
-    return float(np.mean(out))
+    return silhouettes(vectors, [label])[0]
+
 
+def group_variables(df: DataFrame, block: str, item: str, vec: str, least: int = 3, most: int = 30) -> DataFrame:
+    """Ward clusters of each block's items, least to most of them, as many as give the best mean silhouette. A block is one data dictionary.
 
-def group_variables(df: DataFrame, block: str, item: str, vec: str, most: int = 12) -> DataFrame:
-    """Ward clusters of each block's items, with as many clusters as give the best mean silhouette. A block is one data dictionary."""
+    Below six items, or where the range has one number only, there are sqrt(n / 2) of them, three at least, as far as the range goes.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(item)
         x = np.array(frame[vec].tolist(), float)
-        best = (-2.0, np.zeros(len(x), int))
-        for k in range(2, min(most, len(x) - 1) + 1):
-            label = ward(x, k)
-            best = max(best, (silhouette(x, label), label), key=lambda b: b[0])
-        return frame[[block, item]].assign(cluster=best[1].astype(np.int32))
+        high = min(most, len(x) - 1)
+        low = max(2, min(least, high))
+        merges = ward_merges(x)
+        if len(x) < 6 or low >= high:
+            label = cut_tree(merges, max(1, min(len(x), max(low, min(high, max(3, int((len(x) / 2) ** 0.5)))))))
+        else:
+            labels = [cut_tree(merges, k) for k in range(low, high + 1)]
+            label = labels[int(np.argmax(silhouettes(x, labels)))]
+        return frame[[block, item]].assign(cluster=label.astype(np.int32))
 
     return df.select(block, item, vec).groupBy(block).applyInPandas(run, f"`{block}` {kinds[block]}, `{item}` {kinds[item]}, cluster int")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.session import cut
+
 
 @F.pandas_udf(StringType())
 def ascii_name(names: pd.Series) -> pd.Series:
@@ -59,21 +61,29 @@ def similar_names(df: DataFrame, key: str, text: str, least: float = 0.5) -> Dat
 def leaders(df: DataFrame, pairs: DataFrame, block: str, name: str, count: str) -> DataFrame:
     """Leader clustering within blocks: by count (then name) a name joins the first leader it is paired with, else leads.
 
-    A block's pairs are those of similar_names(); a leader and its names are settled within the block, names of different blocks never meet.
+    A block's pairs are those of similar_names(); names of different blocks never meet. Each round decides the names whose earlier
+    neighbours are all decided, over the table of pairs, so no block comes together in one task.
     """
-    links = pairs.select(F.col("a").alias(name), F.col("b").alias("_other")).union(pairs.select("b", "a"))
-    near = df.join(links, name, "left").groupBy(block, name, count).agg(F.collect_set("_other").alias("_near"))
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        found: dict = {}
-        for row in frame.sort_values([count, name], ascending=[False, True]).to_dict("records"):
-            mine = set(row["_near"])
-            leader = next((k for k in found if found[k] == k and k in mine), row[name])
-            found[row[name]] = leader
-        return frame.assign(leader=frame[name].map(found))[[block, name, count, "leader"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
-    return near.groupBy(block).applyInPandas(settle, f"`{block}` {kinds[block]}, `{name}` {kinds[name]}, `{count}` {kinds[count]}, leader {kinds[name]}")
+    links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct()
+    names = df.groupBy(F.col(block).alias("block"), F.col(name).alias("u")).agg(F.max(count).alias("n"))
+    other = names.toDF("other", "v", "m")
+    earlier = (F.col("m") > F.col("n")) | (F.col("m").eqNullSafe(F.col("n")) & (links["v"] < F.col("u"))) | (F.col("n").isNull() & F.col("m").isNotNull())
+    left = cut(names.join(links, "u").join(other, (links["v"] == other["v"]) & F.col("block").eqNullSafe(F.col("other"))).where(earlier).select("block", "u", links["v"], "m"))
+    found = None
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    while True:
+        open_names = left.select(F.col("block").alias("b2"), F.col("u").alias("u2")).distinct()
+        if found is None:
+            found = cut(names.join(open_names, same("block", "b2") & same("u", "u2"), "left_anti").select("block", "u", F.col("u").alias("leader")))
+        if left.isEmpty():
+            break
+        told = left.join(found.toDF("b2", "u2", "leader"), same("block", "b2") & (F.col("v") == F.col("u2")), "left")
+        first = F.min_by(F.when(F.col("leader") == F.col("v"), F.col("v")), F.when(F.col("leader") == F.col("v"), F.struct(F.col("m").isNull(), -F.col("m"), F.col("v"))))
+        settled = cut(told.groupBy("block", "u").agg(F.sum(F.col("leader").isNull().cast("int")).alias("unknown"), first.alias("leader")).where("unknown = 0").select("block", "u", F.coalesce("leader", "u").alias("leader")))
+        left = cut(left.join(settled.select(F.col("block").alias("b2"), F.col("u").alias("u2")), same("block", "b2") & (F.col("u") == F.col("u2")), "left_anti"))
+        found = cut(found.unionByName(settled))
+    rows = df.select(block, name, count).distinct()
+    return rows.join(found.toDF("b2", "u2", "leader"), F.col(block).eqNullSafe(F.col("b2")) & F.col(name).eqNullSafe(F.col("u2"))).select(block, name, count, "leader")
 
 
 def families(settled: DataFrame, block: str, name: str, count: str) -> DataFrame:

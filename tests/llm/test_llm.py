@@ -252,6 +252,24 @@ def test_main_text():
     assert htmltext.main_text(page).endswith("\n\nTiny.") and "m3" not in htmltext.main_text(page)
 
 
+TEXT = "A long sentence of the page that tells something. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article><p>{}</p></article></div>", "<main class='with-comments'><p>{}</p></main>", "<article class='related-to-x social'><p>{}</p></article>",
+    "<div class='right-sidebar'><main><p>{}</p></main></div>", "<div class='search-results'><p>{}</p></div>", "<div id='discussion'><main><article><p>{}</p></article></main></div>",
+])
+def test_marks_leave_content_wrappers(page):
+    assert htmltext.main_text(f"<body>{page.format(TEXT)}</body>") == TEXT.strip()
+
+
+def test_marks_leave_headlines_and_take_the_rest():
+    assert htmltext.main_text(f"<article><div class='entry-header'><h1>Head</h1></div><p>{TEXT}</p><div class='search-results'><p>Found</p></div></article>") == f"Head\n\n{TEXT.strip()}\n\nFound"
+    out = "".join(f"<div class='{c}'><p>{TEXT}</p></div>" for c in ("site-footer", "sidebar", "sidebar--left", "ad-container", "related-posts", "page__sidebar", "widget-2", "cookie-notice", "nav-links"))
+    said = f"<div id='comments'><article><p>{TEXT}</p></article></div><article class='comment'><p>{TEXT}</p></article>"
+    assert htmltext.main_text(f"<body>{out}<article><p>Body. {TEXT}</p></article>{said}</body>") == f"Body. {TEXT}".strip()
+
+
 def test_pages(spark, data):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + LONG)]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

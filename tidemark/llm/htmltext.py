@@ -6,7 +6,9 @@ clusters of ratios count as dense. Content regions (articles and main elements,
 chosen by the share of their text in dense lines, and a chosen region's blocks are all kept, short ones too.
 
 What markup names as a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment is left out,
-by element, role, class or id. Character references are decoded, white space inside a block becomes one space, and
+by element, role, class or id. A class, id or role names such a thing if its name is one of MARKS, ends in one or in one and
+TAILS ("site-footer", "ad-container"; not "has-sidebar" or "search-results"); "header" doesn't count in articles and headings.
+These names leave out no main element and no article, nor what holds one, but for reader comments, which stay out as articles too. Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line in page order. A null or empty page, or one without text, gives an empty text. Unclosed elements
 end with what encloses them. Each row gives one row, repeated rows and ids too; other columns are ignored.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 SIGMA, DENSE = 1.5, 0.4
 #: Fixed lists of elements and of words in classes, ids and roles.
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog title audio video map datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html head body article main section div header ul ol dl table figure details center fieldset".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption blockquote pre address figcaption summary hr legend".split()) | CONTAINERS
 MARKS = frozenset(
@@ -32,26 +35,47 @@ MARKS = frozenset(
     "subscription signup sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments disqus reply replies respond "
     "discussion share sharing social related recommended widget widgets toolbar login search complementary contentinfo".split()
 )
+#: What of these stands for reader comments; words that may follow a mark; words that make a name tell of something else's layout.
+COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
+TAILS = frozenset("area list box container wrapper wrap inner section block button buttons link links item items bar group panel column col row unit slot posts articles stories form toggle icon icons left right top bottom".split())
+LAYOUT = frozenset("has with no without is not non hide show".split())
 _TOKENS = re.compile(r"[a-z]+")
 
 
+def marks_of(names: str) -> set[str]:
+    """The marks that a class, id or role attribute names."""
+    found = set()
+    for name in names.split():
+        words = _TOKENS.findall(name.split("--")[0])
+        if LAYOUT.isdisjoint(words):
+            while words and words[-1] in TAILS:
+                words.pop()
+            found.update(MARKS.intersection(words[-1:]))
+    return found
+
+
 class Reader(HTMLParser):
     """Collects a page's lines: text, tags, region and whether the region is an article or main element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
+        #: For each line the marked elements it is in, as numbers; by number whether only a main element, not an article, lifts the mark.
+        self.within: list[tuple[int, ...]] = []
+        self.comments: list[bool] = []
+        self.lifted: set[int] = set()
         self.words: list[str] = []
         self.tags = 0
         self.regions = 0
-        #: Open containers: (element, left out, region, is an article or main element).
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        #: Open containers: (element, left out, region, is an article or main element, marked elements around).
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
 
     def end_line(self) -> None:
-        _, out, region, semantic = self.open[-1]
+        _, out, region, semantic, within = self.open[-1]
         text = " ".join("".join(self.words).split())
         if text and not out:
             self.lines.append((text, max(1, self.tags), region, semantic))
+            self.within.append(within)
         self.words, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -65,19 +89,29 @@ class Reader(HTMLParser):
             self.words.append(" " if tag != "wbr" else "")
         if tag not in CONTAINERS and tag not in SKIPPED and not attrs:
             return
-        _, out, region, semantic = self.open[-1]
+        _, out, region, semantic, within = self.open[-1]
         named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        marked = any(not MARKS.isdisjoint(_TOKENS.findall(named[k])) for k in ("class", "id", "role") if k in named) and tag not in ("html", "body")
+        marks = set().union(*(marks_of(named[k]) for k in ("class", "id", "role") if k in named)) if tag not in ("html", "body", "main") else set()
+        if semantic or tag in HEADINGS:
+            marks.discard("header")
+        if tag == "article":
+            marks &= COMMENTS
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        leave = out or tag in SKIPPED or marked or hidden or tag == "header" and not semantic
+        leave = out or tag in SKIPPED or hidden or tag == "header" and not semantic
         if tag not in CONTAINERS and tag not in SKIPPED:
-            if not leave or out or tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track"):
+            if not (leave or marks) or out or tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track"):
                 return
             self.end_line()  # a paragraph or a span that is left out
         elif tag in ("article", "main") and not semantic and not leave or region == 0 and tag not in ("html", "head", "body"):
             self.regions += 1
             region = self.regions
-        self.open.append((tag, leave, region, semantic or tag in ("article", "main")))
+        if tag in ("article", "main") and not leave and not marks:
+            held = any(self.comments[w] for w in within)  # an article among reader comments is one of them
+            self.lifted.update(w for w in within if tag == "main" or not held)
+        if marks:
+            within = (*within, len(self.comments))
+            self.comments.append(not marks.isdisjoint(COMMENTS))
+        self.open.append((tag, leave, region, semantic or tag in ("article", "main"), within))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -103,6 +137,7 @@ class Reader(HTMLParser):
     def close(self) -> None:
         super().close()
         self.end_line()
+        self.lines = [line for line, within in zip(self.lines, self.within, strict=True) if self.lifted.issuperset(within)]
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:

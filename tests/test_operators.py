@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from tidemark.operators import harmonize as hz
 from tidemark.operators import mentions as mn
 from tidemark.operators import metadata as md
 from tidemark.operators import quality as q
+from tidemark.operators import search as se
 from tidemark.operators import timeseries as ts
+from tidemark.plans import retrieval
 from tidemark.sources import sinks, tables
 from tidemark.streaming import upsert as up
 
@@ -256,6 +260,27 @@ def test_vectors(spark):
     assert value(spark, vx.quantize(v))["qv"] == [95, 127]
 
 
+def test_hard_negatives_reach_rank_thirty(spark, data):
+    ranks = spark.createDataFrame([(1, 0, 1)] + [(1, k, k + 1) for k in range(1, 35)], "query_id long, id long, rank int")
+    positive = spark.createDataFrame([(1, 0)], "query_id long, id long")
+    vectors = lambda copies: spark.createDataFrame([(k, [1.0, 0.0] if k <= copies else [0.0, 1.0]) for k in range(35)], "vec_id long, embedding array<double>")
+    got = lambda copies, n: [x.id for x in se.hard_negatives(ranks, positive, vectors(copies), n=n).collect()]
+    assert sorted(got(0, 99)) == list(range(4, 31))
+    assert len(got(12, 3)) == 3 and set(got(12, 3)) <= set(range(13, 31))
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label", "embedding").toPandas().sort_values("vec_id")
+    ids, labels, v = e["vec_id"].to_numpy(), e["label"].to_numpy(), np.array(e["embedding"].tolist(), float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        after = np.flatnonzero((labels == labels[q]) & (ids > ids[q]))
+        if len(after):
+            order = [k for k in np.lexsort((ids, -np.round(v @ v[q], 9))) if k != q][:31]
+            kept = [ids[k] for k in [k for k in order if k != after[0]][3:30] if round(float(v[k] @ v[after[0]]), 9) <= 0.95]
+            kept.sort(key=lambda i: (hashlib.md5(f"{ids[q]}-{i}".encode()).hexdigest(), i))
+            want |= {(ids[q], ids[after[0]], i, n + 1) for n, i in enumerate(kept[:3])}
+    assert {(x.query_id, x.positive, x.id, x.pick) for x in retrieval.hard_negatives(spark, data).collect()} == want
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2.0, 2), (None, 1.0, 3)], "k string, v double, o int")
     assert [(r.k, r.o) for r in q.keep_most_complete(df, "k", ["v"], "o").orderBy("o").collect()] == [("a", 2), (None, 3)]

@@ -166,8 +166,8 @@ def ranking_metrics(rankings: DataFrame, positives: DataFrame, ks: tuple[int, ..
     return found.agg(*columns)
 
 
-def hard_negatives(rankings: DataFrame, positives: DataFrame, vectors: DataFrame, skip: int = 2, window: int = 10, n: int = 3, max_sim: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Of each query's ranks skip to window, the positive left out, at most n negatives not too like the positive, in the order of a hash."""
+def hard_negatives(rankings: DataFrame, positives: DataFrame, vectors: DataFrame, skip: int = 3, window: int = 30, n: int = 3, max_sim: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Of each query's ranks after skip up to window, the positive left out, at most n negatives not too like the positive, in the order of a hash."""
     order = Window.partitionBy("query_id").orderBy("rank")
     rest = rankings.join(positives.withColumnRenamed("id", "positive"), "query_id").where("id <> positive").withColumn("k", F.row_number().over(order)).where((F.col("k") > skip) & (F.col("k") <= window))
     unit = vectors.select(F.col(id_col).alias("id"), l2_normalize(F.col(vec_col)).alias("v"))

@@ -79,7 +79,7 @@ def ranking_metrics(spark, d):
 
 def hard_negatives(spark, d):
     e = table(spark, d, "embeddings")
-    return se.hard_negatives(se.knn(e, _asked(e), 11), _positives(spark, d), e)
+    return se.hard_negatives(se.knn(e, _asked(e), 31), _positives(spark, d), e)
 
 
 def _catalog(spark, d):

@@ -101,6 +101,11 @@ def test_near_classes_on_odd_rows_and_nothing(spark):
     assert near_dedup.classes(docs_of(spark, [])).count() == 0
 
 
+def test_sample_filter_loses_one_pair_in_ten_thousand_at_most():
+    n, p = near_dedup.HASHES, near_dedup.SIMILARITY
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.AGREE)) < 1e-4
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     import numpy as np
 

@@ -31,8 +31,8 @@ from tidemark.operators.graph import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
-#: Samples that a pair must agree in to be verified: below it, at the least similarity, once in 1,500 pairs.
-AGREE = 29
+#: Samples that a pair must agree in to be verified: below it, at the least similarity, once in 20,000 pairs.
+AGREE = 27
 #: Turns in which a bucket's texts are checked against one more text of its largest component (each band another), before all are.
 TURNS = 1
 CELLS = 1 << 20

@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class: that with the smallest id, and of several texts under it the first by digest."""
     ship(spark)
     found = near_dedup.classes(docs)
-    kept = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("digest")).alias("alone")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("digest").alias("m"))).alias("x")).select("x.*")
+    kept = found.groupBy("class_key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("digest").alias("m"))).alias("x")).select("x.*")
     keyed = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), F.md5(F.coalesce("text", F.lit(""))).alias("_m"))
     same = keyed.join(kept, (F.col("_d") == F.col("d")) & (F.col("_m") == F.col("m")), "left_semi")
     return same.dropDuplicates(["_d", "_m"]).select(*docs.columns)

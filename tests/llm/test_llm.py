@@ -101,6 +101,13 @@ def test_near_classes_on_odd_rows_and_nothing(spark):
     assert near_dedup.classes(docs_of(spark, [])).count() == 0
 
 
+def test_two_classes_under_one_id(spark, data):
+    rows = [(1, "one text of a few words about rivers and lakes", "en", "s", 1), (1, "another that tells of trains in the far north", "en", "s", 1), (2, "another that tells of trains in the far north", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()) == sorted({(1, t) for _, t, *_ in rows})
+    assert len({r.class_key for r in near_dedup.classes(docs).collect()}) == 2
+
+
 def test_sample_filter_loses_one_pair_in_ten_thousand_at_most():
     n, p = near_dedup.HASHES, near_dedup.SIMILARITY
     assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.AGREE)) < 1e-4

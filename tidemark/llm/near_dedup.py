@@ -303,7 +303,7 @@ def _block_links(table: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Per row (id_col, class_id, class_size, digest): the smallest id of its class, the class's rows, and the text's md5."""
+    """Per row (id_col, class_id, class_size, digest, class_key): the smallest id of its class, the class's rows, the text's md5, and a number of its own for each class, since a repeated id can be the smallest of two."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("d"), F.md5(text).alias("m"), text.alias("t"))
     table, _ = frequencies(docs)
@@ -315,4 +315,4 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     labelled = nodes.select("m", "node").join(found, "node", "left").select("m", F.coalesce("component", "node").alias("c"))
     rows = cut(signed.select("d", "m").join(labelled, "m"))
     ids = rows.groupBy("c").agg(F.min("d").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(ids, "c").select(F.col("d").cast(df.schema[id_col].dataType).alias(id_col), "class_id", "class_size", F.col("m").alias("digest"))
+    return rows.join(ids, "c").select(F.col("d").cast(df.schema[id_col].dataType).alias(id_col), "class_id", "class_size", F.col("m").alias("digest"), F.col("c").alias("class_key"))

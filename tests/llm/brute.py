@@ -127,3 +127,52 @@ class Ctw:
                     rest *= 1 - stop
                 total += math.log10(p)
         return total
+
+
+def leaves(block):
+    """The lines of nested lists, in order."""
+    for x in block:
+        if isinstance(x, tuple):
+            yield x
+        else:
+            yield from leaves(x)
+
+
+def main_lines(page, sigma, held, menu):
+    """Main text of nested lists of ("p" or "a", text): plain ratios, smoothing, two-means and regions."""
+    lines = list(leaves(page))
+    if not lines:
+        return []
+    ratio = [math.log(1 + len(t) / (4 if kind == "a" else 2)) for kind, t in lines]
+    reach, values = int(3 * sigma), []
+    for i in range(len(lines)):
+        near = [(math.exp(-0.5 * ((j - i) / sigma) ** 2), ratio[j]) for j in range(max(0, i - reach), min(len(lines), i + reach + 1))]
+        values.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    low, high = min(values), max(values)
+    for _ in range(50):
+        under, over = [v for v in values if v < (low + high) / 2], [v for v in values if v >= (low + high) / 2]
+        if not under or not over:
+            break
+        low, high = sum(under) / len(under), sum(over) / len(over)
+    dense = [v >= (low + high) / 2 - 1e-12 for v in values]
+    marked = iter(zip(lines, dense, strict=True))
+    tree = (mark := lambda b: [next(marked) if isinstance(x, tuple) else mark(x) for x in b])(page)
+    flat = lambda b: [y for x in b for y in ([x] if isinstance(x, tuple) else flat(x))]
+    size = lambda b, test: sum(len(x[0][1]) for x in flat(b) if test(x))
+    whole, region = size(tree, lambda x: x[1]), tree
+    while True:
+        inner = [x for x in region if isinstance(x, list) and size(x, lambda y: y[1]) >= held * whole]
+        if not inner:
+            break
+        region = inner[0]
+
+    def kept(b):
+        for x in b:
+            if isinstance(x, tuple):
+                yield x[0][1]
+            else:
+                n = size(x, lambda y: True)
+                if not (size(x, lambda y: y[1]) < menu[0] * n and size(x, lambda y: y[0][0] == "a") >= menu[1] * n):
+                    yield from kept(x)
+
+    return list(kept(region))

@@ -282,8 +282,58 @@ def test_marks_leave_headlines_and_take_the_rest():
     assert htmltext.main_text(f"<body>{out}<article><p>Body. {TEXT}</p></article>{said}</body>") == f"Body. {TEXT}".strip()
 
 
+def test_regions_equal_the_plain_ones():
+    r = random.Random(11)
+
+    def block(depth):
+        """A random container: (children, or lines of text and link text)."""
+        if depth == 0 or r.random() < 0.3:
+            link = r.random() < 0.4
+            return [("a" if link else "p", " ".join("word" * r.randint(1, 3) for _ in range(r.randint(1, 3) if link else r.choice([1, 3, 40, 90])))) for _ in range(r.randint(1, 8))]
+        return [block(depth - 1) for _ in range(r.randint(1, 4))]
+
+    def markup(b):
+        if isinstance(b, tuple):
+            return f"<p><a href='/'>{b[1]}</a></p>" if b[0] == "a" else f"<p>{b[1]}</p>"
+        return "<div>" + "".join(map(markup, b)) + "</div>"
+
+    both = 0
+    for _ in range(300):
+        page = [block(3) for _ in range(2)]
+        want = brute.main_lines(page, htmltext.SIGMA, htmltext.HELD, htmltext.MENU)
+        assert htmltext.main_text("<body>" + "".join(map(markup, page)) + "</body>") == "\n\n".join(want)
+        both += 0 < len(want) < sum(1 for _ in brute.leaves(page))
+    assert both > 100
+
+
+def test_density_chooses_without_names():
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>menu {k}</a></li>" for k in range(12)) + "</ul>"
+    assert htmltext.main_text(f"<body><div id=wrap>{menu}<h1>Head</h1><p>{TEXT}</p><ul><li>one</li><li>two</li></ul></div></body>") == f"Head\n\n{TEXT.strip()}\n\none\n\ntwo"
+    items = "<article><ul>" + "".join(f"<li><a href='/{k}'>it {k}</a></li>" for k in range(3)) + "</ul></article>"
+    assert htmltext.main_text(f"<main><article><p>{TEXT}</p></article>{items}</main>").endswith("it 0\n\nit 1\n\nit 2")
+    assert htmltext.main_text(f"<body><div>{menu}</div><article><h1 class='post-header'>Head</h1><p id='social-history'>{TEXT}</p></article></body>") == f"Head\n\n{TEXT.strip()}"
+    # Two regions of the same text: both stay.
+    assert htmltext.main_text(f"<body><div><p>{TEXT}</p></div><div><p>{TEXT}</p></div></body>") == f"{TEXT.strip()}\n\n{TEXT.strip()}"
+
+
+def test_pages_without_article_tags(spark):
+    import re
+
+    kept = extra = total = 0
+    for r in small(spark, "/root/testdata/sf0.01", "pages").collect():
+        want = htmltext.main_text(re.search("<article>.*</article>", r.html, re.S).group()).split("\n\n")
+        got = htmltext.main_text(r.html.replace("article>", "div>")).split("\n\n")
+        total += sum(map(len, want))
+        kept += sum(len(x) for x in want if x in got)
+        extra += sum(len(x) for x in got if x not in want)
+    assert kept >= 0.95 * total and extra <= 0.05 * total
+
+
 def test_pages(spark, data):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + LONG)]
+    clash = spark.createDataFrame([(*x, 7, "t", 5) for x in rows], "page_id long, url string, html string, n_chars long, text string, k int")
+    assert sorted(map(str, htmltext.extract(clash).collect())) == sorted(map(str, htmltext.extract(clash.select("page_id", "url", "html")).collect()))
+    assert htmltext.extract(clash.limit(0)).count() == 0
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 5 and {r.n_chars for r in got if r.page_id == 3} == {len(LONG)}
     assert all(r.n_chars > 0 for r in htmltext.extract(small(spark, data, "pages")).collect())

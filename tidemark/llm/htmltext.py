@@ -1,16 +1,20 @@
 """Main text of web pages by text-to-tag ratio.
 
-The standard library's streaming parser turns a page into lines (its text blocks). Each line has a ratio of characters
-to tags; the ratios are smoothed by a Gaussian over neighbouring lines, and lines at or above a threshold between the two
-clusters of ratios count as dense. Content regions (articles and main elements, else the outermost containers) are
-chosen by the share of their text in dense lines, and a chosen region's blocks are all kept, short ones too.
-
-What markup names as a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment is left out,
-by element, role, class or id. A class, id or role names such a thing if its name is one of MARKS, ends in one or in one and
-TAILS ("site-footer", "ad-container"; not "has-sidebar" or "search-results"); "header" doesn't count in articles and headings.
-These names leave out no main element and no article, nor what holds one, but for reader comments, which stay out as articles too. Character references are decoded, white space inside a block becomes one space, and
-blocks are joined by an empty line in page order. A null or empty page, or one without text, gives an empty text. Unclosed elements
-end with what encloses them. Each row gives one row, repeated rows and ids too; other columns are ignored.
+The standard library's streaming parser turns a page into lines (its text blocks), each in its innermost container. A line has
+a ratio of characters to tags; the logarithms of the ratios are smoothed by a Gaussian over neighbouring lines, and lines at or above a
+threshold between the two clusters of values are dense. The content region is the smallest container that holds HELD of the dense
+text. Inside it, a container made of links whose text is hardly dense (a menu) goes as well; all other lines stay, short ones too.
+
+Elements and names only veto. What markup names as a menu, header, footer, sidebar, notice, advert, form, script, style or reader
+comment is left out of the lines from the start, by element, role, class or id. A class, id or role names such a thing if its name is one of
+MARKS, ends in one or in one and TAILS ("site-footer", "ad-container"; not "has-sidebar" or "search-results"); "header" doesn't count
+in articles and headings, and a paragraph, heading or other line goes only by a name that is a mark as a whole. These names leave out no main element
+and no article, nor what holds one, but for reader comments, which stay out as articles too. The region is never narrowed below an article or a
+main element, nothing but what is marked goes from an article, and articles beside the region's article stay.
+
+Character references are decoded, white space inside a block becomes one space, and blocks are joined by an empty line in page order. A null or
+empty page, or one without text, gives an empty text. Unclosed elements end with what encloses them. Of equally dense containers the outer one is taken.
+Each row gives one row, repeated rows and ids too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Width of the Gaussian in lines, and the share of a region's text in dense lines that makes it content.
-SIGMA, DENSE = 1.5, 0.4
+#: Width of the Gaussian in lines, and the share of the page's dense text that the content region holds.
+SIGMA, HELD = 1.5, 0.95
+#: A container goes as a menu if less than MENU[0] of its text is dense and MENU[1] of it or more stands in links.
+MENU = (0.4, 0.5)
 #: Fixed lists of elements and of words in classes, ids and roles.
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog title audio video map datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,28 +61,30 @@ def marks_of(names: str) -> set[str]:
 
 
 class Reader(HTMLParser):
-    """Collects a page's lines: text, tags, region and whether the region is an article or main element."""
+    """Collects a page's lines and the tree of its containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        #: Text, tags, characters in links, and the innermost container of each line.
+        self.lines: list[tuple[str, int, int, int]] = []
+        #: The enclosing container of each container, and whether it is an article or main element.
+        self.parents, self.semantic = [0], [False]
         #: For each line the marked elements it is in, as numbers; by number whether only a main element, not an article, lifts the mark.
         self.within: list[tuple[int, ...]] = []
         self.comments: list[bool] = []
         self.lifted: set[int] = set()
         self.words: list[str] = []
-        self.tags = 0
-        self.regions = 0
-        #: Open containers: (element, left out, region, is an article or main element, marked elements around).
+        self.tags = self.links = self.linked = 0
+        #: Open containers: (element, left out, container, is in an article or main element, marked elements around).
         self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
 
     def end_line(self) -> None:
-        _, out, region, semantic, within = self.open[-1]
+        _, out, region, _, within = self.open[-1]
         text = " ".join("".join(self.words).split())
         if text and not out:
-            self.lines.append((text, max(1, self.tags), region, semantic))
+            self.lines.append((text, max(1, self.tags), self.linked, region))
             self.within.append(within)
-        self.words, self.tags = [], 0
+        self.words, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -87,11 +95,15 @@ class Reader(HTMLParser):
                 self.open.pop()  # its end tag may be left out
         elif tag in ("br", "td", "th", "img", "wbr"):
             self.words.append(" " if tag != "wbr" else "")
+        elif tag == "a":
+            self.links = int(any(k == "href" for k, _ in attrs))
         if tag not in CONTAINERS and tag not in SKIPPED and not attrs:
             return
         _, out, region, semantic, within = self.open[-1]
         named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         marks = set().union(*(marks_of(named[k]) for k in ("class", "id", "role") if k in named)) if tag not in ("html", "body", "main") else set()
+        if tag not in CONTAINERS:  # a line goes only by a whole name
+            marks &= {name for k in ("class", "id", "role") for name in named.get(k, "").split()}
         if semantic or tag in HEADINGS:
             marks.discard("header")
         if tag == "article":
@@ -102,9 +114,10 @@ class Reader(HTMLParser):
             if not (leave or marks) or out or tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track"):
                 return
             self.end_line()  # a paragraph or a span that is left out
-        elif tag in ("article", "main") and not semantic and not leave or region == 0 and tag not in ("html", "head", "body"):
-            self.regions += 1
-            region = self.regions
+        elif not leave and tag in CONTAINERS:
+            self.parents.append(region)
+            self.semantic.append(tag in ("article", "main"))
+            region = len(self.parents) - 1
         if tag in ("article", "main") and not leave and not marks:
             held = any(self.comments[w] for w in within)  # an article among reader comments is one of them
             self.lifted.update(w for w in within if tag == "main" or not held)
@@ -115,6 +128,8 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a" or tag in CONTAINERS:
+            self.links = 0
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
         for k in range(len(self.open) - 1, 0, -1):
@@ -133,6 +148,7 @@ class Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
             self.words.append(data)
+            self.linked += self.links * len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -172,15 +188,37 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(line[0]) for line in lines], float)
-    ratio = smoothed(size / np.array([line[1] for line in lines]))
-    region = np.array([line[2] for line in lines])
-    dense = ratio >= threshold(ratio)
-    candidates = np.unique(region[np.array([line[3] for line in lines])])
-    if not len(candidates):
-        candidates = np.unique(region)
-    share = {int(r): (size * dense)[region == r].sum() / size[region == r].sum() for r in candidates}
-    chosen = [r for r, s in share.items() if s >= DENSE] or [max(share, key=lambda r: size[region == r].sum())]
-    return "\n\n".join(line[0] for line, r in zip(lines, region, strict=True) if r in chosen)
+    values = smoothed(np.log1p(size / np.array([line[1] for line in lines])))
+    kept = content(reader.parents, reader.semantic, np.array([line[3] for line in lines]), size, size * (values >= threshold(values)), np.array([line[2] for line in lines], float))
+    return "\n\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
+
+
+def content(parents: list[int], semantic: list[bool], place: np.ndarray, size: np.ndarray, dense: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Which lines are content, by their containers, sizes, dense sizes and characters in links."""
+    sums = np.zeros((3, len(parents)))
+    for k, x in enumerate((size, dense, linked)):
+        np.add.at(sums[k], place, x)
+    for c in range(len(parents) - 1, 0, -1):  # a container's number is higher than that of what holds it
+        sums[:, parents[c]] += sums[:, c]
+    whole, thick, links = sums
+    children: dict[int, list[int]] = {}
+    for c in range(1, len(parents)):
+        children.setdefault(parents[c], []).append(c)
+    region = 0
+    while not semantic[region]:
+        inner = [c for c in children.get(region, ()) if thick[c] >= HELD * thick[0]]
+        if not inner:
+            break
+        region = inner[0]
+    inside, protected = np.zeros(len(parents), bool), np.zeros(len(parents), bool)
+    inside[region] = True
+    if semantic[region]:  # articles beside it are content too
+        inside[[c for c in children[parents[region]] if semantic[c]]] = True
+    for c in range(1, len(parents)):
+        protected[c] = protected[parents[c]] or semantic[c]
+        menu = not protected[c] and thick[c] < MENU[0] * whole[c] and links[c] >= MENU[1] * whole[c]
+        inside[c] = (inside[c] or inside[parents[c]]) and (c == region or not menu)
+    return inside[place]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -176,3 +176,56 @@ def main_lines(page, sigma, held, menu):
                     yield from kept(x)
 
     return list(kept(region))
+
+
+def toxic_matches(text, arcs, fixed, kinds, weight_of_fixed, reach):
+    """Weights by kind of a text's clause matches, clause by clause with plain loops."""
+    out = dict.fromkeys(kinds, 0.0)
+    for clause in re.split("[.!?;\n。！？；…]", text.lower()):
+        target = agent = heard = quoted = False
+        bare, waiting, threat, scope = True, 0.0, None, 0
+        for token in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]", clause):
+            word = token.replace("’", "'")
+            label, weight = ("quote", 0.0) if token in "\"“”„«»" else ("other", 0.0)
+            for w in (word, word.split("'")[0]) if label != "quote" else ():
+                arc = max([arcs.get("=" + w, 0.0), *(arcs.get("^" + w[:n], 0.0) for n in range(1, len(w) + 1))])
+                label, weight = (fixed[w], weight_of_fixed) if w in fixed else ("insult", arc) if arc else ("other", 0.0)
+                if label != "other":
+                    break
+            if label == "negation":
+                scope, bare = reach, False
+                continue
+            negated, scope = scope > 0, max(0, scope - 1)
+            if label == "quote":
+                quoted, heard, bare = not quoted, False, False
+            elif label == "report" and not (heard or quoted):
+                heard, bare = True, False
+            elif label == "insult" and (heard or quoted or negated):
+                out["reported" if heard or quoted else "negated"] += weight
+                bare = False
+            elif label == "threat" and (heard or quoted or negated):
+                out["softened"] += weight
+                bare = False
+            elif label == "insult" and target:
+                out["targeted"] += weight
+            elif label == "insult":
+                waiting += weight
+            else:
+                bare = False
+                if label == "threat" and agent and target:
+                    out["threat"] += weight
+                    threat = None
+                elif label == "threat":
+                    threat = weight
+                elif label == "agent":
+                    agent = True
+                elif label == "target":
+                    target = True
+                    if threat:
+                        out["threat"] += threat
+                        threat = None
+                    elif waiting:
+                        out["targeted"] += waiting
+                        waiting = 0.0
+        out["targeted" if target or bare else "loose"] += waiting
+    return [out[k] for k in kinds]

@@ -345,27 +345,60 @@ def test_pages(spark, data):
 def run_grammar(labels):
     rules, out = toxicity.grammar(), []
     state = rules.start
-    for label in labels.split():
+    for label in (*labels.split(), "end"):
         state, said = rules.step(state, label)
         out.append(said)
+    assert state == rules.start
     return [x for x in out if x in toxicity.KINDS]
 
 
 @pytest.mark.parametrize(
     "labels, kinds",
-    [("other insult", "insult"), ("target other insult", "targeted"), ("negation other insult", "negated"), ("negation other other other insult", "insult"), ("report other insult", "reported"), ("quote insult quote insult", "reported insult"), ("target threat", "threat"), ("threat", "softened"), ("negation threat", "softened"), ("report target threat", "softened"), ("target report insult", "reported")],
-)
+    [("other insult", "loose"), ("insult", "targeted"), ("insult insult", "targeted"), ("target other insult", "targeted"), ("insult other target", "targeted"), ("insult other", "loose"), ("negation other insult", "negated"), ("negation other other other insult", "loose"), ("report other insult", "reported"),
+     ("quote insult quote insult", "reported loose"), ("agent threat target", "threat"), ("threat other target", "threat"), ("agent target threat", "threat"), ("target threat", ""), ("threat", ""), ("negation threat target", "softened"), ("report threat target", "softened"), ("target report insult", "reported"), ("target insult other insult", "targeted targeted")],
+)
 def test_clause_grammar(labels, kinds):
     assert run_grammar(labels) == kinds.split()
 
 
+def test_matches_equal_a_plain_state_machine():
+    r = random.Random(4)
+    lexicon = toxicity.Lexicon({"^moro": 3.0, "=zzz": 1.5})
+    words = "idiot Moronic zzz you ICH kill not said the of tree idiot's don't idiotas töten dich é中 “ \" , . ! 。 ; \n".split(" ")
+    texts = [r.choice(["", " "]).join(r.choice(words) + r.choice([" ", " ", ""]) for _ in range(r.randint(0, 25))) for _ in range(600)] + ["", "Idiot.", "x" * 2000 + " you idiot"]
+    import numpy as np
+    import pyarrow as pa
+
+    got = lexicon.features(pa.array([*texts, None]))
+    for text, row in zip([*texts, ""], got, strict=True):
+        want = brute.toxic_matches(text, lexicon.arcs, lexicon.fixed, toxicity.KINDS, toxicity.FIXED_WEIGHT, toxicity.NEGATED_WORDS)
+        assert row == pytest.approx(np.log1p(want)), text
+
+
+def test_clauses_not_words():
+    lexicon = toxicity.Lexicon({})
+
+    def score(text):
+        import pyarrow as pa
+
+        return 1 / (1 + math.exp(-(toxicity.PRIOR[0] + lexicon.features(pa.array([text]))[0] @ toxicity.PRIOR[1:])))
+
+    for text in ("Idiot.", "You idiot", "idiots like you: idiot you", "du bist ein idiot。ja", "you are such an idiot's idiot", "I will kill you.", "ich werde dich töten", "he is an idiot"):
+        assert score(text) >= 0.7, text
+    for text in ("The word idiot has Greek roots.", "kill the process", "you are not an idiot", "she said “you idiot”", "we shoot photos", ""):
+        assert score(text) < 0.1, text
+
+
 def test_held_out_toxicity(spark):
+    """Of the toxic rows that use any insult or threat (the rest are labelled at random); of all held-out clean ones."""
     d = "/root/testdata/sf0.1"
     labels = small(spark, d, "labels")
-    found = toxicity.scores(small(spark, d), labels).join(labels, "doc_id").where("held_out").collect()
-    clean, toxic = ([r for r in found if r.toxic == k] for k in (0, 1))
+    rows = toxicity.scores(small(spark, d), labels).join(labels, "doc_id").where("held_out").join(small(spark, d).select("doc_id", "text"), "doc_id").collect()
+    said = [r for r in rows if any(w in (r.text or "").lower() for w in toxicity.INSULTS + toxicity.THREATS)]
+    clean, toxic, every = [r for r in rows if not r.toxic], [r for r in said if r.toxic], [r for r in rows if r.toxic]
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
-    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in every) >= 0.75 * len(every)
 
 
 def test_toxicity_of_odd_rows(spark):
@@ -373,6 +406,8 @@ def test_toxicity_of_odd_rows(spark):
     got = toxicity.scores(docs_of(spark, [*ODD, (20, "You are a stupid idiot, you clown.", "en")]), none).collect()
     assert len(got) == len(ODD) + 1
     assert {r.predicted for r in got if r.doc_id == 20} == {1} and {r.predicted for r in got if r.doc_id != 20} == {0}
+    clash = none.selectExpr("*", "'x' AS text", "1 AS y", "2 AS t", "3 AS i")
+    assert toxicity.scores(docs_of(spark, []), clash).count() == 0 and toxicity.scores(docs_of(spark, ODD), clash.limit(0)).count() == len(ODD)
 
 
 # 9

@@ -1,13 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon turns a clause's words into classes: insult, threat, target, negation, report, other. Its insult arcs
+A lexicon turns a clause's words into classes: insult, threat, target, agent, negation, report, other. Its insult arcs
 are words and word beginnings with weights learned from labels, beside a few fixed ones; the other classes are fixed lists. Three
 transducers are composed with it: negation marks what follows a negating word within three words, reported speech marks what
-follows a verb of saying or stands in quotes, target marks what follows an address. So a clause gives weight to six kinds of match, never to a word
-alone; the logarithms of a document's sums are the inputs of a logistic score.
-
-Training takes about SAMPLE labelled rows outside the held-out fold, by a hash of the id. The arcs come from five sixths of
-them, the six weights from the rest. Documents that share rare word triples (copies, near copies) count as one. An arc
+follows a verb of saying or stands in quotes, and the last one matches clauses. An insult matches as `targeted` if a target stands before or after it in its
+clause, or if the clause is nothing but insults (an address: "Idiot!"); a threat matches if its target follows, or if
+agent and target stand before it. An insult that nothing licenses is a kind of its own, `loose`: it weighs nothing unless
+labels give it a weight. A threat without a target gives nothing. The logarithms of a document's sums by kind are the inputs of a
+logistic score.
+
+Training takes about SAMPLE labelled rows outside the held-out fold, by a hash of the id. The arcs come from two thirds of
+them, the weights from the rest. Documents that share rare word triples (copies, near copies) count as one. An arc
 must be more frequent in toxic documents than chance allows over all arcs tried. Labels for unknown ids and null labels
 are ignored; several labels of one id count as the highest. Null and empty texts match nothing and get the score of such
 texts. Without labels the fixed arcs and weights remain. Each document row gives one row; other columns are ignored.
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import Rolling, cut, fold, parts
+from tidemark.llm.common import PART_BYTES, Rolling, cut, fold
 
 #: Labelled rows to learn from, about.
 SAMPLE = 9_000
@@ -38,17 +41,16 @@ NEGATED_WORDS = 3
 INSULTS = "idiot moron stupid loser scum pathetic worthless disgusting trash clown imbecile dumbass idiota estúpido idiote stupide dummkopf abschaum".split()
 THREATS = "kill hurt destroy beat stab shoot burn töten umbringen tuer frapper matar golpear".split()
 TARGETS = "you your yours he she they him her them du dich dein ihr euch tu te toi vous tú usted vosotros ustedes".split()
+AGENTS = "i we someone ich wir je nous yo nosotros".split()
 NEGATIONS = "not no never isn't aren't don't nobody nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
 REPORTS = "said says called wrote quoted claimed reported sagte nannte schrieb dit appela écrit dijo llamó escribió".split()
+QUOTES, CLAUSE_ENDS, APOSTROPHES = "\"“”„«»", ".!?;\n。！？；…", "'’"
 FIXED_WEIGHT = 2.0
 
-KINDS = ("insult", "targeted", "negated", "reported", "threat", "softened")
-#: Weights before training: the constant, then one a kind.
-PRIOR = np.array([-3.0, 3.0, 3.5, 1.0, 1.0, 1.5, 0.5])
-
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
-_CLAUSE = re.compile(r"[.!?;\n]")
-_QUOTES = frozenset("\"“”„«»")
+KINDS = ("loose", "targeted", "negated", "reported", "threat", "softened")
+#: Weights before training: the constant, then one a kind; and how strongly training holds to each.
+PRIOR = np.array([-3.0, 0.0, 3.6, 0.5, 0.5, 3.6, 0.0])
+HOLD = np.array([0.1, 0.1, 1.0, 1.0, 1.0, 1.0, 1.0])
 
 
 class Transducer:
@@ -77,110 +79,163 @@ class Transducer:
         return Transducer(arcs, start)
 
 
-LABELS = ("other", "insult", "threat", "target", "negation", "report", "quote")
+LABELS = ("other", "insult", "threat", "target", "agent", "negation", "report", "quote", "end")
+
+
+def _matching(state: tuple, label: str) -> tuple:
+    """A step of the clause matcher. State: only insults so far, agent seen, target seen, insult waiting, threat waiting."""
+    bare, agent, target, insult, threat = state
+    if label == "end":
+        return (True, False, False, False, False), ("targeted" if target or bare else "loose") if insult else "other"
+    out, bare = "other", bare and label == "insult"
+    if label == "insult":
+        out, insult = ("targeted", insult) if target else ("other", True)
+    elif label == "target":
+        out, insult, threat, target = ("threat", insult, False, True) if threat else ("targeted" if insult else "other", False, False, True)
+    elif label == "threat":
+        out, threat = ("threat", False) if agent and target else ("other", True)
+    elif label == "agent":
+        agent = True
+    elif label in KINDS:
+        out = label
+    return (bare, agent, target, insult, threat), out
 
 
 def grammar() -> Transducer:
-    """Negation, then reported speech, then target, as one transducer; its outputs that matter are KINDS."""
-    negation = {(k, "negation"): (NEGATED_WORDS, "other") for k in range(NEGATED_WORDS + 1)}
+    """Negation, then reported speech, then the clause matcher, as one transducer; its outputs that matter are KINDS."""
+    negation = {(k, "negation"): (NEGATED_WORDS, "other") for k in range(NEGATED_WORDS + 1)} | {(k, "end"): (0, "end") for k in range(1, NEGATED_WORDS + 1)}
     for k in range(1, NEGATED_WORDS + 1):
-        negation |= {(k, x): (k - 1, x) for x in ("other", "target", "report", "quote")}
+        negation |= {(k, x): (k - 1, x) for x in ("other", "target", "agent", "report", "quote")}
         negation |= {(k, "insult"): (k - 1, "negated"), (k, "threat"): (k - 1, "softened")}
-    reported = {(0, "report"): (1, "other"), (0, "quote"): (2, "other"), (1, "quote"): (2, "other"), (2, "quote"): (0, "other")}
+    reported = {(0, "report"): (1, "other"), (0, "quote"): (2, "other"), (1, "quote"): (2, "other"), (2, "quote"): (0, "other"), (1, "end"): (0, "end"), (2, "end"): (0, "end")}
     for k in (1, 2):
         reported |= {(k, "insult"): (k, "reported"), (k, "negated"): (k, "reported"), (k, "threat"): (k, "softened")}
-    target = {(0, "target"): (1, "other"), (1, "insult"): (1, "targeted"), (0, "threat"): (0, "softened"), (1, "threat"): (1, "threat")}
-    return Transducer(negation, 0).compose(Transducer(reported, 0), LABELS).compose(Transducer(target, 0), LABELS)
-
-
-def _letters(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Lower-case text by parts, with the begin and end byte of each word (letters and non-ASCII, without punctuation)."""
-    for first, end, data, starts in parts(pc.utf8_lower(pc.fill_null(column, ""))):
-        rows = end - first
-        shift = np.repeat(np.arange(rows) + 1, np.diff(starts))
-        text = np.full(len(data) + rows + 4, 32, np.uint8)
-        text[np.arange(len(data)) + shift] = data
-        inside = ((text >= 97) & (text <= 122)) | (text >= 128)
-        # Latin-1 signs and general punctuation are no letters.
-        signs = np.flatnonzero((text[:-1] == 0xC2) & (text[1:] >= 128))
-        marks = np.flatnonzero((text[:-2] == 0xE2) & ((text[1:-1] == 0x80) | (text[1:-1] == 0x81)))
-        for at, width in ((signs, 2), (marks, 3)):
-            for k in range(width):
-                inside[at + k] = False
-        begin, stop = np.flatnonzero(~inside[:-1] & inside[1:]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        yield first, end, text, starts[:-1] + np.arange(rows) + 1, begin, stop
+    start = (True, False, False, False, False)
+    matching, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        for label in (*LABELS, *KINDS):
+            matching[state, label] = _matching(state, label)
+            if (then := matching[state, label][0]) not in seen:
+                seen.add(then)
+                todo.append(then)
+    return Transducer(negation, 0).compose(Transducer(reported, 0), LABELS).compose(Transducer(matching, start), LABELS)
+
+
+#: What a sign is: 1 a letter, 2 a quote, 3 the end of a clause, 4 an apostrophe, which belongs to a word between letters; by code point.
+_SIGNS: list[np.ndarray] = []
+
+
+def _signs() -> np.ndarray:
+    if not _SIGNS:
+        table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+        for value, signs in ((2, QUOTES), (3, CLAUSE_ENDS), (4, APOSTROPHES)):
+            table[[ord(c) for c in signs]] = value
+        _SIGNS.append(table)
+    return _SIGNS[0]
+
+
+class Tokens:
+    """The words, quotes and clause ends of a run of texts in lower case, by code point. The only tokeniser here: learning, search and grammar share it."""
+
+    def __init__(self, texts: list[str]):
+        # Every text is a clause of its own at least.
+        self.text = "\n" + "".join(t.lower() + "\n" for t in texts)
+        self.points = np.frombuffer(self.text.encode("utf-32-le", "replace"), np.uint32)
+        kind = _signs()[self.points]
+        letter = kind == 1
+        inside = letter.copy()
+        inside[1:-1] |= (kind[1:-1] == 4) & letter[:-2] & letter[2:]
+        self.begin, self.stop = np.flatnonzero(~inside[:-1] & inside[1:]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        self.quotes, self.ends = np.flatnonzero(kind == 2), np.flatnonzero(kind == 3)
+        self.starts = np.cumsum([1, *(len(t.lower()) + 1 for t in texts)])
+
+    def word(self, k: int) -> str:
+        return self.text[self.begin[k] : self.stop[k]]
 
 
 class Lexicon:
-    """Insult arcs with their weights: '=word' is a whole word, '^begin' a beginning. A word takes its heaviest arc."""
+    """Insult arcs with their weights: '=word' is a whole word, '^begin' a beginning. A word takes its heaviest arc; "idiot's" counts as "idiot"."""
 
     def __init__(self, arcs: dict[str, float]):
         self.arcs = arcs | {"=" + w: max(FIXED_WEIGHT, arcs.get("=" + w, 0)) for w in INSULTS}
-        self.fixed = {w: label for label, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
+        self.fixed = {w: label for label, words in (("threat", THREATS), ("target", TARGETS), ("agent", AGENTS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
         self.lengths = sorted({len(a) - 1 for a in self.arcs if a[0] == "^"})
         self.tables = {}
         for n in (0, *self.lengths):
-            texts = [a[1:].encode() for a in self.arcs if (a[0] == "=" if not n else a[0] == "^" and len(a) == n + 1)] + [w.encode() for w in THREATS if not n]
-            data = np.frombuffer(b"".join(texts), np.uint8)
+            texts = [a[1:] for a in self.arcs if (a[0] == "=" if not n else a[0] == "^" and len(a) == n + 1)] + [w for w in THREATS if not n]
             ends = np.cumsum([0, *map(len, texts)])
-            self.tables[n] = np.sort(Rolling(data).ranges(ends[:-1], ends[1:]))
+            self.tables[n] = np.sort(Rolling(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)).ranges(ends[:-1], ends[1:]))
         self.rules = grammar()
 
     def weight(self, word: str) -> float:
         found = [self.arcs.get("=" + word, 0.0), *(self.arcs.get("^" + word[:n], 0.0) for n in self.lengths if len(word) >= n)]
         return max(found)
 
-    def candidates(self, text: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Words that match an insult or threat arc, by number."""
-        rolling = Rolling(text)
-        letter = np.flatnonzero((text & 0xC0) != 0x80)
-        at = np.searchsorted(letter, begin)
-        hit = np.isin(rolling.ranges(begin, stop), self.tables[0])
+    def label(self, word: str) -> tuple[str, float]:
+        """A word's class and weight; before an apostrophe, if the whole word has none."""
+        word = word.replace("’", "'")
+        for w in dict.fromkeys((word, word.split("'")[0])):
+            if w in self.fixed:
+                return self.fixed[w], FIXED_WEIGHT
+            if (weight := self.weight(w)) > 0:
+                return "insult", weight
+        return "other", 0.0
+
+    def candidates(self, t: Tokens) -> np.ndarray:
+        """Words that may match an insult or threat arc, by number."""
+        rolling = Rolling(t.points)
+        # A word with an apostrophe is looked up by what stands before it, as the whole words of the arcs have none.
+        marks = np.flatnonzero(np.isin(t.points, [ord(c) for c in APOSTROPHES]))
+        first = np.append(marks, len(t.points))[np.searchsorted(marks, t.begin)]
+        stop = np.minimum(t.stop, first)
+        hit = np.isin(rolling.ranges(t.begin, stop), self.tables[0])
         for n in self.lengths:
-            end = letter[np.minimum(at + n, len(letter) - 1)]
-            long = np.flatnonzero(end <= stop)
-            hit[long] |= np.isin(rolling.ranges(begin[long], end[long]), self.tables[n])
+            long = np.flatnonzero(t.begin + n <= stop)
+            hit[long] |= np.isin(rolling.ranges(t.begin[long], t.begin[long] + n), self.tables[n])
         return np.flatnonzero(hit)
 
-    def clause(self, text: str, sums: np.ndarray) -> None:
-        """Run the grammar over one clause and add the weight of each match to sums, by kind."""
-        state = self.rules.start
-        for word in _WORD.findall(text):
-            weight = 0.0
-            if word in _QUOTES:
-                label = "quote"
-            else:
-                label = self.fixed.get(word, "other")
-                if label == "other" and (weight := self.weight(word)) > 0:
-                    label = "insult"
+    def clause(self, labels: list[tuple[str, float]], sums: np.ndarray) -> None:
+        """Run the grammar over one clause's labels with their weights and add the weight of each match to sums, by kind."""
+        state, insults, threats = self.rules.start, 0.0, 0.0
+        for label, weight in (*labels, ("end", 0.0)):
             state, out = self.rules.step(state, label)
-            if out in KINDS:
-                sums[KINDS.index(out)] += weight or FIXED_WEIGHT
+            insults += weight * (label == "insult" and out == "other")  # waits for its target
+            if label == "threat":
+                threats = weight
+            if out == "threat":
+                sums[KINDS.index(out)] += threats
+            elif out in ("loose", "targeted") and label != "insult":
+                sums[KINDS.index(out)] += insults
+                insults = 0.0
+            elif out in KINDS:
+                sums[KINDS.index(out)] += weight
 
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text, the logarithm of 1 + its matches' weight, by kind."""
         out = np.zeros((len(column), len(KINDS)))
-        for first, _, text, starts, begin, stop in _letters(column):
-            found = begin[self.candidates(text, begin, stop)]
-            row = np.searchsorted(starts, found, "right") - 1
-            for r in np.unique(row):
-                end = int(starts[r + 1]) - 1 if r + 1 < len(starts) else len(text)
-                raw = text[starts[r] : end].tobytes()
-                at = 0
-                places = (found[row == r] - starts[r]).tolist()
-                for part in _CLAUSE.split(raw.decode("utf-8", "replace")):
-                    stop_at = at + len(part.encode())
-                    while places and places[0] < at:
-                        places.pop(0)
-                    if places and places[0] < stop_at:
-                        self.clause(part, out[first + r])
-                    at = stop_at + 1
+        texts = pc.fill_null(column, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+            t = Tokens(texts.slice(at, end - at).to_pylist())
+            found = self.candidates(t)
+            closing = np.searchsorted(t.ends, t.begin[found])  # the clause between two ends
+            for k in np.unique(closing):
+                low, high = t.ends[k - 1], t.ends[k]
+                words = [(int(t.begin[w]), *self.label(t.word(w))) for w in range(*np.searchsorted(t.begin, (low, high)))]
+                quotes = [(int(q), "quote", 0.0) for q in t.quotes[slice(*np.searchsorted(t.quotes, (low, high)))]]
+                row = int(np.searchsorted(t.starts, low + 1, "right")) - 1
+                self.clause([x[1:] for x in sorted(words + quotes)], out[at + row])
+            at = end
         return np.log1p(out)
 
 
 def _arcs(text: str) -> set[str]:
     """Every word of a text and its beginnings."""
-    words = set(re.findall(r"[^\W\d_]+", text.lower()))
+    t = Tokens([text])
+    words = {w.replace("’", "'").split("'")[0] for w in map(t.word, range(len(t.begin)))}
     return {"=" + w for w in words} | {"^" + w[:n] for w in words for n in BEGINNINGS if len(w) > n}
 
 
@@ -218,16 +273,16 @@ def learn_arcs(rows: DataFrame) -> dict[str, float]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weights by Newton's method with step halving, held to PRIOR by a unit penalty."""
+    """Weights by Newton's method with step halving, held to PRIOR by HOLD."""
     x, beta = np.column_stack([np.ones(len(x)), x]), PRIOR.copy()
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ((b - PRIOR) ** 2).sum())
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (HOLD * (b - PRIOR) ** 2).sum())
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (w * (y - p)) - (beta - PRIOR))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(HOLD), x.T @ (w * (y - p)) - HOLD * (beta - PRIOR))
         size = 1.0
         while size > 1e-6 and loss(beta + size * step) > loss(beta):
             size /= 2
@@ -250,7 +305,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in m], pa.int64()) for k in range(3))], ["t", "y", "part", "m0", "m1", "m2"])
 
     # The sample is bounded, so a group in it is as well.
-    rows = rows.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(6)).alias("part")).mapInArrow(mark, "t string, y int, part bigint, m0 bigint, m1 bigint, m2 bigint")
+    rows = rows.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(3)).alias("part")).mapInArrow(mark, "t string, y int, part bigint, m0 bigint, m1 bigint, m2 bigint")
     many = [F.count("*").over(Window.partitionBy(f"m{k}")) for k in range(3)]
     rows = cut(rows.repartition(12).withColumn("w", 1.0 / F.greatest(*many)).select("t", "y", "part", "w").repartition(12))
     lexicon = Lexicon(learn_arcs(rows.where("part > 0")))

@@ -229,3 +229,27 @@ def toxic_matches(text, arcs, fixed, kinds, weight_of_fixed, reach):
                         waiting = 0.0
         out["targeted" if target or bare else "loose"] += waiting
     return [out[k] for k in kinds]
+
+
+def language_sums(text, names, p, mark, longest):
+    """Logarithm of a text's probability in each language: each word's sum over all segmentations, letter by letter."""
+    import regex
+
+    found = regex.findall(r"\p{L}+", (text or "").lower())
+    if not found:
+        return None
+    out, unknown = [0.0] * p.shape[1], p.shape[0] - 2
+    for word in found:
+        word = mark + word
+        for lang in range(p.shape[1]):
+            ahead, shift = [1.0] + [0.0] * len(word), 0.0
+            for end in range(1, len(word) + 1):
+                for start in range(max(0, end - longest), end):
+                    k = names.get(word[start:end], unknown if end == start + 1 else None)
+                    ahead[end] += ahead[start] * p[k, lang] if k is not None else 0.0
+                if ahead[end] < 1e-100:  # keep the numbers in range
+                    top = ahead[end]
+                    ahead[max(0, end - longest) : end + 1] = [x / top for x in ahead[max(0, end - longest) : end + 1]]
+                    shift += math.log(top)
+            out[lang] += math.log(ahead[-1]) + shift
+    return out

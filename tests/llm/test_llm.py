@@ -191,7 +191,7 @@ def test_ids_equal_the_library(spark):
 # 5
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     import numpy as np
 
     names = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba"]
@@ -205,11 +205,29 @@ def test_forward_sums_all_segmentations():
         out = sum(p[k, lang] * total(rest[len(x) :], lang) for k, x in enumerate(names) if rest.startswith(x))
         return out + (0 if rest[0] in names else p[-1, lang] * total(rest[1:], lang))
 
-    _, points = next(found.words([word]))
-    got = found.forward(points, np.vstack([p, np.zeros(2)]))[-1, 0]
-    assert got == pytest.approx([total(word, 0), total(word, 1)])
-    counts = found.expected(points, np.ones(1), np.append(p[:, 0], 0))
-    assert sum(counts[k] * len(x) for k, x in enumerate(names)) == pytest.approx(len(word))
+    for short in (langid.SHORT, 2):  # sums, then their logarithms
+        monkeypatch.setattr(langid, "SHORT", short)
+        _, points = next(found.words([word]))
+        got = found.forward(points, np.vstack([p, np.zeros(2)]))[-1, 0]
+        assert np.exp(got) == pytest.approx([total(word, 0), total(word, 1)])
+        counts = found.expected(points, np.ones(1), np.append(p[:, 0], 0))
+        assert sum(counts[k] * len(x) for k, x in enumerate(names)) == pytest.approx(len(word))
+
+
+def test_whole_texts_equal_the_plain_sums(spark, data):
+    docs = small(spark, data)
+    model = langid.train(docs, PIECES, F.lit(True))
+    names = langid.pieces_of(open(PIECES, "rb").read())
+    assert max(map(len, names)) == model.pieces.longest > 10
+    texts = [r.text for r in docs.collect()][:60] + ["internationalization " * 3, "ab" * 200, "中文没有空格" * 30 + " x", "a" * 3000, "É", "12", None, "donaudampfschifffahrtsgesellschaft", "x"]
+    got = model.predict(texts)
+    for text, lang, score in zip(texts, *got, strict=True):
+        sums = brute.language_sums(text, {n: k for k, n in enumerate(names)}, model.p, langid.MARK, max(map(len, names)))
+        if sums is None:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+        assert lang == model.languages[best] and score == pytest.approx(1 / sum(math.exp(x - sums[best]) for x in sums), rel=1e-6)
 
 
 def test_languages_of_held_out_documents(spark):
@@ -222,6 +240,7 @@ def test_languages_of_odd_rows(spark):
     got = langid.predictions(docs_of(spark, [*ODD, (8, "123 !?", "en"), (9, "a" * 5000, "en")]), PIECES).collect()
     assert len(got) == len(ODD) + 2 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 8)} == {"und"}
     assert {r.lang_pred for r in langid.predictions(docs_of(spark, [(1, "text", None)]), PIECES).collect()} == {"und"}
+    assert langid.predictions(docs_of(spark, []), PIECES).count() == 0
 
 
 # 6

@@ -1,8 +1,8 @@
 """Language ID by unigram pieces, summed over all segmentations.
 
-A language gives each piece of a fixed public vocabulary a probability. A word (a run of letters, in lower case, after
-the vocabulary's word mark) has as probability the sum over all ways to cut it into pieces, found by the forward
-algorithm; a text has the product of its words'. Training is expectation-maximisation: the expected piece counts of
+A language gives each piece of a fixed public vocabulary a probability. A word (a whole run of letters, in lower case, after
+the vocabulary's word mark, however long) has as probability the sum over all ways to cut it into pieces, found by the forward
+algorithm, for long words on logarithms; a text has the product of its words'. Training is expectation-maximisation: the expected piece counts of
 every distinct training word are summed by Spark, so what reaches the driver is one number a piece and language.
 
 The sample for training holds about PER_LANGUAGE documents a language, taken by a hash of the id, whatever the size of
@@ -28,12 +28,12 @@ from tidemark.llm.common import carried, fold, staged
 
 #: Training documents of a language, about.
 PER_LANGUAGE = 1000
-#: Rounds of expectation-maximisation, count added to each piece, and letters of the longest piece in use.
-ROUNDS, ADDED, LONGEST = 3, 0.05, 10
-#: Words whose probabilities a worker remembers, and bytes of text handled at once.
-CACHE, CHUNK = 120_000, 1 << 20
-#: Words are scored in stretches of so many letters at most, so that no probability underflows.
-STRETCH = 48
+#: Rounds of expectation-maximisation, and count added to each piece.
+ROUNDS, ADDED = 3, 0.05
+#: Words whose probabilities a worker remembers, letters of them, and bytes of text handled at once.
+CACHE, CACHED_LETTERS, CHUNK = 120_000, 8_000_000, 1 << 20
+#: Letters up to which a word's sums can't underflow, and letters of equally long words handled at once.
+SHORT, AT_ONCE = 32, 1 << 18
 LETTERS = regex.compile(r"\p{L}+")
 #: The word mark of the vocabulary (fixed value).
 MARK = "▁"
@@ -44,7 +44,7 @@ def pieces_of(model: bytes) -> list[str]:
     """The vocabulary's pieces of letters, in lower case, with or without the word mark."""
     vocabulary = sentencepiece.SentencePieceProcessor(model_proto=model)
     found = {vocabulary.id_to_piece(i).lower() for i in range(vocabulary.get_piece_size())}
-    return sorted(p for p in found if len(p) <= LONGEST and LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
+    return sorted(p for p in found if LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
 
 
 def _hash(points: np.ndarray) -> np.ndarray:
@@ -58,62 +58,79 @@ class Pieces:
     """Finds which pieces start at which letters of many words at once. Any other single letter is the unknown piece."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         hashes = np.array([int(_hash(np.array([[ord(c) for c in p]], np.uint32))[0]) for p in pieces], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order.astype(np.int64)
+        self.hashes, self.ids = hashes[order], order.astype(np.int32)
 
     def words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For words of equal length, their indices and their letters."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        for length, rows in by_length.items():
-            yield np.array(rows), np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
-
-    def arcs(self, points: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """By (start, end), the piece each word has there, or -1."""
-        n, length = points.shape
-        found = {}
-        for start in range(length):
-            key = np.zeros(n, np.uint64)
-            for end in range(start + 1, min(length, start + LONGEST) + 1):
-                key = (key + points[:, end - 1].astype(np.uint64) + np.uint64(1)) * _STEP
-                at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1) if self.n else np.zeros(n, np.int64)
-                ids = np.where(self.hashes[at] == key, self.ids[at], -1) if self.n else np.full(n, -1)
-                if end == start + 1:
-                    ids = np.where(ids < 0, self.n, ids)
-                if (ids >= 0).any():
-                    found[start, end] = ids
+        for length, every in by_length.items():
+            step = max(1, AT_ONCE // length)
+            for k in range(0, len(every), step):
+                rows = every[k : k + step]
+                yield np.array(rows), np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
+
+    def arcs(self, points: np.ndarray) -> list[np.ndarray]:
+        """By length less one, the piece of that length that each word has at each start, or -1."""
+        length, found = points.shape[1], []
+        letters = points.astype(np.uint64) + np.uint64(1)
+        key = np.zeros(points.shape, np.uint64)
+        for size in range(1, min(length, self.longest) + 1):
+            key = (key[:, : length - size + 1] + letters[:, size - 1 :]) * _STEP
+            if self.n:
+                at = np.minimum(np.searchsorted(self.hashes, key), self.n - 1)
+                ids = np.where(self.hashes[at] == key, self.ids[at], np.int32(-1))
+            else:
+                ids = np.full(key.shape, -1, np.int32)
+            found.append(np.where(ids < 0, np.int32(self.n), ids) if size == 1 else ids)
         return found
 
-    def forward(self, points: np.ndarray, p: np.ndarray, arcs: dict | None = None) -> np.ndarray:
-        """Summed probability of every prefix of each word: [end, word, language]. p: [piece, language], zeros last."""
+    @staticmethod
+    def _steps(arcs: list[np.ndarray], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, pieces of the words there) in the order of ends, where any word has one."""
+        some = [(ids >= 0).any(axis=0) for ids in arcs]
+        for end in range(1, length + 1):
+            for size in range(1, min(end, len(arcs)) + 1):
+                if some[size - 1][end - size]:
+                    yield end - size, end, arcs[size - 1][:, end - size]
+
+    def forward(self, points: np.ndarray, p: np.ndarray, arcs: list[np.ndarray] | None = None) -> np.ndarray:
+        """Logarithm of the summed probability of every prefix of each word: [end, word, language]. p: [piece, language], zeros last."""
         n, length = points.shape
-        sums = np.zeros((length + 1, n, p.shape[1]))
-        sums[0] = 1
-        for (start, end), ids in sorted((arcs or self.arcs(points)).items(), key=lambda x: x[0][1]):
-            sums[end] += sums[start] * p[ids]
-        return sums
+        logs = length > SHORT
+        sums = np.full((length + 1, n, p.shape[1]), -np.inf if logs else 0.0)
+        sums[0] = 0 if logs else 1
+        with np.errstate(divide="ignore"):
+            weight = np.log(p) if logs else p
+            for start, end, ids in self._steps(arcs or self.arcs(points), length):
+                if logs:
+                    np.logaddexp(sums[end], sums[start] + weight[ids], out=sums[end])
+                else:
+                    sums[end] += sums[start] * weight[ids]
+            return sums if logs else np.log(sums)
 
     def expected(self, points: np.ndarray, weights: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected count of each piece in words that occur weights times, under one language's p."""
         arcs, length = self.arcs(points), points.shape[1]
         ahead = self.forward(points, p[:, None], arcs)[:, :, 0]
-        behind = np.zeros_like(ahead)
-        behind[length] = 1
-        for (start, end), ids in sorted(arcs.items(), key=lambda x: -x[0][0]):
-            behind[start] += behind[end] * p[ids]
-        out = np.zeros(self.n + 2)
-        scale = weights / np.maximum(ahead[length], 1e-300)
-        for (start, end), ids in arcs.items():
-            np.add.at(out, ids, np.where(ids >= 0, ahead[start] * p[ids] * behind[end] * scale, 0))
-        return out[: self.n + 1]
+        behind, out = np.full(ahead.shape, -np.inf), np.zeros(self.n + 2)
+        behind[length] = 0
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        for start, end, ids in reversed(list(self._steps(arcs, length))):
+            through = log_p[ids] + behind[end]
+            np.logaddexp(behind[start], through, out=behind[start])
+            out += np.bincount(ids + 1, np.exp(ahead[start] + through - ahead[length]) * weights, len(out))
+        return out[1:]
 
 
-def _stretches(text: str) -> list[str]:
-    """The words of a text with the word mark; a very long run of letters counts as several words."""
-    return [MARK + w if len(w) < STRETCH else MARK + w[k : k + STRETCH - 1] for w in LETTERS.findall(text.lower()) for k in (range(0, len(w), STRETCH - 1) if len(w) >= STRETCH else (0,))]
+def _words(text: str) -> list[str]:
+    """The words of a text with the word mark."""
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 class Model:
@@ -121,25 +138,26 @@ class Model:
 
     def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray):
         self.pieces, self.languages, self.p = Pieces(pieces), languages, np.vstack([p, np.zeros(p.shape[1])])
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(languages)))
+        self.forget()
 
     def forget(self) -> None:
         """Give the remembered words' memory back."""
-        self.known, self.table = {}, np.zeros((0, len(self.languages)))
+        self.known: dict[str, int] = {}
+        self.table, self.letters = np.zeros((0, len(self.languages))), 0
 
     def learn(self, words: list[str]) -> None:
         found = np.empty((len(words), len(self.languages)))
         for rows, points in self.pieces.words(words):
-            found[rows] = np.log(np.maximum(self.pieces.forward(points, self.p)[-1], 1e-300))
+            found[rows] = self.pieces.forward(points, self.p)[-1]
         self.known |= {w: len(self.table) + i for i, w in enumerate(words)}
         self.table = np.vstack([self.table, found])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cut = [_stretches(t or "") for t in texts]
+        cut = [_words(t or "") for t in texts]
         everything = set().union(*cut)
         new = list(everything.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
+        self.letters += sum(map(len, new))
+        if len(self.known) + len(new) > CACHE or self.letters > CACHED_LETTERS:
             self.forget()
             new = list(everything)
         if new and self.languages:
@@ -175,7 +193,7 @@ def train(df: DataFrame, vocabulary: str, learn: Column, text_col: str = "text",
         counts: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                counts.update((lang, w) for w in _stretches(text))
+                counts.update((lang, w) for w in _words(text))
         keys = list(counts)
         yield pa.RecordBatch.from_pydict({"l": pa.array([k[0] for k in keys], pa.string()), "w": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())})
 

@@ -15,9 +15,6 @@ from tidemark.llm.catalog import TOKENIZERS, table
 from tidemark.llm.common import fold, staged
 from tidemark.session import ship
 
-#: A language whose share of the likelihoods is lower is no decision.
-LEAST_SCORE = 0.5
-
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows as one column, in which an operator finds the text."""
@@ -25,11 +22,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, or whose best language is doubtful, go."""
+    """Documents with a language: those without letters go."""
     ship(spark)
     model = langid.train(docs, f"{TOKENIZERS}/piece_bpe_32k.model", fold(F.col("doc_id"), 4) != 2)
     found = langid.predict(_rows(docs), model, id_col="row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where(F.col("lang_pred") != "und").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import corpus_pipeline
 from tests.llm import brute
 from tidemark.llm import bpe, catalog, chatformat, ctw, decontam, htmltext, imatch, langid, near_dedup, suffix_dedup, toxicity
 
-VOCABULARY, PIECES = f"{catalog.TOKENIZERS}/byte_bpe_50k.json", f"{catalog.TOKENIZERS}/piece_bpe_32k.model"
+VOCABULARY, PIECES = catalog.vocabulary("byte_bpe_50k.json"), catalog.vocabulary("piece_bpe_32k.model")
 CLASH = "doc_id long, text string, lang string, t string, d int, v int, m string, h int, n int, score double, row string, id int, spans string, items string, key int, node int, sig int"
 
 
@@ -188,6 +188,15 @@ def test_ids_equal_the_library(spark):
     assert sorted(((x.doc_id or 0), x.text) for x in back.collect()) == sorted(((i or 0), t or "") for i, t, _ in ODD)
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Bpe(open(catalog.vocabulary("word_bpe_49k.json"), encoding="utf-8").read())
+
+
+def test_round_trip_of_nothing(spark):
+    assert bpe.round_trip(docs_of(spark, []), VOCABULARY).count() == 0 and bpe.decode(bpe.encode(docs_of(spark, []), VOCABULARY), VOCABULARY).count() == 0
+
+
 # 5
 
 

@@ -42,6 +42,9 @@ class Bpe:
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True) or spec.get("normalizer"):
+            raise ValueError("this encoder needs a byte-level BPE vocabulary that cuts texts by the byte-level pattern, without prefix space or normalizer")
         letters, model = byte_letters(), spec["model"]
         raw = lambda token: bytes(letters[c] for c in token)
         size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 from collections.abc import Callable
 
@@ -11,8 +13,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, chatformat, ctw, decontam, htmltext, imatch, langid, near_dedup, suffix_dedup, toxicity
 from tidemark.session import ship
 
-#: Where the public tokenizers' vocabulary files are.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file: in TOKENIZERS_DIR where that is set, else where the package public_tokenizers says, else in /opt/tokenizers."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    if importlib.util.find_spec("public_tokenizers"):
+        return importlib.import_module("public_tokenizers").path(name)
+    return os.path.join("/opt/tokenizers", name)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +42,11 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predictions(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return langid.predictions(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

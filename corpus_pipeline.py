@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, langid, near_dedup, suffix_dedup
-from tidemark.llm.catalog import TOKENIZERS, table
+from tidemark.llm.catalog import table, vocabulary
 from tidemark.llm.common import fold, staged
 from tidemark.session import ship
 
@@ -24,7 +24,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters go."""
     ship(spark)
-    model = langid.train(docs, f"{TOKENIZERS}/piece_bpe_32k.model", fold(F.col("doc_id"), 4) != 2)
+    model = langid.train(docs, vocabulary("piece_bpe_32k.model"), fold(F.col("doc_id"), 4) != 2)
     found = langid.predict(_rows(docs), model, id_col="row")
     return found.where(F.col("lang_pred") != "und").select("row.*")
 
@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its text again."""
     ship(spark)
-    found = bpe.encode(_rows(docs), f"{TOKENIZERS}/byte_bpe_50k.json", id_col="row", check=True)
+    found = bpe.encode(_rows(docs), vocabulary("byte_bpe_50k.json"), id_col="row", check=True)
     return found.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 

@@ -39,31 +39,39 @@ def small(spark, data, name="documents"):
 # 1
 
 
-def test_ctw_equals_the_plain_trees(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "DEPTH", 5)
-    texts = ["the cat sat on the mat", "the dog sat", "", None, "a cat! é", "the cat sat on the mat", "on on on", "zebra the"]
+@pytest.mark.parametrize("depth", [3, 5, 7])
+def test_ctw_equals_the_plain_trees(spark, depth, monkeypatch):
+    texts = ["the cat sat on the mat", "the dog sat", "", None, "a cat! é", "the cat sat on the mat", "on on on", "zebra the", "a12345x", "b12345y", "a12345x b12345y", "\0" * 20, "zebra zebu zzz"]
     rows = [(k, t, None) for k, t in enumerate(texts)]
     learn = [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 7 != 2]
-    tree = brute.Ctw(5, learn, [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 7 == 2])
+    tree = brute.Ctw(depth, learn, [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 7 == 2])
     counts = Counter(w for t in learn for w in brute.tokens(t))
     total, types = sum(counts.values()), len(counts)
     for limit in (ctw.HEAD, 12):
-        for r in ctw.scores(docs_of(spark, rows), limit=limit).collect():
+        for r in ctw.scores(docs_of(spark, rows), limit=limit, depth=depth).collect():
             w = brute.tokens(texts[r.doc_id])
-            assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-5)
-            assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w), rel=1e-5)
+            assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-9)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w), rel=1e-12)
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), total)
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
-def test_ctw_scores_six_bytes_of_context(spark):
-    texts = ["a12345x", "b12345y", "a12345x b12345y", "a12345x", "b12345y"]
-    rows = [(k, t, None) for k, t in enumerate(texts)]
-    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
-    tree = brute.Ctw(6, [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h])
-    for limit in (ctw.HEAD, 12):
-        for r in ctw.scores(docs_of(spark, rows), limit=limit).collect():
-            assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-5)
+def test_ctw_counts_equal_sql(spark, data):
+    """All columns but the model's own score."""
+    con = duckdb.connect()
+    con.create_function("crc", lambda x: zlib.crc32(x.encode()), ["VARCHAR"], "BIGINT")
+    want = con.execute(f"""
+        WITH d AS (SELECT doc_id, crc(CAST(doc_id AS VARCHAR)) % 7 = 2 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS w FROM '{data}/documents.parquet'),
+        c AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM d WHERE NOT held_out) GROUP BY t),
+        s AS (SELECT sum(c) AS n, count(*) AS v FROM c),
+        e AS (SELECT doc_id, held_out, unnest(w) AS t FROM d)
+        SELECT doc_id, any_value(held_out), count(*), count(c.c), any_value(n), sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1))) FROM e LEFT JOIN c ON e.t = c.t, s GROUP BY doc_id""").fetchall()
+    for limit in (ctw.HEAD, 500):
+        got = {r.doc_id: r for r in ctw.scores(small(spark, data), limit=limit, depth=4).collect()}
+        assert len(got) == len(want)
+        for i, held, n, known, total, base in want:
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base, rel=1e-9)
 
 
 def test_ctw_on_odd_rows_and_nothing(spark):

@@ -2,14 +2,14 @@
 
 Each byte is coded as eight binary decisions; every decision has its own binary context tree, whose node at depth d is
 chosen by the d bytes before. A node's Krichevsky-Trofimov estimate and the product of its children's weighted
-probabilities are mixed with weight 1/2 each, from depth DEPTH up to 0; the weights that the training text leaves at
+probabilities are mixed with weight 1/2 each, from the given depth up to 0; the weights that the training text leaves at
 the nodes on a path mix the estimates of all depths when a byte is scored. A context never trained on predicts 1/2 for
-each bit. Texts begin after DEPTH bytes 0xFF and end with one, which is scored as well (UTF-8 has no such byte).
+each bit. Texts begin after so many bytes 0xFF and end with one, which is scored as well (UTF-8 has no such byte).
 
-What Spark gathers is the count of each distinct byte string of DEPTH + 1 bytes and of each distinct word. The trees
-are then built by the last two context bytes, each part on its own; only the nodes at depth 2 or less (at most 65,536 contexts
-of 255 nodes, whatever the corpus) come together. Scoring looks up the log probability of each such byte string, and
-the count of each word: the most frequent HEAD of either go to the executors by broadcast, all others by a join.
+What Spark gathers is the count of each distinct byte string of depth + 1 bytes and of each distinct word, dealt into BUCKETS by
+the last three context bytes; a row carries many of them as packed numbers. Each bucket's trees are then built on their own, and only the nodes at
+depth 2 come together (at most 65,536 contexts of 255 nodes, whatever the corpus). The most frequent HEAD byte strings and words
+go to the executors with their values by broadcast; what a text has besides travels to its bucket and is valued there.
 
 Null texts count as empty: one token (the end), one scored byte. Rows with a null id are in fold 0. Each row gives one
 row, repeated rows and ids too. With nothing to learn from, N is 0 and every bit has probability 1/2. Columns other than
@@ -26,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, fold, mix, parts, staged
+from tidemark.llm.common import Rolling, fold, mix, parts, shared_dir, staged
 
-#: Context bytes at most.
-DEPTH = 6
+#: Context bytes at most: with the byte itself they fill 64 bits.
+DEPTH = 7
 #: Words, and byte strings, that a broadcast holds at most.
-HEAD = 2_500_000
+HEAD = 2_000_000
 #: Word and byte-string entries that a task gathers before it merges them.
 MERGE = 3_000_000
+#: Text bytes of a bucket, about, and how many buckets there are at least and at most.
+BUCKET_BYTES, BUCKETS = 4 << 20, (8, 65_536)
 PAD = 0xFF
-GRAM, WORD = 0, 1
-#: The key of the end token.
-END = np.uint64(1)
+GRAM, WORD, NODE = 0, 1, 2
+#: The key of the end token, and one that no byte string or word has (0xC0 is no byte of UTF-8).
+END, EMPTY = np.uint64(1), np.uint64(0xC0C0C0C0C0C0C0C0)
 
 _DELIMITER = np.zeros(256, bool)
 _DELIMITER[[0x20, *range(0x09, 0x0E), PAD]] = True
@@ -63,7 +65,7 @@ class Part:
             space = _DELIMITER[text]
             begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
             keys = Rolling(text).ranges(begin, end)
-            self.words = np.where(keys <= END, keys + np.uint64(2), keys)
+            self.words = np.where((keys <= END) | (keys == EMPTY), keys + np.uint64(2), keys)
             self.word_row = np.searchsorted(starts[:-1] + row * (depth + 1) + depth, begin, "right") - 1
             self.n_words = np.bincount(self.word_row, minlength=rows)
 
@@ -82,54 +84,76 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def gather(df: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
-    """Rows (kind, key, n): the training count of every byte string anywhere, and of every word learned from."""
-    depth = DEPTH  # tasks take the driver's
+def _packed(array: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of an array between ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * array.itemsize).astype(np.int32).tobytes()), pa.py_buffer(array.tobytes())])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], names: dict[str, type]) -> list[np.ndarray]:
+    """Binary columns of a whole partition as arrays."""
+    held: dict[str, list] = {name: [] for name in names}
+    for batch in batches:
+        for name, kind in names.items():
+            held[name] += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist() if x]
+    return [np.concatenate([np.zeros(0, kind), *held[name]]) for name, kind in names.items()]
+
+
+def _bucket(kind: int, keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """Byte strings with the same three latest context bytes share a bucket; words are spread."""
+    return (mix(keys >> np.uint64(8 * (depth - 2)) if kind == GRAM else keys) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(kind: int, keys: np.ndarray, others: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in use by bucket: (bucket numbers, ends, keys, others)."""
+    own = _bucket(kind, keys, depth, buckets)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.append(first, len(own)), keys[order], others[order]
+
+
+def gather(df: DataFrame, learn: Column, depth: int, buckets: int, text_col: str = "text") -> DataFrame:
+    """Rows (kind, bucket, keys, counts): training counts of every byte string anywhere, and of every word learned from, some tasks' share each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, int]] = {GRAM: ([], [], 0), WORD: ([], [], 0)}
 
-        def add(kind: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            own, ends, keys, counts = _by_bucket(kind, keys, counts, depth, buckets)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int8)), pa.array(own), _packed(keys, ends), _packed(counts.astype(np.int64), ends)], ["kind", "bucket", "keys", "counts"])
+
+        def add(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             ks, cs, size = held[kind]
             ks.append(keys)
             cs.append(counts)
-            if size + len(keys) > MERGE:
+            held[kind] = (ks, cs, size + len(keys))
+            if held[kind][2] > MERGE:
                 merged = _merged(ks, cs)
                 # What stays large after merging is passed on, so that a task's memory is bounded.
-                held[kind] = ([], [], 0) if len(merged[0]) > MERGE // 2 else ([merged[0]], [merged[1]], len(merged[0]))
                 if len(merged[0]) > MERGE // 2:
-                    full.append((kind, *merged))
-            else:
-                held[kind] = (ks, cs, size + len(keys))
-
-        def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(keys), 200_000):
-                one = keys[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), kind, np.int8)), pa.array(one.view(np.int64)), pa.array(counts[k : k + 200_000].astype(np.int64))], ["kind", "key", "n"])
+                    held[kind] = ([], [], 0)
+                    yield rows(kind, *merged)
+                else:
+                    held[kind] = ([merged[0]], [merged[1]], len(merged[0]))
 
-        full: list = []
         for batch in batches:
             learned = np.array(batch[1].fill_null(False).to_pylist(), bool)
             for first, end, data, starts in parts(batch[0]):
                 part, take = Part(data, starts, depth), learned[first:end]
-                row = np.repeat(np.arange(end - first), np.diff(np.append(part.first, len(part.grams))))
                 if take.all():
-                    add(GRAM, *_runs(part.grams))
+                    yield from add(GRAM, *_runs(part.grams))
                 else:
-                    trained = take[row]
-                    add(GRAM, *_runs(part.grams[trained]))
+                    trained = np.repeat(take, np.diff(np.append(part.first, len(part.grams))))
+                    yield from add(GRAM, *_runs(part.grams[trained]))
                     keys, counts = _runs(part.grams[~trained])
-                    add(GRAM, keys, counts * 0)
-                add(WORD, *_runs(part.words[take[part.word_row]]))
-                add(WORD, np.array([END]), np.array([take.sum()]))
-                while full:
-                    yield from rows(*full.pop())
+                    yield from add(GRAM, keys, counts * 0)
+                yield from add(WORD, *_runs(part.words[take[part.word_row]]))
+                yield from add(WORD, np.array([END]), np.array([take.sum()]))
         for kind, (ks, cs, _) in held.items():
             if ks:
-                yield from rows(kind, *_merged(ks, cs))
+                yield rows(kind, *_merged(ks, cs))
 
-    counted = df.select(text_col, learn.alias("learn")).mapInArrow(run, "kind tinyint, key bigint, n bigint")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return df.select(text_col, learn.alias("learn")).mapInArrow(run, "kind tinyint, bucket bigint, keys binary, counts binary")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -141,224 +165,339 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
-def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def _kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - 1.1447298858494002
 
 
-class Level:
-    """The nodes at one depth for one of the eight decisions: key (context, bits so far), zeros and ones seen."""
-
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
-        self.keys, self.zeros, self.ones = keys, zeros, ones
-        self.kt = _kt(zeros, ones)
-        self.weighted, self.stop = self.kt, np.ones(len(keys))
-
-    def mix(self, child_keys: np.ndarray, child_weighted: np.ndarray) -> None:
-        """Mix this node's estimate with its children's: stop is the weight left on its own estimate."""
-        below = np.bincount(np.searchsorted(self.keys, child_keys), child_weighted, len(self.keys))
-        self.weighted = np.logaddexp(self.kt, below) - np.log(2)
-        self.stop = np.exp(self.kt - np.log(2) - self.weighted)
-
-    def at(self, keys: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.keys, keys)
-        return self.stop[i], (np.where(bit, self.ones[i], self.zeros[i]) + 0.5) / (self.zeros[i] + self.ones[i] + 1)
-
-
-def _node(keys: np.ndarray, decision: int, up: int) -> np.ndarray:
-    """Key of the node that up bytes of context less and the first bits of the byte choose."""
-    return ((keys >> np.uint64(8 * up + 8)) << np.uint64(8)) | ((keys & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - decision))
+_FEW = _kt_of(*np.meshgrid(np.arange(64.0), np.arange(64.0), indexing="ij"))
 
 
-def _bit(keys: np.ndarray, decision: int) -> np.ndarray:
-    return (keys >> np.uint64(7 - decision)) & np.uint64(1) == 1
-
-
-def levels(keys: np.ndarray, counts: np.ndarray, decision: int, deepest: int, top: int = 2) -> dict[int, Level]:
-    """The weighted nodes of depths deepest to top of one decision's trees, from sorted byte strings and their counts."""
-    bit, found = _bit(keys, decision), {}
-    for depth in range(deepest, top - 1, -1):
-        nodes = _node(keys, decision, deepest - depth)
-        order = np.argsort(nodes, kind="stable")
-        nodes, c, b = nodes[order], counts[order].astype(float), bit[order]
-        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
-        found[depth] = Level(nodes[first], np.add.reduceat(c * ~b, first), np.add.reduceat(c * b, first))
-        if depth < deepest:
-            below = found[depth + 1]
-            found[depth].mix((below.keys >> np.uint64(16) << np.uint64(8)) | (below.keys & np.uint64(255)), below.weighted)
-    return found
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The same, by a table where both are small."""
+    few = (zeros < len(_FEW)) & (ones < len(_FEW))
+    out = _FEW[np.where(few, zeros, 0).astype(np.int64), np.where(few, ones, 0).astype(np.int64)]
+    out[~few] = _kt_of(zeros[~few], ones[~few])
+    return out
 
 
-def _by_suffix(grams: DataFrame, parallel: int) -> DataFrame:
-    """Byte strings with the same two latest context bytes together. They are distinct, so frequent ones weigh no more."""
-    return grams.select("key", "n").repartition(parallel, F.shiftright("key", 8 * (DEPTH - 1)))
+class Level:
+    """The nodes at one depth for all eight decisions, from the distinct (context, byte) keys there, sorted, and their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.first, self.of, self.zeros, self.ones = [], [], [], []
+        for decision in range(8):
+            prefix = keys >> np.uint64(8 - decision)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first = np.flatnonzero(new)
+            bit = (keys >> np.uint64(7 - decision)) & np.uint64(1)
+            ones = np.add.reduceat(counts * bit.astype(float), first)
+            self.first.append(first)
+            self.of.append(np.cumsum(new) - 1)
+            self.ones.append(ones)
+            self.zeros.append(np.add.reduceat(counts, first) - ones)
+        self.weighted = [_kt(z, o) for z, o in zip(self.zeros, self.ones, strict=True)]
+        self.stop = [np.ones(len(f)) for f in self.first]
+
+    def above(self) -> tuple[Level, list[np.ndarray]]:
+        """The level with a context byte less, its nodes mixed with these, and by decision the node there above each node here."""
+        parents = (self.keys >> np.uint64(16) << np.uint64(8)) | (self.keys & np.uint64(255))
+        keys, which = np.unique(parents, return_inverse=True)
+        level = Level(keys, np.bincount(which, self.counts, len(keys)))
+        up = [level.of[d][which[self.first[d]]] for d in range(8)]
+        for d in range(8):
+            below = np.bincount(up[d], self.weighted[d], len(level.first[d]))
+            level.weighted[d], level.stop[d] = _mixed(level.weighted[d], below)
+        return level, up
+
+    def names(self, decision: int) -> np.ndarray:
+        """Number of each node: its context, then a 1 and the bits before the decision."""
+        k = self.keys[self.first[decision]]
+        return (k >> np.uint64(8) << np.uint64(8)) | ((k & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - decision))
+
+
+def _mixed(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of a node's weighted probability, and the weight left on its own estimate."""
+    weighted = np.logaddexp(kt, below) - np.log(2)
+    return weighted, np.exp(kt - np.log(2) - weighted)
+
+
+def _estimates(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.stack([zeros + 0.5, ones + 0.5]) / (zeros + ones + 1)
+
+
+def _up(keys: np.ndarray) -> np.ndarray:
+    """Names of the nodes with a context byte less."""
+    return (keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[Level], list[list[np.ndarray]]]:
+    """Levels from the given depth to 3, and between them the nodes above."""
+    found, ups = [Level(keys, counts.astype(float))], []
+    for _ in range(depth - 3):
+        level, up = found[-1].above()
+        found.append(level)
+        ups.append(up)
+    return found, ups
+
+
+def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """Each bucket's counts together: rows (kind, bucket, keys, counts, sizes), and of kind NODE the sums of its nodes for those at depth 2.
+
+    sizes: how many keys have a count under 2, 4, 8, ..., then their counts' sum and how many were learned.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        for batch in batches:
+            for kind, bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ks, cs = held.setdefault((kind, bucket), ([], []))
+                ks.append(np.frombuffer(keys, np.uint64))
+                cs.append(np.frombuffer(counts, np.int64))
+        nodes: list[np.ndarray] = []
+        names = ["kind", "bucket", "keys", "counts", "sizes"]
+        for kind, bucket in list(held):
+            keys, counts = _merged(*held.pop((kind, bucket)))
+            sizes = np.bincount(np.floor(np.log2(counts + 1.5)).astype(int), minlength=64)[:64]
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([[*sizes.tolist(), int(counts.sum()), int((counts > 0).sum())]], pa.list_(pa.int64()))], names)
+            if kind == GRAM:
+                top = _levels(keys, counts, depth)[0][-1]
+                for d in range(8):
+                    nodes.append(np.stack([top.names(d).view(np.float64), top.zeros[d], top.ones[d], top.weighted[d]]))
+        if nodes:
+            every = np.concatenate(nodes, axis=1)
+            up, which = np.unique(_up(every[0].view(np.uint64)), return_inverse=True)
+            sums = np.stack([np.bincount(which, every[k], len(up)) for k in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([pa.array([NODE], pa.int8()), pa.array([0], pa.int64()), pa.array([up.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names)
+
+    return counted.repartition(buckets, "bucket").mapInArrow(run, "kind tinyint, bucket bigint, keys binary, counts binary, sizes array<bigint>")
+
+
+class Top:
+    """What the nodes of depths 0 to 2 add to those below: by the name of a node at depth 2, the summed share of each bit, and the weight that is left."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        levels, ups = [], []
+        for depth in (2, 1, 0):
+            weighted, stop = _mixed(_kt(zeros, ones), below)
+            levels.append((stop, _estimates(zeros, ones)))
+            if depth:
+                above, which = np.unique(_up(names), return_inverse=True)
+                ups.append(which)
+                if depth == 2:
+                    self.names = names
+                names, zeros, ones, below = above, *(np.bincount(which, x, len(above)) for x in (zeros, ones, weighted))
+        share, left = np.zeros((2, len(names))), np.ones(len(names))
+        for depth in (2, 1, 0):
+            stop, estimate = levels[depth]
+            share, left = share + left * stop * estimate, left * (1 - stop)
+            if depth:
+                share, left = share[:, ups[depth - 1]], left[ups[depth - 1]]
+        self.share, self.left = share, left
+
+    def at(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.names, names)
+        return self.share[:, i], self.left[i]
+
+
+def _top(nodes: DataFrame) -> Top:
+    """The depth-2 nodes' sums over all buckets, added by Spark."""
 
-def _all(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        keys.append(batch[0].to_numpy().view(np.uint64))
-        counts.append(batch[1].to_numpy())
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def log_probabilities(grams: DataFrame, size: int) -> DataFrame:
-    """Rows (key, n, value): log10 of the mixture's probability of each byte string's last byte. size: their number."""
-    grams, deepest = _by_suffix(grams, max(8, size // 150_000)), DEPTH
-
-    def bottom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _all(batches)
-        for decision in range(8 if len(keys) else 0):
-            x = levels(keys, counts, decision, deepest)[2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), decision, np.int8)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["decision", "key", "zeros", "ones", "weighted"])
-
-    at_two = grams.mapInArrow(bottom, "decision tinyint, key bigint, zeros double, ones double, weighted double").toArrow().to_pandas()
-    tops: dict[int, dict[int, Level]] = {}
-    for decision, rows in at_two.groupby("decision"):
-        keys, zeros, ones, weighted = rows["key"].to_numpy().view(np.uint64), rows["zeros"].to_numpy(), rows["ones"].to_numpy(), rows["weighted"].to_numpy()
-        tops[int(decision)] = {}
-        for depth in (1, 0):
-            parents = (keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255))
-            own, i = np.unique(parents, return_inverse=True)
-            level = tops[int(decision)][depth] = Level(own, np.bincount(i, zeros), np.bincount(i, ones))
-            level.mix(parents, weighted)
-            keys, zeros, ones, weighted = level.keys, level.zeros, level.ones, level.weighted
-    shared = grams.sparkSession.sparkContext.broadcast(tops)
-
-    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _all(batches)
-        value = np.zeros(len(keys))
-        for decision in range(8 if len(keys) else 0):
-            at_depth = levels(keys, counts, decision, deepest) | shared.value[decision]
-            bit, rest, p = _bit(keys, decision), np.ones(len(keys)), np.zeros(len(keys))
-            for depth in range(deepest + 1):
-                stop, estimate = at_depth[depth].at(_node(keys, decision, deepest - depth), bit)
-                p += rest * stop * estimate
-                rest *= 1 - stop
-            value += np.log10(p)
-        for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000].view(np.int64)), pa.array(counts[k : k + 200_000]), pa.array(value[k : k + 200_000])], ["key", "n", "value"])
-
-    return grams.mapInArrow(down, "key bigint, n bigint, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, sums in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                x = np.frombuffer(sums, np.float64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), *map(pa.array, x)], ["name", "zeros", "ones", "below"])
+
+    sums = nodes.select("keys", "counts").mapInArrow(run, "name bigint, zeros double, ones double, below double").groupBy("name").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    names = sums.column("name").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return Top(names[order], *(sums.column(c).to_numpy()[order] for c in ("zeros", "ones", "below")))
+
+
+def values(keys: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.ndarray:
+    """log10 of the mixture's probability of the last byte of each of a bucket's byte strings, which must be sorted."""
+    found, ups = _levels(keys, counts, depth)
+    out = np.zeros(len(keys))
+    for d in range(8):
+        share, left = top.at(_up(found[-1].names(d)))
+        for k in range(len(found) - 1, -1, -1):
+            level = found[k]
+            share, left = share + left * level.stop[d] * _estimates(level.zeros[d], level.ones[d]), left * (1 - level.stop[d])
+            if k:
+                share, left = share[:, ups[k - 1][d]], left[ups[k - 1][d]]
+        bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.int64)
+        out += np.log10(share[bit, found[0].of[d]])
+    return out
 
 
 class Lookup:
-    """An open-addressing hash table from 64-bit keys to numbers, built and read in whole arrays."""
+    """An open-addressing hash table from 64-bit keys to doubles, built and read in whole arrays. A key and its value are neighbours."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.mask = np.uint64((1 << max(4, int(1.4 * len(keys) + 1).bit_length())) - 1)
-        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
-        self.values = np.full(int(self.mask) + 1, np.nan, np.float32)
+        self.table = np.empty((int(self.mask) + 1, 2), np.uint64)
+        self.table[:, 0], self.table[:, 1] = EMPTY, np.float64(np.nan).view(np.uint64)
+        rows = np.column_stack([keys, values.astype(np.float64).view(np.uint64)])
         slot, left = mix(keys) & self.mask, np.arange(len(keys))
         while len(left):
-            free = left[self.keys[slot[left]] == 0]
-            self.keys[slot[free]] = keys[free]
-            won = self.keys[slot[left]] == keys[left]
-            self.values[slot[left[won]]] = values[left[won]]
-            left = left[~won]
+            free = left[self.table[slot[left], 0] == EMPTY]
+            self.table[slot[free]] = rows[free]
+            left = left[self.table[slot[left], 0] != keys[left]]
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, nan where there is none."""
         slot = mix(keys) & self.mask
-        there = self.keys[slot]
-        out = np.where(there == keys, self.values[slot], np.float32(np.nan))
-        left = np.flatnonzero((there != keys) & (there != 0))
+        got = self.table[slot]
+        out = np.ascontiguousarray(got[:, 1]).view(np.float64)
+        left = np.flatnonzero((got[:, 0] != keys) & (got[:, 0] != EMPTY))
         while len(left):
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
-            there = self.keys[slot[left]]
-            hit = there == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            left = left[~hit & (there != 0)]
+            got = self.table[slot[left]]
+            out[left] = np.ascontiguousarray(got[:, 1]).view(np.float64)
+            left = left[(got[:, 0] != keys[left]) & (got[:, 0] != EMPTY)]
         return out
 
 
 _tables: dict[str, tuple] = {}
 
 
-def _head(rows: DataFrame, sizes: dict[int, int], limit: int) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
-    """The most frequent rows (key, n, value), limit at most, and whether these are all. sizes: rows by log2(n + 1)."""
-    least = next(k for k in range(65) if sum(n for b, n in sizes.items() if b >= k) <= limit)
-    got = rows.where(F.col("n") + 1 >= F.lit(float(2**least))).select("key", F.col("value").cast("float")).toArrow()
-    return (got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()), all(b >= least for b in sizes)
-
-
 class Model:
-    """Tables of log probabilities by byte string and of log relative counts by word, and the token totals."""
-
-    def __init__(self, grams: DataFrame, words: DataFrame, sizes: dict[int, dict[int, int]], tokens: int, types: int, limit: int):
-        self.tokens, self.types = tokens, types
-        self.unseen = float(-np.log10(tokens + types + 1))
-        self.grams, self.words = grams, words.withColumn("value", F.log10((F.col("n") + 1) / F.lit(float(tokens + types + 1))))
-        self.heads = {GRAM: _head(self.grams, sizes[GRAM], limit), WORD: _head(self.words, sizes[WORD], limit)}
-
-
-def fit(df: DataFrame, learn: Column, text_col: str = "text", limit: int = HEAD) -> Model:
-    """Train on the rows for which learn holds; byte strings of all rows of df get their probabilities."""
-    counts = staged(gather(df, learn, text_col))
-    bucket = F.floor(F.log2(F.col("n") + 1.5)).cast("int")
-    sizes: dict[int, dict[int, int]] = {GRAM: {}, WORD: {}}
-    tokens = types = 0
-    for r in counts.groupBy("kind", bucket.alias("b")).agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("types")).collect():
-        sizes[r.kind][r.b] = r.c
-        if r.kind == WORD:
-            tokens, types = tokens + r.n, types + r.types
-    grams = staged(log_probabilities(counts.where(F.col("kind") == GRAM), sum(sizes[GRAM].values())))
-    return Model(grams, counts.where((F.col("kind") == WORD) & (F.col("n") > 0)), sizes, tokens, types, limit)
+    """The merged counts, what the top nodes add, the token totals, and the most frequent keys with their values."""
+
+    def __init__(self, rows: DataFrame, top, buckets: int, depth: int, tokens: int, types: int):
+        self.rows, self.top, self.buckets, self.depth, self.tokens, self.types = rows, top, buckets, depth, tokens, types
+        self.heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.whole: dict[int, bool] = {}
+
+    def of_words(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.tokens + self.types + 1))
+
+    def take_head(self, kind: int, sizes: np.ndarray, limit: int) -> None:
+        """Hold the most frequent keys of a kind, limit at most. sizes: how many keys have a count under 2, 4, 8, ..."""
+        under = int(next(k for k in range(65) if sizes[k:].sum() <= limit))
+        least, top, depth = 2**under - 1, self.top, self.depth
+        self.whole[kind] = not sizes[:under].sum()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                    often = np.flatnonzero(counts >= least)
+                    if len(often):
+                        value = values(keys, counts, top.value, depth) if kind == GRAM else counts.astype(float)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(value[often])], ["key", "value"])
+
+        got = self.rows.where(F.col("kind") == kind).select("keys", "counts").mapInArrow(run, "key bigint, value double").toArrow()
+        self.heads[kind] = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+
+
+def fit(df: DataFrame, learn: Column, text_col: str = "text", limit: int = HEAD, depth: int = DEPTH) -> Model:
+    """Train on the rows for which learn holds; byte strings of all rows of df get their probabilities. depth: 3 to 7."""
+    size = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    buckets = int(min(BUCKETS[1], max(BUCKETS[0], size // BUCKET_BYTES)))
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    merged(gather(df, learn, depth, buckets, text_col), buckets, depth).write.partitionBy("kind").parquet(path)
+    rows = df.sparkSession.read.schema("bucket bigint, keys binary, counts binary, sizes array<bigint>, kind int").parquet(path)
+    sums = {kind: np.zeros(66, np.int64) for kind in (GRAM, WORD)}
+    for r in rows.where("sizes IS NOT NULL").select("kind", F.posexplode("sizes").alias("k", "x")).groupBy("kind", "k").agg(F.sum("x").alias("x")).collect():
+        sums[r.kind][r.k] = r.x
+    top = df.sparkSession.sparkContext.broadcast(_top(rows.where(F.col("kind") == NODE)))
+    model = Model(rows, top, buckets, depth, int(sums[WORD][64]), int(sums[WORD][65]))
+    for kind in (GRAM, WORD):
+        model.take_head(kind, sums[kind][:64], limit)
+    return model
+
+
+def _rest(found: DataFrame, model: Model) -> DataFrame:
+    """Rows (row, score, base, known): the sums over the keys of found (row, grams, words) that are not in the heads, each valued in its bucket."""
+    depth, buckets, top, whole_words = model.depth, model.buckets, model.top, model.whole[WORD]
+    of_words = Model(None, None, buckets, depth, model.tokens, model.types).of_words
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for kind, name in ((GRAM, "grams"), (WORD, "words")):
+                lists = [np.frombuffer(x or b"", np.uint64) for x in batch.column(name).to_pylist()]
+                of = np.repeat(row, [len(x) for x in lists])
+                own, ends, keys, of = _by_bucket(kind, np.concatenate([np.zeros(0, np.uint64), *lists]), of, depth, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), _packed(keys, ends), pa.nulls(len(own), pa.binary()), _packed(of, ends)], ["kind", "bucket", "keys", "counts", "rows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        for batch in batches:
+            for kind, bucket, keys, counts, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                model_rows, asked = held.setdefault((kind, bucket), ([], []))
+                if counts is None:
+                    asked.append((np.frombuffer(keys, np.uint64), np.frombuffer(of, np.int64)))
+                else:
+                    model_rows.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+        for kind, bucket in list(held):
+            model_rows, asked = held.pop((kind, bucket))
+            if not asked:
+                continue
+            keys, counts = model_rows[0] if model_rows else (np.array([EMPTY]), np.zeros(1, np.int64))  # words never learned
+            value = values(keys, counts, top.value, depth) if kind == GRAM else of_words(counts)
+            want, of = (np.concatenate([x[j] for x in asked]) for j in (0, 1))
+            i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            there = (keys[i] == want) & ((kind == GRAM) | (counts[i] > 0))
+            got = np.where(there, value[i], 0.0 if kind == GRAM else of_words(np.zeros(1))[0])
+            row, which = np.unique(of, return_inverse=True)
+            sums, known, zero = np.bincount(which, got, len(row)), np.bincount(which, there, len(row)).astype(np.int64), np.zeros(len(row))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums if kind == GRAM else zero), pa.array(zero if kind == GRAM else sums), pa.array(known * (kind == WORD))], ["row", "score", "base", "known"])
+
+    asked = found.select("row", "grams", "words").mapInArrow(deal, "kind int, bucket bigint, keys binary, counts binary, rows binary")
+    known = model.rows.where(F.col("kind").isin(*([GRAM] * (not model.whole[GRAM]) + [WORD] * (not whole_words)))).select("kind", "bucket", "keys", "counts", F.lit(None).cast("binary").alias("rows"))
+    each = known.unionByName(asked).repartition(buckets, "bucket").mapInArrow(meet, "row bigint, score double, base double, known bigint")
+    return each.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of df."""
-    shared, mark = df.sparkSession.sparkContext.broadcast(model.heads), uuid.uuid4().hex
-    unseen, depth, src = model.unseen, DEPTH, df.select(id_col, text_col)
+    """Rows (id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of df.
+
+    df must be what fit() saw, since byte strings without a value there count as 0.
+    """
+    words_of = model.heads[WORD]
+    shared, mark = df.sparkSession.sparkContext.broadcast({GRAM: model.heads[GRAM], WORD: (words_of[0], model.of_words(words_of[1]))}), uuid.uuid4().hex
+    unseen, depth, src, all_words = float(model.of_words(np.zeros(1))[0]), model.depth, df.select(id_col, text_col), model.whole[WORD]
     kind = src.schema[0].dataType.simpleString()
-    rare = not all(whole for _, whole in model.heads.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _tables:  # hash tables are built once in each worker, so the broadcast stays as small as its rows
             _tables.clear()
-            _tables[mark] = tuple((Lookup(*shared.value[k][0]), shared.value[k][1]) for k in (GRAM, WORD))
-        (grams, _), (words, all_words) = _tables[mark]
+            _tables[mark] = tuple(Lookup(*shared.value[k]) for k in (GRAM, WORD))
+        grams, words = _tables[mark]
         for batch in batches:
             for first, end, data, starts in parts(batch[1]):
                 part, n = Part(data, starts, depth), end - first
                 value = grams.get(part.grams)
                 lost = np.isnan(value)
-                total = np.add.reduceat(np.where(lost, 0, value.astype(np.float64)), part.first)
+                total = np.add.reduceat(np.where(lost, 0, value), part.first)
                 known = words.get(np.append(part.words, END))
                 finish, known = known[-1], known[:-1]
                 absent = np.isnan(known)
                 base = np.bincount(part.word_row, np.where(absent, unseen if all_words else 0, known), n) + (unseen if np.isnan(finish) else finish)
-                n_known = np.bincount(part.word_row[~absent], minlength=n) + int(not np.isnan(finish))
-                row = np.repeat(np.arange(n), np.diff(np.append(part.first, len(part.grams))))[lost]
-                left_key, left_row, left_kind = part.grams[lost], row, np.full(len(row), GRAM, np.int8)
-                if not all_words:
-                    left_key, left_row, left_kind = np.append(left_key, part.words[absent]), np.append(left_row, part.word_row[absent]), np.append(left_kind, np.full(absent.sum(), WORD, np.int8))
-                order = np.argsort(left_row, kind="stable")
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(left_row, minlength=n))]).astype(np.int32))
+                n_known = np.bincount(part.word_row[~absent], minlength=n) + int(finish > unseen)
+                before = np.append(0, np.cumsum(lost))[np.append(part.first, len(lost))]
+                absent &= not all_words
                 yield pa.RecordBatch.from_arrays([
                     batch[0].slice(first, n), pa.array(np.diff(starts)), pa.array((part.n_words + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(total),
-                    pa.ListArray.from_arrays(ends, pa.array(left_key[order].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(left_kind[order])),
-                ], [id_col, "n_bytes", "n_tokens", "n_known", "base_score", "score", "rest", "kinds"])
+                    _packed(part.grams[lost], before), _packed(part.words[absent], np.append(0, np.cumsum(np.bincount(part.word_row[absent], minlength=n)))),
+                ], [id_col, "n_bytes", "n_tokens", "n_known", "base_score", "score", "grams", "words"])
 
-    found = src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>, kinds array<tinyint>")
-    if rare:
-        # Keys outside the broadcast meet their values in a join; each row has a number of its own, fixed by writing it.
+    found = src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double, grams binary, words binary")
+    if not all(model.whole.values()):
+        # Each row has a number of its own, fixed by writing it.
         found = staged(found.withColumn("row", F.monotonically_increasing_id()))
-        each = found.select("row", F.explode(F.arrays_zip("kinds", "rest")).alias("x")).select("row", F.col("x.kinds").alias("kind"), F.col("x.rest").alias("key"))
-        values = model.grams.select(F.lit(GRAM).cast("tinyint").alias("kind"), "key", "value").unionByName(model.words.select(F.lit(WORD).cast("tinyint").alias("kind"), "key", "value"))
-        word = F.col("kind") == WORD
-        more = each.join(values, ["kind", "key"], "left").groupBy("row").agg(
-            F.sum(F.when(word, F.coalesce("value", F.lit(unseen)))).alias("b"), F.sum(F.when(~word, F.col("value"))).alias("s"), F.sum((word & F.col("value").isNotNull()).cast("long")).alias("k"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        found = found.join(more, "row", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+        more = lambda c: F.coalesce(F.col(f"more_{c}"), F.lit(0))
+        found = found.drop("grams", "words").join(_rest(found, model), "row", "left").withColumns({"n_known": F.col("n_known") + more("known"), "base_score": F.col("base_score") + more("base"), "score": F.col("score") + more("score")})
     return found.select(id_col, "n_bytes", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, limit: int = HEAD) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, limit: int = HEAD, depth: int = DEPTH) -> DataFrame:
     """Train on all folds but one and score every row, with held_out."""
     mine = fold(F.col(id_col), folds)
-    model = fit(df, mine != held, text_col, limit)
+    model = fit(df, mine != held, text_col, limit, depth)
     return score(df, model, id_col, text_col).withColumn("held_out", mine == held)

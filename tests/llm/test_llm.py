@@ -276,6 +276,29 @@ def test_contamination_equals_the_plain_search(spark, data, block):
     assert sum(w[-1] for w in want) > 0
 
 
+def test_a_window_of_very_many_items(spark, monkeypatch):
+    """It is split over blocks by the items, searched in steps, and written down between blocks."""
+    monkeypatch.setattr(decontam, "WRITTEN", 2)
+    monkeypatch.setattr(decontam, "AT_ONCE", 50)
+    passage = " ".join(f"common{k}" for k in range(12))
+    items = [(k, passage if k % 2 else f"{passage} own{k}") for k in range(300)] + [(1000, "common1 common2 common3"), (1001, "common1")]
+    docs = [(1, f"before {passage} own7 and {passage}"), (2, "common1 " * 500), (3, "nothing"), (4, passage.upper()), (5, None)]
+    want = brute.contamination(docs, items)
+    got = decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 1, "w") for x in items], "item_id long, text string, item int, window string"), block_windows=200)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_equal_hashes_are_not_enough():
+    import numpy as np
+
+    block = decontam.Block(["a"], ["one two"])
+    block.order({})
+    data = np.frombuffer(b"one two one tvo", np.uint8)
+    word, first, text, begin, end = decontam.spelled(data, np.array([0, len(data)]))
+    word[3] = word[1]  # a clash
+    assert block.hits(word, first, text, begin, end)[1].tolist() == [0]
+
+
 def test_contamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontam.report(docs_of(spark, ODD), none).collect()

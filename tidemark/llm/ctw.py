@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +85,19 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _packed(array: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary column of the stretches of an array between ends."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * array.itemsize).astype(np.int32).tobytes()), pa.py_buffer(array.tobytes())])
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers in few bytes: their bytes by place, compressed. Sorted keys and small counts have long runs there."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes())
+
 
+def _unpack(packed: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
-def _unpacked(batches: Iterator[pa.RecordBatch], names: dict[str, type]) -> list[np.ndarray]:
-    """Binary columns of a whole partition as arrays."""
-    held: dict[str, list] = {name: [] for name in names}
-    for batch in batches:
-        for name, kind in names.items():
-            held[name] += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist() if x]
-    return [np.concatenate([np.zeros(0, kind), *held[name]]) for name, kind in names.items()]
+
+def _packed(array: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of an array between ends; null where one is empty."""
+    ends = ends.tolist()
+    return pa.array([_pack(array[a:b]) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
 
 def _bucket(kind: int, keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -186,19 +188,21 @@ class Level:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
-        self.first, self.of, self.zeros, self.ones = [], [], [], []
+        self.first, self.of, self.zeros, self.ones, self.weighted, self.stop = [], [], [], [], [], []
+        change = keys[1:] ^ keys[:-1]
+        byte = keys.astype(np.uint8)
+        new = np.ones(len(keys), bool)
         for decision in range(8):
-            prefix = keys >> np.uint64(8 - decision)
-            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            np.greater_equal(change, np.uint64(1 << (8 - decision)), out=new[1:])
             first = np.flatnonzero(new)
-            bit = (keys >> np.uint64(7 - decision)) & np.uint64(1)
-            ones = np.add.reduceat(counts * bit.astype(float), first)
+            total = np.add.reduceat(counts, first)
+            ones = np.add.reduceat(counts * ((byte >> np.uint8(7 - decision)) & np.uint8(1)), first)
             self.first.append(first)
-            self.of.append(np.cumsum(new) - 1)
+            self.of.append(np.cumsum(new, dtype=np.int32) - np.int32(1))
             self.ones.append(ones)
-            self.zeros.append(np.add.reduceat(counts, first) - ones)
-        self.weighted = [_kt(z, o) for z, o in zip(self.zeros, self.ones, strict=True)]
-        self.stop = [np.ones(len(f)) for f in self.first]
+            self.zeros.append(total - ones)
+            self.weighted.append(_kt(self.zeros[-1], ones))
+            self.stop.append(np.ones(len(first)))
 
     def above(self) -> tuple[Level, list[np.ndarray]]:
         """The level with a context byte less, its nodes mixed with these, and by decision the node there above each node here."""
@@ -219,8 +223,10 @@ class Level:
 
 def _mixed(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logarithm of a node's weighted probability, and the weight left on its own estimate."""
-    weighted = np.logaddexp(kt, below) - np.log(2)
-    return weighted, np.exp(kt - np.log(2) - weighted)
+    odds = below - kt
+    with np.errstate(over="ignore"):
+        e = np.exp(odds)
+    return np.where(odds > 500, below, kt + np.log(1 + e)) - np.log(2), 1 / (1 + e)
 
 
 def _estimates(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -253,14 +259,15 @@ def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
         for batch in batches:
             for kind, bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ks, cs = held.setdefault((kind, bucket), ([], []))
-                ks.append(np.frombuffer(keys, np.uint64))
-                cs.append(np.frombuffer(counts, np.int64))
+                ks.append(keys)
+                cs.append(counts)
         nodes: list[np.ndarray] = []
         names = ["kind", "bucket", "keys", "counts", "sizes"]
         for kind, bucket in list(held):
-            keys, counts = _merged(*held.pop((kind, bucket)))
+            ks, cs = held.pop((kind, bucket))
+            keys, counts = _merged([_unpack(x) for x in ks], [_unpack(x, np.int64) for x in cs])
             sizes = np.bincount(np.floor(np.log2(counts + 1.5)).astype(int), minlength=64)[:64]
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([[*sizes.tolist(), int(counts.sum()), int((counts > 0).sum())]], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int64()), pa.array([_pack(keys)], pa.binary()), pa.array([_pack(counts)], pa.binary()), pa.array([[*sizes.tolist(), int(counts.sum()), int((counts > 0).sum())]], pa.list_(pa.int64()))], names)
             if kind == GRAM:
                 top = _levels(keys, counts, depth)[0][-1]
                 for d in range(8):
@@ -269,7 +276,7 @@ def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
             every = np.concatenate(nodes, axis=1)
             up, which = np.unique(_up(every[0].view(np.uint64)), return_inverse=True)
             sums = np.stack([np.bincount(which, every[k], len(up)) for k in (1, 2, 3)])
-            yield pa.RecordBatch.from_arrays([pa.array([NODE], pa.int8()), pa.array([0], pa.int64()), pa.array([up.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([NODE], pa.int8()), pa.array([0], pa.int64()), pa.array([_pack(up)], pa.binary()), pa.array([_pack(sums.ravel())], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names)
 
     return counted.repartition(buckets, "bucket").mapInArrow(run, "kind tinyint, bucket bigint, keys binary, counts binary, sizes array<bigint>")
 
@@ -307,8 +314,8 @@ def _top(nodes: DataFrame) -> Top:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, sums in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                x = np.frombuffer(sums, np.float64).reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), *map(pa.array, x)], ["name", "zeros", "ones", "below"])
+                x = _unpack(sums, np.float64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(keys, np.int64)), *map(pa.array, x)], ["name", "zeros", "ones", "below"])
 
     sums = nodes.select("keys", "counts").mapInArrow(run, "name bigint, zeros double, ones double, below double").groupBy("name").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     names = sums.column("name").to_numpy().view(np.uint64)
@@ -333,32 +340,38 @@ def values(keys: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.nda
 
 
 class Lookup:
-    """An open-addressing hash table from 64-bit keys to doubles, built and read in whole arrays. A key and its value are neighbours."""
+    """An open-addressing hash table from 64-bit keys to doubles, built and read in whole arrays. A key and its value are one item of 16 bytes."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.mask = np.uint64((1 << max(4, int(1.4 * len(keys) + 1).bit_length())) - 1)
-        self.table = np.empty((int(self.mask) + 1, 2), np.uint64)
-        self.table[:, 0], self.table[:, 1] = EMPTY, np.float64(np.nan).view(np.uint64)
+        pairs = np.empty((int(self.mask) + 1, 2), np.uint64)
+        pairs[:, 0], pairs[:, 1] = EMPTY, np.float64(np.nan).view(np.uint64)
         rows = np.column_stack([keys, values.astype(np.float64).view(np.uint64)])
         slot, left = mix(keys) & self.mask, np.arange(len(keys))
         while len(left):
-            free = left[self.table[slot[left], 0] == EMPTY]
-            self.table[slot[free]] = rows[free]
-            left = left[self.table[slot[left], 0] != keys[left]]
+            free = left[pairs[slot[left], 0] == EMPTY]
+            pairs[slot[free]] = rows[free]
+            left = left[pairs[slot[left], 0] != keys[left]]
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
+        self.table = pairs.ravel().view(np.complex128)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, nan where there is none."""
-        slot = mix(keys) & self.mask
-        got = self.table[slot]
-        out = np.ascontiguousarray(got[:, 1]).view(np.float64)
+        out = np.empty(len(keys))
+        for k in range(0, len(keys), 1 << 15):  # what is at hand stays in the cache
+            self._get(keys[k : k + (1 << 15)], out[k : k + (1 << 15)])
+        return out
+
+    def _get(self, keys: np.ndarray, out: np.ndarray) -> None:
+        slot = (mix(keys) & self.mask).astype(np.int64)
+        got = np.take(self.table, slot).view(np.uint64).reshape(-1, 2)
+        out[:] = got[:, 1].view(np.float64)
         left = np.flatnonzero((got[:, 0] != keys) & (got[:, 0] != EMPTY))
         while len(left):
-            slot[left] = (slot[left] + np.uint64(1)) & self.mask
-            got = self.table[slot[left]]
-            out[left] = np.ascontiguousarray(got[:, 1]).view(np.float64)
+            slot[left] = (slot[left] + 1) & int(self.mask)
+            got = np.take(self.table, slot[left]).view(np.uint64).reshape(-1, 2)
+            out[left] = got[:, 1].view(np.float64)
             left = left[(got[:, 0] != keys[left]) & (got[:, 0] != EMPTY)]
-        return out
 
 
 _tables: dict[str, tuple] = {}
@@ -384,7 +397,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                    keys, counts = _unpack(keys), _unpack(counts, np.int64)
                     often = np.flatnonzero(counts >= least)
                     if len(often):
                         value = values(keys, counts, top.value, depth) if kind == GRAM else counts.astype(float)
@@ -420,9 +433,10 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             row = batch.column("row").to_numpy()
             for kind, name in ((GRAM, "grams"), (WORD, "words")):
-                lists = [np.frombuffer(x or b"", np.uint64) for x in batch.column(name).to_pylist()]
-                of = np.repeat(row, [len(x) for x in lists])
-                own, ends, keys, of = _by_bucket(kind, np.concatenate([np.zeros(0, np.uint64), *lists]), of, depth, buckets)
+                lists = [_unpack(x) if x else np.zeros(0, np.uint64) for x in batch.column(name).to_pylist()]
+                keys, of = np.concatenate([np.zeros(0, np.uint64), *lists]), np.repeat(row, [len(x) for x in lists])
+                order = np.argsort(keys)
+                own, ends, keys, of = _by_bucket(kind, keys[order], of[order], depth, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), _packed(keys, ends), pa.nulls(len(own), pa.binary()), _packed(of, ends)], ["kind", "bucket", "keys", "counts", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,16 +445,16 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
             for kind, bucket, keys, counts, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 model_rows, asked = held.setdefault((kind, bucket), ([], []))
                 if counts is None:
-                    asked.append((np.frombuffer(keys, np.uint64), np.frombuffer(of, np.int64)))
+                    asked.append((keys, of))
                 else:
-                    model_rows.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+                    model_rows.append((keys, counts))
         for kind, bucket in list(held):
             model_rows, asked = held.pop((kind, bucket))
             if not asked:
                 continue
-            keys, counts = model_rows[0] if model_rows else (np.array([EMPTY]), np.zeros(1, np.int64))  # words never learned
+            keys, counts = (_unpack(model_rows[0][0]), _unpack(model_rows[0][1], np.int64)) if model_rows else (np.array([EMPTY]), np.zeros(1, np.int64))  # words never learned
             value = values(keys, counts, top.value, depth) if kind == GRAM else of_words(counts)
-            want, of = (np.concatenate([x[j] for x in asked]) for j in (0, 1))
+            want, of = np.concatenate([_unpack(x) for x, _ in asked]), np.concatenate([_unpack(x, np.int64) for _, x in asked])
             i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
             there = (keys[i] == want) & ((kind == GRAM) | (counts[i] > 0))
             got = np.where(there, value[i], 0.0 if kind == GRAM else of_words(np.zeros(1))[0])

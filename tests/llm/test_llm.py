@@ -160,6 +160,16 @@ def test_repeats_within_a_text_and_on_odd_rows(spark):
     assert suffix_dedup.digests(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 50}, {"broadcast": 0, "hot": 50}])
+def test_texts_that_repeat_themselves_travel_once(spark, options):
+    rows = [(1, b"a" * 60_000), (2, b"abc" * 15_000), (3, b"x" + b"a" * 30_000 + b"y"), (4, (b"line of forty bytes that comes and goes\n" * 300)), (5, b"a" * 100), (6, b"bca" * 60)]
+    want = {k: (a, b, c, hashlib.sha256(kept).hexdigest()) for k, (a, b, c, kept) in brute.repeats(rows).items()}
+    docs = spark.createDataFrame([(k, raw.decode()) for k, raw in rows], "doc_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(docs, **options).collect()} == want
+    data, starts = suffix_dedup.np.frombuffer(b"a" * 60_000, suffix_dedup.np.uint8), suffix_dedup.np.array([0, 60_000])
+    assert len(suffix_dedup.Windows(data, starts, joined=True).at) == 4 and len(suffix_dedup.Windows(data, starts).at) == 59_901
+
+
 def test_suffix_ranks_are_in_byte_order():
     import numpy as np
 

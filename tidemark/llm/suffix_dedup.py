@@ -8,8 +8,9 @@ its runs of ANCHOR bytes, so equal windows have equal anchors. Anchors are count
 anchor occurs once are unlike all others. The others travel as short strings, those of one anchor to one task, which sorts
 the suffixes at all their window starts: multikey quicksort, several bytes at a step, to SHALLOW bytes, then blind tries
 (a round compares each group with one of its suffixes and branches at the first differing byte) to LENGTH bytes. Equal neighbours
-in that order are equal windows; all but the earliest are hits. An anchor that occurs over HOT times is dealt to
-several tasks by document; what stays unmatched there meets once more, grouped by the windows' own digests.
+in that order are equal windows; all but the earliest are hits. Neighbouring windows with equal anchors travel as one string, up to
+STRETCH starts, so a text that repeats itself travels once. An anchor that occurs over HOT times is dealt to
+several tasks by document and place; what stays unmatched there meets once more, grouped by the windows' own digests.
 
 A null text counts as empty; a null id comes before all others. Rows with equal id and text are one document, and each
 gets its result; texts under one id are ordered by their hash. Texts under LENGTH bytes lose nothing. Other columns are ignored.
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Rolling, cut, parts, staged
 
 LENGTH, ANCHOR, SHALLOW = 100, 36, 33
-#: Occurrences of an anchor that one task sorts, and windows in a task, about.
-HOT, WINDOWS = 20_000, 600_000
-#: Repeated anchors that may be broadcast; beyond, a join finds them.
-BROADCAST = 6_000_000
+#: Occurrences of an anchor that one task sorts, windows in a task, about, and starts that one string holds (a power of 2).
+HOT, WINDOWS, STRETCH = 5_000, 600_000, 1 << 14
+#: Repeated anchors that may be broadcast (8 bytes each); beyond, a join finds them.
+BROADCAST = 4_000_000
 
 
 class Windows:
-    """The windows of a run of texts: each run of windows that share an anchor, by first start and length."""
+    """The windows of a run of texts: each run of windows that share an anchor at one place (or, joined, an anchor's bytes), by first start and length."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int = LENGTH, joined: bool = False):
         wide = length - ANCHOR + 1  # anchors in a window
         room = np.maximum(np.diff(starts) - length + 1, 0)
         self.row = np.zeros(0, np.int64)
@@ -57,7 +58,10 @@ class Windows:
         least = np.minimum(from_right[: len(tagged)], from_left[wide - 1 : wide - 1 + len(tagged)])
         start = np.arange(int(room.sum())) + np.repeat(starts[:-1] - (np.cumsum(room) - room), room)
         anchor = (least[start] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
+        new = np.concatenate([[True], (hashes[anchor[1:]] != hashes[anchor[:-1]] if joined else anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
+        if joined:  # a string's first start is at most STRETCH from its last
+            new |= (start - np.repeat(starts[:-1], room)) % STRETCH == 0
+        first = np.flatnonzero(new)
         self.at, self.count = start[first], np.diff(np.append(first, len(start)))
         self.anchor = hashes[anchor[first]]
         self.row = np.searchsorted(starts, self.at, "right") - 1
@@ -138,29 +142,32 @@ def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
 STRINGS = "h bigint, n bigint, d bigint, v bigint, at bigint, s binary"
 
 
-def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: int) -> DataFrame:
+def _strings(docs: DataFrame, repeated: DataFrame, n_repeated: int, broadcast: int, hot: int) -> DataFrame:
     """Rows (h, n, d, v, at, s): the bytes under each run of windows whose anchor is repeated."""
-    return _found_by_broadcast(docs, repeated) if n_repeated <= broadcast else _found_by_join(docs, repeated)
+    return _found_by_broadcast(docs, repeated, hot) if n_repeated <= broadcast else _found_by_join(docs, repeated)
 
 
-def _found_by_broadcast(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """One pass over the texts with all repeated anchors at hand."""
-    found = repeated.select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(keys)
-    known = docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
+def _found_by_broadcast(docs: DataFrame, repeated: DataFrame, hot: int) -> DataFrame:
+    """One pass over the texts with all repeated anchors at hand. Counts are only needed, and only sent, where they are over hot; others say 2."""
+    often = {r.h: r.n for r in repeated.where(F.col("n") > hot).collect()}
+    keys = np.sort(repeated.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    names = np.sort(np.array(list(often), np.int64).view(np.uint64))
+    known = docs.sparkSession.sparkContext.broadcast((keys, names, np.array([often[h] for h in names.view(np.int64).tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = known.value
+        keys, names, counts = known.value
         for batch in batches if len(keys) else ():
             d, v = batch[0].to_numpy(), batch[1].to_numpy()
             for first, _, data, starts in parts(batch[2], 1 << 20):
-                w = Windows(data, starts)
+                w = Windows(data, starts, joined=True)
                 i = np.minimum(np.searchsorted(keys, w.anchor), len(keys) - 1)
                 take = np.flatnonzero(keys[i] == w.anchor)
-                row = w.row[take]
+                row, anchor, n = w.row[take], w.anchor[take], np.full(len(take), 2, np.int64)
+                if len(names):
+                    j = np.minimum(np.searchsorted(names, anchor), len(names) - 1)
+                    n = np.where(names[j] == anchor, counts[j], n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(w.anchor[take].view(np.int64)), pa.array(counts[i[take]].astype(np.int64)), pa.array(d[first + row]), pa.array(v[first + row]),
+                    pa.array(anchor.view(np.int64)), pa.array(n), pa.array(d[first + row]), pa.array(v[first + row]),
                     pa.array(w.at[take] - starts[row]), _gathered(data, w.at[take], w.count[take] + LENGTH - 1),
                 ], ["h", "n", "d", "v", "at", "s"])
 
@@ -174,7 +181,7 @@ def _found_by_join(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         for batch in batches:
             d, v = batch[0].to_numpy(), batch[1].to_numpy()
             for first, _, data, starts in parts(batch[2], 1 << 20):
-                w = Windows(data, starts)
+                w = Windows(data, starts, joined=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.anchor.view(np.int64)), pa.array(d[first + w.row]), pa.array(v[first + w.row]), pa.array(w.at - starts[w.row]), pa.array(w.count)], ["h", "d", "v", "at", "c"])
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +239,9 @@ def later_windows(docs: DataFrame, broadcast: int = BROADCAST, hot: int = HOT) -
     """Rows (d, v, at, n): n windows from byte at on that also start earlier. docs: (d, v, t)."""
     repeated = cut(docs.select("t").mapInArrow(_anchors, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
     total = repeated.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    strings = _strings(docs, repeated, total.k, broadcast)
+    strings = _strings(docs, repeated, total.k, broadcast, hot)
     parallel = max(8, int((total.n or 0) * (LENGTH - ANCHOR + 1) / 2 / WINDOWS))
-    salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
+    salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("d", F.floor(F.col("at") / STRETCH)), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
     found = strings.repartition(parallel, "h", salt).mapInArrow(lambda b: _later(b, hot), "d bigint, v bigint, at bigint, n bigint, digest binary")
     if (total.most or 0) <= hot:
         return found.drop("digest")

@@ -32,11 +32,11 @@ from tidemark.llm.common import Rolling, fold, mix, parts, shared_dir, staged
 #: Context bytes at most: with the byte itself they fill 64 bits.
 DEPTH = 7
 #: Words, and byte strings, that a broadcast holds at most.
-HEAD = 2_000_000
+HEAD = 1_000_000
 #: Word and byte-string entries that a task gathers before it merges them.
-MERGE = 3_000_000
+MERGE = 2_000_000
 #: Text bytes of a bucket, about, and how many buckets there are at least and at most.
-BUCKET_BYTES, BUCKETS = 4 << 20, (8, 65_536)
+BUCKET_BYTES, BUCKETS = 2 << 20, (8, 65_536)
 PAD = 0xFF
 GRAM, WORD, NODE = 0, 1, 2
 #: The key of the end token, and one that no byte string or word has (0xC0 is no byte of UTF-8).
@@ -183,42 +183,51 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-class Level:
-    """The nodes at one depth for all eight decisions, from the distinct (context, byte) keys there, sorted, and their counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts
-        self.first, self.of, self.zeros, self.ones, self.weighted, self.stop = [], [], [], [], [], []
-        change = keys[1:] ^ keys[:-1]
-        byte = keys.astype(np.uint8)
-        new = np.ones(len(keys), bool)
-        for decision in range(8):
-            np.greater_equal(change, np.uint64(1 << (8 - decision)), out=new[1:])
+class Tree:
+    """A bucket's trees from sorted byte strings and their counts: the distinct (context, byte) keys at each depth, the deepest first, down to depth 3."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.keys, self.counts, self.above, self.changes = [keys], [counts.astype(float)], [], []
+        for _ in range(depth - 3):
+            up, which = np.unique(_up(self.keys[-1]), return_inverse=True)
+            self.above.append(which.astype(np.int32))
+            self.counts.append(np.bincount(which, self.counts[-1], len(up)))
+            self.keys.append(up)
+        for keys in self.keys:
+            self.changes.append(keys[1:] ^ keys[:-1])
+
+    def nodes(self, decision: int) -> list[Nodes]:
+        """The nodes of one decision at each depth, the deepest first, mixed with those below."""
+        found: list[Nodes] = []
+        for k, (keys, counts, change) in enumerate(zip(self.keys, self.counts, self.changes, strict=True)):
+            new = np.concatenate([[True], change >= np.uint64(1 << (8 - decision))])
             first = np.flatnonzero(new)
             total = np.add.reduceat(counts, first)
-            ones = np.add.reduceat(counts * ((byte >> np.uint8(7 - decision)) & np.uint8(1)), first)
-            self.first.append(first)
-            self.of.append(np.cumsum(new, dtype=np.int32) - np.int32(1))
-            self.ones.append(ones)
-            self.zeros.append(total - ones)
-            self.weighted.append(_kt(self.zeros[-1], ones))
-            self.stop.append(np.ones(len(first)))
-
-    def above(self) -> tuple[Level, list[np.ndarray]]:
-        """The level with a context byte less, its nodes mixed with these, and by decision the node there above each node here."""
-        parents = (self.keys >> np.uint64(16) << np.uint64(8)) | (self.keys & np.uint64(255))
-        keys, which = np.unique(parents, return_inverse=True)
-        level = Level(keys, np.bincount(which, self.counts, len(keys)))
-        up = [level.of[d][which[self.first[d]]] for d in range(8)]
-        for d in range(8):
-            below = np.bincount(up[d], self.weighted[d], len(level.first[d]))
-            level.weighted[d], level.stop[d] = _mixed(level.weighted[d], below)
-        return level, up
-
-    def names(self, decision: int) -> np.ndarray:
-        """Number of each node: its context, then a 1 and the bits before the decision."""
-        k = self.keys[self.first[decision]]
-        return (k >> np.uint64(8) << np.uint64(8)) | ((k & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - decision))
+            ones = np.add.reduceat(counts * ((keys >> np.uint64(7 - decision)) & np.uint64(1)).astype(np.uint8), first)
+            node = Nodes(first, np.cumsum(new, dtype=np.int32) - np.int32(1), total - ones, ones)
+            if k:
+                below = found[-1]
+                below.up = node.of[self.above[k - 1][below.first]]
+                node.mix(np.bincount(below.up, below.weighted, len(first)))
+            found.append(node)
+        return found
+
+    def names(self, node: Nodes, decision: int) -> np.ndarray:
+        """Numbers of the nodes at depth 3: the context, then a 1 and the bits before the decision."""
+        keys = self.keys[-1][node.first]
+        return (keys >> np.uint64(8) << np.uint64(8)) | ((keys & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - decision))
+
+
+class Nodes:
+    """Nodes of one depth and decision: where each begins among the depth's keys, each key's node, and the zeros and ones seen."""
+
+    def __init__(self, first: np.ndarray, of: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.first, self.of, self.zeros, self.ones = first, of, zeros, ones
+        self.weighted, self.stop = _kt(zeros, ones), np.ones(len(first))
+        self.up = of[:0]
+
+    def mix(self, below: np.ndarray) -> None:
+        self.weighted, self.stop = _mixed(self.weighted, below)
 
 
 def _mixed(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,16 +247,6 @@ def _up(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255))
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[Level], list[list[np.ndarray]]]:
-    """Levels from the given depth to 3, and between them the nodes above."""
-    found, ups = [Level(keys, counts.astype(float))], []
-    for _ in range(depth - 3):
-        level, up = found[-1].above()
-        found.append(level)
-        ups.append(up)
-    return found, ups
-
-
 def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
     """Each bucket's counts together: rows (kind, bucket, keys, counts, sizes), and of kind NODE the sums of its nodes for those at depth 2.
 
@@ -269,9 +268,10 @@ def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
             sizes = np.bincount(np.floor(np.log2(counts + 1.5)).astype(int), minlength=64)[:64]
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int64()), pa.array([_pack(keys)], pa.binary()), pa.array([_pack(counts)], pa.binary()), pa.array([[*sizes.tolist(), int(counts.sum()), int((counts > 0).sum())]], pa.list_(pa.int64()))], names)
             if kind == GRAM:
-                top = _levels(keys, counts, depth)[0][-1]
+                tree = Tree(keys, counts, depth)
                 for d in range(8):
-                    nodes.append(np.stack([top.names(d).view(np.float64), top.zeros[d], top.ones[d], top.weighted[d]]))
+                    top = tree.nodes(d)[-1]
+                    nodes.append(np.stack([tree.names(top, d).view(np.float64), top.zeros, top.ones, top.weighted]))
         if nodes:
             every = np.concatenate(nodes, axis=1)
             up, which = np.unique(_up(every[0].view(np.uint64)), return_inverse=True)
@@ -325,17 +325,17 @@ def _top(nodes: DataFrame) -> Top:
 
 def values(keys: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.ndarray:
     """log10 of the mixture's probability of the last byte of each of a bucket's byte strings, which must be sorted."""
-    found, ups = _levels(keys, counts, depth)
-    out = np.zeros(len(keys))
+    tree, out = Tree(keys, counts, depth), np.zeros(len(keys))
     for d in range(8):
-        share, left = top.at(_up(found[-1].names(d)))
+        found = tree.nodes(d)
+        share, left = top.at(_up(tree.names(found[-1], d)))
         for k in range(len(found) - 1, -1, -1):
-            level = found[k]
-            share, left = share + left * level.stop[d] * _estimates(level.zeros[d], level.ones[d]), left * (1 - level.stop[d])
+            node = found[k]
+            share, left = share + left * node.stop * _estimates(node.zeros, node.ones), left * (1 - node.stop)
             if k:
-                share, left = share[:, ups[k - 1][d]], left[ups[k - 1][d]]
+                share, left = share[:, found[k - 1].up], left[found[k - 1].up]
         bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.int64)
-        out += np.log10(share[bit, found[0].of[d]])
+        out += np.log10(share[bit, found[0].of])
     return out
 
 
@@ -430,6 +430,7 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
     of_words = Model(None, None, buckets, depth, model.tokens, model.types).of_words
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tables.clear()  # workers live on
         for batch in batches:
             row = batch.column("row").to_numpy()
             for kind, name in ((GRAM, "grams"), (WORD, "words")):

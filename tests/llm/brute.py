@@ -253,3 +253,56 @@ def language_sums(text, names, p, mark, longest):
                     shift += math.log(top)
             out[lang] += math.log(ahead[-1]) + shift
     return out
+
+
+def fingerprints(corpus, texts, rules):
+    """Fingerprints of texts by the lexicon of a corpus. rules: the operator's module, for its parameters."""
+    import regex
+    import xxhash
+
+    def terms(text):
+        return list(dict.fromkeys(regex.findall(r"[\p{L}\p{N}]+", text.lower())))
+
+    def hashed(value, seed=42, width=8):
+        raw = value.encode() if isinstance(value, str) else (value % 2 ** (8 * width)).to_bytes(width, "little")
+        found = xxhash.xxh64_intdigest(raw, seed % 2**64)
+        return found - 2**64 if found >= 2**63 else found
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = hashed(v, seed)
+        return seed
+
+    counts = Counter(t for text in corpus for t in set(terms(text)))
+    least, most = rules.COMMON[0] * len(corpus), max(2.0, rules.COMMON[1] * len(corpus))
+    out = []
+    for text in texts:
+        found, subsets = terms(text), defaultdict(set)
+        for t in found:
+            h = hashed(t)
+            mixed = hashed(1, hashed(h), 4)
+            slot, part = mixed % rules.SLOTS, mixed >> 8
+            if least <= counts[t] <= most:
+                subsets[slot].add(h)
+                if part % rules.RATES[2] == 0:
+                    subsets[2 * rules.SLOTS + slot].add(h)
+                if part % rules.RATES[1] == 0 or part % rules.RATES[2] == 0:
+                    subsets[rules.SLOTS + slot].add(h)
+            if len(found) <= rules.FEW and not (counts[t] > most and counts[t] >= least):
+                subsets[3 * rules.SLOTS + slot].add(h)
+        parts = sorted(f"{s:02x}" + f"{chained(sorted(x)) % 2**64:x}"[-rules.DIGITS :] for s, x in subsets.items())
+        out.append(".".join(parts) if parts else f"zz{chained(found) % 2**64:x}" if found else "")
+    return out
+
+
+def likeness(one, other, rules):
+    if one == other:
+        return 1.0
+    best = 0.0
+    a, b = ({p[:2]: p for p in x.split(".") if p and p[:2] != "zz"} for x in (one, other))
+    for k in range(len(rules.RATES) + 1):
+        used = {s for s in a.keys() | b.keys() if k * rules.SLOTS <= int(s, 16) < (k + 1) * rules.SLOTS}
+        if len(used) >= (1 if k in (0, len(rules.RATES)) else rules.ENOUGH):
+            best = max(best, sum(a.get(s) == b.get(s) for s in used) / len(used))
+    return best

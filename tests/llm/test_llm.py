@@ -532,6 +532,21 @@ def test_fingerprints(spark, data):
     assert sum(near) / len(near) > 0.4 and sum(far) / len(far) < 0.1 and all(0 <= x <= 1 for x in near + far)
 
 
+@pytest.mark.parametrize("per_range", [imatch.RANGE, 7])
+def test_fingerprints_equal_the_plain_ones(spark, data, per_range):
+    rows = sorted((r.doc_id, r.text or "") for r in small(spark, data).collect())
+    rows += [(10**6, "Tiny one"), (10**6 + 1, "a " + LONG[:40]), (10**6 + 2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edits = [(text[: len(text) - len(text) // 4] + rows[(k + 1) % len(rows)][1][: len(text) // 4]) for k, (_, text) in enumerate(rows)]
+    prints, of_edits = brute.fingerprints([t for _, t in rows], [t for _, t in rows], imatch), brute.fingerprints([t for _, t in rows], edits, imatch)
+    got = {r.doc_id: r for r in imatch.digests(docs, per_range=per_range).collect()}
+    assert len(got) == len(rows)
+    for k, (i, _) in enumerate(rows):
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (prints[k], of_edits[k])
+        assert got[i].near_edited == pytest.approx(brute.likeness(prints[k], of_edits[k], imatch))
+        assert got[i].near_next == pytest.approx(brute.likeness(prints[k], prints[(k + 1) % len(rows)], imatch))
+
+
 def test_fingerprints_of_odd_rows(spark):
     got = imatch.digests(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -541,7 +556,7 @@ def test_fingerprints_of_odd_rows(spark):
 
 
 def test_likeness(spark):
-    row = spark.createDataFrame([("00aaaa.01bbbb", "00aaaa.01cccc.02dddd")], "a string, b string")
+    row = spark.createDataFrame([("00aaaaaaaa.01bbbbbbbb", "00aaaaaaaa.01cccccccc.02dddddddd")], "a string, b string")
     assert row.select(imatch.likeness(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 / 3)
 
 

@@ -54,8 +54,8 @@ def contamination(docs, items, window=10):
     return out
 
 
-def near_classes(rows, least=0.8):
-    """By index of row, the smallest index it is linked with."""
+def shingle_weights(rows):
+    """By row the weight of each shingle: its count times the mean inverse document frequency of its words."""
     n, sets = len(rows), []
     df = Counter(w for t in rows for w in set(words(t)))
     for t in rows:
@@ -63,21 +63,47 @@ def near_classes(rows, least=0.8):
         k = min(5, len(w))
         grams = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else Counter()
         sets.append({g: c * sum(math.log((n + 1) / (df[x] + 1)) + 1 for x in g) / len(g) for g, c in grams.items()})
-    parent = list(range(n))
+    return sets
+
+
+def weighted_jaccard(x, y):
+    shared = sum(min(w, y[g]) for g, w in x.items() if g in y)
+    total = sum(x.values()) + sum(y.values()) - shared
+    return shared / total if total else 0.0
+
+
+def near_pairs(rows, least=0.8):
+    """Pairs of row numbers with unlike texts and a similarity of least or more; a pair shares its lighter row's rarest shingles or falls short."""
+    sets, places = shingle_weights(rows), defaultdict(list)
+    for k, x in enumerate(sets):
+        for g in x:
+            places[g].append(k)
+    found = set()
+    for k, x in enumerate(sets):
+        left, near = sum(x.values()), set()
+        for g, w in sorted(x.items(), key=lambda e: len(places[e[0]])):
+            if left < least * sum(x.values()) - 1e-9:
+                break  # what is left can't make up the similarity alone
+            near.update(places[g])
+            left -= w
+        found |= {(min(k, j), max(k, j)) for j in near if rows[j] != rows[k] and weighted_jaccard(x, sets[j]) >= least}
+    return found
+
+
+def near_classes(rows, least=0.8):
+    """By index of row, the smallest index it is linked with."""
+    sets, parent = shingle_weights(rows), list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in range(n):
+    for a in range(len(rows)):
         for b in range(a):
-            x, y = sets[a], sets[b]
-            shared = sum(min(w, y[g]) for g, w in x.items() if g in y)
-            total = sum(x.values()) + sum(y.values()) - shared
-            if (rows[a] or "") == (rows[b] or "") or total and shared / total >= least:
+            if (rows[a] or "") == (rows[b] or "") or weighted_jaccard(sets[a], sets[b]) >= least:
                 parent[max(find(a), find(b))] = min(find(a), find(b))
-    return [find(k) for k in range(n)]
+    return [find(k) for k in range(len(rows))]
 
 
 class Ctw:

@@ -101,6 +101,31 @@ def test_near_classes_equal_the_plain_ones(spark, data):
     assert [got[k] for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("paired", [4, 1024])
+def test_one_large_bucket_of_many_components(spark, monkeypatch, paired):
+    """Texts too unlike for a link share bands; what is apart meets in blocks."""
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    r = random.Random(17)
+    base = " ".join(f"word{r.randrange(300)}" for _ in range(150))
+    texts = []
+    for _ in range(25):
+        middle = edited(r, base, 5)
+        texts += [edited(r, middle, n) for n in (0, 1, 2, 3)]
+    want = brute.near_classes(texts)
+    assert 3 < len(set(want)) < 90
+    got = {row.doc_id: row.class_id for row in near_dedup.classes(docs_of(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_recall_of_exact_pairs(spark):
+    """Of all pairs of unlike texts at 0.8 or more by exact sums over the whole table, those in one class."""
+    rows = [(r.doc_id, r.text) for r in small(spark, "/root/testdata/sf0.01").collect()]
+    pairs = brute.near_pairs([t for _, t in rows])
+    assert len(pairs) >= 10
+    of = {r.doc_id: r.class_id for r in near_dedup.classes(small(spark, "/root/testdata/sf0.01")).collect()}
+    assert all(of[rows[a][0]] == of[rows[b][0]] for a, b in pairs)
+
+
 def test_near_classes_on_odd_rows_and_nothing(spark):
     got = near_dedup.classes(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD)

@@ -8,7 +8,8 @@ Samples are banded by ROWS; texts that share a band are candidates and are verif
 Equal texts are one node from the start. In a bucket every text is checked against the bucket's first text, never
 all against all. A bucket whose texts are then still in several components is open: for some turns those outside its largest component are
 checked against one text of it, another each turn; those still apart are checked
-against all others there that they can be alike to: by a bound from the weight of shingles that no other such text has, and by the samples' agreement. Classes are the connected components of the verified links.
+against all others there that they can be alike to: by a bound from the weight of shingles that no other such text has, and by the samples' agreement. That is done
+in blocks of PAIRED by PAIRED texts, to which at first only samples and weights travel; the texts follow to the blocks where they have a candidate. Classes are the connected components of the verified links.
 
 A text of fewer than WORDS words is one shingle; a text without words, null or empty, is alike only to equal texts (null
 equals empty). Rows with a null id take part; a class of which no row has an id has a null class_id. Each row gives one row, repeated
@@ -36,8 +37,8 @@ AGREE = 27
 #: Turns in which a bucket's texts are checked against one more text of its largest component (each band another), before all are.
 TURNS = 1
 CELLS = 1 << 20
-#: Texts on either side of a block in which what is still apart is checked.
-PAIRED = 256
+#: Texts, and characters of them, on either side of a block in which what is still apart is checked.
+PAIRED, PAIRED_CHARS = 1024, 16 << 20
 #: Ids of texts to verify that may be broadcast; beyond, a join finds the texts.
 BROADCAST = 500_000
 #: Shingles sampled at once, so that the arrays stay in the cache.
@@ -188,23 +189,11 @@ def shared_weights(texts: DataFrame, idf) -> DataFrame:
                     pa.array(np.concatenate([shared, zero(m), weight[~many]])), pa.array(np.concatenate([zero(k, np.int8), np.full(m, 2, np.int8), np.ones(n, np.int8)])),
                 ], names)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        token, node, total, shared, n = (table.column(c).to_numpy() for c in names)
-        told = n == 0
-        _, which = np.unique(token[~told], return_inverse=True)
-        again = np.bincount(which, n[~told])[which] > 1 if len(which) else np.zeros(0, bool)
-        again &= n[~told] == 1
-        add = np.where(told, shared, 0.0)
-        add[np.flatnonzero(~told)[again]] = shared[~told][again]
-        own, which = np.unique(node, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(which, total, len(own))), pa.array(np.bincount(which, add, len(own)))], ["node", "total", "shared"])
-
     made = texts.select("node", "t").mapInArrow(local, "token bigint, node bigint, total double, shared double, n tinyint")
-    return made.repartition("token").mapInArrow(meet, "node bigint, total double, shared double").groupBy("node").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
+    # A shingle's list holds one text a task at most: those met twice in a task come as a mark.
+    met = made.groupBy((F.col("n") > 0).alias("told"), "token").agg(F.sum("n").alias("s"), F.collect_list(F.when(F.col("n") < 2, F.struct("node", "total", "shared"))).alias("x"))
+    each = met.select("told", "s", F.explode("x").alias("x")).select("x.node", F.when(~F.col("told"), F.col("x.total")).otherwise(0.0).alias("total"), F.when(~F.col("told") | (F.col("s") > 1), F.col("x.shared")).otherwise(0.0).alias("shared"))
+    return each.groupBy("node").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
 
 
 def _agreement(a: str, b: str):
@@ -259,30 +248,46 @@ def links(docs: DataFrame, nodes: DataFrame, idf, least: float = SIMILARITY) ->
     still = open_buckets(edges)
     texts = cut(texts_of(still.select("node").distinct()))
     weights = shared_weights(texts, idf).where(F.col("shared") >= (least - 1e-6) * F.col("total"))
-    facts = weights.join(samples, "node").join(texts, "node")
-    kept = still.join(weights.select("node"), "node", "left_semi")
-    sizes = kept.groupBy("key").agg(F.ceil(F.count_if("minor") / PAIRED).cast("int").alias("nx"), F.ceil(F.count("*") / PAIRED).cast("int").alias("ny")).where("nx > 0")
-    placed = kept.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    facts = cut(weights.join(samples, "node").join(texts.select("node", F.length("t").alias("chars")), "node"))
+    kept = still.join(facts.select("node", "chars"), "node")
+    on_side = lambda test: F.ceil(F.greatest(F.count_if(test) / PAIRED, F.sum(F.when(test, F.col("chars"))) / PAIRED_CHARS)).cast("int")
+    sizes = kept.groupBy("key").agg(on_side(F.col("minor")).alias("nx"), on_side(F.lit(True)).alias("ny")).where("nx > 0")
+    placed = kept.drop("chars").join(sizes, "key").withColumn("h", F.xxhash64("node"))
     mine, other = F.pmod("h", F.col("nx")).cast("int"), F.pmod("h", F.col("ny")).cast("int")
     left = placed.where("minor").select("key", "node", "c", "minor", F.lit(True).alias("left"), mine.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
     right = placed.select("key", "node", "c", "minor", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), other.alias("y"))
-    blocks = left.unionByName(right).join(facts, "node")
-    found = blocks.groupBy("key", "x", "y").applyInArrow(lambda table: _block_links(table, idf.value, least), "a bigint, b bigint").distinct()
+    fields = "key bigint, x int, y int, node bigint, c bigint, minor boolean, left boolean, total double, shared double, sig array<int>"
+    blocks = left.unionByName(right).join(facts.drop("chars"), "node").select(*[f.split()[0] for f in fields.split(", ")])
+    open_blocks = cut(blocks.groupBy("key", "x", "y").applyInArrow(lambda table: _block_candidates(table, least), fields))
+    found = open_blocks.join(texts, "node").groupBy("key", "x", "y").applyInArrow(lambda table: _block_links(table, idf.value, least), "a bigint, b bigint").distinct()
     return edges.union(cut(found))
 
 
-def _block_links(table: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
-    """Links between the left and the right texts of a block: by components, bound and samples first, then exactly."""
+def _may_be_alike(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The left and the right rows of a block, and which of their pairs components, bound and samples leave."""
     node, part, minor, left, total, shared = (table.column(c).to_numpy() for c in ("node", "c", "minor", "left", "total", "shared"))
     sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(len(node), HASHES)
     x, y = np.flatnonzero(left), np.flatnonzero(~left)
     both = np.minimum(shared[x][:, None], shared[y][None])
     may = (part[x][:, None] != part[y][None]) & (~minor[y][None] | (node[x][:, None] < node[y][None])) & (both >= (least - 1e-6) * (total[x][:, None] + total[y][None] - both))
     if may.any():
-        agree = np.zeros(may.shape, np.int16)
+        agree = np.zeros(may.shape, np.int8)
         for k in range(HASHES):
             agree += sig[x, k][:, None] == sig[y, k][None]
         may &= agree >= AGREE
+    return x, y, may
+
+
+def _block_candidates(table: pa.Table, least: float) -> pa.Table:
+    """The rows of a block that may be alike to one of the other side."""
+    x, y, may = _may_be_alike(table, least)
+    return table.take(pa.array(np.append(x[may.any(axis=1)], y[may.any(axis=0)])))
+
+
+def _block_links(table: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
+    """Links between the left and the right texts of a block: by components, bound and samples first, then exactly."""
+    x, y, may = _may_be_alike(table, least)
+    node = table.column("node").to_numpy()
     a, b = [], []
     if may.any():
         data, starts = utf8(table.column("t").combine_chunks())

@@ -34,7 +34,9 @@ DEPTH = 7
 #: Words, and byte strings, that a broadcast holds at most.
 HEAD = 1_000_000
 #: Word and byte-string entries that a task gathers before it merges them.
-MERGE = 2_000_000
+MERGE = 1_500_000
+#: Text bytes that a task takes at once, and rows whose keys it deals at once.
+PART, DEALT = 1 << 18, 1_000
 #: Text bytes of a bucket, about, and how many buckets there are at least and at most.
 BUCKET_BYTES, BUCKETS = 2 << 20, (8, 65_536)
 PAD = 0xFF
@@ -140,7 +142,7 @@ def gather(df: DataFrame, learn: Column, depth: int, buckets: int, text_col: str
 
         for batch in batches:
             learned = np.array(batch[1].fill_null(False).to_pylist(), bool)
-            for first, end, data, starts in parts(batch[0]):
+            for first, end, data, starts in parts(batch[0], PART):
                 part, take = Part(data, starts, depth), learned[first:end]
                 if take.all():
                     yield from add(GRAM, *_runs(part.grams))
@@ -431,7 +433,7 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _tables.clear()  # workers live on
-        for batch in batches:
+        for batch in (b.slice(k, DEALT) for b in batches for k in range(0, b.num_rows, DEALT)):
             row = batch.column("row").to_numpy()
             for kind, name in ((GRAM, "grams"), (WORD, "words")):
                 lists = [_unpack(x) if x else np.zeros(0, np.uint64) for x in batch.column(name).to_pylist()]
@@ -485,7 +487,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             _tables[mark] = tuple(Lookup(*shared.value[k]) for k in (GRAM, WORD))
         grams, words = _tables[mark]
         for batch in batches:
-            for first, end, data, starts in parts(batch[1]):
+            for first, end, data, starts in parts(batch[1], PART):
                 part, n = Part(data, starts, depth), end - first
                 value = grams.get(part.grams)
                 lost = np.isnan(value)

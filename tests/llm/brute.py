@@ -318,7 +318,7 @@ def fingerprints(corpus, texts, rules):
             if len(found) <= rules.FEW and not (counts[t] > most and counts[t] >= least):
                 subsets[3 * rules.SLOTS + slot].add(h)
         parts = sorted(f"{s:02x}" + f"{chained(sorted(x)) % 2**64:x}"[-rules.DIGITS :] for s, x in subsets.items())
-        out.append(".".join(parts) if parts else f"zz{chained(found) % 2**64:x}" if found else "")
+        out.append(".".join(parts) if parts else f"zz{hashed(chained(found)) % 2**64:x}" if found else "")
     return out
 
 

@@ -26,7 +26,7 @@ COMMON = (0.0005, 0.05)
 #: Subsets at each rate, and by rate, one of how many terms is taken.
 SLOTS, RATES = 32, (1, 6, 36)
 #: Hexadecimal digits of a subset's hash in a fingerprint.
-DIGITS = 8
+DIGITS = 6
 #: Distinct terms of a short document, at most; its subsets of all terms come after the lexicon's.
 FEW = 128
 #: Subsets in use from which a rate other than the first counts in a comparison.
@@ -63,10 +63,11 @@ def fingerprints(rows: DataFrame, lexicon: DataFrame, keys: list[str], text_col:
     taken = [F.pmod(F.shiftright(mixed, 8), F.lit(rate)) == 0 for rate in RATES]
     of_band = F.when(taken[2], F.array(one, two, three)).when(taken[1], F.array(one, two)).otherwise(F.array(one))
     slots = F.when(F.col("h") == none, F.array(F.lit(-1))).otherwise(F.concat(F.when(F.col("band"), of_band).otherwise(F.slice(of_band, 1, 0)), F.when(F.col("few"), F.array(whole)).otherwise(F.slice(of_band, 1, 0))))
-    each = each.select(*keys, "whole", "h", F.explode(slots).alias("slot"))
-    hashed = each.groupBy(*keys, "slot").agg(F.first("whole").alias("whole"), F.xxhash64(F.array_distinct(F.array_sort(F.collect_list("h")))).alias("value"))
+    # The row of the empty term carries the hash of all terms.
+    each = each.select(*keys, F.when(F.col("h") == none, F.col("whole")).otherwise(F.col("h")).alias("h"), F.explode(slots).alias("slot"))
+    hashed = each.groupBy(*keys, "slot").agg(F.array_distinct(F.array_sort(F.collect_list("h"))).alias("x")).select(*keys, "slot", F.when(F.size("x") > 0, F.xxhash64("x")).alias("value"))
     part = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.hex("slot"), 2, "0"), F.substring(F.hex("value"), -DIGITS, DIGITS)))
-    joined = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"), F.first("whole").alias("whole"))
+    joined = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"), F.max(F.when(F.col("slot") < 0, F.col("value"))).alias("whole"))
     alone = F.coalesce(F.concat(F.lit("zz"), F.hex("whole")), F.lit(""))
     return joined.select(*keys, F.lower(F.when(F.size("p") > 0, F.array_join("p", ".")).otherwise(alone)).alias("fingerprint"))
 

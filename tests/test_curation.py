@@ -101,3 +101,9 @@ def test_documents_are_mapped(spark):
     df = spark.createDataFrame([('{"a": {"id": "x"}, "t": ["p", "q", "p"], "more": 1}',), (None,)], "p string")
     rows = cu.map_document(df, {"idno": "a.id", "topics": "t"}, "p").collect()
     assert (rows[0].idno, rows[0].topics, rows[0].additional) == ("x", "p, q", {"more": "1"}) and rows[1].idno is None
+
+
+def test_forms_in_repeated_and_null_texts(spark):
+    df = spark.createDataFrame([("Survey of Kenya", 1), ("Survey of Kenya", 1), (None, 2), ("Côte d'Ivoire, Kenya", 3), ("Kenyans", 4), ("", 5)], "text string, form int")
+    forms = spark.createDataFrame([("Kenya", "KEN", 2), ("Côte d'Ivoire", "CIV", 1), ("côte", "X", 3)], "form string, name string, ord int")
+    assert sorted((r.form, r.detected) for r in cu.detect_form(df, "text", forms).collect()) == [(1, "KEN"), (1, "KEN"), (2, None), (3, "CIV"), (4, None), (5, None)]

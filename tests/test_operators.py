@@ -103,6 +103,46 @@ def test_name_rules(spark, name, keep):
     assert value(spark, tx.keep_name(F.lit(name))) is keep
 
 
+@pytest.mark.parametrize(
+    "name, figure, title, citation",
+    [("Tables 3.1", True, False, False), ("Fig 2a, Fig 2b or Table A-1", True, False, False), ("Table of contents and Map", False, False, False), ("Panel A. Households 2.1", True, False, False), ("Box", False, False, False), ("Table", False, False, False),
+     ("Loan agreements", False, True, False), ("Sub-agreement", False, True, False), ("Policy Paper #12", False, True, False), ("paper no. 7", False, True, False), ("Paper 7", False, False, False), ("Progress reports", False, True, False), ("World Development Report", False, False, False),
+     ("Smith", False, False, False), ("Smith, Jones and O'neil (1999)", False, False, True), ("Smith, Jones & Lee 1999", False, False, True), ("Smith et al", False, False, True), ("Smith et al., 2004", False, False, True), ("smith 1999", False, False, False), ("and 1999", False, False, False), ("DHS 2010", False, False, False), ("", False, False, False)],
+)
+def test_name_kinds(spark, name, figure, title, citation):
+    x = F.lit(name)
+    assert (value(spark, tx.is_figure_ref(x)), value(spark, tx.is_document_title(x)), value(spark, tx.is_citation(x))) == (figure, title, citation)
+
+
+def better(m, last):
+    near = abs(m["score"] - last["score"]) <= 0.05
+    size = lambda x: x["end"] - x["start"]
+    return m["score"] > last["score"] + 0.05 or near and (size(m) > size(last) or size(m) == size(last) and m["rank"] < last["rank"])
+
+
+def test_overlaps_keep_the_longer_within_the_margin(spark):
+    r = random.Random(2)
+    rows = [{"page": r.randrange(30), "id": k, "start": r.randrange(60), "score": r.randrange(20) / 20, "rank": r.randrange(3)} for k in range(600)]
+    rows = [x | {"end": x["start"] + r.randrange(1, 25)} for x in rows]
+    rows += [{"page": 100, "id": 1000, "start": 0, "end": 50, "score": 0.82, "rank": 1}, {"page": 100, "id": 1001, "start": 3, "end": 8, "score": 0.83, "rank": 0}]
+    rows += [{"page": 101, "id": 1002, "start": 0, "end": 3, "score": 0.9, "rank": 1}, {"page": 101, "id": 1003, "start": 0, "end": 28, "score": 0.91, "rank": 1}, {"page": 102, "id": 1004, "start": 0, "end": 3, "score": 0.9, "rank": 1}, {"page": 102, "id": 1005, "start": 0, "end": 3, "score": 0.9, "rank": 0}]
+    want = []
+    for page in {x["page"] for x in rows}:
+        kept = []
+        for m in sorted((x for x in rows if x["page"] == page), key=lambda x: (x["start"], x["id"])):
+            clash = [k for k in kept if m["start"] < k["end"] and k["start"] < m["end"]]
+            if not clash:
+                kept.append(m)
+            elif all(better(m, k) for k in clash):
+                kept = [k for k in kept if k not in clash] + [m]
+        want += [k["id"] for k in kept]
+    df = spark.createDataFrame([tuple(x[c] for c in ("page", "id", "start", "score", "rank", "end")) for x in rows], "page int, id int, start int, score double, rank int, end int")
+    assert sorted(x.id for x in mn.suppress_overlaps(df, ["page"], rank="rank", order=["id"]).collect()) == sorted(want)
+    assert {1000, 1003, 1005} <= set(want)
+    best = mn.non_overlapping(df, ["page"], "start", "end", [-F.col("score"), F.col("id")])
+    assert {x.id for x in best.where("page >= 100").collect()} == {1001, 1003, 1004}
+
+
 def test_text_functions(spark):
     assert value(spark, tx.clean_text(F.lit(" Global Data (GD). "))) == "Global Data (GD"
     assert value(spark, tx.is_english(F.lit("This is an analysis of the data."))) is True

@@ -223,13 +223,16 @@ def title_case(name: Column) -> Column:
 
 
 def detect_form(df: DataFrame, text: str, forms: DataFrame) -> DataFrame:
-    """The first of forms (form, name, ord) by ord whose words stand in a text: a join on the forms' first words, then the whole form."""
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")), " "))
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    each = keyed.select("_row", F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).alias("_t"), F.explode(words).alias("_w"))
-    named = forms.select(F.lower("form").alias("form"), "name", "ord").withColumn("_w", F.split_part("form", F.lit(" "), F.lit(1)))
-    found = each.join(named, "_w").where(F.col("_t").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).groupBy("_row").agg(F.min_by("name", "ord").alias("detected"))
-    return keyed.join(found, "_row", "left").drop("_row")
+    """The first of forms (form, name, ord) by ord whose words stand in a text: a join on the forms' first words, then the whole form.
+
+    Each distinct text is searched once, named by its digest, and every row with it gets its answer. A null text has none.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    texts = df.select(F.md5(text).alias("_k"), plain(F.col(text)).alias("_p")).where("_k IS NOT NULL").dropDuplicates(["_k"])
+    each = texts.select("_k", F.concat(F.lit(" "), "_p", F.lit(" ")).alias("_t"), F.explode(F.array_distinct(F.split("_p", " "))).alias("_w"))
+    named = forms.select(plain(F.col("form")).alias("form"), "name", "ord").withColumn("_w", F.split_part("form", F.lit(" "), F.lit(1)))
+    found = each.join(named, "_w").where(F.col("_t").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).groupBy("_k").agg(F.min_by("name", "ord").alias("detected"))
+    return df.withColumn("_k", F.md5(text)).join(found, "_k", "left").drop("_k")
 
 
 def heuristic_queries(title: Column, place: Column, years: Column) -> Column:
@@ -385,7 +388,7 @@ def dedup_mentions(mentions: DataFrame, page: list[str], name: str = "text", ran
 
     mentions: page columns, text, start, end, score, rank.
     """
-    kept = suppress_overlaps(mentions, page).withColumn(name, clean_text(F.col(name)))
+    kept = suppress_overlaps(mentions, page, rank=rank).withColumn(name, clean_text(F.col(name)))
     named = kept.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"), F.min(rank).alias("rank"))
     edges = fuzzy_pairs(named, "name")
     short = named.where(F.col("name").rlike("^[A-Z0-9]{2,6}$")).select(F.col("name").alias("s"))

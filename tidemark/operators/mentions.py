@@ -77,15 +77,40 @@ def sentence_context(text: Column, start: Column, sentences: int = 1) -> Column:
     return F.trim(F.array_join(F.slice(marked, first, at + sentences - first + 1), ""))
 
 
-def suppress_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", score: str = "score", margin: float = 0.05) -> DataFrame:
-    """Of overlapping spans of a page keep the best: the higher score, within the margin the longer, then the earlier."""
-    level, size = F.round(F.coalesce(F.col(score), F.lit(0.0)) / margin), F.col(end) - F.col(start)
-    # Best first; a span is accepted if it overlaps none accepted before.
-    spans = F.array_sort(F.collect_list(F.struct((-level).alias("a"), (-size).alias("b"), F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*df.columns).alias("row"))))
-    grouped = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(spans.alias("x"))
+def suppress_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", score: str = "score", margin: float = 0.05, rank: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Of overlapping spans of a page keep the better one: the higher score; within the margin the longer, then the lower rank, then the one before.
+
+    Spans are met by start, then by order (all columns if it isn't given). What is kept is disjoint, so a span can only meet the last one kept: it takes
+    its place or goes. A page is cut where no span goes on, so each fold is over one group of overlapping spans. A null score counts as 0, a null place as 0.
+    """
+    begin, stop = F.coalesce(F.col(start), F.lit(0)), F.coalesce(F.col(end), F.lit(0))
+    fields = F.struct(begin.alias("s"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order or df.columns)], stop.alias("e"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("v"), (F.col(rank) if rank else F.lit(0)).alias("r"), F.struct(*df.columns).alias("row"))
+    rows = df.select(*[F.col(k).alias(f"_{k}") for k in keys], fields.alias("m"))
+    names = [f"_{k}" for k in keys]
+    by_start = Window.partitionBy(*names).orderBy("m")
+    reach = F.max("m.e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (F.coalesce(reach, F.col("m.s")) <= F.col("m.s")).cast("int")).withColumn("group", F.sum("new").over(by_start))
+
+    def better(m: Column, last: Column) -> Column:
+        size = lambda x: x["e"] - x["s"]
+        near = F.abs(m["v"] - last["v"]) <= margin
+        return (m["v"] > last["v"] + margin) | near & ((size(m) > size(last)) | (size(m) == size(last)) & (m["r"] < last["r"]))
+
+    def meet(kept: Column, m: Column) -> Column:
+        last = F.element_at(kept, -1)
+        apart = (F.size(kept) == 0) | (m["e"] <= last["s"]) | (last["e"] <= m["s"])
+        return F.when(apart, F.concat(kept, F.array(m))).when(better(m, last), F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(m))).otherwise(kept)
+
+    grouped = rows.groupBy(*names, "group").agg(F.array_sort(F.collect_list("m")).alias("x"))
+    return grouped.select(F.explode(F.aggregate("x", F.slice("x", 1, 0), meet)).alias("m")).select("m.row.*")
+
+
+def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str, by: list[Column]) -> DataFrame:
+    """Spans of a page best first by the given columns (then by place), each kept if it overlaps none kept before; in the order of the page."""
+    spans = F.array_sort(F.collect_list(F.struct(*[c.alias(f"b{k}") for k, c in enumerate(by)], F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*df.columns).alias("row"))))
     clash = lambda kept, m: F.exists(kept, lambda k: (m["s"] < k["e"]) & (k["s"] < m["e"]))
-    accepted = F.aggregate("x", F.slice("x", 1, 0), lambda kept, m: F.when(clash(kept, m), kept).otherwise(F.concat(kept, F.array(m))))
-    return grouped.select(F.explode(accepted).alias("m")).select("m.row.*")
+    kept = F.aggregate("x", F.slice("x", 1, 0), lambda acc, m: F.when(clash(acc, m), acc).otherwise(F.concat(acc, F.array(m))))
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(spans.alias("x")).select(F.explode(kept).alias("m")).select("m.row.*")
 
 
 def lcs(a: str, b: str) -> int:

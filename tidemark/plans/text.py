@@ -14,8 +14,8 @@ CLASSES = [("precious", ["ring", "jewel"]), ("tool", ["widget", "gear", "bolt"])
 
 
 def language_gate(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", tx.is_english(F.col("text")).alias("english"), F.round(tx.english_share(F.col("text")), 6).alias("share"))
+    docs = table(spark, d, "documents").select("doc_id", tx.english_share(F.col("text")).alias("share"))
+    return docs.select("doc_id", F.coalesce(F.col("share") >= 0.05, F.lit(False)).alias("english"), F.round("share", 6).alias("share"))
 
 
 def references_page(spark, d):
@@ -65,8 +65,8 @@ def sentence_context(spark, d):
 
 def overlap_suppression(spark, d):
     """Spans over order lines: where a line begins, how long it is and how well it scores follow from its numbers."""
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 60).alias("start"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("int") % 25 + 1).alias("end"), (F.round(F.col("l_discount") * 10) / 10).alias("score"))
-    return mn.suppress_overlaps(l, ["l_orderkey"])
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 60).alias("start"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("int") % 25 + 1).alias("end"), F.col("l_discount").alias("score"), (F.col("l_suppkey") % 3).alias("rank"))
+    return mn.suppress_overlaps(l, ["l_orderkey"], rank="rank", order=["l_linenumber"])
 
 
 def acronym_pairs(spark, d):
@@ -154,6 +154,13 @@ _LONG = "p_brand || ' ' || p_type || ' ' || p_name"
 _INITIALS = "array_to_string(list_transform(list_filter(string_split(upper({x}), ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in tx.INITIAL_STOPS) + ")), lambda w: left(w, 1)), '')"
 
 ORACLE = {
+    "overlap_suppression": """WITH RECURSIVE s AS (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey % 60 AS a, l_partkey % 60 + CAST(floor(l_quantity) AS INTEGER) % 25 + 1 AS b, l_discount AS c, l_suppkey % 3 AS r FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY a, l, b, c, r) AS k FROM s),
+g AS (SELECT o, k, k AS l, a, b, c, r, CAST(NULL AS BIGINT) AS closed FROM k WHERE k = 1 UNION ALL
+SELECT n.o, n.k, CASE WHEN w THEN n.k ELSE n.pl END, CASE WHEN w THEN n.a ELSE n.pa END, CASE WHEN w THEN n.b ELSE n.pb END, CASE WHEN w THEN n.c ELSE n.pc END, CASE WHEN w THEN n.r ELSE n.pr END, CASE WHEN n.apart THEN n.pl END
+FROM (SELECT *, apart OR c > pc + 0.05 OR abs(c - pc) <= 0.05 AND (b - a > pb - pa OR b - a = pb - pa AND r < pr) AS w FROM (SELECT k.*, g.l AS pl, g.a AS pa, g.b AS pb, g.c AS pc, g.r AS pr, k.b <= g.a OR g.b <= k.a AS apart FROM g JOIN k ON k.o = g.o AND k.k = g.k + 1)) n),
+f AS (SELECT o, closed AS l FROM g WHERE closed IS NOT NULL UNION ALL (SELECT o, l FROM g QUALIFY row_number() OVER (PARTITION BY o ORDER BY k DESC) = 1))
+SELECT f.o AS l_orderkey, k.l AS l_linenumber, a AS start, b AS "end", c AS score, r AS rank FROM f JOIN k ON k.o = f.o AND k.k = f.l""",
     "language_gate": rf"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-z]{{2,}}')) AS w FROM documents), x AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda t: t IN {_ENGLISH})) AS k FROM w) SELECT doc_id, coalesce(k / nullif(n, 0) >= 0.05, false) AS english, round(k / nullif(n, 0), 6) AS share FROM x",
     "references_page": "SELECT doc_id, doc_id % 7 = 3 OR doc_id % 11 = 2 AS is_references FROM documents",
     "text_clean": rf"SELECT doc_id, CAST(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS INTEGER) AS squeezed, md5(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.,:;()\[\]{{}} ]+$', '')) AS clean_md5, CAST(floor(len({_TOKENS}) * 1.3) AS INTEGER) + 1 AS tokens FROM documents",

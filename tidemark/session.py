@@ -36,12 +36,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and all executors are in this process, a folder of our own."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(found)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

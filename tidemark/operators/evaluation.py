@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import area, iou, overlap
+from tidemark.session import cut
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -29,8 +30,9 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def evaluate(truth: DataFrame, found: DataFrame, page: str, label: str, thresholds: tuple[float, ...] = (0.5, 0.75)) -> DataFrame:
     """By threshold and label, and over all labels (label 'all'): matches, precision, recall, mean overlap, coverage and purity; null where nothing is to divide by."""
     out = None
+    pairs = cut(iou_pairs(truth, found, [page, label], min(thresholds)))  # once, for the least threshold
     for t in thresholds:
-        m = greedy_match(iou_pairs(truth, found, [page, label], t), [page, label])
+        m = greedy_match(pairs.where(F.col("iou") >= t), [page, label])
         sums = m.groupBy(label).agg(F.count("*").alias("tp"), F.sum("iou").alias("i"), F.sum(overlap(F.col("pb"), F.col("gb")) / area(F.col("gb"))).alias("c"), F.sum(overlap(F.col("pb"), F.col("gb")) / area(F.col("pb"))).alias("u"))
         totals = truth.groupBy(label).agg(F.count("*").alias("n_true")).join(found.groupBy(label).agg(F.count("*").alias("n_found")), label, "full_outer").join(sums, label, "left").na.fill(0)
         names = ["n_true", "n_found", "tp", "i", "c", "u"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,76 @@ def register_formatter(name: str, function) -> None:
 
 def register_explainer(name: str, function) -> None:
     EXPLAINERS[name] = function
+
+
+def generate_content_request(custom_id: Column, prompt: Column, system: str = "", schema: str = "{}", max_tokens: int = 8192) -> Column:
+    """A request row in the layout of contents with parts, as JSON text. schema: the answer's JSON schema."""
+    contents = F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.coalesce(prompt, F.lit("")).alias("text"))).alias("parts")))
+    config = F.struct(F.lit(0).alias("temperature"), F.lit(1).alias("topP"), F.lit(max_tokens).alias("maxOutputTokens"), F.lit("application/json").alias("responseMimeType"), F.parse_json(F.lit(schema)).alias("responseJsonSchema"))
+    fields = [contents.alias("contents"), config.alias("generation_config"), *([F.struct(F.array(F.struct(F.lit(system).alias("text"))).alias("parts")).alias("system_instruction")] if system else [])]
+    return F.to_json(F.struct(custom_id.alias("key"), F.struct(*fields).alias("request")))
+
+
+def message_request(custom_id: Column, model: str, prompt: Column, system: str = "", schema: str = "{}", max_tokens: int = 8192) -> Column:
+    """A request row in the layout of messages with a system text, as JSON text; list bounds that the layout doesn't take are loosened."""
+    output = F.struct(F.struct(F.lit("json_schema").alias("type"), F.parse_json(F.lit(json.dumps(loosened(json.loads(schema))))).alias("schema")).alias("format"))
+    message = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+    params = F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(0).alias("temperature"), F.lit(system).alias("system"), message.alias("messages"), output.alias("output_config"))
+    return F.to_json(F.struct(custom_id.alias("custom_id"), params.alias("params")))
+
+
+def loosened(schema):
+    """A JSON schema whose lists ask for one item at most and have no upper bound."""
+    if isinstance(schema, list):
+        return [loosened(x) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    lists = schema.get("type") == "array"
+    kept = {k: loosened(v) for k, v in schema.items() if not (lists and k == "maxItems")}
+    if lists and isinstance(kept.get("minItems"), int):
+        kept["minItems"] = min(1, kept["minItems"])
+    return kept
+
+
+def candidate_text(answer: Column) -> Column:
+    """The text of the first part of the first candidate of an answer row."""
+    return F.get_json_object(answer, "$.response.candidates[0].content.parts[0].text")
+
+
+def message_text(answer: Column) -> Column:
+    """The text blocks of a message answer that succeeded, one after another; null otherwise."""
+    blocks = F.from_json(F.get_json_object(answer, "$.result.message.content"), "array<struct<type:string,text:string>>")
+    text = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
+    return F.when((F.get_json_object(answer, "$.result.type") == "succeeded") & (F.trim(text) != ""), text)
+
+
+def window_text(window: Column) -> Column:
+    """'a-b' for a window of two years or more, '' for anything else."""
+    return F.when(F.size(window) >= 2, F.concat_ws("-", window[0].cast("string"), F.element_at(window, -1).cast("string"))).otherwise(F.lit(""))
+
+
+def feedback_row(df: DataFrame, keys: list[str], maps: list[str]) -> DataFrame:
+    """Feedback as flat rows: maps as JSON texts, the keys joined by '|' as item_key."""
+    flat = df.withColumns({m: F.coalesce(F.to_json(m), F.lit("{}")) for m in maps})
+    return flat.withColumn("item_key", F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Rows of an older layout with the columns that came later, and defaults for nulls."""
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in defaults.items()})
+
+
+def arbiter_prompt(indicator: Column, geography: Column, window: Column, explanations: Column) -> Column:
+    """The question that asks a judge to settle several explanations (an array) of one window."""
+    return F.concat(F.lit("Indicator: "), indicator, F.lit("\nGeography: "), geography, F.lit("\nWindow: "), window, F.lit("\nExplanations:\n"), F.to_json(explanations))
+
+
+def settled(grouped: DataFrame, verdict: Column) -> DataFrame:
+    """by_context() rows with one value each: a single explanation as it is, else the judge's verdict, else the first explanation; and where it is from."""
+    first, n = F.element_at("explanations", 1)["value"], F.size("explanations")
+    source = F.when(n < 2, "single_explainer").when(verdict.isNotNull(), "arbiter").otherwise("fallback")
+    return grouped.withColumns({"value": F.when(n < 2, first).otherwise(F.coalesce(verdict, first)), "source": source})
+
+
+FORMATTERS |= {"gemini": generate_content_request, "anthropic": message_request}
+EXPLAINERS |= {"gemini": candidate_text, "anthropic": message_text}

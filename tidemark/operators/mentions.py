@@ -185,6 +185,34 @@ def _kept(n: Column, lost: float) -> Column:
     return (n - 1 - F.floor(n * lost + 1e-6)).cast("int")
 
 
+def _sharing(names: DataFrame, text: str, kept: Column) -> DataFrame:
+    """Pairs (a, b) of names (a, text) where the shorter text's rarest pairs of letters, as many as may be lost and one, meet any of the longer one's."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(_pieces)
+
+    each = names.select("a", F.length(text).alias("n"), F.explode(pieces(text)).alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("f"))
+    single = F.length("g") == 1
+    place = F.row_number().over(Window.partitionBy("a").orderBy(single, "f", "g"))
+    prefix = each.join(counts, "g").withColumns({"k": place, "kept": kept}).where(F.when(F.col("kept") > 0, ~single & (F.col("k") <= F.col("n") - F.col("kept"))).otherwise(single))
+    other = each.select(F.col("a").alias("b"), F.col("n").alias("m"), "g")
+    return prefix.join(other, "g").where("a <> b AND n <= m").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def ratio_pairs(df: DataFrame, name: str, least: float = 85.0) -> DataFrame:
+    """Pairs (a, b, ratio), a < b, of distinct names with a ratio of at least least, none left out: the bound is that of fuzzy_pairs() for words in order."""
+    names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct())
+    pairs = _sharing(names, "a", _kept(F.col("n"), 3 * (1 - least / 100))).distinct()
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return pairs.withColumn("ratio", alike("a", "b")).where(F.col("ratio") >= least)
+
+
 def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0) -> DataFrame:
     """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates, none left out.
 
@@ -199,25 +227,12 @@ def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0)
     def forms(names: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"folded": names.map(str.lower), "ordered": names.map(lambda s: " ".join(sorted(s.split())))})
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(_pieces)
-
     names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct().select("a", forms("a").alias("f")).select("a", "f.folded", "f.ordered"))
 
-    def sharing(text: str, kept: Column) -> DataFrame:
-        each = names.select("a", F.length(text).alias("n"), F.explode(pieces(text)).alias("g"))
-        counts = each.groupBy("g").agg(F.count("*").alias("f"))
-        single = F.length("g") == 1
-        place = F.row_number().over(Window.partitionBy("a").orderBy(single, "f", "g"))
-        prefix = each.join(counts, "g").withColumns({"k": place, "kept": kept}).where(F.when(F.col("kept") > 0, ~single & (F.col("k") <= F.col("n") - F.col("kept"))).otherwise(single))
-        other = each.select(F.col("a").alias("b"), F.col("n").alias("m"), "g")
-        return prefix.join(other, "g").where("a <> b AND n <= m").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
     n, least = F.col("n"), min(low, high) / 100
     part = lambda t: max(3 * (1 - t), 4 * (1 - t) / (2 - t))
     equal = names.join(names.select(F.col("a").alias("b"), "folded"), "folded").where("a < b").select("a", "b")
-    pairs = equal.union(sharing("ordered", _kept(n, 3 * (1 - least)))).union(sharing("a", F.when(n < 10, _kept(n, part(high / 100))).otherwise(_kept(n, part(low / 100))))).distinct()
+    pairs = equal.union(_sharing(names, "ordered", _kept(n, 3 * (1 - least)))).union(_sharing(names, "a", F.when(n < 10, _kept(n, part(high / 100))).otherwise(_kept(n, part(low / 100))))).distinct()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

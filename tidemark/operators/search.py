@@ -182,3 +182,66 @@ def quantization_quality(items: DataFrame, vec_col: str = "embedding") -> DataFr
     both = items.select(l2_normalize(F.col(vec_col)).alias("v")).withColumn("q", q).withColumn("back", dequantize(F.col("q.scale"), F.col("q.qv")))
     cosine = dot(F.col("v"), F.col("back")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("back"), F.col("back")))
     return both.agg(F.round(F.min(cosine), 6).alias("least"), F.round(F.avg(cosine), 6).alias("mean"))
+
+
+def valid_queries(queries: DataFrame, records: DataFrame, record_id: str = "record_id", id_col: str = "id") -> DataFrame:
+    """Queries whose record exists."""
+    return queries.join(records.select(F.col(id_col).alias(record_id)), record_id, "left_semi")
+
+
+def token_recall(query: Column, record: Column) -> Column:
+    """Share of a query's distinct words that a record has; 0 without words."""
+    q = F.array_distinct(tokens(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(record))) / F.size(q)).otherwise(0.0)
+
+
+def enriched(results: DataFrame, titles: DataFrame, id_col: str = "id") -> DataFrame:
+    """Results with the records' fields; what a result has itself wins."""
+    others = [c for c in titles.columns if c != id_col]
+    found = results.join(titles.select(id_col, *[F.col(c).alias(f"_{c}") for c in others]), id_col, "left")
+    return found.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) if c in results.columns else F.col(f"_{c}") for c in others}).drop(*[f"_{c}" for c in others])
+
+
+def formatted(results: DataFrame, k: int, source: str, threshold: float = 0.0) -> DataFrame:
+    """Results of one mode: scores at or above the threshold, the first k by rank, with their source."""
+    return results.where((F.col("score") >= threshold) & (F.col("rank") <= k)).withColumn("source", F.lit(source))
+
+
+def reranked(results: DataFrame, logit: str, k: int) -> DataFrame:
+    """The k best of each query by a judge's logit, its sigmoid as score; equal ones by id."""
+    score = 1 / (1 + F.exp(-F.col(logit)))
+    order = Window.partitionBy("query_id").orderBy(F.col(logit).desc(), "id")
+    return results.withColumns({"score": score, "rank": F.row_number().over(order)}).where(F.col("rank") <= k)
+
+
+def search_mode(n_items: int, model_ready: bool, flat_limit: int = 2_000) -> str:
+    """Words only without a model; exact search up to flat_limit items, inverted lists beyond."""
+    return "lexical" if not model_ready else "flat" if n_items <= flat_limit else "lists"
+
+
+def leaderboard(metrics: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Models with the best value of each column marked (<column>_best) and their place by one of them."""
+    marks = metrics.agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    best = marks.first()  # one row
+    return metrics.withColumns({f"{c}_best": F.col(c).eqNullSafe(F.lit(best[f"_{c}"])) for c in columns} | {"sort_key": -F.col(by)})
+
+
+def write_index(items: DataFrame, assigned: DataFrame, centroids: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """An index as Parquet: 8-bit vectors partitioned by list, the lists' centroids, and a manifest row."""
+    q = quantize(l2_normalize(F.col(vec_col)))
+    rows = items.join(assigned.select(id_col, F.col("assigned").alias("list")), id_col).withColumn("_q", q)
+    rows.select(id_col, "list", F.col("_q.scale").alias("scale"), F.col("_q.qv").alias("qv")).write.mode("overwrite").partitionBy("list").parquet(f"{path}/items")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    items.agg(F.count("*").alias("n_items"), F.lit("sq8").alias("kind")).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_index(spark, path: str, lists: list | None = None) -> DataFrame:
+    """An index's vectors, of some lists only if they are named: other partitions aren't read."""
+    found = spark.read.parquet(f"{path}/items")
+    found = found if lists is None else found.where(F.col("list").isin(*lists))
+    return found.withColumn("v", dequantize(F.col("scale"), F.col("qv")))
+
+
+def dangling(links: DataFrame, items: DataFrame, link: str, id_col: str) -> DataFrame:
+    """Links to items that don't exist: none in a sound index."""
+    return links.join(items.select(F.col(id_col).alias(link)), link, "left_anti")

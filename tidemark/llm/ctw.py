@@ -31,12 +31,12 @@ from tidemark.llm.common import Rolling, fold, mix, parts, shared_dir, staged
 
 #: Context bytes at most: with the byte itself they fill 64 bits.
 DEPTH = 7
-#: Words, and byte strings, that a broadcast holds at most.
-HEAD = 1_000_000
+#: Byte strings, and words, that a broadcast holds at most: with their tables some 250 and 60 MB in a worker.
+HEAD, HEAD_WORDS = 5_800_000, 1_000_000
 #: Word and byte-string entries that a task gathers before it merges them.
-MERGE = 1_500_000
+MERGE = 2_500_000
 #: Text bytes that a task takes at once, and rows whose keys it deals at once.
-PART, DEALT = 1 << 18, 1_000
+PART, DEALT = 1 << 19, 2_000
 #: Text bytes of a bucket, about, and how many buckets there are at least and at most.
 BUCKET_BYTES, BUCKETS = 2 << 20, (8, 65_536)
 PAD = 0xFF
@@ -421,8 +421,8 @@ def fit(df: DataFrame, learn: Column, text_col: str = "text", limit: int = HEAD,
         sums[r.kind][r.k] = r.x
     top = df.sparkSession.sparkContext.broadcast(_top(rows.where(F.col("kind") == NODE)))
     model = Model(rows, top, buckets, depth, int(sums[WORD][64]), int(sums[WORD][65]))
-    for kind in (GRAM, WORD):
-        model.take_head(kind, sums[kind][:64], limit)
+    model.take_head(GRAM, sums[GRAM][:64], limit)
+    model.take_head(WORD, sums[WORD][:64], min(limit, HEAD_WORDS))
     return model
 
 

@@ -67,9 +67,8 @@ def hybrid_blend(spark, d):
 
 def _positives(spark, d):
     """The first vector after a query that has its label."""
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    pairs = _asked(e).select(F.col("vec_id").alias("query_id"), "label").join(e, "label").where("vec_id > query_id")
-    return pairs.groupBy("query_id").agg(F.min("vec_id").alias("id"))
+    e = table(spark, d, "embeddings")
+    return _asked(se.following(e, "label", "vec_id")).where("next IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("next").alias("id"))
 
 
 def ranking_metrics(spark, d):
@@ -182,7 +181,7 @@ b AS (SELECT query_id, id, score, min(score) OVER w AS lo, CASE WHEN max(score)
 m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(0.7 * coalesce((sim - a.lo) / CASE WHEN a.hi = a.lo THEN 1.0 ELSE a.hi - a.lo END, 0.0) + 0.3 * coalesce((score - b.lo) / CASE WHEN b.hi = b.lo THEN 1.0 ELSE b.hi - b.lo END, 0.0), 6) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM m QUALIFY rank <= 10""",
     "ranking_metrics": f"WITH {_KNN.format(where=_Q20, k=50)}, {_POS}, f AS (SELECT rank FROM pos LEFT JOIN knn USING (query_id, id)) SELECT count(*) AS n_queries, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}, round(avg(CASE WHEN rank <= {k} THEN 1.0 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_{k}" for k in (1, 5, 10, 50)) + " FROM f",
-    "hard_negatives": f"WITH {_KNN.format(where=_Q20, k=11)}, {_POS}, r AS (SELECT k.query_id, p.id AS positive, k.id, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS k FROM knn k JOIN pos p ON k.query_id = p.query_id AND k.id <> p.id), n AS (SELECT r.* FROM r JOIN u a ON a.vec_id = r.id JOIN u b ON b.vec_id = positive WHERE k > 2 AND k <= 10 AND round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) <= 0.95) SELECT query_id, positive, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || id), id) AS INTEGER) AS pick FROM n QUALIFY pick <= 3",
+    "hard_negatives": f"WITH {_KNN.format(where=_Q20, k=31)}, {_POS}, r AS (SELECT k.query_id, p.id AS positive, k.id, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS k FROM knn k JOIN pos p ON k.query_id = p.query_id AND k.id <> p.id), n AS (SELECT r.* FROM r JOIN u a ON a.vec_id = r.id JOIN u b ON b.vec_id = positive WHERE k > 3 AND k <= 30 AND round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) <= 0.95) SELECT query_id, positive, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || id), id) AS INTEGER) AS pick FROM n QUALIFY pick <= 3",
     "metadata_facets": f"WITH {_CAT}, c AS (SELECT *, md5(c_name) AS h FROM cat) SELECT c_custkey, c_name AS idno, {_UUID} AS idno_uuid, c_mktsegment AS source, least(n_name, r_name) || ';' || greatest(n_name, r_name) AS geographies, CAST(year(a) AS INTEGER) AS year_start, CAST(year(b) AS INTEGER) AS year_end, CASE WHEN year(a) = year(b) THEN 1 ELSE 2 END AS n_years, CASE WHEN c_custkey % 2 = 0 THEN 'By customer' ELSE 'A survey' END AS abstract FROM c",
     "text_units": f"WITH {_CAT}, t AS (SELECT c_custkey, 'idno' AS field, c_name AS text FROM cat UNION ALL SELECT c_custkey, 'abstract', CASE WHEN c_custkey % 2 = 0 THEN 'By customer' ELSE 'A survey' END FROM cat) SELECT *, md5(c_custkey || '__' || field || '__' || text) AS uuid FROM t",
     "record_serialization": r"WITH t AS (SELECT p_partkey, 'name: ' || left(p_name, 40) || chr(10) || 'brand: ' || p_brand || chr(10) || 'type: ' || p_type || chr(10) || 'size: ' || p_size AS t FROM part) SELECT p_partkey, CASE WHEN length(t) <= 45 THEN t ELSE regexp_replace(left(t, 45), '\s+\S*$', '') END AS text, CAST(length(t) AS INTEGER) AS n_permuted FROM t",

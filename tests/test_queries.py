@@ -5,9 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tidemark.plans import anomaly, catalogs, curation, families, increments, retrieval, text
+from tidemark.plans import anomaly, catalogs, curation, families, increments, records, retrieval, text
 
-PLANS = (anomaly, text, retrieval, curation, increments, catalogs, families)
+PLANS = (anomaly, text, retrieval, curation, increments, catalogs, families, records)
 QUERIES = {k: f for p in PLANS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in PLANS for k, s in p.ORACLE.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -157,3 +157,43 @@ def test_request_schemas():
 def test_search_modes(spark):
     assert [se.search_mode(*x) for x in ((10, False), (2000, True), (2001, True))] == ["lexical", "flat", "lists"]
     assert value(spark, se.token_recall(F.lit("a b a"), F.lit("B c"))) == 0.5 and value(spark, se.token_recall(F.lit(""), F.lit("x"))) == 0.0
+
+
+def test_reduced_vectors_keep_the_strongest_directions(spark):
+    import numpy as np
+
+    from tidemark.operators import records as rc
+
+    x = np.random.default_rng(3).normal(size=(200, 12)) * np.arange(12, 0, -1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k int, v array<double>")
+    got = np.array([r.v for r in rc.reduced(df, "k", "v", 4).orderBy("k").collect()])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = unit @ np.linalg.svd(unit, full_matrices=False)[2][:4].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert got @ got.T == pytest.approx(want @ want.T, abs=1e-8)
+    assert len(rc.reduced(df.limit(100), "k", "v", 4).first().v) == 12 and rc.reduced(df.limit(0), "k", "v").count() == 0
+
+
+def test_mentions_of_odd_records(spark):
+    from tidemark.operators import records as rc
+
+    rows = [(1, '[{"mention_name":{"text":"WDI.","start":3},"label":"x"},{"dataset_name":""}]'), (2, '{"dataset_name":"DHS","score":0.5,"dataset_tag":"named"}'), (3, None), (4, "broken"), (5, "[]")]
+    got = rc.mentions(spark.createDataFrame(rows, "k int, d string"), ["k"], "d").collect()
+    assert sorted((r.k, r.text, r.tag, r.confidence) for r in got) == [(1, "WDI", "x", 0.0), (2, "DHS", "named", 0.5)]
+
+
+def test_index_round_trip_and_followers(spark, tmp_path):
+    items = spark.createDataFrame([(k, [float(k % 3), 1.0], k % 2) for k in range(40)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.next for r in se.following(items, "label", "vec_id", 7).collect()} == {k: k + 2 if k < 38 else None for k in range(40)}
+    assigned = items.select("vec_id", "label").withColumnRenamed("label", "assigned")
+    se.write_index(items, assigned, se.centroids_by_label(items, "label"), str(tmp_path))
+    one = se.read_index(spark, str(tmp_path), [1])
+    assert one.count() == 20 and se.dangling(one, items, "vec_id", "vec_id").count() == 0
+    assert spark.read.json(f"{tmp_path}/manifest").first().n_items == 40
+
+
+def test_paragraphs():
+    from tidemark.functions.markup import paragraphs
+
+    assert paragraphs("<div>x<p>a <b>bold</b>&amp;c<br>d<p>next<ul><li>no</ul></div><p></p>z<p>open &lt;") == ["a bold&c d", "next", "open <"]
+    assert paragraphs(None) == [] == paragraphs("")

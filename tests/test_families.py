@@ -197,3 +197,18 @@ def test_paragraphs():
 
     assert paragraphs("<div>x<p>a <b>bold</b>&amp;c<br>d<p>next<ul><li>no</ul></div><p></p>z<p>open &lt;") == ["a bold&c d", "next", "open <"]
     assert paragraphs(None) == [] == paragraphs("")
+
+
+def test_prototypes_of_countries(spark):
+    from tidemark.operators import harmonize as hz
+
+    rows = [("KEN", "household survey", 3, 0), ("KEN", "household surveys", 5, 1), ("KEN", "population census", 1, 2), ("UGA", "household survey", 2, 3), (None, "household survey", 9, 4), ("KEN", "household survey", 1, 5)]
+    got = hz.prototypes(spark.createDataFrame(rows, "country string, name string, n int, place int"), "country", "name", "n", "place", 0.6)
+    assert sorted((r.country, r.prototype, r.n, r.aliases) for r in got.collect()) == [("KEN", "household surveys", 8, ["household survey"]), ("KEN", "population census", 1, []), ("UGA", "household survey", 2, [])]
+
+
+def test_complete_rows(spark):
+    df = spark.createDataFrame([("a", 1), (" ", 2)], "x string, y int")
+    assert ga.complete(df.where("y = 1"), ["x", "y"]).count() == 1
+    with pytest.raises(PySparkException):
+        ga.complete(df, ["y", "x"]).count()

@@ -96,3 +96,20 @@ def renders(has_truth: Column, has_found: Column, mode: str) -> Column:
     if mode not in rules:
         raise ValueError(f"mode must be one of {sorted(rules)}")
     return rules[mode]
+
+
+def entities(*fields: Column) -> Column:
+    """The first of several fields (arrays) that isn't empty."""
+    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in fields], F.slice(fields[0], 1, 0))
+
+
+def best_entity(found: Column) -> Column:
+    """The most confident of an array of entities, the first of equals; no confidence counts as 0."""
+    ranked = F.transform(found, lambda e, k: F.struct(F.coalesce(e["confidence"], F.lit(0.0)).alias("c"), (-k).alias("k"), e.alias("e")))
+    return F.array_max(ranked)["e"]
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, or an error that names the first column in which a row has nothing."""
+    fault = F.coalesce(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"no value in {c}")) for c in columns])
+    return df.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))

@@ -32,30 +32,36 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.concat(*sizes)
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, gram, weight): count times ln((1 + n) / (1 + df)) + 1, of length 1 for each key."""
-    tf = df.select(F.col(key).alias("key"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("tf"))
-    n = df.select(F.count_distinct(key).alias("n")).first().n
-    idf = tf.groupBy("gram").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = tf.join(idf, "gram").select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    length = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, "key").select("key", "gram", (F.col("w") / F.col("len")).alias("weight"))
-
-
-def similar_names(df: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, with TF-IDF cosine of at least least.
+def tfidf(df: DataFrame, key: str, text: str, block: str | None = None) -> DataFrame:
+    """Rows (block, key, gram, weight): count times ln((1 + n) / (1 + df)) + 1, of length 1 for each key. With block, names are counted within theirs."""
+    rows = df.select((F.col(block) if block else F.lit(0)).alias("block"), F.col(key).alias("key"), F.col(text).alias("t"))
+    tf = rows.select("block", "key", F.explode(char_grams(F.col("t"))).alias("gram")).groupBy("block", "key", "gram").agg(F.count("*").alias("tf"))
+    if block:
+        sizes = rows.groupBy("block").agg(F.count_distinct("key").alias("n"))
+        idf = tf.groupBy("block", "gram").agg(F.count("*").alias("df")).join(sizes, "block").select("block", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    else:
+        n = rows.select(F.count_distinct("key").alias("n")).first().n
+        idf = tf.groupBy("block", "gram").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    raw = tf.join(idf, ["block", "gram"]).select("block", "key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    length = raw.groupBy("block", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    return raw.join(length, ["block", "key"]).select("block", "key", "gram", (F.col("w") / F.col("len")).alias("weight"))
+
+
+def similar_names(df: DataFrame, key: str, text: str, least: float = 0.5, block: str | None = None) -> DataFrame:
+    """Pairs (a, b, similarity), a < b, with TF-IDF cosine of at least least; with block, pairs (block, a, b, similarity) of names within theirs.
 
     A prefix filter keeps the join small: a pair that reaches least shares a gram outside the frequent grams whose joint weight
     is under least in either name.
     """
-    rows = tfidf(df, key, text)
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
-    tail = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("key").orderBy(F.col("df").desc(), "gram").rowsBetween(Window.unboundedPreceding, 0))
-    prefix = rows.withColumn("tail", tail).where(F.col("tail") >= least * least - 1e-9).select("key", "gram")
-    pairs = prefix.join(prefix.withColumnRenamed("key", "other"), "gram").where("key < other").select("key", "other").distinct()
-    a, b = rows.select("key", "gram", F.col("weight").alias("wa")), rows.select(F.col("key").alias("other"), "gram", F.col("weight").alias("wb"))
-    scored = pairs.join(a, "key").join(b, ["other", "gram"]).groupBy("key", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least).select(F.col("key").alias("a"), F.col("other").alias("b"), "similarity")
+    rows = tfidf(df, key, text, block)
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("block", "gram")))
+    tail = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("block", "key").orderBy(F.col("df").desc(), "gram").rowsBetween(Window.unboundedPreceding, 0))
+    prefix = rows.withColumn("tail", tail).where(F.col("tail") >= least * least - 1e-9).select("block", "key", "gram")
+    pairs = prefix.join(prefix.withColumnRenamed("key", "other"), ["block", "gram"]).where("key < other").select("block", "key", "other").distinct()
+    a, b = rows.select("block", "key", "gram", F.col("weight").alias("wa")), rows.select("block", F.col("key").alias("other"), "gram", F.col("weight").alias("wb"))
+    scored = pairs.join(a, ["block", "key"]).join(b, ["block", "other", "gram"]).groupBy("block", "key", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    found = scored.where(F.col("similarity") >= least)
+    return found.select(*([F.col("block").alias(block)] if block else []), F.col("key").alias("a"), F.col("other").alias("b"), "similarity")
 
 
 def leaders(df: DataFrame, pairs: DataFrame, block: str, name: str, count: str) -> DataFrame:
@@ -101,3 +107,17 @@ def pick_canonical(df: DataFrame, key: str, name: str, count: str, has_country:
     """By key a name without country and year, else without country, else any; with an acronym first, then the most frequent."""
     tier = F.when(~F.col(has_country) & ~F.col(has_year), 0).when(~F.col(has_country), 1).otherwise(2)
     return df.groupBy(key).agg(F.min_by(name, F.struct(tier, F.col(acronym).isNull().cast("int"), -F.col(count), F.col(name))).alias("canonical"))
+
+
+def prototypes(df: DataFrame, block: str, name: str, count: str, place: str, least: float = 0.85) -> DataFrame:
+    """Within each block (a country) groups of alike names: (block, prototype, n, aliases). Names lead in the order of place; a group's most frequent one (the first of equals) is its prototype.
+
+    Rows without a block are left out. Names are alike by TF-IDF cosine over the block's names.
+    """
+    rows = df.where(F.col(block).isNotNull()).groupBy(block, name).agg(F.max(count).alias("_n"), F.min(place).alias("_p"))
+    pairs = similar_names(rows, name, name, least, block)
+    keyed = rows.select(F.struct(block, name).alias("node"), F.lit(1).alias("all"), (-F.col("_p")).alias("order"))
+    both = pairs.select(F.struct(F.col(block), F.col("a").alias(name)).alias("a"), F.struct(F.col(block), F.col("b").alias(name)).alias("b"))
+    settled = leaders(keyed, both, "all", "node", "order").select(f"node.{block}", f"node.{name}", F.col(f"leader.{name}").alias("_l")).join(rows, [block, name])
+    grouped = settled.groupBy(block, "_l").agg(F.max_by(name, F.struct("_n", -F.col("_p"))).alias("prototype"), F.sum("_n").alias("n"), F.array_sort(F.collect_set(name)).alias("_names"))
+    return grouped.select(block, "prototype", "n", F.array_remove("_names", F.col("prototype")).alias("aliases"))

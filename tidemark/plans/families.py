@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import annotation as an
 from tidemark.operators import explanations as ex
 from tidemark.operators import families as fa
+from tidemark.operators import gates as ga
+from tidemark.operators import harmonize as hz
 from tidemark.operators import search as se
 from tidemark.sources.tables import table
 
@@ -57,6 +59,18 @@ def consolidated_families(spark, d):
     return fa.consolidate(p, keys).select("target", F.array_join("aliases", ",").alias("aliases"), "n_families")
 
 
+def country_prototypes(spark, d):
+    """Names of parts by brand as names by country."""
+    p = table(spark, d, "part").select("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_size").alias("n"), "p_partkey")
+    return hz.prototypes(p, "p_brand", "name", "n", "p_partkey", 0.6).select("p_brand", "prototype", "n", F.array_join("aliases", ",").alias("aliases"))
+
+
+def best_entities(spark, d):
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount")).alias("confidence")))).alias("e"))
+    none = F.slice("e", 1, 0)
+    return l.select("l_orderkey", ga.best_entity(ga.entities(none, F.when(F.col("l_orderkey") % 2 == 0, F.col("e")), F.slice("e", 1, 1)))["k"].alias("line"))
+
+
 def annotated_pages(spark, d):
     """Order lines as an annotation tool's tasks, the newest of a page kept."""
     l = table(spark, d, "lineitem").where("l_linenumber <= 3").dropDuplicates(["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"), F.max("l_linenumber").alias("m"))
@@ -195,7 +209,7 @@ def index_lists(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    merged_clusters, similar_clusters, acronym_sets, boosted_names, absorbed_families, family_keys, consolidated_families, annotated_pages, prediction_tasks, tables_by_document, last_pages, document_mismatch, kept_predictions,
+    merged_clusters, similar_clusters, acronym_sets, boosted_names, absorbed_families, family_keys, consolidated_families, country_prototypes, best_entities, annotated_pages, prediction_tasks, tables_by_document, last_pages, document_mismatch, kept_predictions,
     first_documents, coerced_labels, page_groups, request_rows, answer_texts, settled_explanations, feedback_rows, set_operations, word_recall, enriched_results, reranked_results, model_board, valid_queries, index_lists,
 )}
 
@@ -205,6 +219,7 @@ ORACLE = {
     "merged_clusters": "WITH p AS (SELECT p_brand, p_type, p_name, count(*) AS n, max(p_size) AS s FROM part GROUP BY 1, 2, 3), c AS (SELECT p_brand, p_type, min(p_name) AS name, min(s % 3) AS rank, max(s / 100) AS conf, sum(n) AS c FROM p GROUP BY 1, 2), b AS (SELECT p_brand, name, rank FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY rank, length(name) DESC, conf DESC, name DESC) = 1), m AS (SELECT p_brand, CAST(sum(c) AS BIGINT) AS count, count(*) AS n_merged FROM c GROUP BY 1), f AS (SELECT p_brand, string_agg(p_name || '=' || n, ',' ORDER BY p_name) AS forms FROM (SELECT p_brand, p_name, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1, 2) GROUP BY 1), g AS (SELECT p_brand, string_agg(s, ',' ORDER BY s) AS pages FROM (SELECT DISTINCT p_brand, s FROM p) GROUP BY 1) SELECT b.p_brand, name, rank, count, n_merged, forms, pages FROM b JOIN m USING (p_brand) JOIN f USING (p_brand) JOIN g USING (p_brand)",
     "acronym_sets": "SELECT p_name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS acronyms FROM part WHERE p_size % 4 = 0 GROUP BY 1",
     "boosted_names": "WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS n, p_brand || '-' || p_size AS a FROM part WHERE p_size % 4 = 0), x AS (SELECT DISTINCT a.n AS a, b.n AS b, 0.6 AS s FROM p a JOIN p b ON left(a.n, 4) = left(b.n, 4) AND a.n < b.n UNION ALL SELECT a.n, b.n, 0.95 FROM p a JOIN p b ON a.a = b.a AND a.n < b.n) SELECT a, b, CAST(max(s) AS DOUBLE) AS similarity FROM x GROUP BY 1, 2",
+    "best_entities": "WITH e AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN l_linenumber % 3 > 0 THEN l_discount ELSE 0 END AS c, CASE WHEN l_linenumber % 3 > 0 THEN l_discount END AS o FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k, o NULLS FIRST) AS p FROM e) SELECT l_orderkey, k AS line FROM r WHERE l_orderkey % 2 = 0 OR p = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, p) = 1",
     "annotated_pages": "WITH l AS (SELECT l_orderkey, max(l_linenumber) AS m, min(l_linenumber) AS f, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), k AS (SELECT l_orderkey, CASE WHEN m > 1 THEN n ELSE 1 END AS n, CASE WHEN m > 1 THEN m ELSE f END AS k FROM l) SELECT 'd' || (l_orderkey % 50) AS doc_id, CAST(l_orderkey AS INTEGER) AS page, CAST(n AS INTEGER) AS n, round(least(1.0, k * 0.1 + 0.5), 6) AS x2, round(least(1.0, k * 0.2 + 0.6), 6) AS y2 FROM k",
     "prediction_tasks": "SELECT l_orderkey AS page, l_orderkey AS of, CAST(min(l_linenumber) AS VARCHAR) AS first, CAST(70.0 AS DOUBLE) AS height, 'Figure' AS label FROM lineitem GROUP BY 1",
     "tables_by_document": f"WITH p AS ({_PAGES.format(f='A')}), s AS (SELECT doc_id, count(*) AS n, sum(len(list_filter(o, lambda x: x % 2 = 0))) AS t FROM p GROUP BY 1) SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_pages, CAST(coalesce(t, 0) AS INTEGER) AS n_tables FROM range(45) d(doc_id) LEFT JOIN s USING (doc_id)",

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import carried
+from tidemark.llm.common import carried, kept, tidy
 
 #: How byte-level BPE vocabularies cut text into pieces (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -162,15 +162,13 @@ class Bpe:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def _worker(key: int, spec) -> Bpe:
     """The vocabulary's tables, built once in each worker."""
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe(spec.value)
-    return _loaded[key]
+    loaded = kept("bpe")
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Bpe(spec.value)
+    return loaded[key]
 
 
 def _spec(df: DataFrame, vocabulary: str):
@@ -186,6 +184,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     src, texts_of = carried(df, id_col, text_col)
     names = [id_col, "ids", *["lossless"] * check]
 
+    @tidy("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(key, spec)
         for batch in batches:
@@ -208,6 +207,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     src = df.select(id_col, ids_col)
     schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, text string"
 
+    @tidy("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(key, spec)
         for batch in batches:
@@ -227,6 +227,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     sha = hashlib.sha256
 
+    @tidy("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(key, spec)
         for batch in batches:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +20,33 @@ from tidemark.session import cut, shared_dir, staged  # noqa: F401
 PART_BYTES = 1 << 20
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in this Python worker from one task to the next. What others kept there is forgotten."""
+    for other in [name for name in _KEPT if name != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def tidy(owner: str) -> Callable:
+    """For a task's function over batches: begin without what other operators kept, and end by giving freed memory back, as workers live on."""
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept(owner)
+            yield from run(batches)
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+        return task
+
+    return wrap
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus. A null id is in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(0))

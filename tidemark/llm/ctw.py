@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, fold, mix, parts, shared_dir, staged
+from tidemark.llm.common import Rolling, fold, kept, mix, parts, shared_dir, staged, tidy
 
 #: Context bytes at most: with the byte itself they fill 64 bits.
 DEPTH = 7
@@ -119,6 +119,7 @@ def _by_bucket(kind: int, keys: np.ndarray, others: np.ndarray, depth: int, buck
 def gather(df: DataFrame, learn: Column, depth: int, buckets: int, text_col: str = "text") -> DataFrame:
     """Rows (kind, bucket, keys, counts): training counts of every byte string anywhere, and of every word learned from, some tasks' share each."""
 
+    @tidy("ctw model")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, int]] = {GRAM: ([], [], 0), WORD: ([], [], 0)}
 
@@ -255,6 +256,7 @@ def merged(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
     sizes: how many keys have a count under 2, 4, 8, ..., then their counts' sum and how many were learned.
     """
 
+    @tidy("ctw model")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[list, list]] = {}
         for batch in batches:
@@ -313,6 +315,7 @@ class Top:
 def _top(nodes: DataFrame) -> Top:
     """The depth-2 nodes' sums over all buckets, added by Spark."""
 
+    @tidy("ctw model")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, sums in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
@@ -376,9 +379,6 @@ class Lookup:
             left = left[(got[:, 0] != keys[left]) & (got[:, 0] != EMPTY)]
 
 
-_tables: dict[str, tuple] = {}
-
-
 class Model:
     """The merged counts, what the top nodes add, the token totals, and the most frequent keys with their values."""
 
@@ -396,6 +396,7 @@ class Model:
         least, top, depth = 2**under - 1, self.top, self.depth
         self.whole[kind] = not sizes[:under].sum()
 
+        @tidy("ctw model")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -431,8 +432,8 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
     depth, buckets, top, whole_words = model.depth, model.buckets, model.top, model.whole[WORD]
     of_words = Model(None, None, buckets, depth, model.tokens, model.types).of_words
 
+    @tidy("ctw rest")
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _tables.clear()  # workers live on
         for batch in (b.slice(k, DEALT) for b in batches for k in range(0, b.num_rows, DEALT)):
             row = batch.column("row").to_numpy()
             for kind, name in ((GRAM, "grams"), (WORD, "words")):
@@ -442,6 +443,7 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
                 own, ends, keys, of = _by_bucket(kind, keys[order], of[order], depth, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), _packed(keys, ends), pa.nulls(len(own), pa.binary()), _packed(of, ends)], ["kind", "bucket", "keys", "counts", "rows"])
 
+    @tidy("ctw rest")
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[list, list]] = {}
         for batch in batches:
@@ -481,11 +483,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     unseen, depth, src, all_words = float(model.of_words(np.zeros(1))[0]), model.depth, df.select(id_col, text_col), model.whole[WORD]
     kind = src.schema[0].dataType.simpleString()
 
+    @tidy("ctw")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _tables:  # hash tables are built once in each worker, so the broadcast stays as small as its rows
-            _tables.clear()
-            _tables[mark] = tuple(Lookup(*shared.value[k]) for k in (GRAM, WORD))
-        grams, words = _tables[mark]
+        tables = kept("ctw")
+        if mark not in tables:  # hash tables are built once in each worker, so the broadcast stays as small as its rows
+            tables.clear()
+            tables[mark] = tuple(Lookup(*shared.value[k]) for k in (GRAM, WORD))
+        grams, words = tables[mark]
         for batch in batches:
             for first, end, data, starts in parts(batch[1], PART):
                 part, n = Part(data, starts, depth), end - first

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, carried, cut, mix, parts, staged
+from tidemark.llm.common import Rolling, carried, cut, mix, parts, staged, tidy
 
 WINDOW, SHINGLE = 10, 3
 #: Pairs of window and item in a block, about; blocks searched before what was found is written; candidates verified at once.
@@ -153,6 +153,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(docs: DataFrame, block) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """How often each shingle of a block occurs in all documents: by size, sorted shingles and numbers."""
 
+    @tidy("decontam")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {k: np.unique(v[0]) for k, v in block.value.tokens.items()}
         sums = {k: np.zeros(len(v), np.int64) for k, v in tokens.items()}
@@ -205,6 +206,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         block.order(_counted(found, spark.sparkContext.broadcast(block)) if mine.num_rows else {})
         shared, last = spark.sparkContext.broadcast(block), b == blocks - 1
 
+        @tidy("decontam")
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
@@ -234,6 +236,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
     """Per document (id_col, n_words, n_hit, n_items, items_sha256, contaminated)."""
     found = occurrences(docs, benchmark, id_col, **options)
 
+    @tidy("decontam")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carried, fold, staged
+from tidemark.llm.common import carried, fold, staged, tidy
 
 #: Training documents of a language, about.
 PER_LANGUAGE = 1000
@@ -189,6 +189,7 @@ def train(df: DataFrame, vocabulary: str, learn: Column, text_col: str = "text",
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     drawn = rows.where((F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1e6) < share[F.col("l")])
 
+    @tidy("langid")
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -202,6 +203,7 @@ def train(df: DataFrame, vocabulary: str, learn: Column, text_col: str = "text",
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast((pieces, languages, p))
 
+        @tidy("langid")
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             pieces, languages, p = now.value
             finder, rows = Pieces(pieces), np.vstack([p, np.zeros(p.shape[1])])
@@ -229,6 +231,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     # The model has one number a piece and language, whatever the size of the corpus.
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidy("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

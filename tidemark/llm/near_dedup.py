@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, parts, staged, utf8
+from tidemark.llm.common import cut, mix, parts, staged, tidy, utf8
 from tidemark.llm.decontam import shingles, words
 from tidemark.operators.graph import components
 
@@ -96,6 +96,7 @@ def sample(token: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarr
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Inverse document frequency by cell, from all rows of docs (t), and their number."""
 
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS + 1, np.int64)
         for batch in batches:
@@ -118,6 +119,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """Rows (d, m, sig, bands) for docs (d, m, t); texts without words have null sig and bands. idf: a broadcast."""
 
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, starts in parts(batch.column("t"), 1 << 20):
@@ -144,6 +146,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 def similarity(pairs: DataFrame, idf) -> DataFrame:
     """Weighted Jaccard similarity of whole texts: rows (a, b, similarity) for pairs (a, b, ta, tb)."""
 
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -172,6 +175,7 @@ def shared_weights(texts: DataFrame, idf) -> DataFrame:
     """
     names = ["token", "node", "total", "shared", "n"]
 
+    @tidy("near")
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch[0].to_numpy()

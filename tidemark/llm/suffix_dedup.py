@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, cut, parts, staged
+from tidemark.llm.common import Rolling, cut, parts, staged, tidy
 
 LENGTH, ANCHOR, SHALLOW = 100, 36, 33
 #: Occurrences of an anchor that one task sorts, windows in a task, about, and starts that one string holds (a power of 2).
@@ -154,6 +154,7 @@ def _found_by_broadcast(docs: DataFrame, repeated: DataFrame, hot: int) -> DataF
     names = np.sort(np.array(list(often), np.int64).view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast((keys, names, np.array([often[h] for h in names.view(np.int64).tolist()], np.int64)))
 
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, names, counts = known.value
         for batch in batches if len(keys) else ():
@@ -177,6 +178,7 @@ def _found_by_broadcast(docs: DataFrame, repeated: DataFrame, hot: int) -> DataF
 def _found_by_join(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Anchors' places meet the repeated anchors in a join, then their documents, so that only bytes that are needed travel."""
 
+    @tidy("suffix")
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, v = batch[0].to_numpy(), batch[1].to_numpy()
@@ -184,6 +186,7 @@ def _found_by_join(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 w = Windows(data, starts, joined=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.anchor.view(np.int64)), pa.array(d[first + w.row]), pa.array(v[first + w.row]), pa.array(w.at - starts[w.row]), pa.array(w.count)], ["h", "d", "v", "at", "c"])
 
+    @tidy("suffix")
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -237,12 +240,12 @@ def _later(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBat
 
 def later_windows(docs: DataFrame, broadcast: int = BROADCAST, hot: int = HOT) -> DataFrame:
     """Rows (d, v, at, n): n windows from byte at on that also start earlier. docs: (d, v, t)."""
-    repeated = cut(docs.select("t").mapInArrow(_anchors, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    repeated = cut(docs.select("t").mapInArrow(tidy("suffix")(_anchors), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
     total = repeated.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
     strings = _strings(docs, repeated, total.k, broadcast, hot)
     parallel = max(8, int((total.n or 0) * (LENGTH - ANCHOR + 1) / 2 / WINDOWS))
     salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("d", F.floor(F.col("at") / STRETCH)), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
-    found = strings.repartition(parallel, "h", salt).mapInArrow(lambda b: _later(b, hot), "d bigint, v bigint, at bigint, n bigint, digest binary")
+    found = strings.repartition(parallel, "h", salt).mapInArrow(tidy("suffix")(lambda b: _later(b, hot)), "d bigint, v bigint, at bigint, n bigint, digest binary")
     if (total.most or 0) <= hot:
         return found.drop("digest")
     # The earliest windows of a hot anchor's parts: a digest has at most as many as there are parts.
@@ -293,6 +296,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadca
     names = [f"c{k}" for k in range(len(others))]
     schema = f"id {df.schema[id_col].dataType.simpleString()}, t string, {''.join(f'c{k} {df.schema[c].dataType.simpleString()}, ' for k, c in enumerate(others))}removed_bytes bigint, removed_spans array<array<bigint>>"
 
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone, spans = [], [], []
@@ -313,6 +317,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     """Per row (id_col, n_bytes, n_removed, n_spans, kept_sha256)."""
     found = _with_spans(df, id_col, text_col, broadcast, hot)
 
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, spans, sha = [], [], [], []

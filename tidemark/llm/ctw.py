@@ -351,14 +351,19 @@ class Lookup:
         self.mask = np.uint64((1 << max(4, int(1.4 * len(keys) + 1).bit_length())) - 1)
         pairs = np.empty((int(self.mask) + 1, 2), np.uint64)
         pairs[:, 0], pairs[:, 1] = EMPTY, np.float64(np.nan).view(np.uint64)
-        rows = np.column_stack([keys, values.astype(np.float64).view(np.uint64)])
-        slot, left = mix(keys) & self.mask, np.arange(len(keys))
+        for k in range(0, len(keys), 1 << 18):  # little beside the table itself
+            self._put(pairs, keys[k : k + (1 << 18)], values[k : k + (1 << 18)].astype(np.float64).view(np.uint64))
+        self.table = pairs.ravel().view(np.complex128)
+
+    def _put(self, pairs: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        slot, left = (mix(keys) & self.mask).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = left[pairs[slot[left], 0] == EMPTY]
-            pairs[slot[free]] = rows[free]
+            pairs[slot[free], 0] = keys[free]
+            won = free[pairs[slot[free], 0] == keys[free]]  # of several for one place the last has it
+            pairs[slot[won], 1] = values[won]
             left = left[pairs[slot[left], 0] != keys[left]]
-            slot[left] = (slot[left] + np.uint64(1)) & self.mask
-        self.table = pairs.ravel().view(np.complex128)
+            slot[left] = (slot[left] + 1) & int(self.mask)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, nan where there is none."""

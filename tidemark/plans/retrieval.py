@@ -189,6 +189,6 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
     "metadata_coverage": "SELECT 'status' AS field, count(*) FILTER (o_orderstatus <> 'F') AS present, round(avg(CAST(o_orderstatus <> 'F' AS INTEGER)), 6) AS share FROM orders UNION ALL SELECT 'price', count(*) FILTER (o_totalprice > 100000), round(avg(CAST(o_totalprice > 100000 AS INTEGER)), 6) FROM orders UNION ALL SELECT 'o_orderpriority', count(*), 1.0 FROM orders",
     "dotted_path_json": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS none, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "null_fill": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE '' END AS s, CASE WHEN o_orderkey % 2 > 0 THEN o_custkey ELSE 0 END AS c, CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 0 END AS p FROM orders",
-    "html_blocks": r"WITH p AS (SELECT page_id, string_split(html, '<p>')[2:] AS p FROM pages), c AS (SELECT page_id, list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '(?s)(</?(p|div|ul|h1|article|footer|form|nav|aside)\b).*', ''), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) AS p FROM p), b AS (SELECT page_id, list_filter(list_transform(p, lambda x: trim(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM c) SELECT page_id, CAST(len(b) AS BIGINT) AS n_blocks, md5(array_to_string(b, chr(10))) AS blocks_md5 FROM b",
+    "html_blocks": r"WITH p AS (SELECT page_id, string_split(html, '<p>')[2:] AS p FROM pages), c AS (SELECT page_id, list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '(?s)(</?(p|div|ul|h1|article|footer|form|nav|aside)\b).*', ''), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) AS p FROM p), b AS (SELECT page_id, list_filter(list_transform(p, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM c) SELECT page_id, CAST(len(b) AS BIGINT) AS n_blocks, md5(array_to_string(b, chr(10))) AS blocks_md5 FROM b",
     "iou_pairs": "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS id, l_linestatus, (l_partkey % 10) / 20.0 AS x1, (l_suppkey % 10) / 20.0 AS y1, (l_partkey % 10) / 20.0 + 0.1 + l_quantity / 100 AS x2, (l_suppkey % 10) / 20.0 + 0.1 + l_quantity / 100 AS y2 FROM lineitem), j AS (SELECT g.page, g.id AS g, p.id AS p, greatest(0.0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0.0, least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS o, (g.x2 - g.x1) * (g.y2 - g.y1) AS ga, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa FROM b g JOIN b p ON g.page = p.page WHERE g.l_linestatus = 'F' AND p.l_linestatus <> 'F') SELECT page, g, p, round(o / (ga + pa - o), 6) AS iou FROM j WHERE o / (ga + pa - o) >= 0.3",
 }

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chatformat, ctw, decontam, htmltext, imatch, langid, near_dedup, suffix_dedup, toxicity
+from tidemark.llm import audit, bpe, chatformat, ctw, decontam, htmltext, imatch, langid, linededup, merkle, near_dedup, suffix_dedup, toxicity
 from tidemark.session import ship
 
 
@@ -71,6 +71,18 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_context_tree_weighting": op1_context_tree_weighting,
@@ -83,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_grammar": op8_toxicity_grammar,
         "op9_chat_format": op9_chat_format,
         "op10_imatch_fingerprints": op10_imatch_fingerprints,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -116,4 +131,4 @@ FROM d LEFT JOIN words ON d.id = words.id LEFT JOIN items ON d.id = items.id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_array_dedup": REPEATS, "op6_prefix_filtered_decontamination": CONTAMINATION, "op9_chat_format": chatformat.ORACLE}
+    return {"op3_suffix_array_dedup": REPEATS, "op6_prefix_filtered_decontamination": CONTAMINATION, "op9_chat_format": chatformat.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_line_dedup": linededup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tidemark.functions.text import initials
 from tidemark.operators.graph import components
@@ -170,69 +172,117 @@ def are_fuzzy_duplicates(a: str, b: str, short: int = 10, low: float = 85.0, hig
     return met == 2 or met == 1 and partial_ratio(a, b) >= least  # the dearest ratio only where it decides
 
 
-def _pieces(text: str) -> list[str]:
-    """A text's pairs of letters, each with its occurrence, and its distinct letters."""
-    seen: Counter = Counter()
-    out = []
-    for k in range(len(text) - 1):
-        seen[text[k : k + 2]] += 1
-        out.append(f"{text[k : k + 2]}{seen[text[k : k + 2]]}")
-    return out + sorted(set(text))
+@F.pandas_udf(StructType().add("pairs", ArrayType(StringType())).add("bits", ArrayType(LongType())))
+def _features(texts: pd.Series) -> pd.DataFrame:
+    """A text's pairs of letters, each with its occurrence, and two bit sets, each as four numbers and how much it leaves out.
 
+    The first has a bit for each of the first 8 letters in each of 32 classes, the second one for the pairs of each of 256 hashes.
+    """
+
+    def pairs(text: str) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for k in range(len(text) - 1):
+            seen[text[k : k + 2]] += 1
+            out.append(f"{text[k : k + 2]}{seen[text[k : k + 2]]}")
+        return out
+
+    def packed(places: set[int], n: int) -> list[int]:
+        row = sum(1 << p for p in places).to_bytes(32, "little")
+        return [*(int.from_bytes(row[k : k + 8], "little", signed=True) for k in range(0, 32, 8)), n - len(places)]
+
+    def bits(text: str, pairs: list[str]) -> list[int]:
+        counts = Counter(ord(c) % 32 for c in text)
+        return packed({8 * c + k for c, n in counts.items() for k in range(min(n, 8))}, len(text)) + packed({zlib.crc32(p.encode()) % 256 for p in pairs}, len(pairs))
+
+    found = texts.map(pairs)
+    return pd.DataFrame({"pairs": found, "bits": [bits(t, p) for t, p in zip(texts, found, strict=True)]})
 
-def _kept(n: Column, lost: float) -> Column:
-    """How many of a text's n - 1 pairs of letters are left at least when a share of n is lost at most."""
-    return (n - 1 - F.floor(n * lost + 1e-6)).cast("int")
 
+def _common(a: str, b: str, first: int = 0) -> Column:
+    """Letters (or, from bit set 5, pairs of letters) that two texts share at most."""
+    return sum((F.bit_count(F.get(a, first + k).bitwiseAND(F.get(b, first + k))) for k in range(4)), F.least(F.get(a, first + 4), F.get(b, first + 4)))
 
-def _sharing(names: DataFrame, text: str, kept: Column) -> DataFrame:
-    """Pairs (a, b) of names (a, text) where the shorter text's rarest pairs of letters, as many as may be lost and one, meet any of the longer one's."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(_pieces)
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to all cores, as what they meet in a join is many times what they are."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "a", by)
 
-    each = names.select("a", F.length(text).alias("n"), F.explode(pieces(text)).alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("f"))
-    single = F.length("g") == 1
-    place = F.row_number().over(Window.partitionBy("a").orderBy(single, "f", "g"))
-    prefix = each.join(counts, "g").withColumns({"k": place, "kept": kept}).where(F.when(F.col("kept") > 0, ~single & (F.col("k") <= F.col("n") - F.col("kept"))).otherwise(single))
-    other = each.select(F.col("a").alias("b"), F.col("n").alias("m"), "g")
-    return prefix.join(other, "g").where("a <> b AND n <= m").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+def _near(forms: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b), a < b, of names with a pair of forms (a, t) that may have a ratio of at least least; none is left out.
+
+    With r = least / 100 the common subsequence of texts of n <= m letters has at least r (n + m) / 2 of them, so m <= n (2 - r) / r, and at most (1 - r) (n + m) letters are inserted or deleted.
+    A deletion spoils two pairs of letters and an insertion one, so the texts share at least s (n + m) - 1 pairs, s = 1.5 r - 1. Hence they meet in a prefix of either: its rarest pairs,
+    all but as many as any partner must share, and one. Texts too short for that meet in a letter. What meets is compared by length, letters and pairs of letters inside the join, before it makes a row.
+    """
+    r = least / 100
+    slope = 1.5 * r - 1
+    short = 2 / slope if slope > 0 else float("inf")
+    each = cut(forms.distinct().select("a", "t", F.length("t").alias("n"), _features("t").alias("f")).select("a", "t", "n", "f.pairs", "f.bits"))
+    tokens = each.select("a", "t", "n", "bits", F.explode("pairs").alias("g"))
+    counts = tokens.groupBy("g").agg(F.count("*").alias("f"))
+    shared = F.greatest(F.lit(1.0), F.ceil(slope * (F.col("n") + F.col("n") * (r / (2 - r))) - 1 - 1e-6))
+    place = F.row_number().over(Window.partitionBy("a", "t").orderBy("f", "g"))
+    prefix = tokens.join(counts, "g").withColumn("k", place).where(F.col("k") <= F.col("n") - shared).select("a", "n", "bits", "g")
+    if slope <= 0:
+        prefix = prefix.limit(0)
+    letters = each.where(F.col("n") < short).select("a", "n", "bits", F.explode(F.array_distinct(F.filter(F.split("t", ""), lambda c: c != ""))).alias("g"))
+    meet = prefix.unionByName(letters)
+    other = meet.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("g").alias("h"))
+    both = F.col("n") + F.col("m")
+    fits = (F.col("m") * r <= F.col("n") * (2 - r) + 1e-6) & (2 * _common("bits", "bits2") >= r * both - 1e-6) & (_common("bits", "bits2", 5) >= slope * both - 1 - 1e-6)
+    pairs = _spread(meet, "g").join(other, (F.col("g") == F.col("h")) & (F.col("n") <= F.col("m")) & (F.col("a") != F.col("b")) & ((F.col("n") < F.col("m")) | (F.col("a") < F.col("b"))) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ratio_pairs(df: DataFrame, name: str, least: float = 85.0) -> DataFrame:
-    """Pairs (a, b, ratio), a < b, of distinct names with a ratio of at least least, none left out: the bound is that of fuzzy_pairs() for words in order."""
+    """Pairs (a, b, ratio), a < b, of distinct names with a ratio of at least least, none left out."""
     names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct())
-    pairs = _sharing(names, "a", _kept(F.col("n"), 3 * (1 - least / 100))).distinct()
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return pairs.withColumn("ratio", alike("a", "b")).where(F.col("ratio") >= least)
+    return _near(names.select("a", F.col("a").alias("t")), least).withColumn("ratio", alike("a", "b")).where(F.col("ratio") >= least)
 
 
-def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates, none left out.
+def fuzzy_candidates(names: DataFrame, low: float = 85.0, high: float = 95.0) -> DataFrame:
+    """Pairs (a, b), a < b, of names (a) among which all fuzzy duplicates are.
 
-    Of two ratios out of three one is the token sort ratio or the partial ratio, so a pair is a candidate by its words in order or by
-    the names as they are. A deleted letter spoils two pairs of letters and an inserted one a further one. With t = ratio / 100 the
-    shorter text of n letters keeps all but 3 (1 - t) n of its n - 1 pairs in the first case, and all but max(3 (1 - t), 4 (1 - t) / (2 - t)) n
-    in the second, where the longer one counts with its best stretch only. So one of its rarest pairs, as many as can be lost and one,
-    is among all pairs of the longer text. Where no pair need be left, it shares a letter. Each candidate is then checked by the ratios.
+    Two of three ratios have to be met. Names whose words in order, or distinct words in order, are near by their ratio come from _near(). Any other pair meets the partial ratio and, by a
+    word that both have, the token set ratio. With p = r / (2 - r), r = ratio / 100, its shorter name of n letters has at least p n of them in common with the longer one, and either the shared words are
+    at least p of one name's distinct words, or these differ in at most 1 - r of their letters. A deleted letter spoils two pairs of letters and an inserted one a further one, which bounds the
+    pairs that the longer name may lack.
     """
 
-    @F.pandas_udf("folded string, ordered string")
-    def forms(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"folded": names.map(str.lower), "ordered": names.map(lambda s: " ".join(sorted(s.split())))})
+    @F.pandas_udf("folded string, ordered string, distinct string")
+    def forms(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"folded": texts.map(str.lower), "ordered": texts.map(lambda s: " ".join(sorted(s.split()))), "distinct": texts.map(lambda s: " ".join(sorted(set(s.split()))))})
+
+    each = cut(names.select("a", forms("a").alias("f")).select("a", "f.folded", "f.ordered", "f.distinct"))
+    equal = [each.join(each.select(F.col("a").alias("b"), form), form).where("a < b").select("a", "b") for form in ("folded", "ordered")]
+    near = _near(each.select("a", F.explode(F.array_distinct(F.array("ordered", "distinct"))).alias("t")), min(low, high))
+    # Words that two names share, with the letters of the names and of their distinct words.
+    rows = cut(each.select("a", F.length("a").alias("n"), _features("a")["bits"].alias("bits"), F.length("distinct").alias("u"), _features("distinct")["bits"].alias("ubits"), F.filter(F.split("distinct", " "), lambda w: w != "").alias("words")))
+    one = rows.withColumn("word", F.explode("words"))
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    r = F.when(F.col("n") < 10, high / 100).otherwise(low / 100)
+    p = r / (2 - r)
+    lost = F.greatest(3 * (1 - r), 4 * (1 - r) / (2 - r))  # of the shorter name's pairs, by deleted and inserted letters
+    partial = (_common("bits", "bits2") >= p * F.col("n") - 1e-6) & (_common("bits", "bits2", 5) >= F.col("n") - 1 - F.floor(F.col("n") * lost + 1e-6))
+    longer = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("a") < F.col("a2")))
+    met = _spread(one, "word").join(two, (F.col("word") == F.col("word2")) & longer & partial)
+    near_words = 2 * _common("ubits", "ubits2") >= r * (F.col("u") + F.col("u2")) - 1e-6
+    least_words = p * F.least("u", "u2") - 1e-6
+    shared = met.groupBy("a", "a2").agg((F.sum(F.length("word") + 1) - 1).alias("s"), F.max(near_words).alias("near"), F.max(least_words).alias("least"))
+    by_word = shared.where(F.col("near") | (F.col("s") >= F.col("least"))).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
+    return equal[0].union(equal[1]).union(near).union(by_word).distinct()
 
-    names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct().select("a", forms("a").alias("f")).select("a", "f.folded", "f.ordered"))
 
-    n, least = F.col("n"), min(low, high) / 100
-    part = lambda t: max(3 * (1 - t), 4 * (1 - t) / (2 - t))
-    equal = names.join(names.select(F.col("a").alias("b"), "folded"), "folded").where("a < b").select("a", "b")
-    pairs = equal.union(_sharing(names, "ordered", _kept(n, 3 * (1 - least)))).union(_sharing(names, "a", F.when(n < 10, _kept(n, part(high / 100))).otherwise(_kept(n, part(low / 100))))).distinct()
+def fuzzy_pairs(df: DataFrame, name: str, low: float = 85.0, high: float = 95.0) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct names that are fuzzy duplicates, none left out: fuzzy_candidates(), each checked by the ratios."""
+    pairs = fuzzy_candidates(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct(), low, high)
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from tidemark.functions.text import initials
 from tidemark.operators.graph import components
@@ -209,42 +209,66 @@ def _spread(rows: DataFrame, by: str) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "a", by)
 
 
-def _near(forms: DataFrame, least: float) -> DataFrame:
-    """Candidates (a, b), a < b, of names with a pair of forms (a, t) that may have a ratio of at least least; none is left out.
+def near_tokens(names: DataFrame, least: float, text: str = "a", rare: bool = False) -> DataFrame:
+    """(a, n, bits, g): names (a, text) by the tokens of which any name with a ratio of at least least has one too.
 
-    With r = least / 100 the common subsequence of texts of n <= m letters has at least r (n + m) / 2 of them, so m <= n (2 - r) / r, and at most (1 - r) (n + m) letters are inserted or deleted.
-    A deletion spoils two pairs of letters and an insertion one, so the texts share at least s (n + m) - 1 pairs, s = 1.5 r - 1. Hence they meet in a prefix of either: its rarest pairs,
-    all but as many as any partner must share, and one. Texts too short for that meet in a letter. What meets is compared by length, letters and pairs of letters inside the join, before it makes a row.
+    With r = least / 100 the common subsequence of texts of n <= m letters has at least r (n + m) / 2 of them, so m <= n (2 - r) / r. A deletion spoils two pairs of letters and an insertion one, so the
+    texts share at least s (n + m) - 1 pairs, s = 1.5 r - 1. Hence they meet in a prefix of either: its first pairs in an order for all, all but as many as any partner must share, and one.
+    Texts too short for that meet in a letter. The order is by a hash, the same in every table, or with rare by frequency in this one.
     """
     r = least / 100
     slope = 1.5 * r - 1
     short = 2 / slope if slope > 0 else float("inf")
-    each = cut(forms.distinct().select("a", "t", F.length("t").alias("n"), _features("t").alias("f")).select("a", "t", "n", "f.pairs", "f.bits"))
-    tokens = each.select("a", "t", "n", "bits", F.explode("pairs").alias("g"))
-    counts = tokens.groupBy("g").agg(F.count("*").alias("f"))
-    shared = F.greatest(F.lit(1.0), F.ceil(slope * (F.col("n") + F.col("n") * (r / (2 - r))) - 1 - 1e-6))
-    place = F.row_number().over(Window.partitionBy("a", "t").orderBy("f", "g"))
-    prefix = tokens.join(counts, "g").withColumn("k", place).where(F.col("k") <= F.col("n") - shared).select("a", "n", "bits", "g")
-    if slope <= 0:
-        prefix = prefix.limit(0)
+    columns = [F.col("a"), F.col(text).alias("t")]
+    each = cut(names.select(*columns).distinct().select("a", "t", F.length("t").alias("n"), _features("t").alias("f")).select("a", "t", "n", "f.pairs", "f.bits"))
     letters = each.where(F.col("n") < short).select("a", "n", "bits", F.explode(F.array_distinct(F.filter(F.split("t", ""), lambda c: c != ""))).alias("g"))
-    meet = prefix.unionByName(letters)
-    other = meet.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("g").alias("h"))
+    if slope <= 0:
+        return letters
+    shared = F.greatest(F.lit(1.0), F.ceil(slope * (F.col("n") + F.col("n") * (r / (2 - r))) - 1 - 1e-6))
+    if rare:
+        tokens = each.select("a", "t", "n", "bits", F.explode("pairs").alias("g"))
+        counts = tokens.groupBy("g").agg(F.count("*").alias("f"))
+        place = F.row_number().over(Window.partitionBy("a", "t").orderBy("f", "g"))
+        prefix = tokens.join(counts, "g").withColumn("k", place).where(F.col("k") <= F.col("n") - shared).select("a", "n", "bits", "g")
+    else:
+        ordered = F.array_sort(F.transform("pairs", lambda g: F.struct(F.crc32(g.cast("binary")).alias("f"), g.alias("g"))))
+        prefix = each.where(F.col("n") - shared >= 1).select("a", "n", "bits", F.explode(F.slice(ordered, F.lit(1), (F.col("n") - shared).cast("int"))["g"]).alias("g"))
+    return prefix.unionByName(letters)
+
+
+def _fits(least: float) -> Column:
+    """Whether names (n, bits) and (m, bits2) may have the ratio, by length, letters and pairs of letters."""
+    r = least / 100
     both = F.col("n") + F.col("m")
-    fits = (F.col("m") * r <= F.col("n") * (2 - r) + 1e-6) & (2 * _common("bits", "bits2") >= r * both - 1e-6) & (_common("bits", "bits2", 5) >= slope * both - 1 - 1e-6)
-    pairs = _spread(meet, "g").join(other, (F.col("g") == F.col("h")) & (F.col("n") <= F.col("m")) & (F.col("a") != F.col("b")) & ((F.col("n") < F.col("m")) | (F.col("a") < F.col("b"))) & fits)
+    lengths = (F.col("m") * r <= F.col("n") * (2 - r) + 1e-6) & (F.col("n") * r <= F.col("m") * (2 - r) + 1e-6)
+    return lengths & (2 * _common("bits", "bits2") >= r * both - 1e-6) & (_common("bits", "bits2", 5) >= (1.5 * r - 1) * both - 1 - 1e-6)
+
+
+def _near(forms: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b), a < b, of names with a pair of forms (a, t) that may have a ratio of at least least; none is left out. What meets in a token is compared inside the join, before it makes a row."""
+    meet = near_tokens(forms, least, "t", rare=True)
+    other = meet.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("g").alias("h"))
+    longer = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    pairs = _spread(meet, "g").join(other, (F.col("g") == F.col("h")) & (F.col("a") != F.col("b")) & longer & _fits(least))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def ratios_between(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, target, ratio) of names of near_tokens() and of a second such table with target, with a ratio of at least least, none left out."""
+    other = right.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("bits2"), F.col("g").alias("h"), "target")
+    pairs = _spread(left, "g").join(other, (F.col("g") == F.col("h")) & _fits(least)).select("a", "b", "target").distinct()
+    return pairs.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least)
+
+
 def ratio_pairs(df: DataFrame, name: str, least: float = 85.0) -> DataFrame:
     """Pairs (a, b, ratio), a < b, of distinct names with a ratio of at least least, none left out."""
     names = cut(df.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct())
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return _near(names.select("a", F.col("a").alias("t")), least).withColumn("ratio", alike("a", "b")).where(F.col("ratio") >= least)
+    return _near(names.select("a", F.col("a").alias("t")), least).withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least)
 
 
 def fuzzy_candidates(names: DataFrame, low: float = 85.0, high: float = 95.0) -> DataFrame:

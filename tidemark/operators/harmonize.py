@@ -64,30 +64,62 @@ def similar_names(df: DataFrame, key: str, text: str, least: float = 0.5, block:
     return found.select(*([F.col("block").alias(block)] if block else []), F.col("key").alias("a"), F.col("other").alias("b"), "similarity")
 
 
-def leaders(df: DataFrame, pairs: DataFrame, block: str, name: str, count: str) -> DataFrame:
+#: Links of a block that one task settles by itself.
+LINKS = 200_000
+
+
+def _settle(links: pd.DataFrame) -> pd.DataFrame:
+    """The leader of each name u of a block, from its links to earlier names v, in the order of the names."""
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+    place = lambda n, name: (pd.isna(n), 0 if pd.isna(n) else -n, name)
+    earlier: dict = {}
+    order: dict = {}
+    for u, n, v, m in zip(links["u"], links["n"], links["v"], links["m"], strict=True):
+        key = plain(u)
+        order[key] = (place(n, key), u)
+        earlier.setdefault(key, []).append((place(m, plain(v)), plain(v), v))
+    follows, found = set(), []
+    for key in sorted(order, key=lambda k: order[k][0]):
+        first = next((v for _, k, v in sorted(earlier[key], key=lambda x: x[0]) if k not in follows), None)
+        if first is not None:
+            follows.add(key)
+        found.append((links["block"].iloc[0], order[key][1], order[key][1] if first is None else first))
+    return pd.DataFrame(found, columns=["block", "u", "leader"])
+
+
+def leaders(df: DataFrame, pairs: DataFrame, block: str, name: str, count: str, links: int = LINKS) -> DataFrame:
     """Leader clustering within blocks: by count (then name) a name joins the first leader it is paired with, else leads.
 
-    A block's pairs are those of similar_names(); names of different blocks never meet. Each round decides the names whose earlier
-    neighbours are all decided, over the table of pairs, so no block comes together in one task.
+    A block's pairs are those of similar_names(); names of different blocks never meet. A block of at most so many links is settled in one pass over them. Of larger ones each round settles the names
+    that have an earlier leader with nothing open before it, or nothing open at all; what is settled leaves the loop, so a round joins only what is open with what was settled last.
     """
-    links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct()
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct()
     names = df.groupBy(F.col(block).alias("block"), F.col(name).alias("u")).agg(F.max(count).alias("n"))
     other = names.toDF("other", "v", "m")
-    earlier = (F.col("m") > F.col("n")) | (F.col("m").eqNullSafe(F.col("n")) & (links["v"] < F.col("u"))) | (F.col("n").isNull() & F.col("m").isNotNull())
-    left = cut(names.join(links, "u").join(other, (links["v"] == other["v"]) & F.col("block").eqNullSafe(F.col("other"))).where(earlier).select("block", "u", links["v"], "m"))
-    found = None
+    earlier = (F.col("m") > F.col("n")) | (F.col("m").eqNullSafe(F.col("n")) & (both["v"] < F.col("u"))) | (F.col("n").isNull() & F.col("m").isNotNull())
+    left = cut(names.join(both, "u").join(other, (both["v"] == other["v"]) & F.col("block").eqNullSafe(F.col("other"))).where(earlier).select("block", "u", "n", both["v"], "m"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    while True:
-        open_names = left.select(F.col("block").alias("b2"), F.col("u").alias("u2")).distinct()
-        if found is None:
-            found = cut(names.join(open_names, same("block", "b2") & same("u", "u2"), "left_anti").select("block", "u", F.col("u").alias("leader")))
-        if left.isEmpty():
-            break
-        told = left.join(found.toDF("b2", "u2", "leader"), same("block", "b2") & (F.col("v") == F.col("u2")), "left")
-        first = F.min_by(F.when(F.col("leader") == F.col("v"), F.col("v")), F.when(F.col("leader") == F.col("v"), F.struct(F.col("m").isNull(), -F.col("m"), F.col("v"))))
-        settled = cut(told.groupBy("block", "u").agg(F.sum(F.col("leader").isNull().cast("int")).alias("unknown"), first.alias("leader")).where("unknown = 0").select("block", "u", F.coalesce("leader", "u").alias("leader")))
-        left = cut(left.join(settled.select(F.col("block").alias("b2"), F.col("u").alias("u2")), same("block", "b2") & (F.col("u") == F.col("u2")), "left_anti"))
-        found = cut(found.unionByName(settled))
+    sizes = left.groupBy(F.col("block").alias("b2")).agg((F.count("*") > links).alias("large"))
+    left = left.join(sizes, same("block", "b2")).drop("b2")
+    result = left.select("block", "u", F.col("v").alias("leader")).schema
+    parts = [left.where("NOT large").drop("large").groupBy("block").applyInPandas(_settle, result)]
+    open_links = cut(left.where("large").drop("large").withColumn("leads", F.lit(False)))
+    linked = left.select(F.col("block").alias("b2"), F.col("u").alias("u2")).distinct()
+    leading = names.join(linked, same("block", "b2") & same("u", "u2"), "left_anti").select("block", "u", F.col("u").alias("leader"))
+    last = leading
+    while not open_links.isEmpty():
+        told = open_links.join(last.select(F.col("block").alias("b2"), F.col("u").alias("v2"), (F.col("u") == F.col("leader")).alias("l")), same("block", "b2") & (F.col("v") == F.col("v2")), "left")
+        # A neighbour that follows another is out of the way; one that leads is known from now on.
+        known = cut(told.withColumns({"gone": F.coalesce(~F.col("l"), F.lit(False)), "leads": F.col("leads") | F.coalesce("l", F.lit(False))}).select("block", "u", "n", "v", "m", "leads", "gone"))
+        place = F.struct(F.col("m").isNull(), -F.col("m"), F.col("v"))
+        first = F.min_by(F.when(~F.col("gone"), F.struct("v", "leads")), F.when(~F.col("gone"), place))
+        settled = known.groupBy("block", "u").agg(first.alias("first")).where("first IS NULL OR first.leads").select("block", "u", F.coalesce("first.v", "u").alias("leader"))
+        last = cut(settled)
+        parts.append(last)
+        open_links = cut(known.where("NOT gone").drop("gone").join(last.select(F.col("block").alias("b2"), F.col("u").alias("u2")), same("block", "b2") & (F.col("u") == F.col("u2")), "left_anti"))
+    found = leading
+    for part in parts:
+        found = found.unionByName(part)
     rows = df.select(block, name, count).distinct()
     return rows.join(found.toDF("b2", "u2", "leader"), F.col(block).eqNullSafe(F.col("b2")) & F.col(name).eqNullSafe(F.col("u2"))).select(block, name, count, "leader")
 
@@ -116,7 +148,7 @@ def prototypes(df: DataFrame, block: str, name: str, count: str, place: str, lea
     """
     rows = df.where(F.col(block).isNotNull()).groupBy(block, name).agg(F.max(count).alias("_n"), F.min(place).alias("_p"))
     pairs = similar_names(rows, name, name, least, block)
-    keyed = rows.select(F.struct(block, name).alias("node"), F.lit(1).alias("all"), (-F.col("_p")).alias("order"))
+    keyed = rows.select(F.struct(block, name).alias("node"), F.col(block).alias("all"), (-F.col("_p")).alias("order"))
     both = pairs.select(F.struct(F.col(block), F.col("a").alias(name)).alias("a"), F.struct(F.col(block), F.col("b").alias(name)).alias("b"))
     settled = leaders(keyed, both, "all", "node", "order").select(f"node.{block}", f"node.{name}", F.col(f"leader.{name}").alias("_l")).join(rows, [block, name])
     grouped = settled.groupBy(block, "_l").agg(F.max_by(name, F.struct("_n", -F.col("_p"))).alias("prototype"), F.sum("_n").alias("n"), F.array_sort(F.collect_set(name)).alias("_names"))

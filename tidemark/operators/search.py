@@ -102,7 +102,7 @@ def ivf(items: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = N
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = centers.value
             for batch in batches:
-                order = np.argsort(((_matrix(batch[1])[:, None, :] - c[None]) ** 2).sum(2), axis=1)[:, :n]
+                order = np.argsort((c**2).sum(1) - 2 * _matrix(batch[1]) @ c.T if batch.num_rows else np.zeros((0, len(c))), axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
 
         return run
@@ -146,6 +146,27 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def fielded_bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int = 10, id_col: str = "doc_id", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Top-k documents of each query over several fields with weights: rows (query_id, rank, id, score); equal scores by id.
+
+    A term's count in a field is divided by the field's length against the mean of that field; the fields' counts, times their weights, are summed before the sum is saturated. A term's
+    frequency is that of the documents with it in any field. A null field is empty. Only words of queries are grouped; a document's words that no query has end in the join that follows their split.
+    """
+    names = list(fields)
+    asked = cut(queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
+    words = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"w{j}") for j, c in enumerate(names)])
+    stats = words.agg(F.count("*").alias("n"), *[F.avg(F.size(f"w{j}")).alias(f"m{j}") for j in range(len(names))]).first()
+    fielded = words.select("id", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), (fields[c] / (1 - b + b * F.size(f"w{j}") / F.lit(float(stats[f"m{j}"] or 1)))).alias("one"), F.col(f"w{j}").alias("w")) for j, c in enumerate(names)])).alias("f"))
+    hits = fielded.select("id", "f.one", F.explode("f.w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = cut(hits.groupBy("id", "term").agg(F.sum("one").alias("tf")))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
+    scored = postings.join(df, "term").select("id", "term", weight.alias("s")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def hybrid(semantic: DataFrame, lexical: DataFrame, k: int = 10, semantic_weight: float = 0.7, lexical_weight: float = 0.3) -> DataFrame:
     """Blend (query_id, id, sim) and (query_id, id, score): each side on the scale of its least and best hit, a missing side 0.
 

@@ -66,12 +66,12 @@ def build_index(items: DataFrame, path: str, recall: float = 0.9, k: int = 10, l
     units = _units(items, id_col, vec_col)
     size = units.count()
     lists = min(max(1, size), lists or int(min(max(16, size**0.5), max(16, sample // 20))))
-    drawn = lambda df, n: df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < 1_000_000 * min(1.0, n / max(1, size)))
+    drawn = lambda df, n: df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10**12)) < 10**12 * min(1.0, n / max(1, size)))
     some = cut(drawn(units, sample))
     found = KMeans(k=lists, seed=seed, featuresCol="f", maxIter=15).fit(some.select(array_to_vector("v").alias("f"))).clusterCenters() if size > 1 else [np.array(x.v) for x in units.collect()]
     centroids = np.array(found) if len(found) else np.zeros((1, 1))
     # Where the sample's own neighbours lie.
-    asked = drawn(some, PROBED * max(1.0, size / sample) if size > sample else PROBED)
+    asked = drawn(some, PROBED)
     own = _nearest(some, centroids, 1).select("id", F.element_at("lists", 1).alias("own"))
     order = _nearest(asked, centroids, len(centroids)).select(F.col("id").alias("query_id"), "lists")
     pairs = knn(some.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")), asked.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")), k).select("query_id", "id")
@@ -96,8 +96,8 @@ def build_index(items: DataFrame, path: str, recall: float = 0.9, k: int = 10, l
     parts = F.broadcast(spark.read.parquet(f"{path}/centroids").select("list", F.greatest(F.lit(1), F.ceil(F.col("rows") / ROWS)).alias("parts")))
     codes = placed.mapInArrow(coded, "id bigint, list int, scale double, code binary").join(parts, "list")
     codes.select("id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "scale", "code", "list").repartition("list", "part").write.partitionBy("list").parquet(f"{path}/codes")
-    about = [(size, centroids.shape[1], len(centroids), int(min(len(centroids), reach or 1)), float(recall))]
-    spark.createDataFrame(about, "rows bigint, dims int, lists int, probes int, recall double").coalesce(1).write.json(f"{path}/about")
+    told = [(size, centroids.shape[1], len(centroids), int(min(len(centroids), reach or 1)), float(recall))]
+    spark.createDataFrame(told, "rows bigint, dims int, lists int, probes int, recall double").coalesce(1).write.json(f"{path}/about")
 
 
 def about(spark: SparkSession, path: str) -> DataFrame:
@@ -117,12 +117,12 @@ def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None
     probes, shortlist = min(known.lists, probes or known.probes), shortlist or 4 * k
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # at most sample / 20
     centroids = np.array([r.centroid for r in rows])
-    near = _nearest(_units(queries, id_col, vec_col), centroids, probes)
+    near = _nearest(_units(queries if known.rows else queries.limit(0), id_col, vec_col), centroids, probes)
     asked = cut(near.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")))
     groups = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
     touched = sorted(groups)
     cuts = F.broadcast(spark.createDataFrame([(r.list, max(1, -(-r.rows // ROWS)), max(1, -(-groups.get(r.list, 0) // queries_a_task))) for r in rows], "list int, parts bigint, groups bigint"))
-    left = asked.join(cuts, "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).cast("int"))
+    left = asked.join(cuts, "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups"))).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
     right = _codes(spark, path, touched).join(cuts, "list").withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
     shared = spark.sparkContext.broadcast(centroids)
 

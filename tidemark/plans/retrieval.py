@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as vx
@@ -9,6 +11,8 @@ from tidemark.functions.markup import paragraph_texts
 from tidemark.operators import evaluation as ev
 from tidemark.operators import metadata as md
 from tidemark.operators import search as se
+from tidemark.operators import vector_index as vi
+from tidemark.session import shared_dir
 from tidemark.sources.tables import table
 
 
@@ -57,6 +61,32 @@ def bm25_topk(spark, d):
     return se.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
+def fielded_bm25(spark, d):
+    """Benchmark items against documents by two fields: the first line weighs three times as much as the whole text."""
+    docs = table(spark, d, "documents").withColumn("title", F.element_at(F.split("text", "\n"), 1))
+    asked = table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
+    return se.fielded_bm25(docs, asked, {"title": 3.0, "text": 1.0}).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def _index(spark, d) -> str:
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    vi.build_index(table(spark, d, "embeddings"), path)
+    return path
+
+
+def index_search(spark, d):
+    """The written index with all its lists searched: 8-bit candidates, rescored exactly."""
+    found = vi.search_index(_asked(table(spark, d, "embeddings")), _index(spark, d), probes=2**31 - 1, shortlist=100)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.round("sim", 6).alias("sim"))
+
+
+def index_recall(spark, d):
+    """Recall of the written index at the lists that it chose for 0.9, and their share."""
+    path, e = _index(spark, d), table(spark, d, "embeddings")
+    about = vi.about(spark, path).first()
+    return se.recall(vi.search_index(_asked(e), path), se.knn(e, _asked(e))).withColumns({"lists": F.lit(about.lists), "probes": F.lit(about.probes)})
+
+
 def hybrid_blend(spark, d):
     """Benchmark items against documents: BM25 on one side, on the other the vectors under the same ids."""
     e = table(spark, d, "embeddings")
@@ -152,7 +182,7 @@ def detection_eval(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    l2_normalize, sq8_quantize, sq8_quality, vector_truncation, knn_exact, knn_recall, centroid_assign, bm25_topk, hybrid_blend, ranking_metrics, hard_negatives, metadata_facets, text_units, record_serialization, metadata_coverage,
+    l2_normalize, sq8_quantize, sq8_quality, vector_truncation, knn_exact, knn_recall, centroid_assign, bm25_topk, fielded_bm25, index_search, index_recall, hybrid_blend, ranking_metrics, hard_negatives, metadata_facets, text_units, record_serialization, metadata_coverage,
     dotted_path_json, null_fill, html_blocks, iou_pairs, detection_eval,
 )}
 
@@ -176,6 +206,13 @@ ORACLE = {
     "knn_exact": f"WITH {_KNN.format(where=_Q20, k=10)} SELECT query_id, rank, id, round(sim, 6) AS sim FROM knn",
     "centroid_assign": "WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label AS c, list(x ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2) GROUP BY 1), r AS (SELECT vec_id, label, c, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 9) AS s FROM embeddings, c), b AS (SELECT label, c AS assigned FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) = 1) SELECT label, assigned, count(*) AS n FROM b GROUP BY 1, 2",
     "bm25_topk": f"WITH {_BM25.format(k=10)} SELECT query_id, rank, id, score FROM bm",
+    "index_search": f"WITH {_KNN.format(where=_Q20, k=10)} SELECT query_id, rank, id, round(sim, 6) AS sim FROM knn",
+    "fielded_bm25": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(split_part(text, chr(10), 1), '')), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS b FROM documents),
+size AS (SELECT count(*) AS n, avg(len(a)) AS ma, avg(len(b)) AS mb FROM w), asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+t AS (SELECT id, unnest(a) AS term, 3.0::DOUBLE / (1 - 0.75 + 0.75 * len(a) / ma) AS one FROM w, size UNION ALL SELECT id, unnest(b), 1.0::DOUBLE / (1 - 0.75 + 0.75 * len(b) / mb) FROM w, size),
+p AS (SELECT id, term, sum(one) AS tf FROM t WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM p JOIN f USING (term) JOIN asked USING (term), size GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 10""",
     "hybrid_blend": f"""WITH {_KNN.format(where='q.vec_id IN (SELECT item_id FROM benchmark)', k=30)}, {_BM25.format(k=30)},
 a AS (SELECT query_id, id, sim, min(sim) OVER w AS lo, CASE WHEN max(sim) OVER w = 0 THEN 1.0 ELSE max(sim) OVER w END AS hi FROM knn WINDOW w AS (PARTITION BY query_id)),
 b AS (SELECT query_id, id, score, min(score) OVER w AS lo, CASE WHEN max(score) OVER w = 0 THEN 1.0 ELSE max(score) OVER w END AS hi FROM bm WINDOW w AS (PARTITION BY query_id)),

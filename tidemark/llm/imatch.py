@@ -31,8 +31,8 @@ DIGITS = 6
 FEW = 128
 #: Subsets in use from which a rate other than the first counts in a comparison.
 ENOUGH = 8
-#: Characters of the texts in a task, and rows in a range of ids, about.
-DEALT, RANGE = 64 << 20, 200_000
+#: Rows in a range of ids, about.
+RANGE = 200_000
 #: The lexicon is broadcast up to so many terms (its bound for documents of up to 1,000 distinct terms in the mean).
 BROADCAST = 2_000_000
 
@@ -106,10 +106,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("d"), F.xxhash64(text).alias("v"), text.alias("t"))
     band = lexicon(docs.select("t"), "t", common)
     ids = cut(_successors(cut(docs.groupBy("d", "v").agg(F.first(F.length("t")).alias("n"))), per_range))
-    # The texts are dealt out by document once, with these columns: both joins and all grouping below keep to that. Large corpora ask for more tasks than the session's.
-    tasks = (ids.agg(F.sum("n").alias("n")).first().n or 0) // DEALT
-    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        docs = docs.repartition(tasks, "d", "v")
+    # The texts are dealt out by document once, to as many tasks as the session says, and both joins and all grouping below keep to that.
     wanted = ids.select(F.col("nd").alias("d"), F.col("nv").alias("v"), F.col("d").alias("pd"), F.col("v").alias("pv"), F.floor(F.col("n") / 4).cast("int").alias("k"))
     tails = docs.join(wanted.hint("shuffle_hash"), ["d", "v"]).select(F.col("pd").alias("d"), F.col("pv").alias("v"), F.expr("substring(t, 1, k)").alias("tail"), "k")
     tails = tails.groupBy("d", "v").agg(F.first(F.struct("tail", "k")).alias("x"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions.vectors import dot, l2_normalize
 from tidemark.session import cut
 
 
@@ -64,6 +65,23 @@ def similar_names(df: DataFrame, key: str, text: str, least: float = 0.5, block:
     return found.select(*([F.col("block").alias(block)] if block else []), F.col("key").alias("a"), F.col("other").alias("b"), "similarity")
 
 
+def combined_names(df: DataFrame, key: str, text: str, vector: str, least: float = 0.85, sparse: float = 0.5) -> DataFrame:
+    """Pairs (a, b, similarity, by_letters, by_vector), a < b, of names whose cosines of letter n-grams and of vectors, weighted sparse and 1 - sparse, come to at least least.
+
+    No cosine of vectors is over 1, so the n-grams must reach (least - (1 - sparse)) / sparse by themselves: only such pairs, from similar_names(), meet their vectors, and no pair is lost. Where that bound
+    is not above 0 the vectors alone could do, and all pairs would be candidates: this is refused. A key must have one text and vector; keys without a vector pair with none.
+    """
+    bound = (least - (1 - sparse)) / sparse
+    if bound <= 0:
+        raise ValueError("least must be over 1 - sparse, as vectors alone would reach it otherwise")
+    pairs = similar_names(df, key, text, bound).withColumnRenamed("similarity", "by_letters")
+    unit = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), l2_normalize(F.col(vector)).alias("v"))
+    one, two = unit.toDF("a", "va"), unit.toDF("b", "vb")
+    met = pairs.join(one, "a").join(two, "b").withColumn("by_vector", dot(F.col("va"), F.col("vb")))
+    both = met.withColumn("similarity", sparse * F.col("by_letters") + (1 - sparse) * F.col("by_vector"))
+    return both.where(F.col("similarity") >= least).select("a", "b", "similarity", "by_letters", "by_vector")
+
+
 #: Links of a block that one task settles by itself.
 LINKS = 200_000
 

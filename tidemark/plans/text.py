@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import harmonize as hz
 from tidemark.operators import mentions as mn
+from tidemark.operators.search import centroids_by_label
 from tidemark.sources.tables import table
 
 CLASSES = [("precious", ["ring", "jewel"]), ("tool", ["widget", "gear", "bolt"]), ("plate", ["plate", "panel"])]
@@ -104,6 +105,15 @@ def name_similarity(spark, d):
     return hz.similar_names(p, "name", "name", 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def combined_names(spark, d):
+    """Part names alike by letters and by vectors: a name's vector is the mean of the embeddings with the label that its smallest size gives."""
+    e = table(spark, d, "embeddings")
+    parts = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_type").alias("name")).agg((F.min("p_size") % 10).cast("int").alias("label"))
+    names = parts.join(centroids_by_label(e, "label"), "label")
+    found = hz.combined_names(names, "name", "name", "centroid", 0.7)
+    return found.select("a", "b", *[F.round(c, 6).alias(c) for c in ("similarity", "by_letters", "by_vector")])
+
+
 def name_families(spark, d):
     names = table(spark, d, "part").groupBy("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("name")).agg(F.count("*").alias("n"))
     pairs = hz.similar_names(names.select("name").distinct(), "name", "name", 0.6)
@@ -145,7 +155,7 @@ def dates(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     language_gate, references_page, text_clean, heuristic_filter, typology, footnote_refs, footnote_split, table_runs, token_windows, sentence_context, overlap_suppression, acronym_pairs, edit_distance_rate,
-    fuzzy_names, mention_clusters, canonical_forms, name_similarity, name_families, family_waves, canonical_choice, name_strip, hash_split, group_ids, dates,
+    fuzzy_names, mention_clusters, canonical_forms, name_similarity, combined_names, name_families, family_waves, canonical_choice, name_strip, hash_split, group_ids, dates,
 )}
 
 _ENGLISH = "(" + ", ".join(f"'{w}'" for w in tx.ENGLISH) + ")"
@@ -180,6 +190,14 @@ SELECT f.o AS l_orderkey, k.l AS l_linenumber, a AS start, b AS "end", c AS scor
     "group_ids": "SELECT p_partkey, left(trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', '_', 'g'), '_') || '_' || CASE WHEN p_partkey > 9999 THEN left(CAST(p_partkey AS VARCHAR), 4) ELSE lpad(CAST(p_partkey AS VARCHAR), 4, '0') END, 128) AS vgid FROM part",
     "dates": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "footnote_split": "SELECT doc_id, 1 AS n_notes, 'First source' AS first, CAST(length(text) + 5 AS INTEGER) AS body_chars FROM documents",
+    "combined_names": """WITH e AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY 1),
+p AS (SELECT p_name || ' ' || p_type AS name, CAST(min(p_size) % 10 AS INTEGER) AS label FROM part GROUP BY 1), names AS (SELECT name, v FROM p JOIN c USING (label)), w AS (SELECT name, unnest(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM names),
+n AS (SELECT name, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM w), k AS (SELECT name, p, n, unnest(range(1, 1 + greatest(1, length(p) - n + 1))) AS k FROM n WHERE n = 3 OR length(p) >= n),
+tf AS (SELECT name, substr(p, k, n) AS gram, count(*) AS tf FROM k GROUP BY 1, 2), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+raw AS (SELECT name, gram, tf * idf AS x FROM tf JOIN idf USING (gram)), u AS (SELECT name, gram, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM raw),
+s AS (SELECT a.name AS a, b.name AS b, sum(a.x * b.x) AS l FROM u a JOIN u b ON a.gram = b.gram AND a.name < b.name GROUP BY 1, 2),
+f AS (SELECT a, b, l, list_cosine_similarity(x.v, y.v) AS d FROM s JOIN names x ON a = x.name JOIN names y ON b = y.name)
+SELECT a, b, round(0.5 * l + 0.5 * d, 6) AS similarity, round(l, 6) AS by_letters, round(d, 6) AS by_vector FROM f WHERE 0.5 * l + 0.5 * d >= 0.7""",
     "name_similarity": """WITH names AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), w AS (SELECT name, unnest(list_filter(string_split(lower(name), ' '), lambda x: x <> '')) AS w FROM names),
 n AS (SELECT name, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM w), k AS (SELECT name, p, n, unnest(range(1, 1 + greatest(1, length(p) - n + 1))) AS k FROM n WHERE n = 3 OR length(p) >= n),
 tf AS (SELECT name, substr(p, k, n) AS gram, count(*) AS tf FROM k GROUP BY 1, 2), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),

@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from tidemark.functions.vectors import dequantize, dot, l2_normalize, min_max, quantize
 from tidemark.session import cut
 
-#: Query vectors broadcast at once.
-BLOCK = 2_000
+#: Query vectors broadcast at once, and pairs of query and term.
+BLOCK, TERMS = 2_000, 1_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -150,19 +150,28 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float],
     """Top-k documents of each query over several fields with weights: rows (query_id, rank, id, score); equal scores by id.
 
     A term's count in a field is divided by the field's length against the mean of that field; the fields' counts, times their weights, are summed before the sum is saturated. A term's
-    frequency is that of the documents with it in any field. A null field is empty. Only words of queries are grouped; a document's words that no query has end in the join that follows their split.
+    frequency is that of the documents with it in any field. A null field is empty.
+
+    Documents are dealt out once, by id: counts of terms, scores and each task's own k best of a query follow where they are, so only these travel besides. The queries' terms are broadcast up to
+    TERMS of them, and joined beyond.
     """
     names = list(fields)
     asked = cut(queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
-    words = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"w{j}") for j, c in enumerate(names)])
-    stats = words.agg(F.count("*").alias("n"), *[F.avg(F.size(f"w{j}")).alias(f"m{j}") for j in range(len(names))]).first()
-    fielded = words.select("id", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), (fields[c] / (1 - b + b * F.size(f"w{j}") / F.lit(float(stats[f"m{j}"] or 1)))).alias("one"), F.col(f"w{j}").alias("w")) for j, c in enumerate(names)])).alias("f"))
-    hits = fielded.select("id", "f.one", F.explode("f.w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = cut(hits.groupBy("id", "term").agg(F.sum("one").alias("tf")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    few = asked.count() <= TERMS
+    sent = lambda df: F.broadcast(df) if few else df
+    terms = asked.select("term").distinct()
+    words = lambda df: df.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"w{j}") for j, c in enumerate(names)])
+    stats = words(docs).agg(F.count("*").alias("n"), *[F.avg(F.size(f"w{j}")).alias(f"m{j}") for j in range(len(names))]).first()
+    held = words(docs).select(F.explode(F.array_distinct(F.concat(*[f"w{j}" for j in range(len(names))]))).alias("term"))
+    df = cut(held.join(sent(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
-    scored = postings.join(df, "term").select("id", "term", weight.alias("s")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    weights = cut(asked.join(sent(df), "term").select("term", "query_id", idf.alias("idf")))
+    share = lambda j, c: fields[c] / (1 - b + b * F.size(f"w{j}") / F.lit(float(stats[f"m{j}"] or 1)))
+    fielded = F.explode(F.array(*[F.struct(share(j, c).alias("one"), F.col(f"w{j}").alias("w")) for j, c in enumerate(names)]))
+    dealt = words(docs.select(id_col, *names).repartition(id_col)).select("id", fielded.alias("f"))
+    hits = dealt.select("id", "f.one", F.explode("f.w").alias("term")).join(sent(terms), "term", "left_semi").groupBy("id", "term").agg(F.sum("one").alias("tf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
+    scored = hits.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -129,21 +129,8 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top-k documents of each query: rows (query_id, rank, id, score); equal scores by id.
-
-    Only postings of query terms are kept, and written once; terms are looked up in the query terms, which Spark broadcasts if they are few.
-    """
-    asked = cut(queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))).alias("mean")).first()
-    terms = asked.select("term").distinct()
-    postings = cut(words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (size.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(size.mean or 1))))
-    scored = postings.join(df, "term").select("id", "term", weight.alias("s")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """Top-k documents of each query: rows (query_id, rank, id, score); equal scores by id. fielded_bm25() with one field."""
+    return fielded_bm25(docs, queries, {text_col: 1.0}, k, id_col, query_col, query_text, k1, b)
 
 
 def fielded_bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int = 10, id_col: str = "doc_id", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:

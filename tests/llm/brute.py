@@ -207,9 +207,10 @@ def main_lines(page, sigma, held, menu):
 def toxic_matches(text, arcs, fixed, kinds, weight_of_fixed, reach):
     """Weights by kind of a text's clause matches, clause by clause with plain loops."""
     out = dict.fromkeys(kinds, 0.0)
+    earlier = False
     for clause in re.split("[.!?;\n。！？；…]", text.lower()):
         target = agent = heard = quoted = False
-        bare, waiting, threat, scope = True, 0.0, None, 0
+        bare, waiting, threat, scope, number = True, 0.0, None, 0, 0
         for token in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]", clause):
             word = token.replace("’", "'")
             label, weight = ("quote", 0.0) if token in "\"“”„«»" else ("other", 0.0)
@@ -236,6 +237,7 @@ def toxic_matches(text, arcs, fixed, kinds, weight_of_fixed, reach):
                 out["targeted"] += weight
             elif label == "insult":
                 waiting += weight
+                number += 1
             else:
                 bare = False
                 if label == "threat" and agent and target:
@@ -252,8 +254,12 @@ def toxic_matches(text, arcs, fixed, kinds, weight_of_fixed, reach):
                         threat = None
                     elif waiting:
                         out["targeted"] += waiting
-                        waiting = 0.0
-        out["targeted" if target or bare else "loose"] += waiting
+                        waiting, number = 0.0, 0
+        if number and not (target or bare):
+            out["piled" if number > 1 else "tirade" if earlier else "loose"] += waiting
+            earlier = True
+        elif number:
+            out["targeted"] += waiting
     return [out[k] for k in kinds]
 
 

@@ -449,7 +449,7 @@ def run_grammar(labels):
 @pytest.mark.parametrize(
     "labels, kinds",
     [("other insult", "loose"), ("insult", "targeted"), ("insult insult", "targeted"), ("target other insult", "targeted"), ("insult other target", "targeted"), ("insult other", "loose"), ("negation other insult", "negated"), ("negation other other other insult", "loose"), ("report other insult", "reported"),
-     ("quote insult quote insult", "reported loose"), ("agent threat target", "threat"), ("threat other target", "threat"), ("agent target threat", "threat"), ("target threat", ""), ("threat", ""), ("negation threat target", "softened"), ("report threat target", "softened"), ("target report insult", "reported"), ("target insult other insult", "targeted targeted")],
+     ("quote insult quote insult", "reported loose"), ("agent threat target", "threat"), ("threat other target", "threat"), ("agent target threat", "threat"), ("target threat", ""), ("threat", ""), ("negation threat target", "softened"), ("report threat target", "softened"), ("target report insult", "reported"), ("target insult other insult", "targeted targeted"), ("other insult other insult", "piled"), ("insult negation insult other insult", "negated negated loose"), ("insult other insult target other insult", "targeted targeted")],
 )
 def test_clause_grammar(labels, kinds):
     assert run_grammar(labels) == kinds.split()
@@ -483,11 +483,18 @@ def test_clauses_not_words():
         assert score(text) < 0.1, text
 
 
+def catalog_fold(i):
+    from tidemark.llm.common import fold
+
+    return fold(i, 3)
+
+
 def test_held_out_toxicity(spark):
     """Of the toxic rows that use any insult or threat (the rest are labelled at random); of all held-out clean ones."""
     d = "/root/testdata/sf0.1"
     labels = small(spark, d, "labels")
-    rows = toxicity.scores(small(spark, d), labels).join(labels, "doc_id").where("held_out").join(small(spark, d).select("doc_id", "text"), "doc_id").collect()
+    usual = toxicity.words_of(catalog.vocabulary("piece_bpe_32k.model"), catalog.vocabulary("word_bpe_49k.json"))
+    rows = toxicity.scores(small(spark, d), labels, background=usual).join(labels, "doc_id").where("held_out").join(small(spark, d).select("doc_id", "text"), "doc_id").collect()
     said = [r for r in rows if any(w in (r.text or "").lower() for w in toxicity.INSULTS + toxicity.THREATS)]
     clean, toxic, every = [r for r in rows if not r.toxic], [r for r in said if r.toxic], [r for r in rows if r.toxic]
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
@@ -495,6 +502,25 @@ def test_held_out_toxicity(spark):
     assert sum(r.predicted for r in every) >= 0.75 * len(every)
 
 
+def test_trained_grammar_matches_clauses_not_words(spark):
+    """The model of sf0.1's labels: a word by itself, ordinary words with the beginnings of insults, and threats, of which the labels say nothing."""
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.1"
+    usual = toxicity.words_of(catalog.vocabulary("piece_bpe_32k.model"), catalog.vocabulary("word_bpe_49k.json"))
+    lexicon, beta = toxicity.train(small(spark, d), small(spark, d, "labels"), catalog_fold(F.col("i")) != 1, background=usual)
+    assert beta[1 + toxicity.KINDS.index("loose")] == 0
+    assert all(len(a) > 5 and not any(w.startswith(a[1:]) for w in usual) for a in lexicon.arcs if a[0] == "^")
+
+    def score(text):
+        return 1 / (1 + math.exp(-(beta[0] + lexicon.features(pa.array([text]))[0] @ beta[1:])))
+
+    for text in ("The word idiot has Greek roots.", "The word idiot is old. The word moron is young.", "We discuss the morning traffic report.", "More training on the distant path.", "Worthington and Patterson travel to Morocco.", "She said “you idiot”.", "You are not an idiot.", "It was an idiot mistake to make on a Monday.", ""):
+        assert score(text) < 0.5, text
+    for text in ("I will kill you.", "You are a stupid idiot.", "Idiot!", "What an idiot, that clown over there.", "That idiot is late. And that moron by the door is late as well."):
+        assert score(text) >= 0.7, text
+
+
 def test_toxicity_of_odd_rows(spark):
     none = spark.createDataFrame([(None, 1, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
     got = toxicity.scores(docs_of(spark, [*ODD, (20, "You are a stupid idiot, you clown.", "en")]), none).collect()

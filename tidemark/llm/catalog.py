@@ -58,7 +58,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), background=toxicity.words_of(vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,26 +5,32 @@ are words and word beginnings with weights learned from labels, beside a few fix
 transducers are composed with it: negation marks what follows a negating word within three words, reported speech marks what
 follows a verb of saying or stands in quotes, and the last one matches clauses. An insult matches as `targeted` if a target stands before or after it in its
 clause, or if the clause is nothing but insults (an address: "Idiot!"); a threat matches if its target follows, or if
-agent and target stand before it. An insult that nothing licenses is a kind of its own, `loose`: it weighs nothing unless
-labels give it a weight. A threat without a target gives nothing. The logarithms of a document's sums by kind are the inputs of a
+agent and target stand before it. Two or more insults in one clause that nothing licenses match as `piled` ("that idiot, a clown"). A last
+transducer runs over a document's clauses: a clause with one insult that nothing licenses matches as `tirade` if an earlier clause
+held such an insult or several; else it is `loose`, which weighs nothing and which no label can give a weight. "The word" and the like tell of
+a word, as verbs of saying do. A threat without a target gives nothing. The logarithms of a document's sums by kind are the inputs of a
 logistic score.
 
 Training takes about SAMPLE labelled rows outside the held-out fold, by a hash of the id. The arcs come from two thirds of
 them, the weights from the rest. Documents that share rare word triples (copies, near copies) count as one. An arc
-must be more frequent in toxic documents than chance allows over all arcs tried. Labels for unknown ids and null labels
+must be more frequent in toxic documents than chance allows over all arcs tried; the beginning of words is an arc only if DIFFERENT words of
+toxic documents alone begin with it and no word of the background vocabularies does. What labels say nothing of keeps its score: each
+kind counts HOLD made-up documents with one match and the score of the fixed weights. Labels for unknown ids and null labels
 are ignored; several labels of one id count as the highest. Null and empty texts match nothing and get the score of such
 texts. Without labels the fixed arcs and weights remain. Each document row gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +41,9 @@ from tidemark.llm.common import PART_BYTES, Rolling, cut, fold
 #: Labelled rows to learn from, about.
 SAMPLE = 9_000
 #: Letters of a word beginning that may be an arc, and the chance of one false arc among all.
-BEGINNINGS, CHANCE = range(3, 9), 0.02
+BEGINNINGS, CHANCE = range(5, 9), 0.02
+#: So many different words must carry a beginning.
+DIFFERENT = 3
 NEGATED_WORDS = 3
 #: Fixed lists of the grammar.
 INSULTS = "idiot moron stupid loser scum pathetic worthless disgusting trash clown imbecile dumbass idiota estúpido idiote stupide dummkopf abschaum".split()
@@ -43,14 +51,23 @@ THREATS = "kill hurt destroy beat stab shoot burn töten umbringen tuer frapper
 TARGETS = "you your yours he she they him her them du dich dein ihr euch tu te toi vous tú usted vosotros ustedes".split()
 AGENTS = "i we someone ich wir je nous yo nosotros".split()
 NEGATIONS = "not no never isn't aren't don't nobody nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
-REPORTS = "said says called wrote quoted claimed reported sagte nannte schrieb dit appela écrit dijo llamó escribió".split()
+REPORTS = "said says called wrote quoted claimed reported word words term sagte nannte schrieb wort dit appela écrit mot dijo llamó escribió palabra".split()
 QUOTES, CLAUSE_ENDS, APOSTROPHES = "\"“”„«»", ".!?;\n。！？；…", "'’"
 FIXED_WEIGHT = 2.0
 
-KINDS = ("loose", "targeted", "negated", "reported", "threat", "softened")
-#: Weights before training: the constant, then one a kind; and how strongly training holds to each.
-PRIOR = np.array([-3.0, 0.0, 3.6, 0.5, 0.5, 3.6, 0.0])
-HOLD = np.array([0.1, 0.1, 1.0, 1.0, 1.0, 1.0, 1.0])
+KINDS = ("loose", "targeted", "negated", "reported", "threat", "softened", "piled", "tirade")
+#: Weights before training: the constant, then one a kind; loose insults have none, before and after. And how many made-up documents hold to the others.
+PRIOR = np.array([-3.0, 0.0, 3.6, 0.5, 0.5, 3.6, 0.0, 3.0, 3.0])
+HOLD, RIDGE = 10.0, 0.01
+
+
+def words_of(pieces: str, words: str) -> set[str]:
+    """The background: pieces of letters of a sentencepiece model and the words of a tokenizers file with word ends, in lower case."""
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    with open(words, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    found = {model.id_to_piece(k).removeprefix("▁").lower() for k in range(model.get_piece_size())} | {w.removesuffix("</w>").lower() for w in vocabulary}
+    return {w for w in found if w.isalpha()}
 
 
 class Transducer:
@@ -83,15 +100,15 @@ LABELS = ("other", "insult", "threat", "target", "agent", "negation", "report",
 
 
 def _matching(state: tuple, label: str) -> tuple:
-    """A step of the clause matcher. State: only insults so far, agent seen, target seen, insult waiting, threat waiting."""
+    """A step of the clause matcher. State: only insults so far, agent seen, target seen, insults waiting (2: several), threat waiting."""
     bare, agent, target, insult, threat = state
     if label == "end":
-        return (True, False, False, False, False), ("targeted" if target or bare else "loose") if insult else "other"
+        return (True, False, False, 0, False), ("targeted" if target or bare else "piled" if insult > 1 else "loose") if insult else "other"
     out, bare = "other", bare and label == "insult"
     if label == "insult":
-        out, insult = ("targeted", insult) if target else ("other", True)
+        out, insult = ("targeted", insult) if target else ("other", min(2, insult + 1))
     elif label == "target":
-        out, insult, threat, target = ("threat", insult, False, True) if threat else ("targeted" if insult else "other", False, False, True)
+        out, insult, threat, target = ("threat", insult, False, True) if threat else ("targeted" if insult else "other", 0, False, True)
     elif label == "threat":
         out, threat = ("threat", False) if agent and target else ("other", True)
     elif label == "agent":
@@ -110,7 +127,7 @@ def grammar() -> Transducer:
     reported = {(0, "report"): (1, "other"), (0, "quote"): (2, "other"), (1, "quote"): (2, "other"), (2, "quote"): (0, "other"), (1, "end"): (0, "end"), (2, "end"): (0, "end")}
     for k in (1, 2):
         reported |= {(k, "insult"): (k, "reported"), (k, "negated"): (k, "reported"), (k, "threat"): (k, "softened")}
-    start = (True, False, False, False, False)
+    start = (True, False, False, 0, False)
     matching, todo, seen = {}, [start], {start}
     while todo:
         state = todo.pop()
@@ -122,6 +139,11 @@ def grammar() -> Transducer:
     return Transducer(negation, 0).compose(Transducer(reported, 0), LABELS).compose(Transducer(matching, start), LABELS)
 
 
+def tirade() -> Transducer:
+    """Over the clauses of a document: an insult that nothing licenses, after an earlier clause with one, is part of a tirade."""
+    return Transducer({(0, "loose"): (1, "loose"), (0, "piled"): (1, "piled"), (1, "loose"): (1, "tirade")}, 0)
+
+
 #: What a sign is: 1 a letter, 2 a quote, 3 the end of a clause, 4 an apostrophe, which belongs to a word between letters; by code point.
 _SIGNS: list[np.ndarray] = []
 
@@ -166,7 +188,7 @@ class Lexicon:
             texts = [a[1:] for a in self.arcs if (a[0] == "=" if not n else a[0] == "^" and len(a) == n + 1)] + [w for w in THREATS if not n]
             ends = np.cumsum([0, *map(len, texts)])
             self.tables[n] = np.sort(Rolling(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)).ranges(ends[:-1], ends[1:]))
-        self.rules = grammar()
+        self.rules, self.document = grammar(), tirade()
 
     def weight(self, word: str) -> float:
         found = [self.arcs.get("=" + word, 0.0), *(self.arcs.get("^" + word[:n], 0.0) for n in self.lengths if len(word) >= n)]
@@ -195,8 +217,11 @@ class Lexicon:
             hit[long] |= np.isin(rolling.ranges(t.begin[long], t.begin[long] + n), self.tables[n])
         return np.flatnonzero(hit)
 
-    def clause(self, labels: list[tuple[str, float]], sums: np.ndarray) -> None:
-        """Run the grammar over one clause's labels with their weights and add the weight of each match to sums, by kind."""
+    def clause(self, labels: list[tuple[str, float]], sums: np.ndarray, before: int) -> int:
+        """Run the grammar over one clause's labels with their weights and add the weight of each match to sums, by kind.
+
+        before is the state of the document's transducer; the state after this clause is returned.
+        """
         state, insults, threats = self.rules.start, 0.0, 0.0
         for label, weight in (*labels, ("end", 0.0)):
             state, out = self.rules.step(state, label)
@@ -205,11 +230,13 @@ class Lexicon:
                 threats = weight
             if out == "threat":
                 sums[KINDS.index(out)] += threats
-            elif out in ("loose", "targeted") and label != "insult":
+            elif out in ("loose", "piled", "targeted") and label != "insult":
+                before, out = self.document.step(before, out)
                 sums[KINDS.index(out)] += insults
                 insults = 0.0
             elif out in KINDS:
                 sums[KINDS.index(out)] += weight
+        return before
 
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text, the logarithm of 1 + its matches' weight, by kind."""
@@ -222,12 +249,14 @@ class Lexicon:
             t = Tokens(texts.slice(at, end - at).to_pylist())
             found = self.candidates(t)
             closing = np.searchsorted(t.ends, t.begin[found])  # the clause between two ends
+            last, state = -1, self.document.start
             for k in np.unique(closing):
                 low, high = t.ends[k - 1], t.ends[k]
                 words = [(int(t.begin[w]), *self.label(t.word(w))) for w in range(*np.searchsorted(t.begin, (low, high)))]
                 quotes = [(int(q), "quote", 0.0) for q in t.quotes[slice(*np.searchsorted(t.quotes, (low, high)))]]
                 row = int(np.searchsorted(t.starts, low + 1, "right")) - 1
-                self.clause([x[1:] for x in sorted(words + quotes)], out[at + row])
+                state = self.clause([x[1:] for x in sorted(words + quotes)], out[at + row], state if row == last else self.document.start)
+                last = row
             at = end
         return np.log1p(out)
 
@@ -246,8 +275,8 @@ def _alike(text: str) -> list[int]:
     return [min(xxhash.xxh64_intdigest(t, seed) for t in triples) - 2**63 for seed in (1, 2, 3)]
 
 
-def learn_arcs(rows: DataFrame) -> dict[str, float]:
-    """Weighted insult arcs from rows (t, y, w): text, label, and the weight that copies leave it."""
+def learn_arcs(rows: DataFrame, background: Iterable[str] = ()) -> dict[str, float]:
+    """Weighted insult arcs from rows (t, y, w): text, label, and the weight that copies leave it. No word of background begins with a beginning's arc."""
     totals = rows.groupBy("y").agg(F.sum("w").alias("w")).collect()
     size = {int(r.y): r.w for r in totals}
     if not size.get(1) or not size.get(0):
@@ -263,26 +292,38 @@ def learn_arcs(rows: DataFrame) -> dict[str, float]:
         arcs = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_pydict({"a": pa.array(arcs, pa.string()), "p": pa.array([toxic[a] for a in arcs], pa.float64()), "q": pa.array([clean[a] for a in arcs], pa.float64())})
 
-    counts = cut(rows.select("t", "y", "w").mapInArrow(run, "a string, p double, q double").groupBy("a").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p >= 3"))
+    counts = cut(rows.select("t", "y", "w").mapInArrow(run, "a string, p double, q double").groupBy("a").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0"))
+    words = counts.where("q = 0 AND a LIKE '=%'").select(F.substr("a", F.lit(2)).alias("w")).where(F.length("w") > BEGINNINGS[0])
+    carried = words.select(F.explode(F.transform(F.sequence(F.lit(BEGINNINGS[0]), F.least(F.lit(BEGINNINGS[-1]), F.length("w") - 1)), lambda n: F.concat(F.lit("^"), F.substr("w", F.lit(1), n)))).alias("a"))
+    carried = carried.groupBy("a").agg(F.count("*").alias("words"))
+    counts = counts.where("p >= 3")
     share, tried = size[1] / (size[0] + size[1]), max(1, counts.count())
     rate = F.col("p") / (F.col("p") + F.col("q"))
     # Chernoff's bound on so high a share of toxic documents by chance.
     gain = (F.col("p") + F.col("q")) * (rate * F.log(rate / share) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0))
+    counts = counts.join(carried, "a", "left").where((F.col("words") >= DIFFERENT) | F.col("a").startswith("="))
     kept = counts.where((rate >= 0.8) & (gain > float(np.log(tried / CHANCE)))).select("a", F.log(((F.col("p") + 0.5) / size[1]) / ((F.col("q") + 0.5) / size[0])).alias("weight")).collect()
-    return {r.a: float(r.weight) for r in kept}
+    usual = {w.lower()[:n] for w in background for n in BEGINNINGS if len(w) >= n}
+    return {r.a: float(r.weight) for r in kept if r.a[0] == "=" or r.a[1:] not in usual}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weights by Newton's method with step halving, held to PRIOR by HOLD."""
+    """Weights by Newton's method with step halving. Made-up documents of one match each hold to PRIOR; loose insults stay without weight."""
+    made = np.eye(len(KINDS)) * np.log1p(FIXED_WEIGHT)
+    w = np.concatenate([w, np.full(len(KINDS), HOLD)])
+    y = np.concatenate([y, 1 / (1 + np.exp(-(PRIOR[0] + made @ PRIOR[1:])))])
+    x, hold = np.vstack([x, made]), np.full(len(PRIOR), RIDGE)
+    x[:, KINDS.index("loose")] = 0.0
+    w[len(w) - len(KINDS) + KINDS.index("loose")] = 0.0
     x, beta = np.column_stack([np.ones(len(x)), x]), PRIOR.copy()
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (HOLD * (b - PRIOR) ** 2).sum())
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (hold * (b - PRIOR) ** 2).sum())
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(HOLD), x.T @ (w * (y - p)) - HOLD * (beta - PRIOR))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (w * (y - p)) - hold * (beta - PRIOR))
         size = 1.0
         while size > 1e-6 and loss(beta + size * step) > loss(beta):
             size /= 2
@@ -292,7 +333,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
+def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, background: Iterable[str] = ()) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from about sample of the labelled rows for which learn (of the id) holds."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")).where(learn)
     draw = F.pmod(F.xxhash64("i", F.lit(8)), F.lit(1_000_000)) / 1e6
@@ -308,7 +349,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     rows = rows.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(3)).alias("part")).mapInArrow(mark, "t string, y int, part bigint, m0 bigint, m1 bigint, m2 bigint")
     many = [F.count("*").over(Window.partitionBy(f"m{k}")) for k in range(3)]
     rows = cut(rows.repartition(12).withColumn("w", 1.0 / F.greatest(*many)).select("t", "y", "part", "w").repartition(12))
-    lexicon = Lexicon(learn_arcs(rows.where("part > 0")))
+    lexicon = Lexicon(learn_arcs(rows.where("part > 0"), background))
     shared = df.sparkSession.sparkContext.broadcast(lexicon.arcs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +380,7 @@ def score(df: DataFrame, lexicon: Lexicon, beta: np.ndarray, id_col: str = "doc_
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, matches array<double>")
 
 
-def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
+def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, threshold: float = 0.7, background: Iterable[str] = ()) -> DataFrame:
     """Train outside one fold and score every row: (id_col, held_out, score, predicted)."""
-    lexicon, beta = train(df, labels, fold(F.col("i"), folds) != held, id_col, text_col)
+    lexicon, beta = train(df, labels, fold(F.col("i"), folds) != held, id_col, text_col, background=background)
     return score(df, lexicon, beta, id_col, text_col).select(id_col, (fold(F.col(id_col), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -376,6 +376,35 @@ def test_marks_leave_headlines_and_take_the_rest():
     assert htmltext.main_text(f"<body>{out}<article><p>Body. {TEXT}</p></article>{said}</body>") == f"Body. {TEXT}".strip()
 
 
+MORE = "Another long sentence of the page, which goes on for a while and then ends. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<form id=aspnetForm><input type=hidden><div class=c><p>{0}</p><p>{1}</p></div><select><option>No</select></form>", "{0}\n\n{1}"),
+        ("<form id=aspnetForm><div>Search</div><article><p>{0}</p></article><p>short</p></form>", "{0}"),
+        ("<article><p>{0}</p><p>{1}</p></article><form><p>{1}</p><p>{0} {1} {0} {1} {0} {1}</p></form>", "{0}\n\n{1}"),
+        ("<div class=c><p>{0}</p><form><label>Your name</label><p>{1}</p></form></div>", "{0}"),
+        ("<form><label>Name</label> <label>Town</label><button>Go</button></form>", ""),
+        ("<div class=c><header><h1>Big Title</h1></header><p>{0}</p><h2>Part</h2><p>{1}</p></div>", "Big Title\n\n{0}\n\nPart\n\n{1}"),
+        ("<div class=c><header><h1>Site</h1></header><h1>Big Title</h1><p>{0}</p><p>{1}</p></div>", "Big Title\n\n{0}\n\n{1}"),
+        ("<header><h1>Site</h1></header><div class=c><p>{0}</p><p>{1}</p></div>", "{0}\n\n{1}"),
+        ("<header><h1>Site</h1></header><p>{0}</p><p>{1}</p>", "{0}\n\n{1}"),
+        ("<article><span class=ad>buy now<p>{0}</p><p>{1}</p></article>", "{0}\n\n{1}"),
+        ("<article><p><span class=ad>buy now</p><p>{0}</p><p>{1}</p></article>", "{0}\n\n{1}"),
+        ("<article><a class=promo><div>buy now</div><p>{1}</p></a><p>{0}</p></article>", "{0}"),
+        ("<article><p>{0} <span hidden>no</span>and <b class=ad>buy</b>on.</p></article>", "{0}\n\nand\n\non."),
+        ("<div class=ad>Buy<div class=c><p>{0}</p><p>{1}</p></div>", "{0}\n\n{1}"),
+        ("<div class='cookie-notice'><p>{0}</p></div>", ""),
+        ("<div class=c><p>{0}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>{1}</p></div>", "{0}\n\nOne\n\nTwo\n\nThree\n\n{1}"),
+    ],
+)
+def test_vetoes_yield_to_content(page, want):
+    got = htmltext.main_text(f"<html><body>{page.format(TEXT.strip(), MORE.strip())}</body></html>")
+    assert got == want.format(TEXT.strip(), MORE.strip())
+
+
 def test_regions_equal_the_plain_ones():
     r = random.Random(11)
 
@@ -410,6 +439,12 @@ def test_density_chooses_without_names():
     assert htmltext.main_text(f"<body><div><p>{TEXT}</p></div><div><p>{TEXT}</p></div></body>") == f"{TEXT.strip()}\n\n{TEXT.strip()}"
 
 
+def test_pages_inside_a_form(spark):
+    """A form around everything in the body changes no page."""
+    for r in small(spark, "/root/testdata/sf0.01", "pages").collect():
+        assert htmltext.main_text(r.html.replace("<body>", "<body><form id='aspnetForm'>").replace("</body>", "</form></body>")) == htmltext.main_text(r.html)
+
+
 def test_pages_without_article_tags(spark):
     import re
 

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import curation as cu
+from tidemark.operators import metadata as md
+from tidemark.operators import representatives as dr
 
 
 def value(spark, column):
@@ -107,3 +109,78 @@ def test_forms_in_repeated_and_null_texts(spark):
     df = spark.createDataFrame([("Survey of Kenya", 1), ("Survey of Kenya", 1), (None, 2), ("Côte d'Ivoire, Kenya", 3), ("Kenyans", 4), ("", 5)], "text string, form int")
     forms = spark.createDataFrame([("Kenya", "KEN", 2), ("Côte d'Ivoire", "CIV", 1), ("côte", "X", 3)], "form string, name string, ord int")
     assert sorted((r.form, r.detected) for r in cu.detect_form(df, "text", forms).collect()) == [(1, "KEN"), (1, "KEN"), (2, None), (3, "CIV"), (4, None), (5, None)]
+
+
+def plain_budget(fields, total):
+    """Labelled lines by a plain loop; fields: label, text, elastic."""
+    fields = [f for f in fields if f[1]]
+    left = max(0, total - (len(fields) - 1) - sum(len(label) + 2 + (0 if e else len(t)) for label, t, e in fields))
+    given, order = {}, sorted((len(t), k) for k, (_, t, e) in enumerate(fields) if e)
+    for served, (size, k) in enumerate(order):
+        given[k] = min(size, left // (len(order) - served))
+        left -= given[k]
+    out = []
+    for k, (label, t, _) in enumerate(fields):
+        if k in given and given[k] < len(t):
+            short = t[: given[k]]
+            t = (short.rsplit(" ", 1)[0] if " " in short else short).rstrip()
+        out.append(f"{label}: {t}")
+    return "\n".join(out)
+
+
+def test_budget_below_at_and_above_each_field(spark):
+    texts = [("Name", "Goods and services", False), ("Definition", "one two three four five six", True), ("Method", "a much longer text about how the figures were made, year by year", True), ("Note", "n " * 9, True), ("Empty", "", True), ("None", None, False)]
+    totals = list(range(0, 230, 3))
+    parts = md.elastic_segments([(label, F.lit(t), e) for label, t, e in texts])
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in totals], "t int").select("t", md.fit_budget(parts, F.col("t")).alias("x")).collect()}
+    for t in totals:
+        assert got[t] == plain_budget(texts, t)
+    assert "Name: Goods and services" in got[0] and got[228].endswith("Note: n n n n n n n n n ")
+    assert value(spark, md.fit_budget(md.elastic_segments([("a", F.lit(None).cast("string"), True)]), 9)) == ""
+    assert (md.effective_cap(None, True), md.effective_cap(None, False), md.effective_cap(70, True)) == (8000, 300, 70)
+
+
+def test_facets_follow_evidence(spark):
+    every = {"keyword": [F.lit("x")], "unit": [F.lit("x"), F.lit("")], "geo": [F.lit("y")], "year": [F.lit(None)]}
+    got = value(spark, md.picked_facets(every, 5, F.lit(1), F.lit("en")))
+    assert sorted(set(got)) == ["geo", "keyword"] and got[:2] == got[2:4] and got[4] == got[0]
+    assert sorted(value(spark, md.picked_facets({"unit": [F.lit("")]}, 2, F.lit(1)))) == ["keyword", "natural"]
+
+
+def plain_representatives(items, k, rounds):
+    """The chunks nearest to the centres of one document, by plain loops; items: (item, vector) in order."""
+    x = np.array([v for _, v in items], float)
+    centres = [x[0]]
+    while len(centres) < k:
+        d = np.min([np.round(((x - c) ** 2).sum(1), 9) for c in centres], axis=0)
+        if d.max() <= 0:
+            break
+        centres.append(x[int(np.argmax(d))])
+    for _ in range(rounds):
+        label = np.argmin([np.round(((x - c) ** 2).sum(1), 9) for c in centres], axis=0)
+        centres = [x[label == j].mean(0) if (label == j).any() else c for j, c in enumerate(centres)]
+    label = np.argmin([np.round(((x - c) ** 2).sum(1), 9) for c in centres], axis=0)
+    out = []
+    for j, c in enumerate(centres):
+        mine = np.flatnonzero(label == j)
+        if len(mine):
+            s = np.round(x[mine] @ c / (np.linalg.norm(x[mine], axis=1) * np.linalg.norm(c)), 9)
+            out.append((j, items[mine[int(np.argmax(s))]][0], len(mine)))
+    return out
+
+
+def test_document_representatives_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(dr, "PIECE", 150)  # long documents are dealt to several pieces
+    r = np.random.default_rng(3)
+    rows, at = [], 0
+    for doc, size in enumerate((1, 2, 3, 7, 40, 1000)):
+        middles = r.normal(size=(6, 8)) * 3
+        for k in range(size):
+            v = middles[k % 6] + r.normal(size=8) if k % 9 else middles[0]
+            rows.append((doc, at, [float(a) for a in v], "x"))
+            at += 1
+    df = spark.createDataFrame([*rows, (None, 5000, [1.0] * 8, "x"), (9, 5001, None, "x")], "doc long, vec_id long, embedding array<double>, c string")
+    got = sorted((r.doc, r.cluster, r.vec_id, r.n) for r in dr.document_representatives(df, "doc", "vec_id", "embedding", 5, 6).collect())
+    want = [(doc, *x) for doc in range(6) for x in plain_representatives([(i, v) for d, i, v, _ in rows if d == doc], 5, 6)]
+    assert got == want and sum(r[3] for r in got) == len(rows)
+    assert dr.document_representatives(df.limit(0), "doc", "vec_id", "embedding").count() == 0

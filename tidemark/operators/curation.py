@@ -140,11 +140,11 @@ def best_at_span(df: DataFrame, keys: list[str], specificity: str, confidence: s
     return ranked.where("_k = 1").drop("_k")
 
 
-def fair_shares(lengths: Column, budget: int) -> Column:
+def fair_shares(lengths: Column, budget: int | Column) -> Column:
     """Max-min fair whole shares of a budget, in the order of lengths: the shortest are served first, the rest share what is left."""
     indexed = F.array_sort(F.transform(lengths, lambda x, i: F.struct(x.cast("int").alias("x"), i.alias("i"))))
     n = F.size(lengths)
-    start = F.struct(F.lit(budget).alias("left"), F.lit(0).alias("k"), F.array().cast("array<struct<i:int,s:int>>").alias("out"))
+    start = F.struct(F.lit(budget).cast("int").alias("left"), F.lit(0).alias("k"), F.array().cast("array<struct<i:int,s:int>>").alias("out"))
 
     def give(acc: Column, item: Column) -> Column:
         share = F.least(item["x"], F.floor(acc["left"] / (n - acc["k"])).cast("int"))

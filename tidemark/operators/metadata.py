@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tidemark.functions.text import flexible_date, squeeze
+from tidemark.operators.curation import fair_shares
 
 #: Other names of metadata types.
 ALIASES = {"timeseries": "indicator", "survey": "microdata"}
@@ -95,6 +96,55 @@ def serialize(parts: Column, budget: int | None = None, seed: Column | None = No
     return F.when(F.length(text) <= budget, text).otherwise(F.regexp_replace(F.substring(text, 1, budget), r"\s+\S*\z", ""))
 
 
+def effective_cap(cap: int | None, elastic: bool) -> int:
+    """The letters of a field that are read: its own cap, else 8000 of an elastic field and 300 of another (fixed values)."""
+    return cap or (8000 if elastic else 300)
+
+
+def elastic_segments(fields: list[tuple[str, Column, bool]]) -> Column:
+    """Array of (label, text, elastic) of the fields that aren't null or empty; fields: label, text, whether it may be cut."""
+    each = F.array(*[F.struct(F.lit(label).alias("label"), text.alias("text"), F.lit(elastic).alias("elastic")) for label, text, elastic in fields])
+    return F.filter(each, lambda s: s["text"] != "")
+
+
+def fit_budget(parts: Column, total: int | Column, separator: str = "\n") -> Column:
+    """'label: text' lines of elastic_segments within total letters, labels and separators counted; only elastic fields are cut.
+
+    What the other fields and all labels leave is shared max-min fairly: a short elastic field is kept whole and gives the rest of its share to the
+    longer ones. A cut ends at a word where the cut text has a space. Fields that aren't elastic stay whole even where they alone exceed
+    total; then elastic ones have a label only.
+    """
+    fixed = F.aggregate(parts, F.lit(0), lambda s, p: s + F.length(p["label"]) + 2 + F.when(p["elastic"], 0).otherwise(F.length(p["text"])))
+    left = F.greatest(F.lit(0), F.lit(total).cast("int") - fixed - len(separator) * (F.size(parts) - 1))
+    given = fair_shares(F.transform(F.filter(parts, lambda p: p["elastic"]), lambda p: F.length(p["text"])), left)
+
+    def place(acc: Column, p: Column) -> Column:
+        share = F.get(acc["given"], acc["at"])
+        short = F.regexp_replace(F.regexp_replace(F.substr(p["text"], F.lit(1), share), r" [^ ]*\z", ""), r"[ \t\r\n]+\z", "")
+        text = F.when(p["elastic"] & (share < F.length(p["text"])), short).otherwise(p["text"])
+        return F.struct((acc["at"] + p["elastic"].cast("int")).alias("at"), acc["given"].alias("given"), F.concat(acc["out"], F.array(F.concat(p["label"], F.lit(": "), text))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), given.alias("given"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(parts, start, place, lambda acc: F.array_join(acc["out"], separator))
+
+
+def picked_facets(evidence: dict[str, list[Column]], n: int, *seed: Column) -> Column:
+    """n facets whose evidence is there, in the order of a hash of the seed (record, language) and the facet, again from the first if n is more.
+
+    Where no facet has its evidence, keyword and natural are taken (fixed values).
+    """
+    def there(texts: list[Column]) -> Column:
+        found = F.lit(True)
+        for t in texts:
+            found = found & (F.coalesce(t.cast("string"), F.lit("")) != "")
+        return found
+
+    known = F.filter(F.array(*[F.when(there(texts), F.lit(facet)) for facet, texts in evidence.items()]), lambda f: f.isNotNull())
+    known = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("keyword"), F.lit("natural")))
+    mixed = F.array_sort(F.transform(known, lambda f: F.struct(F.md5(F.concat_ws("|", *[s.cast("string") for s in seed], f)).alias("h"), f.alias("f"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(mixed, F.pmod(i, F.size(mixed)))["f"])
+
+
 def filled(column: Column, kind: DataType) -> Column:
     """A value of kind in which nothing is null: '' , 0, false, empty lists, and the same inside structs."""
     if isinstance(kind, StructType):

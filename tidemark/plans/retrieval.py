@@ -10,6 +10,7 @@ from tidemark.functions import vectors as vx
 from tidemark.functions.markup import paragraph_texts
 from tidemark.operators import evaluation as ev
 from tidemark.operators import metadata as md
+from tidemark.operators import representatives as dr
 from tidemark.operators import search as se
 from tidemark.operators import vector_index as vi
 from tidemark.session import shared_dir
@@ -140,6 +141,29 @@ def record_serialization(spark, d):
     return p.select("p_partkey", md.serialize(parts, 45).alias("text"), F.length(md.serialize(parts, None, F.col("p_partkey"))).alias("n_permuted"))
 
 
+def elastic_serialization(spark, d):
+    """Documents as labelled lines within budgets of 40 to 4,030 letters, shared by the first line and the whole text."""
+    docs = table(spark, d, "documents")
+    parts = md.elastic_segments([("source", F.col("source"), False), ("title", F.split_part("text", F.lit("\n"), F.lit(1)), True), ("lang", F.col("lang"), False), ("text", F.col("text"), True)])
+    text = md.fit_budget(parts, 40 + F.col("doc_id") % 400 * 10)
+    return docs.select("doc_id", text.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+def facet_plan(spark, d):
+    """Five query facets for each part and language."""
+    p = table(spark, d, "part").withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("fr"))))
+    some = F.col("p_size") % 2 == 1
+    evidence = {"keyword": [F.when(some, F.col("p_name"))], "unit": [F.when(some, F.col("p_size"))], "geo_year": [F.when(some, F.col("p_brand")), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))], "source": [F.lit("")]}
+    picked = md.picked_facets(evidence, 5, F.col("p_partkey"), F.col("lang"))
+    return p.select("p_partkey", "lang", F.array_join(picked, ",").alias("facets"))
+
+
+def document_representatives(spark, d):
+    """For each document (a stretch of 40 vectors) the chunks nearest to its five centres."""
+    e = table(spark, d, "embeddings").withColumn("doc", F.floor(F.col("vec_id") / 40).cast("long"))
+    return dr.document_representatives(e, "doc", "vec_id", "embedding", 5, 10)
+
+
 def metadata_coverage(spark, d):
     o = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("price"), "o_orderpriority")
     return md.coverage(o, ["status", "price", "o_orderpriority"])
@@ -182,7 +206,7 @@ def detection_eval(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    l2_normalize, sq8_quantize, sq8_quality, vector_truncation, knn_exact, knn_recall, centroid_assign, bm25_topk, fielded_bm25, index_search, index_recall, hybrid_blend, ranking_metrics, hard_negatives, metadata_facets, text_units, record_serialization, metadata_coverage,
+    l2_normalize, sq8_quantize, sq8_quality, vector_truncation, knn_exact, knn_recall, centroid_assign, bm25_topk, fielded_bm25, index_search, index_recall, hybrid_blend, ranking_metrics, hard_negatives, metadata_facets, text_units, record_serialization, metadata_coverage, elastic_serialization, facet_plan, document_representatives,
     dotted_path_json, null_fill, html_blocks, iou_pairs, detection_eval,
 )}
 
@@ -223,6 +247,13 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
     "metadata_facets": f"WITH {_CAT}, c AS (SELECT *, md5(c_name) AS h FROM cat) SELECT c_custkey, c_name AS idno, {_UUID} AS idno_uuid, c_mktsegment AS source, least(n_name, r_name) || ';' || greatest(n_name, r_name) AS geographies, CAST(year(a) AS INTEGER) AS year_start, CAST(year(b) AS INTEGER) AS year_end, CASE WHEN year(a) = year(b) THEN 1 ELSE 2 END AS n_years, CASE WHEN c_custkey % 2 = 0 THEN 'By customer' ELSE 'A survey' END AS abstract FROM c",
     "text_units": f"WITH {_CAT}, t AS (SELECT c_custkey, 'idno' AS field, c_name AS text FROM cat UNION ALL SELECT c_custkey, 'abstract', CASE WHEN c_custkey % 2 = 0 THEN 'By customer' ELSE 'A survey' END FROM cat) SELECT *, md5(c_custkey || '__' || field || '__' || text) AS uuid FROM t",
     "record_serialization": r"WITH t AS (SELECT p_partkey, 'name: ' || left(p_name, 40) || chr(10) || 'brand: ' || p_brand || chr(10) || 'type: ' || p_type || chr(10) || 'size: ' || p_size AS t FROM part) SELECT p_partkey, CASE WHEN length(t) <= 45 THEN t ELSE regexp_replace(left(t, 45), '\s+\S*$', '') END AS text, CAST(length(t) AS INTEGER) AS n_permuted FROM t",
+    "elastic_serialization": r"""WITH f AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(lang, '') AS l, split_part(coalesce(text, ''), chr(10), 1) AS a, coalesce(text, '') AS b, 40 + doc_id % 400 * 10 AS total FROM documents),
+n AS (SELECT *, greatest(0, total - greatest(0, CAST(s <> '' AS INTEGER) + CAST(l <> '' AS INTEGER) + CAST(a <> '' AS INTEGER) + CAST(b <> '' AS INTEGER) - 1) - CASE WHEN s <> '' THEN 8 + length(s) ELSE 0 END - CASE WHEN l <> '' THEN 6 + length(l) ELSE 0 END - CASE WHEN a <> '' THEN 7 ELSE 0 END - CASE WHEN b <> '' THEN 6 ELSE 0 END) AS room FROM f),
+x AS (SELECT *, least(length(a), room // 2) AS ta FROM n), y AS (SELECT *, least(length(b), room - ta) AS tb FROM x),
+c AS (SELECT *, CASE WHEN ta < length(a) THEN regexp_replace(regexp_replace(left(a, ta), ' [^ ]*\z', ''), '[ \t\r\n]+\z', '') ELSE a END AS ca, CASE WHEN tb < length(b) THEN regexp_replace(regexp_replace(left(b, tb), ' [^ ]*\z', ''), '[ \t\r\n]+\z', '') ELSE b END AS cb FROM y),
+t AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN s <> '' THEN 'source: ' || s END, CASE WHEN a <> '' THEN 'title: ' || ca END, CASE WHEN l <> '' THEN 'lang: ' || l END, CASE WHEN b <> '' THEN 'text: ' || cb END) AS t FROM c)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM t""",
+    "facet_plan": "WITH k AS (SELECT p_partkey, unnest(['en', 'fr']) AS lang, CASE WHEN p_size % 2 = 0 THEN ['keyword', 'natural'] WHEN p_partkey % 3 = 0 THEN ['keyword', 'unit', 'geo_year'] ELSE ['keyword', 'unit'] END AS f FROM part), m AS (SELECT p_partkey, lang, list_transform(list_sort(list_transform(f, lambda x: md5(p_partkey || '|' || lang || '|' || x) || x)), lambda x: x[33:]) AS f FROM k) SELECT p_partkey, lang, array_to_string(list_transform(range(5), lambda i: f[i % len(f) + 1]), ',') AS facets FROM m",
     "metadata_coverage": "SELECT 'status' AS field, count(*) FILTER (o_orderstatus <> 'F') AS present, round(avg(CAST(o_orderstatus <> 'F' AS INTEGER)), 6) AS share FROM orders UNION ALL SELECT 'price', count(*) FILTER (o_totalprice > 100000), round(avg(CAST(o_totalprice > 100000 AS INTEGER)), 6) FROM orders UNION ALL SELECT 'o_orderpriority', count(*), 1.0 FROM orders",
     "dotted_path_json": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS none, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "null_fill": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE '' END AS s, CASE WHEN o_orderkey % 2 > 0 THEN o_custkey ELSE 0 END AS c, CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 0 END AS p FROM orders",

@@ -14,13 +14,13 @@ def record_keys(spark, d):
 
 
 def indexed_values(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("n"))))).alias("m"))
-    return p.select("p_brand", F.md5(F.array_join(re_.indexed(F.col("m"), "n"), ",")).alias("names_md5"))
+    p = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("shelf")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("n"))))).alias("m"))
+    return p.select("shelf", F.md5(F.array_join(re_.indexed(F.col("m"), "n"), ",")).alias("names_md5"))
 
 
 def joined_fields(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]).alias("t"))
-    return p.select("p_brand", re_.joined_fields(F.concat(F.array(F.lit(" "), F.lit("B,")), "t"), 12).alias("types"))
+    p = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("shelf")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]).alias("t"))
+    return p.select("shelf", re_.joined_fields(F.concat(F.array(F.lit(" "), F.lit("B,")), "t"), 12).alias("types"))
 
 
 def leaf_values(spark, d):
@@ -65,7 +65,7 @@ def chunk_spans(spark, d):
 
 
 def merged_chunks(spark, d):
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("g"), "doc_id", "text", "lang")
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", "text", "lang")
     c = re_.merged_chunks(docs, "g", "doc_id", "text", "lang")
     return c.groupBy("g", "lang").agg(F.count("*").alias("n"), F.max("offset").alias("last"))
 
@@ -95,8 +95,8 @@ _M = "m AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN p_name ELSE p_t
 
 ORACLE = {
     "record_keys": "SELECT o_orderkey, left(md5(o_orderpriority), 8) AS prompt, sha1(o_orderpriority || chr(0) || o_custkey || chr(0) || 'm') AS memo FROM orders",
-    "indexed_values": "SELECT p_brand, md5(string_agg(p_name, ',' ORDER BY p_partkey)) AS names_md5 FROM part GROUP BY 1",
-    "joined_fields": "WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY 1, 2) SELECT p_brand, left('B,, ' || string_agg(p_type, ', ' ORDER BY k), 12) AS types FROM f GROUP BY 1",
+    "indexed_values": "SELECT p_partkey // 50 AS shelf, md5(string_agg(p_name, ',' ORDER BY p_partkey)) AS names_md5 FROM part GROUP BY 1",
+    "joined_fields": "WITH f AS (SELECT p_partkey // 50 AS shelf, p_type, min(p_partkey) AS k FROM part GROUP BY 1, 2) SELECT shelf, left('B,, ' || string_agg(p_type, ', ' ORDER BY k), 12) AS types FROM f GROUP BY 1",
     "leaf_values": "SELECT o_orderkey, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR), 'true']) AS value FROM orders",
     "dates_in_place": "SELECT o_orderkey, 'a.d=' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ',b=soon' ELSE '' END AS dates FROM orders",
     "provenance": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN '2024' ELSE '2020' END || ':true:AI_EXTRACTED:' || o_orderstatus || ',' || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '2020' END || ':false:own:' || o_orderstatus ELSE '2024:true:AI_EXTRACTED:' || CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority ELSE 'unknown' END END AS provenance FROM orders",

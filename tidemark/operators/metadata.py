@@ -145,13 +145,16 @@ def picked_facets(evidence: dict[str, list[Column]], n: int, *seed: Column) -> C
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(mixed, F.pmod(i, F.size(mixed)))["f"])
 
 
-def filled(column: Column, kind: DataType) -> Column:
-    """A value of kind in which nothing is null: '' , 0, false, empty lists, and the same inside structs."""
+def filled(column: Column, kind: DataType, placeholders: bool = False) -> Column:
+    """A value of kind in which nothing is null: '' , 0, false, empty lists, and the same inside structs; with placeholders no list is empty but has one such element."""
     if isinstance(kind, StructType):
-        return F.struct(*[filled(column[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.struct(*[filled(column[f.name], f.dataType, placeholders).alias(f.name) for f in kind])
     if isinstance(kind, ArrayType):
-        return F.coalesce(F.transform(column, lambda x: filled(x, kind.elementType)), F.array().cast(kind))
-    default = {"string": F.lit(""), "boolean": F.lit(False)}.get(kind.typeName(), F.lit(0).cast(kind) if kind.typeName() in ("integer", "long", "double", "float", "short", "byte") else None)
+        found = F.coalesce(F.transform(column, lambda x: filled(x, kind.elementType, placeholders)), F.array().cast(kind))
+        if not placeholders or kind.elementType.typeName() == "variant":
+            return found
+        return F.when(F.size(found) > 0, found).otherwise(F.array(filled(F.lit(None).cast(kind.elementType), kind.elementType, placeholders)))
+    default = {"string": F.lit(""), "boolean": F.lit(False)}.get(kind.typeName(), F.lit(0).cast(kind) if kind.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal") else None)
     return column if default is None else F.coalesce(column, default)
 
 

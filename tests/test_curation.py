@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import catalogs as ca
 from tidemark.operators import curation as cu
 from tidemark.operators import metadata as md
 from tidemark.operators import representatives as dr
@@ -184,3 +186,25 @@ def test_document_representatives_equal_plain_loops(spark, monkeypatch):
     want = [(doc, *x) for doc in range(6) for x in plain_representatives([(i, v) for d, i, v, _ in rows if d == doc], 5, 6)]
     assert got == want and sum(r[3] for r in got) == len(rows)
     assert dr.document_representatives(df.limit(0), "doc", "vec_id", "embedding").count() == 0
+
+
+def test_stripped_places_against_one_pattern(spark):
+    rng = random.Random(4)
+    letters = ["new", "york", "é", "a", "st", "x-y"]
+    phrase = lambda n: "".join(rng.choice(letters) + rng.choice([" ", "-", ", ", "."]) for _ in range(rng.randrange(1, n))).strip()
+    forms = sorted({phrase(4).lower().rstrip(".,-") for _ in range(60)} | {"--"} - {""})
+    texts = [(i, rng.choice([phrase(9), phrase(9).upper()])) for i in range(300)] + [(300, None), (301, ""), (302, "a--new")]
+    got = {r.i: r.base for r in ca.strip_places(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame([(f,) for f in forms] + [("",), (None,)], "form string"), "base").collect()}
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f)))) + r")\b")
+    want = {i: " ".join(pattern.sub(" ", (t or "").lower()).split()) for i, t in texts}
+    assert got == want
+
+
+def test_detected_forms_against_all(spark):
+    rng = random.Random(6)
+    phrase = lambda n: " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, n)))
+    forms = [(phrase(5), f"n{i}", i) for i in range(25)] + [("!", "none", -1)]
+    texts = [(i, phrase(8)) for i in range(200)] + [(200, None), (201, "")]
+    got = {r.i: r.detected for r in cu.detect_form(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame(forms, "form string, name string, ord int")).collect()}
+    want = {i: next((n for f, n, o in forms[:-1] if t is not None and f" {f} " in f" {t} "), None) for i, t in texts}
+    assert got == want

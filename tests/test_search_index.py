@@ -107,3 +107,16 @@ def test_fielded_search(spark):
     flat = se.fielded_bm25(docs, asked, {"title": 0.1, "text": 1.0}).collect()
     assert [r.id for r in sorted(flat, key=lambda r: r["rank"])] == [2, 1]
     assert se.fielded_bm25(docs.limit(0), asked, {"title": 3.0}).count() == 0
+
+
+def test_assign_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(200)]
+    names = [f"c{i:02}" for i in range(30)]
+    centres = [(n, [float(x) for x in rng.integers(-2, 3, 4)]) for n in names]
+    df = spark.createDataFrame(items, "vec_id int, embedding array<double>")
+    c = spark.createDataFrame([*centres, (None, [9.0] * 4)], "label string, centroid array<double>")
+    want = {i: min(centres, key=lambda x: (-float(np.dot(x[1], v)), x[0]))[0] for i, v in items}
+    for most in (100, 7):
+        assert {r.vec_id: r.assigned for r in se.assign(df, c, "label", most=most).collect()} == want
+    assert se.assign(df, c.where("false"), "label").where("assigned IS NULL").count() == 200

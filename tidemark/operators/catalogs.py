@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text, make_vgid, squeeze
+from tidemark.operators.curation import met_forms
 from tidemark.operators.metadata import metadata_type, path
 
 #: Header names, without punctuation, by the canonical column they stand for.
@@ -171,13 +172,19 @@ def place_forms(countries: DataFrame, cities: DataFrame, aliases: DataFrame | No
     return each.select("code", squeeze(F.lower("form")).alias("form")).where("form <> ''").distinct()
 
 
-def strip_places(df: DataFrame, text: str, forms: DataFrame, to: str, most: int = 20_000) -> DataFrame:
-    """df with the text in lower case without any of forms (form), the longest first. Forms become one pattern, so there may be most of them."""
-    found = [r.form for r in forms.select(F.lower("form").alias("form")).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} forms; use detect_form() for larger gazetteers")
-    quoted = "|".join("\\Q" + f + "\\E" for f in sorted(found, key=lambda f: (-len(f), f)))
-    return df.withColumn(to, squeeze(F.regexp_replace(F.lower(text), rf"\b({quoted})\b", " ") if found else F.lower(text)))
+def strip_places(df: DataFrame, text: str, forms: DataFrame, to: str) -> DataFrame:
+    """df with the text in lower case without any of forms (form), the longest first, where they begin and end at a word's edge; a null text gives an empty one.
+
+    Each distinct text meets the forms whose first two words stand in it and is rid of those in one pass, so a gazetteer may have any size: only the few
+    forms that a text may hold become its pattern.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    texts = df.select(F.md5(text).alias("_k"), F.lower(text).alias("_p")).where("_k IS NOT NULL").dropDuplicates(["_k"])
+    named = forms.select(F.lower("form").alias("form")).where("form <> ''").distinct()
+    met = met_forms(texts, runs(F.col("_p")), named, runs(F.col("form"))).groupBy("_k").agg(F.array_sort(F.collect_set(F.struct((-F.length("form")).alias("n"), "form"))).alias("_f"))
+    quoted = F.array_join(F.transform("_f", lambda f: F.concat(F.lit("\\Q"), f["form"], F.lit("\\E"))), "|")
+    joined = df.withColumn("_k", F.md5(text)).join(met.select("_k", F.concat(F.lit(r"(?U)\b("), quoted, F.lit(r")\b")).alias("_r")), "_k", "left")
+    return joined.withColumn(to, squeeze(F.when(F.col("_r").isNull(), F.lower(text)).otherwise(F.regexp_replace(F.lower(text), F.col("_r"), F.lit(" "))))).drop("_k", "_r")
 
 
 def camel_name(name: Column) -> Column:

@@ -222,16 +222,27 @@ def title_case(name: Column) -> Column:
     return F.array_join(F.transform(F.split(squeeze(name), " "), lambda w, i: F.when(w.rlike("^[A-Z0-9]{2,6}$"), w).when((i > 0) & F.lower(w).isin(*small), F.lower(w)).otherwise(F.initcap(w))), " ")
 
 
+def met_forms(texts: DataFrame, words: Column, forms: DataFrame, form_words: Column) -> DataFrame:
+    """Rows of texts (_k) and forms (all columns) whose first two words, or only word, stand side by side in the text; words: arrays.
+
+    What is joined are names of texts and pairs of words, never texts; a form without words meets every text.
+    """
+    two = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
+    each = texts.select("_k", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words, two))).alias("_w"))
+    return each.join(forms.withColumn("_w", F.array_join(F.slice(form_words, 1, 2), " ")), "_w").drop("_w")
+
+
 def detect_form(df: DataFrame, text: str, forms: DataFrame) -> DataFrame:
-    """The first of forms (form, name, ord) by ord whose words stand in a text: a join on the forms' first words, then the whole form.
+    """The first of forms (form, name, ord) by ord whose words stand in a text: a join on the forms' first two words, then the whole form.
 
-    Each distinct text is searched once, named by its digest, and every row with it gets its answer. A null text has none.
+    Each distinct text is searched once, named by its digest, and every row with it gets its answer. A null text has none, and forms without words are in none.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     texts = df.select(F.md5(text).alias("_k"), plain(F.col(text)).alias("_p")).where("_k IS NOT NULL").dropDuplicates(["_k"])
-    each = texts.select("_k", F.concat(F.lit(" "), "_p", F.lit(" ")).alias("_t"), F.explode(F.array_distinct(F.split("_p", " "))).alias("_w"))
-    named = forms.select(plain(F.col("form")).alias("form"), "name", "ord").withColumn("_w", F.split_part("form", F.lit(" "), F.lit(1)))
-    found = each.join(named, "_w").where(F.col("_t").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).groupBy("_k").agg(F.min_by("name", "ord").alias("detected"))
+    named = forms.select(plain(F.col("form")).alias("form"), "name", "ord").where("form <> ''")
+    met = met_forms(texts, F.split("_p", " "), named, F.split("form", " "))
+    long = met.where(F.size(F.split("form", " ")) > 2).join(texts, "_k").where(F.concat(F.lit(" "), "_p", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).select(met.columns)
+    found = met.where(F.size(F.split("form", " ")) <= 2).unionByName(long).groupBy("_k").agg(F.min_by("name", "ord").alias("detected"))
     return df.withColumn("_k", F.md5(text)).join(found, "_k", "left").drop("_k")
 
 

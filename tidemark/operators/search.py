@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.vectors import dequantize, dot, l2_normalize, min_max, quantize
-from tidemark.session import cut
+from tidemark.session import cut, staged
 
 #: Query vectors broadcast at once, and pairs of query and term.
 BLOCK, TERMS = 2_000, 1_000_000
+#: Centroids broadcast at once.
+CENTROIDS = 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,21 +66,44 @@ def centroids_by_label(items: DataFrame, label: str, vec_col: str = "embedding")
     return each.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
-def assign(items: DataFrame, centroids: DataFrame, label: str, vec_col: str = "embedding") -> DataFrame:
-    """The label of the centroid with the highest dot product for each item, the lower label in a tie. One centroid a label is broadcast."""
-    got = centroids.orderBy(label).toArrow().combine_chunks()
-    names = got.column(label).to_numpy()
-    shared = items.sparkSession.sparkContext.broadcast((names, np.array(got.column("centroid").to_pylist(), float)))
-    others = [c for c in items.columns if c != vec_col]
-    kind = centroids.schema[label].dataType
+def assign(items: DataFrame, centroids: DataFrame, label: str, vec_col: str = "embedding", most: int = CENTROIDS) -> DataFrame:
+    """The label of the centroid with the highest dot product for each item, the lower label in a tie.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c = shared.value
-        for batch in batches:
-            best = names[np.argmax(np.round(_matrix(batch.column(vec_col)) @ c.T, 9), axis=1)] if batch.num_rows else names[:0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(o) for o in others), pa.array(best)], [*others, "assigned"])
+    Centroids (one a label) are counted; up to most of them go to the tasks by broadcast. More go in blocks by a hash of their labels, one pass over the items each, and a pass
+    keeps the better of its own and the earlier label; the items are written between passes, so no two blocks are held at once. A null label is left out.
+    """
+    spark, kind = items.sparkSession, centroids.schema[label].dataType
+    known = centroids.where(F.col(label).isNotNull())
+    blocks = max(1, -(-known.count() // most))
+    others = [c for c in items.columns if c != vec_col]
+    now = items.select(*others, vec_col, F.lit(None).cast(kind).alias("assigned"), F.lit(float("-inf")).alias("_s"))
+    for b in range(blocks):
+        got = known.where(F.pmod(F.xxhash64(label), F.lit(blocks)) == b).orderBy(label).select(label, "centroid").toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((got.column(0).to_pylist(), np.array(got.column(1).to_pylist(), float)))
 
-    return items.mapInArrow(run, StructType([items.schema[c] for c in others]).add("assigned", kind))
+        def better(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, c = shared.value
+            for batch in batches:
+                v, label_of, score = _matrix(batch.column(vec_col)), batch.column("assigned").to_pylist(), batch.column("_s").to_numpy().copy()
+                for at in range(0, len(names) if len(v) else 0, 1_024):
+                    s = np.round(v @ c[at : at + 1_024].T, 9)
+                    best = np.argmax(s, axis=1)
+                    top = s[np.arange(len(v)), best]
+                    for i in np.flatnonzero(top >= score):
+                        name = names[at + best[i]]
+                        if top[i] > score[i] or label_of[i] is None or name < label_of[i]:
+                            label_of[i], score[i] = name, top[i]
+                column = batch.schema.get_field_index("assigned")
+                out = batch.set_column(column, "assigned", pa.array(label_of, batch.schema.field(column).type))
+                yield out.set_column(out.schema.get_field_index("_s"), "_s", pa.array(score))
+
+        now = now.mapInArrow(better, now.schema)
+        if b < blocks - 1:
+            now = staged(now)
+            shared.unpersist()
+    return now.drop("_s", vec_col)
 
 
 def ivf(items: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalogs as ca
 from tidemark.operators import gates as ga
+from tidemark.operators import templates as te
 from tidemark.plans.text import ORACLE as TEXT_SQL
 from tidemark.sources.tables import table
 
@@ -134,6 +135,20 @@ def stripped_places(spark, d):
     return ca.strip_places(c, "text", forms, "base").select("c_custkey", "base")
 
 
+def typed_records(spark, d):
+    """Documents as JSON of three layouts that contradict each other, in one typed layout; the first layout decides where it says anything."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.struct(F.col("doc_id") % 3, "doc_id").alias("o"))
+    info = lambda *c: F.struct(*c).alias("info")
+    one = F.to_json(F.struct(F.col("doc_id").alias("id"), info("lang", F.col("n_chars").alias("n")), F.array(F.lit("a"), "source").alias("tags")))
+    two = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), info("source"), F.lit("one").alias("tags")))
+    three = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array("lang").alias("info"), F.array(F.struct(F.col("doc_id").alias("to"))).alias("links")))
+    r = t.select("doc_id", "o", F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(three).alias("p"))
+    c = te.conform(r, "p", te.typed_template(r, "p", "o"))
+    lost = F.array_join(F.array_sort(F.transform("misfits", lambda m: F.concat_ws("=", m["path"], m["value"]))), ";")
+    to = F.array_join(F.transform("record.links", lambda x: x["to"].cast("string")), "|")
+    return c.select("doc_id", "record.id", "record.info.lang", F.col("record.info.n").alias("n"), "record.info.source", F.array_join("record.tags", "|").alias("tags"), to.alias("links"), lost.alias("misfits"))
+
+
 def camel_names(spark, d):
     return table(spark, d, "part").select("p_partkey", ca.camel_name(F.concat_ws(" ", F.lit("of"), F.lower("p_type"), F.lit("OF the x GGI"), "p_name")).alias("name"))
 
@@ -165,12 +180,15 @@ def missing_paths(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     dense_rows, before_references, personal_names, mention_gates, skip_reasons, self_links, best_relations, candidate_names, header_mapping, dictionary_variables, listed_variables, study_rows, pdf_candidates, json_projection,
-    rating_columns, topic_lists, record_numbers, code_names, stripped_places, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
+    rating_columns, topic_lists, record_numbers, code_names, stripped_places, typed_records, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
 )}
 
 _MAPPED = ", ".join(f"('{h}', '{c}', {k})" for k, (h, c) in enumerate(zip(_HEADERS, ("indicator_id", "geography_id", "", "period", "anomaly_score", "anomaly_score", "is_imputed", "", "value", "outlier_count"), strict=True)))
 
 ORACLE = {
+    "typed_records": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE doc_id END AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') ELSE '' END AS lang, CAST(CASE WHEN doc_id % 3 = 0 THEN coalesce(n_chars, 0) ELSE 0 END AS BIGINT) AS n,
+CASE WHEN doc_id % 3 = 1 THEN coalesce(source, '') ELSE '' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'a|' || coalesce(source, '') ELSE '' END AS tags, CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS links,
+CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'id="d' || doc_id || '";tags="one"' ELSE 'info=[' || coalesce('"' || lang || '"', 'null') || ']' END AS misfits FROM documents""",
     "dense_rows": "WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS b, CASE WHEN o_custkey % 2 > 0 THEN o_orderstatus END AS c FROM orders) SELECT * FROM o WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2",
     "before_references": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber * 1000000 + l_partkey AS page, l_partkey % 4 = 0 AS r FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) // 2 AS half FROM l), f AS (SELECT *, min(CASE WHEN r AND k >= half THEN k END) OVER (PARTITION BY l_orderkey) AS f FROM k) SELECT l_orderkey, page FROM f WHERE f IS NULL OR k < f",
     "personal_names": "SELECT c_custkey, c_custkey % 6 IN (0, 1) AS person FROM customer",

@@ -10,6 +10,7 @@ from tidemark.operators import families as fa
 from tidemark.operators import gates as ga
 from tidemark.operators import harmonize as hz
 from tidemark.operators import search as se
+from tidemark.plans.text import ORACLE as TEXT_SQL
 from tidemark.sources.tables import table
 
 
@@ -37,8 +38,8 @@ def acronym_sets(spark, d):
 
 def boosted_names(spark, d):
     p = table(spark, d, "part").where("p_size % 4 = 0").select(F.concat_ws(" ", "p_name", "p_type").alias("n"), F.concat_ws("-", "p_brand", "p_size").alias("a"))
-    pairs = p.select(F.col("n").alias("a")).distinct().join(p.select(F.col("n").alias("b")).distinct(), F.substring("a", 1, 4) == F.substring("b", 1, 4)).where("a < b").withColumn("similarity", F.lit(0.6))
-    return fa.boost_acronyms(pairs, fa.acronym_map(p, "n", "a"), "n")
+    pairs = hz.similar_names(p.select("n").distinct(), "n", "n", 0.6)
+    return fa.boost_acronyms(pairs, fa.acronym_map(p, "n", "a"), "n").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def absorbed_families(spark, d):
@@ -215,10 +216,12 @@ QUERIES = {f.__name__: f for f in (
 
 _PAGES = "SELECT l_orderkey % 40 AS doc_id, l_orderkey AS page, list(l_linenumber ORDER BY l_linenumber) AS o FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1, 2"
 
+_ALIKE = TEXT_SQL["name_similarity"].replace("FROM part)", "FROM part WHERE p_size % 4 = 0)")
+
 ORACLE = {
     "merged_clusters": "WITH p AS (SELECT p_brand, p_type, p_name, count(*) AS n, max(p_size) AS s FROM part GROUP BY 1, 2, 3), c AS (SELECT p_brand, p_type, min(p_name) AS name, min(s % 3) AS rank, max(s / 100) AS conf, sum(n) AS c FROM p GROUP BY 1, 2), b AS (SELECT p_brand, name, rank FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY rank, length(name) DESC, conf DESC, name DESC) = 1), m AS (SELECT p_brand, CAST(sum(c) AS BIGINT) AS count, count(*) AS n_merged FROM c GROUP BY 1), f AS (SELECT p_brand, string_agg(p_name || '=' || n, ',' ORDER BY p_name) AS forms FROM (SELECT p_brand, p_name, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1, 2) GROUP BY 1), g AS (SELECT p_brand, string_agg(s, ',' ORDER BY s) AS pages FROM (SELECT DISTINCT p_brand, s FROM p) GROUP BY 1) SELECT b.p_brand, name, rank, count, n_merged, forms, pages FROM b JOIN m USING (p_brand) JOIN f USING (p_brand) JOIN g USING (p_brand)",
     "acronym_sets": "SELECT p_name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS acronyms FROM part WHERE p_size % 4 = 0 GROUP BY 1",
-    "boosted_names": "WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS n, p_brand || '-' || p_size AS a FROM part WHERE p_size % 4 = 0), x AS (SELECT DISTINCT a.n AS a, b.n AS b, 0.6 AS s FROM p a JOIN p b ON left(a.n, 4) = left(b.n, 4) AND a.n < b.n UNION ALL SELECT a.n, b.n, 0.95 FROM p a JOIN p b ON a.a = b.a AND a.n < b.n) SELECT a, b, CAST(max(s) AS DOUBLE) AS similarity FROM x GROUP BY 1, 2",
+    "boosted_names": f"WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS n, p_brand || '-' || p_size AS a FROM part WHERE p_size % 4 = 0), alike AS ({_ALIKE}), x AS (SELECT a, b, similarity AS s FROM alike UNION ALL SELECT a.n, b.n, 0.95 FROM p a JOIN p b ON a.a = b.a AND a.n < b.n) SELECT a, b, CAST(max(s) AS DOUBLE) AS similarity FROM x GROUP BY 1, 2",
     "best_entities": "WITH e AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN l_linenumber % 3 > 0 THEN l_discount ELSE 0 END AS c, CASE WHEN l_linenumber % 3 > 0 THEN l_discount END AS o FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k, o NULLS FIRST) AS p FROM e) SELECT l_orderkey, k AS line FROM r WHERE l_orderkey % 2 = 0 OR p = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, p) = 1",
     "annotated_pages": "WITH l AS (SELECT l_orderkey, max(l_linenumber) AS m, min(l_linenumber) AS f, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), k AS (SELECT l_orderkey, CASE WHEN m > 1 THEN n ELSE 1 END AS n, CASE WHEN m > 1 THEN m ELSE f END AS k FROM l) SELECT 'd' || (l_orderkey % 50) AS doc_id, CAST(l_orderkey AS INTEGER) AS page, CAST(n AS INTEGER) AS n, round(least(1.0, k * 0.1 + 0.5), 6) AS x2, round(least(1.0, k * 0.2 + 0.6), 6) AS y2 FROM k",
     "prediction_tasks": "SELECT l_orderkey AS page, l_orderkey AS of, CAST(min(l_linenumber) AS VARCHAR) AS first, CAST(70.0 AS DOUBLE) AS height, 'Figure' AS label FROM lineitem GROUP BY 1",

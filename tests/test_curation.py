@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
@@ -208,3 +209,23 @@ def test_detected_forms_against_all(spark):
     got = {r.i: r.detected for r in cu.detect_form(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame(forms, "form string, name string, ord int")).collect()}
     want = {i: next((n for f, n, o in forms[:-1] if t is not None and f" {f} " in f" {t} "), None) for i, t in texts}
     assert got == want
+
+
+def test_geospatial_facets(spark):
+    info = {"citation": {"citedResponsibleParty": [{"organisationName": "Z"}, {"organisationName": None}, {"organisationName": "A"}, {"organisationName": "Z"}], "date": [{"date": "2001-05-01", "type": "temporal coverage"}, {"date": "1999", "type": "published"}, {"date": "1997", "type": "temporal coverage"}]}, "extent": {"geographicElement": [{"geographicDescription": "Peru"}, {"geographicDescription": ""}, {"geographicDescription": "Chad"}, {"geographicDescription": "Peru"}]}, "abstract": "about"}
+    df = spark.createDataFrame([(json.dumps({"description": {"idno": " G1 ", "identificationInfo": info}}), "Geospatial"), ("{}", "geospatial")], "p string, k string")
+    one, empty = sorted(md.facets(df, "p", "k").collect(), key=lambda r: r.idno or "~")
+    assert (one.idno, one.source, one.geographies, one.years, one.year_start, one.year_end, one.abstract) == ("G1", ["Z", "A", "Z"], ["Chad", "Peru"], [1997, 2001], 1997, 2001, "about")
+    assert (empty.idno, empty.source, empty.geographies, empty.abstract) == (None, None, None, None)
+
+
+def test_study_metadata(spark):
+    study = {"metadata": {"idno": "old", "x": [1], "type": "TimeSeries"}, "idno": " S1 ", "filters": {"a": 1}, "resources": [{"resource_id": 4, "is_url": 1, "filename": "f", "_links": {"type": "download", "download": "u"}}, {"_links": {"type": "view", "download": "u"}}, "odd", {"_links": {"type": "download"}}]}
+    got = json.loads(value(spark, ca.study_metadata(F.lit(json.dumps(study)))))
+    assert got == {"idno": "S1", "x": [1], "type": "indicator", "_extract_filters": {"a": 1}, "external_resources": [{"resource_id": 4, "url": "u", "dcformat": None, "is_url": "1", "filename": "f"}]}
+    assert json.loads(value(spark, ca.study_metadata(F.lit('{"metadata": {"t": "u"}, "filters": [], "resources": {}}')))) == {"t": "u"}
+    assert value(spark, ca.study_metadata(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="study without metadata"):
+        value(spark, ca.study_metadata(F.lit('{"metadata": []}')))
+    assert tuple(value(spark, ca.ids_type(F.lit('{"id": 3, "idno": "i", "type": "survey"}')))) == ("3", "i", "microdata")
+    assert tuple(value(spark, ca.ids_type(F.lit(None).cast("string")))) == (None, None, None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text, make_vgid, squeeze
 from tidemark.operators.curation import met_forms
-from tidemark.operators.metadata import metadata_type, path
+from tidemark.operators.metadata import ALIASES, metadata_type, path
 
 #: Header names, without punctuation, by the canonical column they stand for.
 HEADERS = {
@@ -86,10 +86,53 @@ def studies(payload: Column) -> Column:
     return F.when(status.isin("success", "ok", ""), found).otherwise(failed)
 
 
+def _said(study: Column, *dotted: str) -> Column:
+    """The first text at these paths that isn't empty, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(path(study, p)), F.lit("")) for p in dotted])
+
+
 def study_row(study: Column) -> Column:
-    """A study's id, idno and type."""
-    kind = F.coalesce(path(study, "filters.dataset_type"), path(study, "core_fields.type"), path(study, "type"))
-    return F.struct(F.coalesce(path(study, "core_fields.id"), path(study, "id")).alias("id"), F.coalesce(path(study, "core_fields.idno"), path(study, "idno")).alias("idno"), metadata_type(kind).alias("type"))
+    """A study's id, idno and type: the metadata's own type before the filters'."""
+    kind = _said(study, "metadata.type", "filters.dataset_type", "core_fields.type", "type")
+    return F.struct(F.coalesce(path(study, "core_fields.id"), path(study, "id")).alias("id"), _said(study, "core_fields.idno", "idno").alias("idno"), metadata_type(kind).alias("type"))
+
+
+def study_metadata(study: Column) -> Column:
+    """A study (JSON) as a catalogue record (JSON): its metadata with its idno, type, filters (_extract_filters) and downloads (external_resources), those it has.
+
+    A download is a resource whose link is one and has an address; a study whose metadata is no object raises, a null one gives null.
+    """
+    whole, row = F.try_parse_json(study), study_row(study)
+    meta = F.try_variant_get(whole, "$.metadata", "map<string,variant>")
+    raw = F.coalesce(F.try_variant_get(whole, "$.resources", "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda r, p: F.try_variant_get(r, p, "string")
+    null = F.parse_json(F.lit("null"))
+
+    def download(r: Column) -> Column:
+        always = {"resource_id": F.coalesce(F.try_variant_get(r, "$.resource_id", "variant"), null), "url": text(r, "$._links.download").cast("variant"), "dcformat": F.coalesce(F.try_variant_get(r, "$.dcformat", "variant"), null), "is_url": F.coalesce(text(r, "$.is_url"), F.lit("0")).cast("variant")}
+        more = {k: F.when(text(r, f"$.{k}").isNotNull(), F.try_variant_get(r, f"$.{k}", "variant")) for k in ("title", "dctype", "resource_type", "filename", "sort_order")}
+        return F.to_variant_object(_there({**always, **more}))
+
+    offered = F.transform(F.filter(raw, lambda r: (text(r, "$._links.type") == "download") & (text(r, "$._links.download") != "")), download)
+    filters = F.try_variant_get(whole, "$.filters", "variant")
+    added = {
+        "idno": row["idno"].cast("variant"), "type": row["type"].cast("variant"), "_extract_filters": F.when(F.schema_of_variant(filters).startswith("OBJECT"), filters),
+        "external_resources": F.when(F.size(offered) > 0, F.to_variant_object(offered)),
+    }
+    new = _there(added)
+    merged = F.map_concat(F.map_filter(meta, lambda k, v: ~F.map_contains_key(new, k)), new)
+    return F.when(study.isNotNull() & meta.isNull(), F.raise_error("study without metadata").cast("string")).otherwise(F.to_json(merged))
+
+
+def _there(fields: dict[str, Column]) -> Column:
+    """A map of those fields (VARIANT) that aren't null."""
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields.values())), lambda k, v: v.isNotNull())
+
+
+def ids_type(row: Column) -> Column:
+    """The id, idno and type of a row of a catalogue's search (JSON), the type by its usual name; a null row has nulls."""
+    kind = path(row, "type")
+    return F.struct(path(row, "id").alias("id"), path(row, "idno").alias("idno"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), kind), kind).alias("type"))
 
 
 def page_to_offset(params: dict) -> dict:

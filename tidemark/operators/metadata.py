@@ -18,6 +18,7 @@ PATHS = {
     "indicator": ("series_description.idno", "series_description.authoring_entity", "series_description.ref_country", "series_description.time_periods", "series_description.definition_long"),
     "microdata": ("study_description.title_statement.idno", "study_description.authoring_entity", "study_description.study_info.nation", "study_description.study_info.time_periods", "study_description.study_info.abstract"),
     "document": ("document_description.title_statement.idno", "document_description.authors", "document_description.ref_country", "document_description.time_periods", "document_description.abstract"),
+    "geospatial": ("description.idno", "description.identificationInfo.citation.citedResponsibleParty", "description.identificationInfo.extent.geographicElement", "description.identificationInfo.citation.date", "description.identificationInfo.abstract"),
     "script": ("project_desc.title_statement.idno", "project_desc.authoring_entity", "project_desc.geographic_units", "project_desc.time_periods", "project_desc.abstract"),
 }
 
@@ -38,8 +39,14 @@ def sorted_set(values: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
-def names(payload: Column, dotted: str) -> Column:
-    return F.transform(F.from_json(path(payload, dotted), NAMED), lambda x: x["name"])
+def names(payload: Column, dotted: str, field: str = "name") -> Column:
+    return F.transform(F.from_json(path(payload, dotted), NAMED.replace("name", field)), lambda x: x[field])
+
+
+def coverage_dates(payload: Column, dotted: str) -> Column:
+    """Of a list of dates and their types those of temporal coverage, as periods that only start."""
+    dates = F.from_json(path(payload, dotted), "array<struct<date:string,type:string>>")
+    return F.transform(F.filter(dates, lambda d: d["type"] == "temporal coverage"), lambda d: F.struct(d["date"].alias("start"), F.lit(None).cast("string").alias("end")))
 
 
 def years(periods: Column) -> Column:
@@ -49,19 +56,30 @@ def years(periods: Column) -> Column:
 
 
 def facets(df: DataFrame, payload: str, kind: str) -> DataFrame:
-    """Add idno, idno_uuid, source, geographies, years, year_start, year_end and abstract of each record by its type; unknown types raise."""
+    """Add idno, idno_uuid, source, geographies, years, year_start, year_end and abstract of each record by its type; unknown types raise.
+
+    A geospatial record's sources are its responsible parties as listed, its years those of its dates of temporal coverage.
+    """
     kind_of = metadata_type(F.col(kind))
 
     def by_type(make) -> Column:
         out = None
         for k, (name, paths) in enumerate(PATHS.items()):
-            out = F.when(kind_of == name, make(paths)) if k == 0 else out.when(kind_of == name, make(paths))
+            out = F.when(kind_of == name, make(name, paths)) if k == 0 else out.when(kind_of == name, make(name, paths))
         return out.otherwise(F.raise_error(F.concat(F.lit("unknown metadata type: "), F.coalesce(kind_of, F.lit("null")))))
 
     p = F.col(payload)
+
+    def source(name: str, paths: tuple) -> Column:
+        if name != "geospatial":
+            return sorted_set(names(p, paths[1]))
+        listed = F.filter(names(p, paths[1], "organisationName"), lambda v: v != "")
+        return F.when(F.size(listed) > 0, listed)
+
     out = df.withColumns({
-        "idno": by_type(lambda x: F.trim(path(p, x[0]))), "source": by_type(lambda x: sorted_set(names(p, x[1]))), "geographies": by_type(lambda x: sorted_set(names(p, x[2]))),
-        "years": by_type(lambda x: years(F.from_json(path(p, x[3]), PERIODS))), "abstract": by_type(lambda x: path(p, x[4])),
+        "idno": by_type(lambda _, x: F.trim(path(p, x[0]))), "source": by_type(source),
+        "geographies": by_type(lambda name, x: sorted_set(names(p, x[2], "geographicDescription" if name == "geospatial" else "name"))),
+        "years": by_type(lambda name, x: years(coverage_dates(p, x[3]) if name == "geospatial" else F.from_json(path(p, x[3]), PERIODS))), "abstract": by_type(lambda _, x: path(p, x[4])),
     })
     uuid = F.regexp_replace(F.md5("idno"), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return out.withColumns({"idno_uuid": uuid, "year_start": F.get("years", F.lit(0)), "year_end": F.element_at("years", -1)})

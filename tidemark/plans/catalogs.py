@@ -135,6 +135,21 @@ def stripped_places(spark, d):
     return ca.strip_places(c, "text", forms, "base").select("c_custkey", "base")
 
 
+def study_metadata(spark, d):
+    """Documents as studies: with and without a type of their own, with downloads and other resources."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    link = lambda kind, at: F.struct(F.lit(kind).alias("type"), at.alias("download"))
+    file = F.struct(F.col("doc_id").alias("resource_id"), F.lit("t").alias("title"), link("download", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("u/"), "doc_id")).otherwise("")).alias("_links"))
+    other = F.struct(F.col("doc_id").alias("resource_id"), F.lit("t").alias("title"), link("view", F.lit("v")).alias("_links"))
+    study = F.struct(
+        F.struct(F.concat(F.lit(" D"), "doc_id").alias("idno")).alias("core_fields"), F.struct(F.lit("survey").alias("dataset_type"), F.col("source").alias("s")).alias("filters"),
+        F.struct(F.lit("old").alias("idno"), F.when(F.col("doc_id") % 2 == 0, "TimeSeries").alias("type"), F.col("n_chars").alias("n")).alias("metadata"), F.array(file, other, file).alias("resources"),
+    )
+    m = t.select("doc_id", ca.study_metadata(F.to_json(study)).alias("m"))
+    at = lambda p: F.get_json_object("m", "$." + p)
+    return m.select("doc_id", at("idno").alias("idno"), at("type").alias("type"), at("n").cast("bigint").alias("n"), at("_extract_filters.s").alias("source"), at("external_resources[1].url").alias("url"), at("external_resources[0].is_url").alias("is_url"), at("external_resources[2].url").isNull().alias("two"))
+
+
 def typed_records(spark, d):
     """Documents as JSON of three layouts that contradict each other, in one typed layout; the first layout decides where it says anything."""
     t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.struct(F.col("doc_id") % 3, "doc_id").alias("o"))
@@ -180,12 +195,13 @@ def missing_paths(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     dense_rows, before_references, personal_names, mention_gates, skip_reasons, self_links, best_relations, candidate_names, header_mapping, dictionary_variables, listed_variables, study_rows, pdf_candidates, json_projection,
-    rating_columns, topic_lists, record_numbers, code_names, stripped_places, typed_records, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
+    rating_columns, topic_lists, record_numbers, code_names, stripped_places, study_metadata, typed_records, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
 )}
 
 _MAPPED = ", ".join(f"('{h}', '{c}', {k})" for k, (h, c) in enumerate(zip(_HEADERS, ("indicator_id", "geography_id", "", "period", "anomaly_score", "anomaly_score", "is_imputed", "", "value", "outlier_count"), strict=True)))
 
 ORACLE = {
+    "study_metadata": "SELECT doc_id, 'D' || doc_id AS idno, CASE WHEN doc_id % 2 = 0 THEN 'indicator' ELSE 'microdata' END AS type, CAST(n_chars AS BIGINT) AS n, source, CASE WHEN doc_id % 5 > 0 THEN 'u/' || doc_id END AS url, CASE WHEN doc_id % 5 > 0 THEN '0' END AS is_url, true AS two FROM documents",
     "typed_records": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE doc_id END AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') ELSE '' END AS lang, CAST(CASE WHEN doc_id % 3 = 0 THEN coalesce(n_chars, 0) ELSE 0 END AS BIGINT) AS n,
 CASE WHEN doc_id % 3 = 1 THEN coalesce(source, '') ELSE '' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'a|' || coalesce(source, '') ELSE '' END AS tags, CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS links,
 CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'id="d' || doc_id || '";tags="one"' ELSE 'info=[' || coalesce('"' || lang || '"', 'null') || ']' END AS misfits FROM documents""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalogs as ca
 from tidemark.operators import curation as cu
+from tidemark.operators import mapping as mp
 from tidemark.operators import metadata as md
 from tidemark.operators import representatives as dr
 
@@ -229,3 +230,29 @@ def test_study_metadata(spark):
         value(spark, ca.study_metadata(F.lit('{"metadata": []}')))
     assert tuple(value(spark, ca.ids_type(F.lit('{"id": 3, "idno": "i", "type": "survey"}')))) == ("3", "i", "microdata")
     assert tuple(value(spark, ca.ids_type(F.lit(None).cast("string")))) == (None, None, None)
+
+
+def test_mapped_documents(spark):
+    layout = mp.Layout(
+        idno="id", title="name", alternates=(mp.Terms("alt", "t", ""), mp.Terms("rep", "r", "")), identifiers={"id": "own", "doi": "DOI"}, authors=mp.Terms("authors", "author", ""), dates={"made": ("d1", "d2")}, texts={"url": ("pdf", "web")},
+        topics=(mp.Terms("a"), mp.Terms("b")), keywords=(mp.Terms("kw", "kw", ""),), languages=(mp.Terms("lang"),), regions=(mp.Terms("reg", mark=""), mp.Terms("regs", "r", "")), country_names="c", country_code="cc", relations={"txt": "hasFormat", "proj": "isPartOf"}, tags={"kind": mp.Terms("ty", mark=""), "sector": mp.Terms("sec", "s", "")},
+    )
+    docs = [
+        {"id": 7, "name": " A  b ", "alt": [{"t": "x"}, "y", {"u": 1}], "doi": "10.1", "authors": {"0": {"author": ["P", "Q"]}, "1": {"author": "R"}, "2": "S", "3": {"n": 1}}, "d1": "soon", "d2": "2021-12-31T10:00:00Z", "web": "w", "a": "m, n,,m", "b": "n,o,o", "kw": {"1": {"kw": "k1"}, "0": {"kw": "k0"}}, "lang": "En,EN,xx", "reg": "East", "regs": {"0": {"r": "North"}}, "c": "Chad,Atlantis", "cc": "TD", "proj": "P", "ty": "Report, final", "sec": [{"s": "H"}], "left.over": {"z": [1]}, "no": [], "none": None, "zero": 0},
+        {"name": "same", "rep": {"r": {"r": "same"}}, "cc": "ZZ"}, "no object",
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x) if isinstance(x, dict) else x) for i, x in enumerate(docs)] + [(3, None)], "i int, p string")
+    one, two, three, four = (r.record for r in mp.mapped(df, "p", layout, {"Chad": "TCD"}, {"en": "eng"}).orderBy("i").collect())
+    pairs = lambda rows: [tuple(r) for r in rows]
+    assert (one.idno, one.title, one.alternate_title, one.authors, one.made, one.url, one.spatial_coverage) == ("7", "A b", "x / y", ["P", "R", "S"], "2021-12-31", "w", "East ; North")
+    assert pairs(one.identifiers) == [("own", "7"), ("DOI", "10.1")] and pairs(one.topics) == [("m", "a"), ("n", "a"), ("m", "a"), ("o", "b")] and pairs(one.keywords) == [("k0", "kw"), ("k1", "kw")]
+    assert pairs(one.languages) == [("En", "eng"), ("xx", "")] and pairs(one.countries) == [("Chad", "TCD"), ("Atlantis", "")] and pairs(one.relations) == [("isPartOf", "P")]
+    assert pairs(one.tags) == [("Report, final", "kind"), ("H", "sector")] and one.additional == {"left_over": '{"z":[1]}', "zero": "0"}
+    assert (two.idno, two.alternate_title, pairs(two.countries), two.made) == ("", "", [("ZZ", "ZZ")], "")
+    assert (three.title, four.title, three.additional, four.topics) == ("", "", {}, [])
+    assert pairs(mp.mapped(df, "p", layout, once=False).where("i = 0").first().record.topics) == [("m", "a"), ("n", "a"), ("m", "a"), ("n", "b"), ("o", "b"), ("o", "b")]
+
+
+def test_study_description_by_both_names(spark):
+    rows = [(json.dumps({k: {"title_statement": {"idno": k}}}), "survey") for k in ("study_desc", "study_description")]
+    assert sorted(r.idno for r in md.facets(spark.createDataFrame(rows, "p string, k string"), "p", "k").collect()) == ["study_desc", "study_description"]

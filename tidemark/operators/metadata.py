@@ -29,8 +29,10 @@ def metadata_type(kind: Column) -> Column:
 
 
 def path(payload: Column, dotted: str) -> Column:
-    """The JSON text at a dotted path; null if it isn't there."""
-    return F.get_json_object(payload, "$." + dotted)
+    """The JSON text at a dotted path; null if it isn't there. A study's description may go by its short name."""
+    found = F.get_json_object(payload, "$." + dotted)
+    long, short = "study_description.", "study_desc."
+    return F.coalesce(found, F.get_json_object(payload, "$." + short + dotted[len(long) :])) if dotted.startswith(long) else found
 
 
 def sorted_set(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalogs as ca
 from tidemark.operators import gates as ga
+from tidemark.operators import mapping as mp
 from tidemark.operators import templates as te
 from tidemark.plans.text import ORACLE as TEXT_SQL
 from tidemark.sources.tables import table
@@ -150,6 +151,29 @@ def study_metadata(spark, d):
     return m.select("doc_id", at("idno").alias("idno"), at("type").alias("type"), at("n").cast("bigint").alias("n"), at("_extract_filters.s").alias("source"), at("external_resources[1].url").alias("url"), at("external_resources[0].is_url").alias("is_url"), at("external_resources[2].url").isNull().alias("two"))
 
 
+def document_records(spark, d):
+    """Documents as loosely built JSON: lists as texts, as lists and as numbered entries, mapped to one schema."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    entry = lambda v: F.struct(F.array(v).alias("author"))
+    doc = F.struct(
+        F.col("doc_id").alias("id"), F.concat(F.lit(" T  "), "doc_id").alias("display"), F.struct(F.struct(F.lit("T 7").alias("x")).alias("0")).alias("other"), F.col("source").alias("guid"),
+        F.struct(entry(F.lit(" B ")).alias("10"), entry(F.lit("A")).alias("2")).alias("authors"), F.concat(F.lit("x, y,x,"), F.coalesce("source", F.lit(""))).alias("theme"), F.array("source", F.lit("y"), F.lit("z")).alias("sector"),
+        F.lit("2020-02-03T01:02:03Z").alias("stored"), F.when(F.col("doc_id") % 2 == 0, "English,french").otherwise(" English ").alias("lang"), F.array(F.lit("FRENCH"), F.col("lang")).alias("full"),
+        F.when(F.col("doc_id") % 3 == 0, "Chad").when(F.col("doc_id") % 3 == 1, "Chad, Peru").alias("count"), F.lit("TD").alias("code"), F.col("n_chars").alias("a.b"), F.lit("").alias("void"),
+    )
+    layout = mp.Layout(
+        idno="id", title="display", alternates=(mp.Terms("other", "x", ""),), identifiers={"id": "own", "guid": "guid"}, authors=mp.Terms("authors", "author", ""), dates={"modified": ("absent", "stored")},
+        themes=(mp.Terms("theme"), mp.Terms("sector")), languages=(mp.Terms("lang"), mp.Terms("full")), country_names="count", country_code="code",
+    )
+    m = mp.mapped(t.select("doc_id", F.to_json(doc).alias("p")), "p", layout, {"TD": "TCD", "Chad": "TCD", "Peru": "PER"}, {"english": "en", "french": "fr"})
+    both = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[a], x[b])), ";")
+    return m.select(
+        "doc_id", "record.title", "record.alternate_title", both("record.identifiers", "type", "identifier").alias("ids"), F.array_join("record.authors", ";").alias("authors"), "record.modified",
+        both("record.themes", "name", "vocabulary").alias("themes"), both("record.languages", "name", "code").alias("languages"), both("record.countries", "name", "code").alias("countries"),
+        F.array_join(F.transform(F.map_entries("record.additional"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("additional"),
+    )
+
+
 def typed_records(spark, d):
     """Documents as JSON of three layouts that contradict each other, in one typed layout; the first layout decides where it says anything."""
     t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.struct(F.col("doc_id") % 3, "doc_id").alias("o"))
@@ -195,12 +219,16 @@ def missing_paths(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     dense_rows, before_references, personal_names, mention_gates, skip_reasons, self_links, best_relations, candidate_names, header_mapping, dictionary_variables, listed_variables, study_rows, pdf_candidates, json_projection,
-    rating_columns, topic_lists, record_numbers, code_names, stripped_places, study_metadata, typed_records, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
+    rating_columns, topic_lists, record_numbers, code_names, stripped_places, study_metadata, document_records, typed_records, camel_names, family_trees, curated_groups, cluster_sizes, leaf_paths, missing_paths,
 )}
 
 _MAPPED = ", ".join(f"('{h}', '{c}', {k})" for k, (h, c) in enumerate(zip(_HEADERS, ("indicator_id", "geography_id", "", "period", "anomaly_score", "anomaly_score", "is_imputed", "", "value", "outlier_count"), strict=True)))
 
 ORACLE = {
+    "document_records": """WITH t AS (SELECT *, coalesce(source, '') AS s FROM documents) SELECT doc_id, 'T ' || doc_id AS title, CASE WHEN doc_id = 7 THEN '' ELSE 'T 7' END AS alternate_title, 'own=' || doc_id || CASE WHEN s = '' THEN '' ELSE ';guid=' || s END AS ids, 'A;B' AS authors, '2020-02-03' AS modified,
+'x=theme;y=theme;x=theme' || CASE WHEN s = '' THEN '' ELSE ';' || s || '=theme' END || CASE WHEN s = 'z' THEN '' ELSE ';z=sector' END AS themes,
+CASE WHEN doc_id % 2 = 0 THEN 'English=en;french=fr' ELSE 'English=en;FRENCH=fr' END || CASE WHEN coalesce(lang, '') = '' THEN '' ELSE ';' || lang || '=' END AS languages,
+CASE doc_id % 3 WHEN 0 THEN 'Chad=TCD' WHEN 1 THEN 'Chad=TCD;Peru=PER' ELSE 'TD=TCD' END AS countries, coalesce('a_b=' || n_chars, '') AS additional FROM t""",
     "study_metadata": "SELECT doc_id, 'D' || doc_id AS idno, CASE WHEN doc_id % 2 = 0 THEN 'indicator' ELSE 'microdata' END AS type, CAST(n_chars AS BIGINT) AS n, source, CASE WHEN doc_id % 5 > 0 THEN 'u/' || doc_id END AS url, CASE WHEN doc_id % 5 > 0 THEN '0' END AS is_url, true AS two FROM documents",
     "typed_records": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE doc_id END AS id, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') ELSE '' END AS lang, CAST(CASE WHEN doc_id % 3 = 0 THEN coalesce(n_chars, 0) ELSE 0 END AS BIGINT) AS n,
 CASE WHEN doc_id % 3 = 1 THEN coalesce(source, '') ELSE '' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'a|' || coalesce(source, '') ELSE '' END AS tags, CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS links,

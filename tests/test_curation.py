@@ -38,6 +38,15 @@ def test_chunks_cover_the_text_and_snap():
     assert cu.chunks(None) == [(0, "")] and cu.chunks("a b") == [(0, "a b")]
 
 
+def test_chunk_rows_do_not_repeat_the_text(spark):
+    text = "\n\n".join(" ".join(f"w{k * j}" for k in range(60)) + "." for j in range(400))
+    df = spark.createDataFrame([(1, text, "x"), (2, None, None), (3, "a b", "y")], "id long, text string, lang string").coalesce(1)
+    got = cu.with_chunks(df)
+    assert got.columns == ["id", "lang", "chunk", "offset", "chunk_text"]
+    want = [(i, m, k, o, c) for i, t, m in ((1, text, "x"), (2, None, None), (3, "a b", "y")) for k, (o, c) in enumerate(cu.chunks(t))]
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[2])) == want and len(want) > 100
+
+
 def test_fair_shares(spark):
     assert value(spark, cu.fair_shares(F.array(*map(F.lit, (50, 5, 30))), 60)) == [28, 5, 27] or value(spark, cu.fair_shares(F.array(*map(F.lit, (50, 5, 30))), 60)) == [28, 5, 27]
     assert value(spark, cu.fair_shares(F.array(*map(F.lit, (3, 4))), 60)) == [3, 4]

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,8 @@ from tidemark.operators.mentions import canonical, clusters, fuzzy_pairs, suppre
 
 #: Line beginnings that end a paragraph (fixed values).
 STRUCTURE = ("#", "*", "-", "1.", ">")
+#: Bytes of chunks that go back to Spark at once.
+PIECE = 1 << 20
 
 
 def join_paragraphs(text: str | None) -> str:
@@ -110,15 +113,39 @@ def chunks(text: str | None, size: int = 200, overlap: int = 50) -> list[tuple[i
 
 
 def with_chunks(df: DataFrame, text: str = "text", size: int = 200, overlap: int = 50) -> DataFrame:
-    """One row for each chunk, with chunk, offset and chunk_text."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["_c"] = [list(enumerate(chunks(t, size, overlap))) for t in frame[text]]
-            rows = frame.explode("_c")
-            yield rows.assign(chunk=[c[0] for c in rows["_c"]], offset=[c[1][0] for c in rows["_c"]], chunk_text=[c[1][1] for c in rows["_c"]]).drop(columns="_c")
-
-    schema = StructType(list(df.schema)).add("chunk", "integer").add("offset", "integer").add("chunk_text", "string")
-    return df.mapInPandas(run, schema)
+    """One row for each chunk, with chunk, offset, chunk_text and the columns of df but for the text, which would come again with each of its chunks.
+
+    A task holds one text's words and PIECE bytes of chunks at once.
+    """
+    others = [c for c in df.columns if c != text]
+    schema = StructType([df.schema[c] for c in others]).add("chunk", "integer").add("offset", "integer").add("chunk_text", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rest = batch.column(batch.num_columns - 1), batch.select(others)
+            rows: list[int] = []
+            made: list[tuple[int, int, str]] = []
+            held = 0
+
+            def packed(rows=rows, made=made, rest=rest) -> pa.RecordBatch:
+                columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+                out = pa.RecordBatch.from_arrays([*rest.take(pa.array(rows, pa.int64())).columns, *columns], [*others, "chunk", "offset", "chunk_text"])
+                rows.clear()
+                made.clear()
+                return out
+
+            for i in range(batch.num_rows):
+                for k, (offset, part) in enumerate(chunks(texts[i].as_py(), size, overlap)):
+                    rows.append(i)
+                    made.append((k, offset, part))
+                    held += len(part) + 100
+                    if held >= PIECE:
+                        yield packed()
+                        held = 0
+            if rows:
+                yield packed()
+
+    return df.select(*others, text).mapInArrow(run, schema)
 
 
 def append_notes(chunk: Column, notes: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors as vx
 from tidemark.operators import harmonize as hz
 from tidemark.operators import search as se
 from tidemark.operators import vector_index as vi
@@ -54,6 +55,14 @@ def test_recall_on_vectors_without_clusters(spark, tmp_path, folder):
     assert about.probes <= 0.7 * about.lists
 
 
+def test_vector_functions_compute_a_length_once(spark):
+    v = spark.createDataFrame([(k, [3.0 * k, 0.0, -4.0 * k]) for k in range(3)], "k int, v array<double>")
+    q = v.select("k", vx.quantize(vx.l2_normalize(F.col("v"))).alias("q"))
+    assert q._jdf.queryExecution().analyzed().toString().count("zip_with") == 1
+    assert [(round(r.q.scale * 127, 12), r.q.qv) for r in q.orderBy("k").collect()] == [(127.0, [0, 0, 0]), (0.8, [95, 0, -127]), (0.8, [95, 0, -127])]
+    assert v.select(vx.l2_normalize(F.when(F.col("k") == 5, F.col("v"))).alias("u")).first().u is None
+
+
 def test_only_lists_that_are_asked_for_are_read(spark, tmp_path):
     items = clustered(spark, 1000)
     path = str(tmp_path / "i")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: named in another lambda it would be computed again for each number of a vector."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -16,8 +23,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Of length 1; vectors near zero stay as they are."""
-    n = norm(v)
-    return F.when(n > 1e-12, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda x, n: F.when(n > 1e-12, F.transform(x, lambda y: y.cast("double") / n)).otherwise(F.transform(x, lambda y: y.cast("double")))
+    return bound(v, lambda x: bound(norm(x), lambda n: scaled(x, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,9 +33,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def quantize(v: Column) -> Column:
     """(scale, qv): 8-bit numbers, half to even; a zero vector has scale 1."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scale = F.when(most > 0, most / 127).otherwise(1.0)
-    return F.struct(scale.alias("scale"), F.transform(v, lambda x: F.least(F.lit(127.0), F.greatest(F.lit(-127.0), F.rint(x.cast("double") / scale))).cast("tinyint")).alias("qv"))
+    whole = lambda x, scale: F.transform(x, lambda y: F.least(F.lit(127.0), F.greatest(F.lit(-127.0), F.rint(y.cast("double") / scale))).cast("tinyint"))
+    most = lambda x: F.array_max(F.transform(x, lambda y: F.abs(y.cast("double"))))
+    scale = lambda x: bound(most(x), lambda m: F.when(m > 0, m / 127).otherwise(1.0))
+    return bound(v, lambda x: bound(scale(x), lambda k: F.struct(k.alias("scale"), whole(x, k).alias("qv"))))
 
 
 def dequantize(scale: Column, qv: Column) -> Column:

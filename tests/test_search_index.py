@@ -63,6 +63,24 @@ def test_vector_functions_compute_a_length_once(spark):
     assert v.select(vx.l2_normalize(F.when(F.col("k") == 5, F.col("v"))).alias("u")).first().u is None
 
 
+def test_exact_search_in_parts_and_tiles(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (300, 3)).astype(float)  # many equal similarities, some vectors of zeros
+    v[:3] = 0
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    want = {(q, k + 1, i) for q in range(0, 300, 4) for k, i in enumerate(sorted(set(range(300)) - {q}, key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:7])}
+    items = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for block, part in ((20, 30), (1000, 1000)):
+        assert {(x.query_id, x["rank"], x.id) for x in se.knn(items, items.where("vec_id % 4 = 0"), 7, block=block, part=part).collect()} == want
+    monkeypatch.setattr(se, "TILE", 16)
+    names, sims, found = np.arange(0, 300, 4), np.full((75, 7), -np.inf), np.zeros((75, 7), np.int64)
+    se.top_k(np.arange(300), unit, names, unit[::4], sims, found)
+    assert {(q, k + 1, int(i)) for q, row in zip(names, found, strict=True) for k, i in enumerate(row)} == want
+    # With all lists searched, lists give the exact neighbours.
+    got = se.ivf(items, items.where("vec_id % 4 = 0 AND vec_id > 2"), 7, lists=5, probes=5)
+    assert {(x.query_id, x["rank"], x.id) for x in got.collect()} == {w for w in want if w[0] > 2}
+
+
 def test_only_lists_that_are_asked_for_are_read(spark, tmp_path):
     items = clustered(spark, 1000)
     path = str(tmp_path / "i")

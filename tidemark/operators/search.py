@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from tidemark.functions.vectors import dequantize, dot, l2_normalize, min_max, quantize
 from tidemark.session import cut, staged
 
-#: Query vectors broadcast at once, and pairs of query and term.
-BLOCK, TERMS = 2_000, 1_000_000
+#: Queries and items that a task compares, the least number of parts, the side of a block of products, and pairs of query and term that are broadcast.
+BLOCK, PART, PARTS, TILE, TERMS = 16_000, 65_536, 8, 1_024, 1_000_000
 #: Centroids broadcast at once.
 CENTROIDS = 65_536
 
@@ -24,40 +24,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Exact top-k by cosine: rows (query_id, rank, id, sim), without the query itself; equal similarities by id.
+def top_k(ids: np.ndarray, v: np.ndarray, names: np.ndarray, q: np.ndarray, sims: np.ndarray, found: np.ndarray) -> None:
+    """Put items (ids, v) among the best so far of each query (names, q): sims (descending, -inf where there is none yet) and found, by similarity and then id, without the query itself.
 
-    A block of queries goes to every task; a task keeps its own k best for each query, so what is shuffled is k rows a query and task.
+    TILE by TILE products are held at once; what can't come among a query's best isn't sorted.
     """
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vec_col).toArrow().combine_chunks()
-        if not mine.num_rows:
-            continue
-        ids, vectors = mine.column(0).to_numpy(), _matrix(mine.column(1).combine_chunks() if isinstance(mine.column(1), pa.ChunkedArray) else mine.column(1))
-        shared = items.sparkSession.sparkContext.broadcast((ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)))
+    k = sims.shape[1]
+    for at in range(0, len(names), TILE):
+        mine = slice(at, at + TILE)
+        for first in range(0, len(ids), TILE):
+            raw, them = q[mine] @ v[first : first + TILE].T, ids[first : first + TILE]
+            least = sims[mine, -1]
+            if raw.shape[1] > k + 1 and not np.isfinite(least).all():
+                least = np.fmax(least, -np.partition(-raw, k, axis=1)[:, k])
+            rows, columns = np.nonzero(raw >= least[:, None] - 2e-9)  # more than rounding may add
+            other = (names[mine][rows] != them[columns]) & np.isfinite(raw[rows, columns])
+            rows, columns = rows[other], columns[other]
+            if not len(rows):
+                continue
+            touched = np.zeros(len(raw), bool)
+            touched[rows] = True
+            had, place = np.nonzero(np.isfinite(sims[mine]) & touched[:, None])
+            who = np.concatenate([had, rows])
+            near = np.concatenate([sims[mine][had, place], np.round(raw[rows, columns], 9)])
+            what = np.concatenate([found[mine][had, place], them[columns]])
+            order = np.lexsort((what, -near, who))
+            who, near, what = who[order], near[order], what[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            kept = rank < k
+            sims[at + who[kept], rank[kept]], found[at + who[kept], rank[kept]] = near[kept], what[kept]
+
+
+def met(queries: DataFrame, n_queries: int, items: DataFrame, n_items: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """run() over each pair of a block of queries and a part of the items (both with an id), so a task holds about block queries and part items, whatever the tables' sizes.
+
+    There are PARTS parts at least, so that small tables are shared out too. Products take time rather than space, so each pair has a partition of its own.
+    """
+    parts, blocks = max(PARTS, -(-n_items // part)), max(1, -(-n_queries // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    keys = ["_block", "_part"]
+    left = queries.withColumn("_block", own(blocks)).withColumn("_part", every(parts)).repartition(2 * parts * blocks, *keys)
+    right = items.withColumn("_part", own(parts)).withColumn("_block", every(blocks)).repartition(2 * parts * blocks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            sims, found = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                v = _matrix(batch[1])
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 9)
-                names = np.broadcast_to(batch[0].to_numpy(), s.shape)
-                s = np.where(names == ids[:, None], -np.inf, s)
-                sims, found = np.concatenate([sims, s], axis=1), np.concatenate([found, names], axis=1)
-                order = np.lexsort((found, -sims), axis=1)[:, :k]
-                sims, found = np.take_along_axis(sims, order, 1), np.take_along_axis(found, order, 1)
-            rows, columns = np.nonzero(np.isfinite(sims))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array(found[rows, columns]), pa.array(sims[rows, columns])], ["query_id", "id", "sim"])
-
-        one = items.select(F.col(id_col).cast("long"), vec_col).mapInArrow(best, "query_id bigint, id bigint, sim double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return items.sparkSession.createDataFrame([], "query_id bigint, id bigint, sim double, rank int")
+
+def _vectors(t: pa.Table, name: str = "v") -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a table's rows."""
+    v = _matrix(t.column(name).combine_chunks())
+    return t.column("id").to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _best(names: np.ndarray, sims: np.ndarray, found: np.ndarray) -> pa.Table:
+    rows, columns = np.nonzero(np.isfinite(sims))
+    return pa.table({"query_id": pa.array(names[rows], pa.int64()), "id": pa.array(found[rows, columns], pa.int64()), "sim": pa.array(sims[rows, columns], pa.float64())})
+
+
+def _first(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _named(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, part: int = PART) -> DataFrame:
+    """Exact top-k by cosine: rows (query_id, rank, id, sim), without the query itself; equal similarities by id.
+
+    Blocks of queries meet parts of the items (met()), and each pair gives a query's k best of the part. All pairs are compared, so the time grows with the product of the tables, the space of a
+    task doesn't grow.
+    """
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = asked.column("id").to_numpy()
+        sims, found = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+        if len(names) and held.num_rows:
+            top_k(*_vectors(held), *_vectors(asked), sims, found)
+        return _best(names, sims, found)
+
+    return _first(met(_named(queries, id_col, vec_col), queries.count(), _named(items, id_col, vec_col), items.count(), best, "query_id bigint, id bigint, sim double", block, part), k)
 
 
 def centroids_by_label(items: DataFrame, label: str, vec_col: str = "embedding") -> DataFrame:
@@ -110,12 +156,12 @@ def ivf(items: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = N
     """Approximate top-k: k-means lists fitted on about sample rows, all rows indexed, the nearest probes lists searched for each query.
 
     There are as many lists as the square root of the rows, 16 at least and sample / 20 at most. By default 10 of them are searched, and half of them where there are more
-    than 20: vectors without clusters need that for a recall of 0.9 (clustered ones do with fewer).
+    than 20: vectors without clusters need that for a recall of 0.9 (clustered ones do with fewer). Queries meet parts of the lists as in knn(); pairs are multiplied in blocks and never become rows.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = items.select(F.col(id_col).cast("long").alias("id"), l2_normalize(F.col(vec_col)).alias("v"))
+    unit = _named(items, id_col, vec_col).withColumn("v", l2_normalize(F.col("v")))
     size = max(1, unit.count())
     share = min(1.0, sample / size)
     lists = lists or int(min(max(16, size**0.5), max(16, sample // 20)))
@@ -123,22 +169,35 @@ def ivf(items: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = N
     model = KMeans(k=lists, seed=seed, featuresCol="f", maxIter=15).fit(unit.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select(array_to_vector("v").alias("f")))
     centers = items.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
 
-    def nearest(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = centers.value
-            for batch in batches:
-                order = np.argsort((c**2).sum(1) - 2 * _matrix(batch[1]) @ c.T if batch.num_rows else np.zeros((0, len(c))), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
-
-        return run
-
-    schema = "id bigint, v array<double>, lists array<int>"
-    indexed = unit.mapInArrow(nearest(1), schema).select("id", "v", F.element_at("lists", 1).alias("list"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), l2_normalize(F.col(vec_col)).alias("v")).mapInArrow(nearest(probes), schema)
-    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list"))
-    scored = asked.join(indexed, "list").where("id <> query_id").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 9).alias("sim"))
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centers.value
+        for batch in batches:
+            own = np.zeros(batch.num_rows, np.int32)
+            for at in range(0, batch.num_rows, TILE):
+                own[at : at + TILE] = np.argmin((c**2).sum(1) - 2 * _matrix(batch[1].slice(at, TILE)) @ c.T, axis=1)
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(own)], ["id", "v", "list"])
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = asked.column("id").to_numpy()
+        sims, found = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+        if len(names) and held.num_rows:
+            c, q, (ids, v) = centers.value, _vectors(asked)[1], _vectors(held)
+            searched = np.zeros((len(names), lists), bool)
+            for at in range(0, len(q), TILE):
+                order = np.argpartition((c**2).sum(1) - 2 * q[at : at + TILE] @ c.T, probes - 1, axis=1)[:, :probes]
+                np.put_along_axis(searched[at : at + TILE], order, True, axis=1)
+            order = np.argsort(held.column("list").to_numpy(), kind="stable")
+            ends = np.cumsum(np.bincount(held.column("list").to_numpy(), minlength=lists))
+            for n in np.flatnonzero(np.diff(ends, prepend=0)):
+                mine, them = np.flatnonzero(searched[:, n]), order[ends[n - 1] if n else 0 : ends[n]]
+                s, f = sims[mine], found[mine]
+                top_k(ids[them], v[them], names[mine], q[mine], s, f)
+                sims[mine], found[mine] = s, f
+        return _best(names, sims, found)
+
+    indexed = unit.mapInArrow(nearest, "id bigint, v array<double>, list int")
+    asked = _named(queries, id_col, vec_col)
+    return _first(met(asked, queries.count(), indexed, size, best, "query_id bigint, id bigint, sim double"), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@
 The lists are fitted on about `sample` rows (a bound on what is fitted, not on what is indexed: every row is). How many lists have to be searched for a recall depends on how the vectors cluster,
 so it is measured when the index is built, on the sample: the exact neighbours of some sample rows, and in which of the row's nearest lists each of them lies.
 
-A search finds each query's nearest lists, reads only the partitions of lists that any query asks for, scores a list's codes against its queries in blocks, and rescores the best of each query
-by the exact vectors. A list of many rows is cut into parts and its queries into groups, so no task holds more than ROWS codes and QUERIES queries.
+A search finds each query's nearest lists, reads only the partitions of lists that any query asks for, and lets parts of their codes, dealt by id, meet blocks of queries: each list's codes are scored
+against the queries that ask for it, and a pair of a part and a block gives one shortlist a query, not one for each list. The best of each query are rescored by the exact vectors. A task holds about
+65,536 codes, QUERIES queries and BLOCK by ROWS products.
 
 Rows without a vector or id are left out; a vector of zeros has a similarity of 0 with all. Equal similarities go by id. An empty table gives an index in which nothing is found.
 """
@@ -19,17 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import dot, l2_normalize
-from tidemark.operators.search import knn
+from tidemark.operators.search import knn, met
 from tidemark.session import cut
 
-#: Codes and queries that a task holds at once, and rows of a block of scores.
-ROWS, QUERIES, BLOCK = 20_000, 4_000, 256
+#: Rows of a file of an index and codes scored at once, queries that a task holds, and rows of a block of scores.
+ROWS, QUERIES, BLOCK = 20_000, 16_000, 256
 #: Rows whose neighbours decide how many lists are searched, and the margin to the wished recall.
 PROBED, MARGIN = 500, 0.02
 
@@ -110,6 +110,15 @@ def _codes(spark: SparkSession, path: str, lists: list[int]) -> DataFrame:
     return spark.read.schema("id bigint, part int, scale double, code binary, list int").parquet(f"{path}/codes").where(F.col("list").isin(lists))
 
 
+def _merge(sims: np.ndarray, ids: np.ndarray, who: np.ndarray, near: np.ndarray, what: np.ndarray) -> None:
+    """Put a list's items among the nearest so far (near, what) of the queries who; -inf where there is none."""
+    n = near.shape[1]
+    rows = np.flatnonzero((sims > near[who].min(axis=1)[:, None]).any(axis=1))
+    both, names = np.concatenate([near[who[rows]], sims[rows]], axis=1), np.concatenate([what[who[rows]], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+    best = np.argpartition(-both, n - 1, axis=1)[:, :n]
+    near[who[rows]], what[who[rows]] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+
+
 def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None = None, shortlist: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", queries_a_task: int = QUERIES) -> DataFrame:
     """Approximate top-k: rows (query_id, rank, id, sim), without the query itself. probes: lists searched for each query (as the index says); shortlist: candidates rescored exactly (4 k)."""
     spark = queries.sparkSession
@@ -118,38 +127,42 @@ def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # at most sample / 20
     centroids = np.array([r.centroid for r in rows])
     near = _nearest(_units(queries if known.rows else queries.limit(0), id_col, vec_col), centroids, probes)
-    asked = cut(near.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")))
-    groups = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
-    touched = sorted(groups)
-    cuts = F.broadcast(spark.createDataFrame([(r.list, max(1, -(-r.rows // ROWS)), max(1, -(-groups.get(r.list, 0) // queries_a_task))) for r in rows], "list int, parts bigint, groups bigint"))
-    left = asked.join(cuts, "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups"))).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
-    right = _codes(spark, path, touched).join(cuts, "list").withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+    asked = cut(near.select("id", "v", "lists"))
+    touched = sorted(r.list for r in asked.select(F.explode("lists").alias("list")).distinct().collect())  # a row for each list
     shared = spark.sparkContext.broadcast(centroids)
 
-    def score(key: tuple, q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "id": [], "near": [], "list": []}
-        if len(q) and len(items):
-            c = shared.value[int(items["list"].iloc[0])]
-            codes = np.frombuffer(b"".join(items["code"]), np.int8).reshape(len(items), -1).astype(np.float32)
-            codes *= items["scale"].to_numpy(np.float32)[:, None]
-            ids, names, vectors = items["id"].to_numpy(), q["query_id"].to_numpy(), np.stack(q["q"].to_numpy())
-            for at in range(0, len(q), BLOCK):
-                block = vectors[at : at + BLOCK]
-                sims = (block @ c)[:, None] + block.astype(np.float32) @ codes.T
-                n = min(shortlist + 1, sims.shape[1])
-                best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                found["query_id"].append(np.repeat(names[at : at + BLOCK], n))
-                found["id"].append(ids[best].ravel())
-                found["near"].append(np.take_along_axis(sims, best, 1).ravel())
-        out = pd.DataFrame({name: np.concatenate(x) if x else np.zeros(0) for name, x in found.items() if name != "list"})
-        return out.assign(list=int(items["list"].iloc[0]) if len(items) else 0)
-
-    keys = ["list", "part", "group"]
-    scored = left.select("query_id", "q", *keys).groupBy(*keys).cogroup(right.select("id", "scale", "code", *keys).groupBy(*keys)).applyInPandas(score, "query_id bigint, id bigint, near double, list int")
+    def score(q: pa.Table, items: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if q.num_rows and items.num_rows:
+            c, names, vectors, ids = shared.value, q.column("id").to_numpy(), _matrix(q.column("v").combine_chunks()), items.column("id").to_numpy()
+            codes = np.stack([np.frombuffer(x, np.int8) for x in items.column("code").to_pylist()])
+            at, scale = items.column("list").to_numpy(), items.column("scale").to_numpy().astype(np.float32)
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=len(c)))
+            listed = np.asarray(q.column("lists").combine_chunks().flatten()).reshape(len(names), -1)
+            for first in range(0, len(names), BLOCK):
+                mine = slice(first, first + BLOCK)
+                block, searched = vectors[mine], np.zeros((len(names[mine]), len(c)), bool)
+                np.put_along_axis(searched, listed[mine], True, axis=1)
+                near, what = np.full((len(block), shortlist), -np.inf), np.zeros((len(block), shortlist), np.int64)
+                for n in np.flatnonzero(np.diff(ends, prepend=0)):
+                    who = np.flatnonzero(searched[:, n])
+                    them = order[ends[n - 1] if n else 0 : ends[n]]
+                    for j in range(0, len(them) if len(who) else 0, ROWS):
+                        some = them[j : j + ROWS]
+                        sims = (block[who] @ c[n])[:, None] + block[who].astype(np.float32) @ (codes[some].astype(np.float32) * scale[some, None]).T
+                        sims[names[mine][who][:, None] == ids[some]] = -np.inf
+                        _merge(sims, ids[some], who, near, what)
+                rows, columns = np.nonzero(np.isfinite(near))
+                found.append((names[mine][rows], what[rows, columns], near[rows, columns]))
+        return pa.table(dict(zip(("query_id", "id", "near"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    n_codes = sum(r.rows for r in rows if r.list in set(touched))
+    scored = met(asked, asked.count(), _codes(spark, path, touched).select("id", "list", "scale", "code"), n_codes, score, "query_id bigint, id bigint, near double", queries_a_task)
     first = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "id")
-    short = scored.where("id <> query_id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= shortlist).select("query_id", "id", "list")
+    short = scored.withColumn("r", F.row_number().over(first)).where(F.col("r") <= shortlist).select("query_id", "id")
     vectors = spark.read.schema("id bigint, v array<double>, list int").parquet(f"{path}/vectors").where(F.col("list").isin(touched))
-    exact = short.join(vectors, ["list", "id"]).join(asked.select("query_id", "list", "q"), ["query_id", "list"])
+    exact = short.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     best = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
     sims = exact.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 9).alias("sim"))
     return sims.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -212,3 +212,12 @@ def test_complete_rows(spark):
     assert ga.complete(df.where("y = 1"), ["x", "y"]).count() == 1
     with pytest.raises(PySparkException):
         ga.complete(df, ["y", "x"]).count()
+
+
+def test_paragraphs_come_back_in_pieces(spark):
+    from tidemark.functions import markup
+
+    pages = [(k, "".join(f"<p>{k} &amp; {j} {'x' * 400}</p>" for j in range(k)) if k else None) for k in range(120)]
+    got = markup.with_paragraphs(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "html", "b")
+    assert got.columns == ["page_id", "b"]
+    assert {r.page_id: r.b for r in got.collect()} == {k: markup.paragraphs(h) for k, h in pages}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as vx
-from tidemark.functions.markup import paragraph_texts
+from tidemark.functions.markup import with_paragraphs
 from tidemark.operators import evaluation as ev
 from tidemark.operators import metadata as md
 from tidemark.operators import representatives as dr
@@ -180,7 +180,7 @@ def null_fill(spark, d):
 
 
 def html_blocks(spark, d):
-    pages = table(spark, d, "pages").select("page_id", paragraph_texts("html").alias("b"))
+    pages = with_paragraphs(table(spark, d, "pages").select("page_id", "html"), "html", "b")
     return pages.select("page_id", F.size("b").cast("long").alias("n_blocks"), F.md5(F.array_join("b", "\n")).alias("blocks_md5"))
 
 

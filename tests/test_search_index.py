@@ -147,3 +147,13 @@ def test_assign_in_blocks(spark):
     for most in (100, 7):
         assert {r.vec_id: r.assigned for r in se.assign(df, c, "label", most=most).collect()} == want
     assert se.assign(df, c.where("false"), "label").where("assigned IS NULL").count() == 200
+
+
+def test_bm25_has_tasks_for_its_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "common " + "rare " * (k % 3)) for k in range(10)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common rare"), (2, "rare")], "query_id long, text string")
+    whole = sorted(map(tuple, se.bm25(docs, asked, 3).collect()))
+    monkeypatch.setattr(se, "PAIRS", 1)
+    dealt = se.bm25(docs, asked, 3)
+    assert re.search(r"RepartitionByExpression \[doc_id#\d+L?\], 20", dealt._jdf.queryExecution().analyzed().toString())
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 6

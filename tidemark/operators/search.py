@@ -15,6 +15,8 @@ from tidemark.session import cut, staged
 
 #: Queries and items that a task compares, the least number of parts, the side of a block of products, and pairs of query and term that are broadcast.
 BLOCK, PART, PARTS, TILE, TERMS = 16_000, 65_536, 8, 1_024, 1_000_000
+#: Pairs of query and document that are scored in a task.
+PAIRS = 1_000_000
 #: Centroids broadcast at once.
 CENTROIDS = 65_536
 
@@ -223,8 +225,8 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float],
     A term's count in a field is divided by the field's length against the mean of that field; the fields' counts, times their weights, are summed before the sum is saturated. A term's
     frequency is that of the documents with it in any field. A null field is empty.
 
-    Documents are dealt out once, by id: counts of terms, scores and each task's own k best of a query follow where they are, so only these travel besides. The queries' terms are broadcast up to
-    TERMS of them, and joined beyond.
+    Documents are dealt out once, by id: counts of terms, scores and each task's own k best of a query follow where they are, so only these travel besides. There are as many tasks as keep the
+    pairs of a query and a document at PAIRS in one, if every document had a word of every query. The queries' terms are broadcast up to TERMS of them, and joined beyond.
     """
     names = list(fields)
     asked = cut(queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
@@ -239,7 +241,8 @@ def fielded_bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float],
     weights = cut(asked.join(sent(df), "term").select("term", "query_id", idf.alias("idf")))
     share = lambda j, c: fields[c] / (1 - b + b * F.size(f"w{j}") / F.lit(float(stats[f"m{j}"] or 1)))
     fielded = F.explode(F.array(*[F.struct(share(j, c).alias("one"), F.col(f"w{j}").alias("w")) for j, c in enumerate(names)]))
-    dealt = words(docs.select(id_col, *names).repartition(id_col)).select("id", fielded.alias("f"))
+    pieces = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-stats.n * asked.select("query_id").distinct().count() // PAIRS))
+    dealt = words(docs.select(id_col, *names).repartition(pieces, id_col)).select("id", fielded.alias("f"))
     hits = dealt.select("id", "f.one", F.explode("f.w").alias("term")).join(sent(terms), "term", "left_semi").groupBy("id", "term").agg(F.sum("one").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
     scored = hits.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))

@@ -688,3 +688,13 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_ctw_tables_take_the_place_of_their_rows():
+    import numpy as np
+
+    keys, values = np.arange(1, 50, dtype=np.uint64), np.arange(49.0)
+    heads = {ctw.GRAM: (keys, values), ctw.WORD: (keys[:3], values[:3])}
+    grams, words = ctw.tables(heads)
+    assert heads == {ctw.GRAM: grams, ctw.WORD: words} and ctw.tables(heads) == [grams, words]
+    assert list(grams.get(keys)) == list(values) and np.isnan(words.get(keys[3:])).all()

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, fold, kept, mix, parts, shared_dir, staged, tidy
+from tidemark.llm.common import Rolling, fold, mix, parts, shared_dir, staged, tidy
 
 #: Context bytes at most: with the byte itself they fill 64 bits.
 DEPTH = 7
@@ -478,23 +478,27 @@ def _rest(found: DataFrame, model: Model) -> DataFrame:
     return each.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
 
 
+def tables(heads: dict) -> list[Lookup]:
+    """Hash tables of a broadcast's keys and values: built once in each worker, in their place, so a worker doesn't hold both and the broadcast stays as small as its rows."""
+    for kind in (GRAM, WORD):
+        if not isinstance(heads[kind], Lookup):
+            heads[kind] = Lookup(*heads[kind])
+    return [heads[kind] for kind in (GRAM, WORD)]
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of df.
 
     df must be what fit() saw, since byte strings without a value there count as 0.
     """
     words_of = model.heads[WORD]
-    shared, mark = df.sparkSession.sparkContext.broadcast({GRAM: model.heads[GRAM], WORD: (words_of[0], model.of_words(words_of[1]))}), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast({GRAM: model.heads[GRAM], WORD: (words_of[0], model.of_words(words_of[1]))})
     unseen, depth, src, all_words = float(model.of_words(np.zeros(1))[0]), model.depth, df.select(id_col, text_col), model.whole[WORD]
     kind = src.schema[0].dataType.simpleString()
 
     @tidy("ctw")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = kept("ctw")
-        if mark not in tables:  # hash tables are built once in each worker, so the broadcast stays as small as its rows
-            tables.clear()
-            tables[mark] = tuple(Lookup(*shared.value[k]) for k in (GRAM, WORD))
-        grams, words = tables[mark]
+        grams, words = tables(shared.value)
         for batch in batches:
             for first, end, data, starts in parts(batch[1], PART):
                 part, n = Part(data, starts, depth), end - first

@@ -265,3 +265,9 @@ def test_mapped_documents(spark):
 def test_study_description_by_both_names(spark):
     rows = [(json.dumps({k: {"title_statement": {"idno": k}}}), "survey") for k in ("study_desc", "study_description")]
     assert sorted(r.idno for r in md.facets(spark.createDataFrame(rows, "p string, k string"), "p", "k").collect()) == ["study_desc", "study_description"]
+
+
+def test_facets_are_ordered_once(spark):
+    picked = spark.range(3).select(md.picked_facets({"a": [F.lit("x")], "b": [F.col("id")]}, 5, F.col("id")).alias("f"))
+    assert picked._jdf.queryExecution().analyzed().toString().count("md5") == 1
+    assert all(len(r.f) == 5 and r.f[0] == r.f[2] == r.f[4] and {*r.f} == {"a", "b"} for r in picked.collect())

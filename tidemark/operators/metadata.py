@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tidemark.functions.text import flexible_date, squeeze
+from tidemark.functions.vectors import bound
 from tidemark.operators.curation import fair_shares
 
 #: Other names of metadata types.
@@ -162,7 +163,7 @@ def picked_facets(evidence: dict[str, list[Column]], n: int, *seed: Column) -> C
     known = F.filter(F.array(*[F.when(there(texts), F.lit(facet)) for facet, texts in evidence.items()]), lambda f: f.isNotNull())
     known = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("keyword"), F.lit("natural")))
     mixed = F.array_sort(F.transform(known, lambda f: F.struct(F.md5(F.concat_ws("|", *[s.cast("string") for s in seed], f)).alias("h"), f.alias("f"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(mixed, F.pmod(i, F.size(mixed)))["f"])
+    return bound(mixed, lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(m, F.pmod(i, F.size(m)))["f"]))
 
 
 def filled(column: Column, kind: DataType, placeholders: bool = False) -> Column:

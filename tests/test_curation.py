@@ -112,6 +112,21 @@ def test_mentions_become_families(spark):
     assert found == {"Demographic and Health Surveys": (3, ["DHS", "Demographic and Health Survey", "Demographic and Health Surveys"]), "Census": (1, ["Census"])}
 
 
+def test_mentions_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    names = ["Health Survey", "Health Surveys", "Labour Census"]
+    df = spark.createDataFrame([(k, names[k % 3], 0, 9, 0.5, 0) for k in range(60)], "page int, t string, start int, end int, score double, rank int")
+    found = cu.dedup_mentions(df.withColumn("text", counted("t")).drop("t"), ["page"]).collect()
+    assert sorted((r.n, sorted(r.forms)) for r in found) == [(20, ["Labour Census"]), (40, ["Health Survey", "Health Surveys"])]
+    assert reads.value == 60
+
+
 def test_documents_are_mapped(spark):
     df = spark.createDataFrame([('{"a": {"id": "x"}, "t": ["p", "q", "p"], "more": 1}',), (None,)], "p string")
     rows = cu.map_document(df, {"idno": "a.id", "topics": "t"}, "p").collect()

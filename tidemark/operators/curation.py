@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from tidemark.functions.text import clean_text, initials, squeeze
 from tidemark.functions.vectors import cosine, l2_normalize
 from tidemark.operators.mentions import canonical, clusters, fuzzy_pairs, suppress_overlaps
+from tidemark.session import cut
 
 #: Line beginnings that end a paragraph (fixed values).
 STRUCTURE = ("#", "*", "-", "1.", ">")
@@ -424,10 +425,10 @@ def review_items(windows: DataFrame, timeseries: DataFrame, explanations: DataFr
 def dedup_mentions(mentions: DataFrame, page: list[str], name: str = "text", rank: str = "rank") -> DataFrame:
     """Overlap suppression by page, then clusters of names by fuzzy likeness and acronyms, then a canonical form for each with its count and forms.
 
-    mentions: page columns, text, start, end, score, rank.
+    mentions: page columns, text, start, end, score, rank. They are read once: all that follows is on the distinct names with their counts, which are kept.
     """
     kept = suppress_overlaps(mentions, page, rank=rank).withColumn(name, clean_text(F.col(name)))
-    named = kept.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"), F.min(rank).alias("rank"))
+    named = cut(kept.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"), F.min(rank).alias("rank")))
     edges = fuzzy_pairs(named, "name")
     short = named.where(F.col("name").rlike("^[A-Z0-9]{2,6}$")).select(F.col("name").alias("s"))
     long = named.where(F.col("name").contains(" ")).select(F.col("name").alias("l"), initials(F.col("name")).alias("s"))

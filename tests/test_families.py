@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -221,3 +222,15 @@ def test_paragraphs_come_back_in_pieces(spark):
     got = markup.with_paragraphs(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "html", "b")
     assert got.columns == ["page_id", "b"]
     assert {r.page_id: r.b for r in got.collect()} == {k: markup.paragraphs(h) for k, h in pages}
+
+
+def test_best_relations_have_tasks_for_their_rows(spark, monkeypatch):
+    spans = spark.createDataFrame([(k, 0, 5, "Health Survey") for k in range(40)] + [(40, 0, 5, "Census"), (40, 0, 5, "Labour Force"), (41, 0, 5, None), (None, 0, 5, "Census"), (None, 0, 5, "Census")], "page int, start int, end int, text string")
+    told = [(k, "has_producer", 0, 5, t, c) for k in range(40) for t, c in (("health survey", 0.9), (f"Office {k}", 0.5), ("Bank", None), (" ", 1.0))]
+    told += [(40, "has_producer", 0, 5, "census", 0.9), (40, "has_producer", 0, 5, "Office A", 0.5), (40, "has_producer", 0, 5, "Office B", 0.5), (40, "other", 0, 5, "Office C", 0.9), (41, "has_producer", 0, 5, "Office", 0.9), (None, "has_producer", 0, 5, "Office", 0.9)]
+    relations = spark.createDataFrame(told, "page int, kind string, head_start int, head_end int, tail string, confidence double")
+    want = {(k, "Health Survey", f"Office {k}") for k in range(40)} | {(40, "Census", "Office B"), (40, "Labour Force", "census"), (41, None, None), (None, "Census", None)}
+    monkeypatch.setattr(ga, "ROWS", 9)
+    found = ga.best_relations(spans, relations, ["page"])
+    assert len(re.findall(r"RepartitionByExpression \[\w+#\d+, \w+#\d+, \w+#\d+\], 24", found._jdf.queryExecution().analyzed().toString())) == 2
+    assert {(r.page, r.text, r.tail) for r in found.collect()} == want

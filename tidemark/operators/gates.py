@@ -12,6 +12,8 @@ from tidemark.functions.text import is_acronym, is_english, is_references_page
 #: Parts of words that speak for a dataset, and words of names of institutions.
 DATASET_PARTS = "survey census database db registry registries indicator index indices microdata data study studies report map statistics stats profile panel round assessment".split()
 INSTITUTIONS = "corp corporation inc llc ltd co company unhcr unicef undp iom bank ministry agency office survey census dataset indicator index world center centre group foundation union organization organisation".split()
+#: Spans and relations that meet in a task.
+ROWS = 1_000_000
 
 
 def dense_rows(df: DataFrame, columns: list[str], least: int) -> DataFrame:
@@ -64,11 +66,16 @@ def is_self_link(head: Column, tail: Column) -> Column:
 
 
 def best_relations(spans: DataFrame, relations: DataFrame, keys: list[str], kind: str = "has_producer") -> DataFrame:
-    """For each span (keys, start, end, text) the most confident tail of a kind's relations (keys, kind, head_start, head_end, tail, confidence), itself left out."""
-    mine = relations.where(F.col("kind") == kind).select(*keys, F.col("head_start").alias("start"), F.col("head_end").alias("end"), "tail", F.col("confidence").alias("_c"))
-    found = spans.join(mine, [*keys, "start", "end"], "left").withColumn("_ok", ~is_self_link(F.col("text"), F.col("tail")))
-    best = F.max_by(F.when(F.col("_ok"), F.col("tail")), F.when(F.col("_ok"), F.struct("_c", "tail")))
-    return found.groupBy(*keys, "start", "end", "text").agg(best.alias("tail"))
+    """For each span (keys, start, end, text) the most confident tail of a kind's relations (keys, kind, head_start, head_end, tail, confidence), itself left out.
+
+    Spans may be given several times. They meet the relations in as many tasks as keep a task's rows of both at ROWS, so a task sorts no more when there are more of them. Both are counted first.
+    """
+    mine = relations.where(F.col("kind") == kind).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("head_start").alias("_start"), F.col("head_end").alias("_end"), F.col("tail").alias("_tail"), F.col("confidence").alias("_c"))
+    at = [*keys, "start", "end"]
+    pieces = max(spans.sparkSession.sparkContext.defaultParallelism, -(-(spans.count() + mine.count()) // ROWS))
+    told = [F.col(k) == F.col(f"_{k}") for k in at] + [~is_self_link(F.col("text"), F.col("_tail"))]
+    found = spans.select(*at, "text").repartition(pieces, *at).distinct().join(mine.repartition(pieces, *[f"_{k}" for k in at]), told, "left")
+    return found.groupBy(*at, "text").agg(F.max(F.when(F.col("_tail").isNotNull(), F.struct("_c", "_tail")))["_tail"].alias("tail"))
 
 
 def candidate_names(df: DataFrame, name: str) -> DataFrame:

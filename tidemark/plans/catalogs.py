@@ -48,7 +48,7 @@ def self_links(spark, d):
 def best_relations(spark, d):
     """Spans of orders with suppliers as tails of their lines' relations."""
     l = table(spark, d, "lineitem")
-    spans = l.select("l_orderkey", (F.col("l_linenumber") % 2).alias("start"), (F.col("l_linenumber") % 2 + 9).alias("end"), F.lit("Supplier 7 of all").alias("text")).distinct()
+    spans = l.select("l_orderkey", (F.col("l_linenumber") % 2).alias("start"), (F.col("l_linenumber") % 2 + 9).alias("end"), F.lit("Supplier 7 of all").alias("text"))
     told = l.select("l_orderkey", F.lit("has_producer").alias("kind"), (F.col("l_linenumber") % 2).alias("head_start"), (F.col("l_linenumber") % 2 + 9).alias("head_end"), F.when(F.col("l_suppkey") % 7 == 0, "supplier 7 of").otherwise(F.concat(F.lit("Supplier "), "l_suppkey")).alias("tail"), F.col("l_discount").alias("confidence"))
     return ga.best_relations(spans, told, ["l_orderkey"]).drop("text")
 

@@ -143,6 +143,36 @@ def test_overlaps_keep_the_longer_within_the_margin(spark):
     assert {x.id for x in best.where("page >= 100").collect()} == {1001, 1003, 1004}
 
 
+def test_overlaps_in_batches_of_any_size(spark):
+    r = random.Random(7)
+    rows = [(r.choice([None, 1, 2, 3]), r.randrange(400), r.choice([None, float("nan"), *(k / 20 for k in range(20))]), r.choice([None, 0, 1, 2]), k) for k in range(300)]
+    rows = [(page, start, start + r.choice([0, 1, 5, 12]), *rest) for page, start, *rest in rows]
+    above = lambda a, b: a > b or a != a and b == b
+    want = []
+    for page in (None, 1, 2, 3):
+        kept = []
+        for m in sorted((x for x in rows if x[0] == page), key=lambda x: (x[1], x[5])):
+            last = kept[-1] if kept else None
+            if last is None or m[2] <= last[1] or last[2] <= m[1]:
+                kept.append(m)
+                continue
+            v, w, size, held = m[3] or 0.0, last[3] or 0.0, m[2] - m[1], last[2] - last[1]
+            if above(v, w + 0.05) or abs(v - w) <= 0.05 and (size > held or size == held and None not in (m[4], last[4]) and m[4] < last[4]):
+                kept[-1] = m
+        want += [m[5] for m in kept]
+    df = spark.createDataFrame([(*x, [x[5]]) for x in rows], "page int, start int, end int, score double, rank int, id int, list array<int>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = mn.suppress_overlaps(df, ["page"], rank="rank", order=["id"])
+            assert found.schema == df.schema
+            assert sorted(x.id for x in found.collect()) == sorted(want) and all(x.list == [x.id] for x in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_functions(spark):
     assert value(spark, tx.clean_text(F.lit(" Global Data (GD). "))) == "Global Data (GD"
     assert value(spark, tx.is_english(F.lit("This is an analysis of the data."))) is True

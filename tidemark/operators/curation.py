@@ -427,8 +427,8 @@ def dedup_mentions(mentions: DataFrame, page: list[str], name: str = "text", ran
 
     mentions: page columns, text, start, end, score, rank. They are read once: all that follows is on the distinct names with their counts, which are kept.
     """
-    kept = suppress_overlaps(mentions, page, rank=rank).withColumn(name, clean_text(F.col(name)))
-    named = cut(kept.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"), F.min(rank).alias("rank")))
+    kept = suppress_overlaps(mentions, page, rank=rank, columns=[name, rank]).groupBy(name).agg(F.count("*").alias("count"), F.min(rank).alias("rank"))
+    named = cut(kept.groupBy(clean_text(F.col(name)).alias("name")).agg(F.sum("count").alias("count"), F.min("rank").alias("rank")))
     edges = fuzzy_pairs(named, "name")
     short = named.where(F.col("name").rlike("^[A-Z0-9]{2,6}$")).select(F.col("name").alias("s"))
     long = named.where(F.col("name").contains(" ")).select(F.col("name").alias("l"), initials(F.col("name")).alias("s"))

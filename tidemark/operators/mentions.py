@@ -6,8 +6,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
@@ -79,32 +82,64 @@ def sentence_context(text: Column, start: Column, sentences: int = 1) -> Column:
     return F.trim(F.array_join(F.slice(marked, first, at + sentences - first + 1), ""))
 
 
-def suppress_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", score: str = "score", margin: float = 0.05, rank: str | None = None, order: list[str] | None = None) -> DataFrame:
-    """Of overlapping spans of a page keep the better one: the higher score; within the margin the longer, then the lower rank, then the one before.
+def suppress_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", score: str = "score", margin: float = 0.05, rank: str | None = None, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Of overlapping spans of a page keep the better one (its columns, all if none are given): the higher score; within the margin the longer, then the lower rank, then the one before.
 
     Spans are met by start, then by order (all columns if it isn't given). What is kept is disjoint, so a span can only meet the last one kept: it takes
-    its place or goes. A page is cut where no span goes on, so each fold is over one group of overlapping spans. A null score counts as 0, a null place as 0.
+    its place or goes. A page's spans are sorted and passed once, and only the last one kept is held. A null score counts as 0, a null place as 0.
     """
-    begin, stop = F.coalesce(F.col(start), F.lit(0)), F.coalesce(F.col(end), F.lit(0))
-    fields = F.struct(begin.alias("s"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order or df.columns)], stop.alias("e"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("v"), (F.col(rank) if rank else F.lit(0)).alias("r"), F.struct(*df.columns).alias("row"))
-    rows = df.select(*[F.col(k).alias(f"_{k}") for k in keys], fields.alias("m"))
-    names = [f"_{k}" for k in keys]
-    by_start = Window.partitionBy(*names).orderBy("m")
-    reach = F.max("m.e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", (F.coalesce(reach, F.col("m.s")) <= F.col("m.s")).cast("int")).withColumn("group", F.sum("new").over(by_start))
-
-    def better(m: Column, last: Column) -> Column:
-        size = lambda x: x["e"] - x["s"]
-        near = F.abs(m["v"] - last["v"]) <= margin
-        return (m["v"] > last["v"] + margin) | near & ((size(m) > size(last)) | (size(m) == size(last)) & (m["r"] < last["r"]))
-
-    def meet(kept: Column, m: Column) -> Column:
-        last = F.element_at(kept, -1)
-        apart = (F.size(kept) == 0) | (m["e"] <= last["s"]) | (last["e"] <= m["s"])
-        return F.when(apart, F.concat(kept, F.array(m))).when(better(m, last), F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(m))).otherwise(kept)
-
-    grouped = rows.groupBy(*names, "group").agg(F.array_sort(F.collect_list("m")).alias("x"))
-    return grouped.select(F.explode(F.aggregate("x", F.slice("x", 1, 0), meet)).alias("m")).select("m.row.*")
+    place = [F.coalesce(F.col(c), F.lit(0)) for c in (start, end)]
+    rows = df.select("*", *[c.alias(f"_{n}") for c, n in zip([*place, F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.col(rank) if rank else F.lit(0)], "sevr", strict=True)])
+    by_start = Window.partitionBy(*keys).orderBy("_s", *(order or []), *(["_e", "_v", "_r"] if order else []), *[c for c in df.columns if c not in keys])
+    # A span that begins where those before it have ended, as a page's first, meets none of them.
+    reach = F.max("_e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(reach, F.col("_s")) <= F.col("_s"))
+    kept = columns or df.columns
+    return rows.select(*kept, "_s", "_e", "_v", "_r", "_new").mapInArrow(partial(_last_kept, margin=margin), df.select(*kept).schema)
+
+
+def _last_kept(batches: Iterator[pa.RecordBatch], margin: float) -> Iterator[pa.RecordBatch]:
+    """The rows kept of sorted ones that end in _s, _e, _v, _r and _new."""
+
+    def above(a: float, b: float) -> bool:
+        return a > b or a != a and b == b  # a NaN is above all numbers
+
+    def better(m: tuple, last: tuple) -> bool:
+        size, held = m[1] - m[0], last[1] - last[0]
+        if above(m[2], last[2] + margin):
+            return True
+        return abs(m[2] - last[2]) <= margin and (size > held or size == held and m[3] is not None and last[3] is not None and above(last[3], m[3]))
+
+    carried = last = None  # the last row kept, if it is of a batch before; its values
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *columns, new = [c.to_numpy(zero_copy_only=False).tolist() if not c.null_count else c.to_pylist() for c in batch.columns[-5:]]
+        whole = batch.select(batch.schema.names[:-5])
+        begins = np.array(new, bool)
+        alone = begins & np.append(begins[1:], False)
+        kept, at = alone.copy(), None
+        if begins[0] and carried is not None:
+            yield carried
+            carried = None
+        for k in np.flatnonzero(~alone).tolist():
+            m = tuple(c[k] for c in columns)
+            if begins[k] or m[1] <= last[0] or last[1] <= m[0]:
+                if carried is not None:
+                    yield carried
+            elif better(m, last):
+                if at is not None:
+                    kept[at] = False
+            else:
+                continue
+            carried, last, at = None, m, k
+            kept[k] = True
+        if at is not None:
+            kept[at] = False
+            carried = whole.slice(at, 1)
+        yield whole.filter(pa.array(kept))
+    if carried is not None:
+        yield carried
 
 
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str, by: list[Column]) -> DataFrame:

@@ -114,8 +114,9 @@ def review_export(spark, d):
 
 def mention_dedup(spark, d):
     """Mentions of names in orders: lines of an order are spans of a page."""
-    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    m = l.select("l_orderkey", F.concat_ws(" ", F.initcap("p_name"), F.initcap("p_type")).alias("text"), (F.col("l_linenumber") * 8).alias("start"), (F.col("l_linenumber") * 8 + F.length("p_name")).alias("end"), F.col("l_discount").alias("score"), F.when(F.col("l_returnflag") == "A", 0).otherwise(1).alias("rank"))
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.initcap("p_name"), F.initcap("p_type")).alias("text"), F.length("p_name").alias("length"))
+    l = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    m = l.select("l_orderkey", "text", (F.col("l_linenumber") * 8).alias("start"), (F.col("l_linenumber") * 8 + F.col("length")).alias("end"), F.col("l_discount").alias("score"), F.when(F.col("l_returnflag") == "A", 0).otherwise(1).alias("rank"))
     return cu.dedup_mentions(m, ["l_orderkey"]).select("canonical", "n", F.size("forms").alias("n_forms"))
 
 
